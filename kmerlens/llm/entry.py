@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import mixing, packing, warc
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op6_warc_transactions": warc.op6_warc_transactions,
 }
 
