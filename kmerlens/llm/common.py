@@ -65,6 +65,12 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def held_out(doc_id) -> "Column":  # noqa: F821
+    """Whether a row is kept from learning: crc32 of doc_id as text leaves 2 when divided by 4. A
+    null doc_id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 # ---------------------------------------------------------------- vectorised text
 
 _rng = np.random.Generator(np.random.PCG64(20240601))

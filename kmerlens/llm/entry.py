@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, warc
+from . import ann, jaccard, mixing, packing, warc
 
 QUERIES = {
+    "op10_anisotropic_search": ann.op10_anisotropic_search,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_mix_sources": mixing.op5_mix_sources,
