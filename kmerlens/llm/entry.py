@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, mixing, packing, warc
+from . import ann, jaccard, langid, mixing, packing, warc
 
 QUERIES = {
+    "op2_language_mixture": langid.op2_language_mixture,
     "op10_anisotropic_search": ann.op10_anisotropic_search,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
