@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import shared_dir, small_batches, staged
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -164,12 +164,14 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit record, with the request and metadata
     records that are concurrent to it (null where missing). Records that are concurrent to no
     capture are left out; of several requests or metadata records the smallest id counts."""
+    capture = F.col("record_type").isin("response", "revisit")
+    side = F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()
     parts = F.struct("record_id", "target_uri", "fields", "block", "block_bytes")
-    side = records.where(F.col("record_type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-    pick = lambda kind: F.min_by(F.when(F.col("record_type") == kind, parts), F.when(F.col("record_type") == kind, F.col("record_id"))).alias(kind)
-    sides = side.groupBy(F.col("concurrent_to").alias("record_id")).agg(pick("request"), pick("metadata"))
-    main = records.where(F.col("record_type").isin("response", "revisit")).select("record_id", F.struct("record_type", "target_uri", "refers_to", "payload_digest", "seen_digest", "http_length", "fields", "payload", "block_bytes").alias("capture"))
-    return main.join(sides, "record_id", "left")
+    main = F.struct("record_type", "target_uri", "refers_to", "payload_digest", "seen_digest", "http_length", "fields", "payload", "block_bytes")
+    pick = lambda kind: F.min_by(F.when(side & (F.col("record_type") == kind), parts), F.when(side & (F.col("record_type") == kind), F.col("record_id"))).alias(kind)
+    # an equi-join of the three kinds on the capture's id: one shuffle, whatever is missing
+    met = records.where(capture | side).groupBy(F.when(capture, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("record_id"))
+    return met.agg(F.first(F.when(capture, main), ignorenulls=True).alias("capture"), pick("request"), pick("metadata")).where("capture is not null")
 
 
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +179,12 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(archive_records(pages, min_payload_bytes=0), path)
     rows = assemble(read_archives(spark, path, payloads=False)).select("record_id", F.expr("try_cast(metadata.fields['page-id'] as bigint)").alias("page_id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("origin"), F.coalesce("capture.seen_digest", "capture.payload_digest").alias("payload_digest"), F.when(F.col("capture.record_type") == "response", F.col("capture.block_bytes")).otherwise(F.col("capture.http_length")).alias("payload_bytes"))
+    rows = staged(rows, "captures")
     origins = rows.where("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_to"))
-    return rows.join(origins, "origin", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing: they stay out of the join, where null keys would meet in one task
+    revisits = rows.where("record_type = 'revisit'").join(origins, "origin", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return rows.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.select(columns))
 
 
 OP6_SQL = """
