@@ -135,9 +135,10 @@ def _cuts(raw: np.ndarray, offs: np.ndarray, limit: int) -> list[int]:
     return [*cuts, n] if n > at else cuts
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True, prefix: int = 0):
     """(64-bit hashes of all words, word offsets of the rows). A word is a maximal run of bytes
-    other than space and tab to carriage return; ``lower`` folds A-Z only."""
+    other than space and tab to carriage return; ``lower`` folds A-Z only. With ``prefix``, the
+    hashes have a second column: of the first ``prefix`` bytes of the words."""
     table = _LOWER if lower else _BYTE
     hashes, starts_all = [], []
     cuts = _cuts(raw, offs, SEGMENT_BYTES)
@@ -156,10 +157,14 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[
         lens = np.diff(np.append(first, len(where)))
         place = np.arange(len(where)) - np.repeat(first, lens)
         values = table[part[where]] * _power(int(lens.max()))[place]
-        hashes.append(mix64(np.add.reduceat(values, first) + lens.astype(np.uint64)))
+        whole = mix64(np.add.reduceat(values, first) + lens.astype(np.uint64))
+        if prefix:
+            values[place >= prefix] = 0
+            whole = np.stack([whole, mix64(np.add.reduceat(values, first) + U64(1 << 40))], 1)
+        hashes.append(whole)
         starts_all.append(starts + lo)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros((0, 2) if prefix else 0, np.uint64), np.zeros(len(offs), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offs)
 
 
