@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprint, jaccard, langid, mixing, packing, toxicity, warc
+from . import ann, fingerprint, jaccard, langid, mixing, packing, passages, toxicity, warc
 
 QUERIES = {
+    "op9_repeated_passages": passages.op9_repeated_passages,
     "op7_weighted_fingerprints": fingerprint.op7_weighted_fingerprints,
     "op8_toxicity_cnn": toxicity.op8_toxicity_cnn,
     "op2_language_mixture": langid.op2_language_mixture,
