@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, fingerprint, jaccard, langid, mixing, packing, passages, toxicity, warc
+from . import ann, fingerprint, jaccard, langid, lmscore, mixing, packing, passages, toxicity, warc
 
 QUERIES = {
+    "op1_cross_entropy_difference": lmscore.op1_cross_entropy_difference,
     "op9_repeated_passages": passages.op9_repeated_passages,
     "op7_weighted_fingerprints": fingerprint.op7_weighted_fingerprints,
     "op8_toxicity_cnn": toxicity.op8_toxicity_cnn,

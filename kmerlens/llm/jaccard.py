@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, components, local_forest, mix64, shingles, small_batches, staged, string_buffers, word_hashes
@@ -285,7 +285,8 @@ def _tiles(found: DataFrame, threshold: tuple[int, int], tile_bytes: int, tile_r
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, bucket_hashes: int = 1 << 21, broadcast_rows: int = 100_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, key, keeper_key) of every row of docs (doc_id, text). key
+    is row_key(), keeper_key that of the row of the component that a deduplication keeps.
 
     A row's set is its distinct k-word shingles (words of lower-cased A-Z text between space and
     tab to carriage return; shorter texts are one shingle). Rows whose sets reach the threshold
@@ -297,14 +298,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1
     while buckets * bucket_hashes * 12 < size and buckets < 1 << 15:  # English has about one hash of the first half in 12 characters
         buckets *= 2
     scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets), "doc_id long, key long, set_id long, n long, n_early long, bucket long, hashes binary, sets binary, runs binary"), "shingles")
     nodes = scanned.where("bucket is null").select("doc_id", "key", "set_id", "n", "n_early")
-    by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
     blobs = scanned.where("bucket is not null").select("bucket", "hashes", "sets", "runs")
     shared = blobs.groupBy("bucket").applyInPandas(_shared_hashes(buckets), "part long, bucket long, hashes binary, sets binary, counts binary")
     grouped = by_set.select("set_id", "n", "n_early", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
@@ -317,12 +318,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         tiles = F.broadcast(tiles)
     rows = docs.select("key", "text").join(tiles, "key").select("parcel", "tile", "side", "set_id", "text")
     links = components(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), "links")
-    sets = by_set.select("set_id", "doc_id").join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
-    least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = sets.join(least, "root").select("set_id", "component_id")
-    empty = nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return nodes.where("n > 0").join(labels, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    sets = by_set.select("set_id", "doc_id", "head").join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", "head", F.coalesce("root", "set_id").alias("root"))
+    least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("head").alias("first"))
+    labels = sets.join(least, "root").select("set_id", "component_id", F.col("first.key").alias("keeper_key"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "keeper_key"]
+    empty = nodes.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("keeper_key", F.col("key")).select(columns)
+    return nodes.where("n > 0").join(labels, "set_id").select(columns).unionByName(empty)
+
+
+def row_key() -> Column:
+    """Tells rows (doc_id, text) apart; equal for repeated rows."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id (a null one
+    last), and one of rows that repeat doc_id and text. Rows without words all stay."""
+    found = staged(jaccard_components(docs).select("key", "keeper_key", "n_shingles"), "components")
+    gone = found.where("key <> keeper_key").select("key").distinct()
+    if gone.count() <= broadcast_rows:  # 8 bytes a row
+        gone = F.broadcast(gone)
+    left = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti")
+    again = found.where("key = keeper_key and n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    again = staged(again, "repeated")
+    if not again.isEmpty():
+        once = left.join(again, F.col("_key") == F.col("key"), "left_semi").dropDuplicates(["_key"])
+        left = left.join(again, F.col("_key") == F.col("key"), "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

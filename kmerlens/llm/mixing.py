@@ -112,6 +112,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return done.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def repeated_by_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """docs, all columns, each row as often as ``mix`` says. Rows that agree in doc_id, source and
+    size share their copies evenly, the earlier by text first."""
+    keyed = docs.withColumn("_size", word_count(F.col("text")))
+    plan = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & keyed["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    rows = keyed.join(plan.where("_copies > 0"), same)
+    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.xxhash64("text")))
+    alone = rows.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    shared = rows.where("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
+    both = alone.unionByName(shared).where("_n > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
