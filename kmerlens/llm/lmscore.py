@@ -129,9 +129,10 @@ def _bigram_pass(counts, buckets: int):
     return run
 
 
-def _price(counts, mass: float):
+def _price(counts, mass: float, groups: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of one bucket of bigrams: the losses of each document's occurrences in both models."""
+        """Of one bucket of bigrams: the losses of each document's occurrences in both models, as one
+        blob for each group of documents."""
         model = counts.value
         key, c = _joined(pdf["bigrams"], np.uint32), _joined(pdf["counts"], np.uint32).astype(np.int64)
         runs, docs = _joined(pdf["runs"], np.uint32), _joined(pdf["docs"], np.int64)
@@ -147,11 +148,23 @@ def _price(counts, mass: float):
             loss = model.losses(i, h, w, np.add.reduceat(n[order], at).astype(np.float64), mass)
             sums.append(np.add.reduceat(loss[place] * c, np.cumsum(runs, dtype=np.int64) - runs))
         n = np.add.reduceat(c, np.cumsum(runs, dtype=np.int64) - runs)
-        return pd.DataFrame({"key": docs, "target": sums[0], "background": sums[1], "n": n}).groupby("key", as_index=False).sum()
+        docs, *sums = _sum_by(docs, *sums, n)
+        g = (docs.view(np.uint64) % U64(groups)).astype(np.int64)
+        order = np.argsort(g, kind="stable")
+        cuts = _runs(g[order], groups)
+        arrays = [docs[order], sums[0][order].astype(np.float32), sums[1][order].astype(np.float32), sums[2][order].astype(np.uint32)]
+        rows = [(q, *(v[cuts[q] : cuts[q + 1]].tobytes() for v in arrays)) for q in range(groups) if cuts[q + 1] > cuts[q]]
+        return pd.DataFrame(rows, columns=["part", "keys", "target", "background", "n"])
 
     return run
 
 
+def _total(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one group of documents: mean losses per token (partial sums have 24 bits)."""
+    key, t, b, n = _sum_by(_joined(pdf["keys"], np.int64), _joined(pdf["target"], np.float32).astype(np.float64), _joined(pdf["background"], np.float32).astype(np.float64), _joined(pdf["n"], np.uint32).astype(np.int64))
+    return pd.DataFrame({"key": key, "ce_target": t / n, "ce_background": b / n, "all_tokens": n})
+
+
 def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: float = 50.0, bucket_rows: int = 1 << 21) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score) of every row of docs (doc_id, text).
 
@@ -185,8 +198,8 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: f
     model = Counts(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["target"].to_numpy(np.int64), total[0] or 0, total[1] or 0, n_docs, n_target)
     counts = spark.sparkContext.broadcast(model)
     bigrams = flagged.select("key", "text", "in_target").mapInArrow(_bigram_pass(counts, buckets), "bucket long, bigrams binary, counts binary, docs binary, runs binary, targets binary")
-    priced = bigrams.groupBy("bucket").applyInPandas(_price(counts, mass), "key long, target double, background double, n long")
-    losses = priced.groupBy("key").agg((F.sum("target") / F.sum("n")).alias("ce_target"), (F.sum("background") / F.sum("n")).alias("ce_background"), F.sum("n").alias("all_tokens"))
+    priced = bigrams.groupBy("bucket").applyInPandas(_price(counts, mass, buckets), "part long, keys binary, target binary, background binary, n binary")
+    losses = priced.groupBy("part").applyInPandas(_total, "key long, ce_target double, ce_background double, all_tokens long")
     rows = flagged.select("key", "doc_id").join(losses, "key")
     copies = F.count("*").over(Window.partitionBy("key"))
     return rows.select("doc_id", (F.col("all_tokens") / copies).cast("long").alias("n_tokens"), "ce_target", "ce_background", (F.col("ce_target") - F.col("ce_background")).alias("score"))
