@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(x: Column, use) -> Column:
+    """use(x) with x computed once: nested uses would double the generated code each time."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def encode(kmer: Column) -> Column:
     """Code of an ACGT string of up to 31 bases; null for other letters."""
     upper = F.upper(kmer)
@@ -23,9 +28,12 @@ def reverse_complement(kmer: Column) -> Column:
 def reverse_complement_code(code: Column, k: int = 16) -> Column:
     """Complements every base and swaps ever larger groups of bits; all in the JVM."""
     x = code.bitwiseXOR(F.lit((1 << 2 * k) - 1))
+
+    def swap(shift: int, mask: int):
+        return lambda v: F.shiftrightunsigned(v, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(mask)), shift))
+
     for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        high = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask))
-        x = high.bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), shift))
+        x = _let(x, swap(shift, mask))
     return F.shiftrightunsigned(x, 64 - 2 * k)
 
 
@@ -85,8 +93,7 @@ def quality(kmer: Column) -> Column:
 
 def hamming_code(a: Column, b: Column) -> Column:
     """Number of bases in which two codes of one length differ (up to 31 bases)."""
-    x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return _let(a.bitwiseXOR(b), lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
 
 
 def hamming_either(a: Column, b: Column, k: int = 16) -> Column:
