@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WEIGHTS = (0.20, 0.20, 0.20, 0.15, 0.10, 0.15)
 
@@ -70,7 +71,7 @@ def similar(a: str, b: str, distance: int = 2, n: int = 12) -> bool:
 def greedy_shortlist(df: DataFrame, by: list[str], kmer: str = "kmer", score: str = "score", cap: int = 5, pan_cap: int = 20, category: str = "category") -> DataFrame:
     """Per group, in order of score (descending), then k-mer: rows unlike all chosen before, up to the
     cap. A group's rows are dropped as they come once the cap is met, so a task holds cap rows."""
-    schema = df.schema.add("category_rank", "int")
+    schema = T.StructType([*df.schema.fields, T.StructField("category_rank", T.IntegerType())])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, kmer], ascending=[False, True], ignore_index=True)
