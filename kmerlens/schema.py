@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From "name type, ..." (StructType.fromDDL would need a session at import)."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in text.split(","))])
 
 
 SEQUENCES = _schema("hap string, chromosome string, seq string")
-INTERVALS = _schema("chromosome string, start bigint, end bigint, label string")
-COUNTS = _schema("hap string, chromosome string, region string, strand int, code bigint, n bigint")
-DENOMINATORS = _schema("hap string, chromosome string, region string, valid_starts bigint, bp bigint")
-HITS = _schema("kmer string, chromosome string, start bigint, end bigint, strand string")
+INTERVALS = _schema("chromosome string, start long, end long, label string")
+COUNTS = _schema("hap string, chromosome string, region string, strand int, code long, n long")
+DENOMINATORS = _schema("hap string, chromosome string, region string, valid_starts long, bp long")
+HITS = _schema("kmer string, chromosome string, start long, end long, strand string")
 
 
 class SchemaError(ValueError):

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BED_SCHEMA = T.StructType.fromDDL("chromosome string, start bigint, end bigint, label string, score string, strand string")
-
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     """(path, name, seq): a record starts at ``>``; its name is the first token of the header line;
