@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard_join": jaccard.OP3_SQL,
     "op6_warc_transactions": warc.OP6_SQL,
 }
