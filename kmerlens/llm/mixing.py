@@ -118,7 +118,7 @@ def repeated_by_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_size", word_count(F.col("text")))
     plan = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & keyed["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    rows = keyed.join(plan.where("_copies > 0"), same)
+    rows = keyed.join(plan.where("_copies > 0").hint("merge"), same)  # the same way at every size
     turn = F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.xxhash64("text")))
     alone = rows.where("_rows = 1").withColumn("_n", F.col("_copies"))
     shared = rows.where("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
