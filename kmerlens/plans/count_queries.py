@@ -10,7 +10,6 @@ from ..operators import audit, cluster, counting, enrichment, landscape, ranking
 from . import fixtures as fx
 from .registry import query, rounded
 
-REF = F.col("hap") == fx.REFERENCE_HAP
 LEVELS = [0.0, 0.5, 1.0, 1.5, 2.0]
 
 

@@ -81,7 +81,7 @@ def robustness_tier(spark, sf):
     return rounded(rows.select("code", "tier", F.col("mm").alias("mismatch"), M.final_score(F.col("score"), F.col("mm"), F.col("tier")).alias("final")), "mismatch", "final")
 
 
-@query("tier_by_family", fx.sql("c d", _TIER + " SELECT t.x AS tier, " + ", ".join(f"count_if(family = '{f}') AS \"{f}\"" for f in ("HSat2", "HSat3")) + " FROM (SELECT unnest(['A_le2mm', 'B_le1mm', 'C_exact', 'D_none']) AS x) t LEFT JOIN tr ON tr.tier = t.x GROUP BY t.x"))
+@query("tier_by_family", fx.sql("c d", _TIER + " SELECT t.x AS tier, " + ", ".join(f"count(*) FILTER (family = '{f}') AS \"{f}\"" for f in ("HSat2", "HSat3")) + " FROM (SELECT unnest(['A_le2mm', 'B_le1mm', 'C_exact', 'D_none']) AS x) t LEFT JOIN tr ON tr.tier = t.x GROUP BY t.x"))
 def tier_by_family(spark, sf):
     levels = spark.createDataFrame([(t,) for t in ("A_le2mm", "B_le1mm", "C_exact", "D_none")], "tier string")
     table = _tiers(spark, sf).groupBy("tier").pivot("family", ["HSat2", "HSat3"]).count()

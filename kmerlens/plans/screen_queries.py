@@ -9,11 +9,12 @@ from . import fixtures as fx
 from .count_queries import _DOM, _FAM, _pe
 from .registry import query
 
-REF = F.col("hap") != fx.REFERENCE_HAP
+#: All haps but the reference.
+OTHERS = f"hap <> {fx.REFERENCE_HAP}"
 
 
 def _family(spark, sf):
-    m = specificity.family_metrics(fx.counts(spark, sf).where(REF), fx.den(spark, sf).where(REF))
+    m = specificity.family_metrics(fx.counts(spark, sf).where(OTHERS), fx.den(spark, sf).where(OTHERS))
     return m.join(_pe(spark, sf).select("code", "t", "b", "e"), "code")
 
 
@@ -37,6 +38,6 @@ def selective_funnel(spark, sf):
 
 @query("chromosome_screen", fx.sql("c d u", _DOM + ", hn AS (SELECT code, region, hap, chrom, n, max(n) OVER (PARTITION BY code, region, hap) AS m FROM u WHERE hap <> 0), ho AS (SELECT code, region, hap, CASE WHEN count_if(n = m) = 1 THEN min(chrom) FILTER (n = m) END AS own FROM hn GROUP BY 1, 2, 3), ms AS (SELECT hap, region, chrom FROM ud WHERE hap <> 0 AND valid_starts > 0), mc AS (SELECT hap, region, count(*) AS k FROM ms GROUP BY 1, 2), j AS (SELECT ho.code, ho.region, ho.own, dm.best, (ms.hap IS NOT NULL) AND mc.k >= 2 AND NOT dm.tied AS inf FROM ho JOIN dm USING (code, region) JOIN mc ON mc.hap = ho.hap AND mc.region = ho.region LEFT JOIN ms ON ms.hap = ho.hap AND ms.region = ho.region AND ms.chrom = dm.best), rr AS (SELECT code, region, count_if(inf) AS i, count_if(inf AND coalesce(own = best, FALSE)) AS s FROM j GROUP BY 1, 2), sp AS (SELECT code, region, CAST(max(n) AS DOUBLE) / any_value(tn) AS sh, count_if(n = mn) > 1 AS ti, min(chrom) FILTER (n = mn) AS chrom FROM pm GROUP BY 1, 2) SELECT code, region, chrom FROM sp JOIN rr USING (code, region) WHERE sh >= 0.4 AND NOT ti AND i >= 3 AND CAST(s AS DOUBLE) / i >= 0.4"))
 def chromosome_screen(spark, sf):
-    c, d = fx.counts(spark, sf).where(REF), fx.den(spark, sf).where(REF)
+    c, d = fx.counts(spark, sf).where(OTHERS), fx.den(spark, sf).where(OTHERS)
     order = F.col("chrom")
     return screens.chromosome_screen(specificity.chromosome_specificity(c, d, order), specificity.recurrence(c, d, order), 0.4, 0.4, 3)

@@ -12,7 +12,7 @@ from ..sources import files
 from . import fixtures as fx
 from .registry import query, rounded
 
-REF = F.col("hap") == fx.REFERENCE_SOURCE
+OTHERS = f"hap <> '{fx.REFERENCE_SOURCE}'"
 #: Of the sequences: E above this and this many hits make a k-mer enriched.
 LEAST, LEVEL = 10, 1.0
 
@@ -81,7 +81,7 @@ def sequence_enrichment(spark, sf):
     """Which k-mers are enriched in the target regions? The count condition, which needs targets
     alone, first reduces the k-mers whose background is summed and joined."""
     w = _windows(spark, sf, "hap", "region")
-    p = enrichment.pooled_enrichment(w, _stats(spark, sf), REF, LEAST, LEVEL).where("pooled_pass")
+    p = enrichment.pooled_enrichment(w, _stats(spark, sf), F.col("hap") == fx.REFERENCE_SOURCE, LEAST, LEVEL).where("pooled_pass")
     return rounded(p.select(K.decode(F.col("code")).alias("kmer"), "t", "b", "e"), "e")
 
 
@@ -124,9 +124,9 @@ def mismatch_positions(spark, sf):
 def mismatch_screen(spark, sf):
     m = mismatch.by_distance(_matched(spark, sf, "hap", "region"), ["hap", "region"])
     part = lambda r: F.coalesce(F.sum(F.when(F.col("region") == r, F.col("cumulative"))), F.lit(0))
-    sums = m.where(~REF).groupBy("query", "hap", "d").agg(part("HSat2").alias("t"), part("HSat3").alias("o"), part("background").alias("b"))
+    sums = m.where(OTHERS).groupBy("query", "hap", "d").agg(part("HSat2").alias("t"), part("HSat3").alias("o"), part("background").alias("b"))
     v = lambda r: F.sum(F.when(F.col("region") == r, F.col("valid_starts")))
-    den = _stats(spark, sf).where(~REF).groupBy("hap").agg(v("HSat2").alias("den_t"), v("HSat3").alias("den_o"), v("background").alias("den_b"))
+    den = _stats(spark, sf).where(OTHERS).groupBy("hap").agg(v("HSat2").alias("den_t"), v("HSat3").alias("den_o"), v("background").alias("den_b"))
     return mismatch.strict_pan(sums, den, broad_min=2, threshold=0.5, share=0.3, least=1)
 
 
