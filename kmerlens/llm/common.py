@@ -33,15 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def tasks_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
+    """Tasks that suit the size of df by Spark's estimate (of files: their bytes): one per core at
+    least. Far more tasks than that only make small files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 1 << 30))
+
+
+def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends here, so a
-    lost executor costs no recomputation of earlier stages and later readers see one result."""
+    lost executor costs no recomputation of earlier stages and later readers see one result. With
+    ``tasks``, no more tasks than that write (no shuffle: partitions are merged)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
@@ -211,12 +216,12 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", tasks: int | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a long, b long): root is the smallest node that it
     is joined to. Alternating large and small stars: every round halves path lengths, groups by
     node with map-side minima, and ends in a written table, so no component is gathered in a task."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = staged(edges.distinct(), name)
+    now = staged(edges.distinct(), name, tasks)
     while True:
         # in a forest of stars no node has two edges up, or edges both up and down
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -227,7 +232,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        then = staged(small, name)
+        then = staged(small, name, tasks)
         unstage(now)
         now = then
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, components, local_forest, mix64, shingles, small_batches, staged, string_buffers, word_hashes
+from .common import U64, components, local_forest, mix64, shingles, small_batches, staged, string_buffers, tasks_for, word_hashes
 
 #: Hashes below this come first in the order of shingles.
 HALF = U64(1 << 63)
@@ -298,12 +298,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
+    tasks = tasks_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1
     while buckets * bucket_hashes * 12 < size and buckets < 1 << 15:  # English has about one hash of the first half in 12 characters
         buckets *= 2
-    scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets), "doc_id long, key long, set_id long, n long, n_early long, bucket long, hashes binary, sets binary, runs binary"), "shingles")
+    scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets), "doc_id long, key long, set_id long, n long, n_early long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
     nodes = scanned.where("bucket is null").select("doc_id", "key", "set_id", "n", "n_early")
     by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
     blobs = scanned.where("bucket is not null").select("bucket", "hashes", "sets", "runs")
@@ -311,13 +312,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     grouped = by_set.select("set_id", "n", "n_early", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
     prefixes = shared.groupBy("part").cogroup(grouped.groupBy("part")).applyInPandas(_prefixes(threshold, buckets), "part long, bucket long, hashes binary, sets binary, sizes binary")
     edges = prefixes.groupBy("part").applyInPandas(_candidates(threshold), "a long, b long")
-    groups = components(edges, "candidates")
-    found = staged(by_set.join(groups, F.col("set_id") == F.col("node")).select("set_id", "key", "n", (F.col("n") * 8).alias("bytes"), "root"), "candidate-sets")
+    groups = components(edges, "candidates", tasks)
+    found = staged(by_set.join(groups, F.col("set_id") == F.col("node")).select("set_id", "key", "n", (F.col("n") * 8).alias("bytes"), "root"), "candidate-sets", tasks)
     tiles = _tiles(found, threshold, tile_bytes, tile_rows)
     if found.count() <= broadcast_rows:
         tiles = F.broadcast(tiles)
     rows = docs.select("key", "text").join(tiles, "key").select("parcel", "tile", "side", "set_id", "text")
-    links = components(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), "links")
+    links = components(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), "links", tasks)
     sets = by_set.select("set_id", "doc_id", "head").join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", "head", F.coalesce("root", "set_id").alias("root"))
     least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("head").alias("first"))
     labels = sets.join(least, "root").select("set_id", "component_id", F.col("first.key").alias("keeper_key"))
@@ -334,13 +335,13 @@ def row_key() -> Column:
 def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest doc_id (a null one
     last), and one of rows that repeat doc_id and text. Rows without words all stay."""
-    found = staged(jaccard_components(docs).select("key", "keeper_key", "n_shingles"), "components")
+    found = staged(jaccard_components(docs).select("key", "keeper_key", "n_shingles"), "components", tasks_for(docs))
     gone = found.where("key <> keeper_key").select("key").distinct()
     if gone.count() <= broadcast_rows:  # 8 bytes a row
         gone = F.broadcast(gone)
     left = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti")
     again = found.where("key = keeper_key and n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
-    again = staged(again, "repeated")
+    again = staged(again, "repeated", tasks_for(docs))
     if not again.isEmpty():
         once = left.join(again, F.col("_key") == F.col("key"), "left_semi").dropDuplicates(["_key"])
         left = left.join(again, F.col("_key") == F.col("key"), "left_anti").unionByName(once)

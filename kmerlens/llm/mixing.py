@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tasks_for
 
 #: Sources of this many rows at most are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     source; repeated rows are rounded each by itself; no rows give no rows.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    sized = staged(sized, "sized")
-    targets = staged(source_targets(sized, weights, share, most), "targets")
+    tasks = tasks_for(docs)
+    sized = staged(sized, "sized", tasks)
+    targets = staged(source_targets(sized, weights, share, most), "targets", tasks)
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rows = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
                         left[at[still]] = True
             return pdf.assign(part=part, left=left)
 
-        step = staged(rows.groupBy("node").applyInPandas(round_node, rows.schema), f"rounded{level}")
+        step = staged(rows.groupBy("node").applyInPandas(round_node, rows.schema), f"rounded{level}", tasks)
         part = step.where(~F.col("left"))
         done = part if done is None else done.unionByName(part)
         if nodes == 1:

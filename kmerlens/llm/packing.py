@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, string_buffers
+from .common import small_batches, staged, string_buffers, tasks_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict = {}
@@ -105,6 +105,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, leaf_row
     fan_in * open_bins bins.
     """
     pieces = staged(pieces, "pieces")
+    tasks = tasks_for(pieces, 1 << 20)
     leaves = max(1, -(-pieces.count() // leaf_rows))
     own = [f.name for f in pieces.schema]
 
@@ -115,7 +116,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, leaf_row
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     node = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(leaves)).cast("long")
-    level0 = staged(pieces.withColumn("node", node).groupBy("node").applyInPandas(leaf, f"{schema}, node long, bin long, place long, open boolean"), "packed")
+    level0 = staged(pieces.withColumn("node", node).groupBy("node").applyInPandas(leaf, f"{schema}, node long, bin long, place long, open boolean"), "packed", tasks)
     base = F.lit(1 << 30)
     placed = level0.select(*own, (F.col("node") * base + F.col("bin")).alias("bin"), "place", "open")
     open_now = level0.where("open").groupBy((F.col("node") * base + F.col("bin")).alias("bin"), "node").agg(F.sum("length").alias("fill"))
@@ -129,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, leaf_row
             return pdf.assign(to=bins, shift=offs, open=np.isin(bins, still))
 
         met = open_now.withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-        step = staged(met.groupBy("node").applyInPandas(inner, "bin long, node long, fill long, to long, shift long, open boolean"), f"packed{level}")
+        step = staged(met.groupBy("node").applyInPandas(inner, "bin long, node long, fill long, to long, shift long, open boolean"), f"packed{level}", tasks)
         step = step.withColumn("to", F.lit(level << 58) + F.col("node") * base + F.col("to"))
         now = step.select("bin", "to", "shift")
         if moves is None:
