@@ -10,29 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerlens.llm import jaccard, mixing, packing, passages, toxicity
-from kmerlens.llm.common import staged
+from kmerlens.llm.common import staged, tasks_for
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier calls toxic; it learns from labels of these docs."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.classify(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return toxicity.classify(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns).coalesce(tasks_for(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones: that of the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs).coalesce(tasks_for(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages cut from all documents but one; n_chars follows the text."""
     left = passages.without_passages(docs, passages.repeated_passages(docs))
-    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns).coalesce(tasks_for(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.repeated_by_copies(docs, mixing.mix(docs))
+    return mixing.repeated_by_copies(docs, mixing.mix(docs)).coalesce(tasks_for(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
