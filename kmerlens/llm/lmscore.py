@@ -194,7 +194,16 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: f
     words = flagged.select("text", "in_target").mapInArrow(_word_pass(buckets), "bucket long, words binary, counts binary, targets binary")
     sums = staged(words.groupBy("bucket").applyInPandas(_sum_words(vocabulary - 2), "word long, n long, target long"), "words")
     total = sums.where("word is null").agg(F.sum("n"), F.sum("target")).first()
-    top = sums.where("word is not null").orderBy(F.desc("n"), "word").limit(vocabulary - 2).toPandas()
+    # a histogram of counts (a few hundred rows) tells below which level no word can get in, so that
+    # little more than the vocabulary is sorted, however many buckets there are
+    level = F.floor(F.log2("n") * 8)
+    known = sums.where("word is not null")
+    floor, held = 0, 0
+    for at, n in known.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        floor, held = at, held + n
+        if held >= vocabulary - 2:
+            break
+    top = known.where(level >= floor).orderBy(F.desc("n"), "word").limit(vocabulary - 2).toPandas()
     model = Counts(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["target"].to_numpy(np.int64), total[0] or 0, total[1] or 0, n_docs, n_target)
     counts = spark.sparkContext.broadcast(model)
     bigrams = flagged.select("key", "text", "in_target").mapInArrow(_bigram_pass(counts, buckets), "bucket long, bigrams binary, counts binary, docs binary, runs binary, targets binary")
