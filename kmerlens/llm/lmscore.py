@@ -165,7 +165,7 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key, "ce_target": t / n, "ce_background": b / n, "all_tokens": n})
 
 
-def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: float = 50.0, bucket_rows: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: float = 50.0, bucket_rows: int = 1 << 22) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score) of every row of docs (doc_id, text).
 
     target has the doc_ids of the target documents. Words are those of lower-cased A-Z text between
