@@ -164,6 +164,39 @@ def test_near_passages_are_verified(spark):
     assert (2, True) in got and not any(d == 3 for d, _ in got)
 
 
+def under_one_key(n, seed=5, least=32):
+    """(twin, n unlike texts) that all share their frequent shingle, which is the minimum of every band,
+    each with words of its own; the twin resembles the last one."""
+    rng = random.Random(seed)
+    hot = "alpha beta gamma delta epsilon"
+    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(20)) + f" {hot} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(25)) for _ in range(n)]
+    w = texts[-1].split()
+    return " ".join([*w[:-1], "altered"]), texts
+
+
+def one_key(monkeypatch):
+    """Lets every paragraph have the same keys, as a frequent shingle does."""
+    real = passages._key_pass
+
+    def keys(batches, k, least, bands, buckets):
+        for batch in real(batches, k, least, bands, 1):
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            flat = [np.frombuffer(x, np.uint32) & np.uint32(3) for x in cols["keys"].to_pylist()]
+            cols["keys"] = pa.array([x.tobytes() for x in flat], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    monkeypatch.setattr(passages, "_key_pass", keys)
+
+
+@pytest.mark.parametrize("kw", [{}, {"tile_rows": 7, "parcel_rows": 20}])
+def test_all_contents_of_a_key_are_compared(spark, monkeypatch, kw):
+    one_key(monkeypatch)
+    twins = [under_one_key(40, seed) for seed in range(4)]
+    rows = [(100 * s + i, t) for s, (_, texts) in enumerate(twins) for i, t in enumerate(texts)] + [(1000 + s, t) for s, (t, _) in enumerate(twins)]
+    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50, **kw).collect()}
+    assert got == {(d, 100 * s + 39) for s in range(4) for d in (100 * s + 39, 1000 + s)}
+
+
 def test_cross_entropy_against_counts(spark):
     rng = random.Random(6)
     vocab = [f"t{i}" for i in range(60)]
