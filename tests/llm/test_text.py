@@ -164,6 +164,36 @@ def test_near_passages_are_verified(spark):
     assert (2, True) in got and not any(d == 3 for d, _ in got)
 
 
+@pytest.mark.parametrize("kind", ["lower", "stops", "one word", "few words", "greek"])
+def test_every_run_of_51_words_has_a_paragraph(kind):
+    rng = random.Random(11)
+    word = {"lower": lambda: f"v{rng.randrange(10**6)}", "stops": lambda: f"v{rng.randrange(10**6)}" + "." * (rng.random() < 0.1), "one word": lambda: "same", "few words": lambda: rng.choice("abc"), "greek": lambda: chr(945 + rng.randrange(24)) * rng.randrange(1, 5)}[kind]
+    for _ in range(60):
+        shared = [word() for _ in range(51)]
+        found, texts, places = [], [], []
+        for n, m in ((rng.randrange(60), rng.randrange(60)), (rng.randrange(60), rng.randrange(60))):
+            places.append(n)
+            texts.append(" ".join([*(word() for _ in range(n)), *shared, *(word() for _ in range(m))]))
+        _, at, row, first, end = passages.paragraphs(*common.string_buffers(pa.array(texts)), 32)
+        for i in range(2):
+            mine = row == i
+            found.append({(a, b) for a, b in zip(first[mine] - at[i] - places[i], end[mine] - at[i] - places[i], strict=True) if a >= 0 and b <= 51})
+            assert ((end - first)[mine] >= 32).all() and ((end - first)[mine] <= 51).all()
+        assert found[0] & found[1]
+
+
+def test_passages_without_sentences(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    passage = own(51)
+    rows = [(1, f"{own(40)} {passage} {own(35)}"), (2, f"{own(33)} {passage} {own(50)}"), (3, own(120)), (4, own(60)), (5, "ha " * 51), (6, own(20) + " ha" * 60)]
+    rows.append((7, rows[3][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    assert {(r["doc_id"], r["keeper_id"], r["removed"]) for r in found.collect()} == {(1, 1, False), (2, 1, True), (4, 4, False), (7, 4, True), (5, 5, False), (6, 5, True)}
+    assert {r["doc_id"]: r["text"] for r in passages.without_passages(df, found).collect()}[7] == ""
+
+
 def under_one_key(n, seed=5, least=32):
     """(twin, n unlike texts) that all share their frequent shingle, which is the minimum of every band,
     each with words of its own; the twin resembles the last one."""
