@@ -227,6 +227,14 @@ def test_all_contents_of_a_key_are_compared(spark, monkeypatch, kw):
     assert got == {(d, 100 * s + 39) for s in range(4) for d in (100 * s + 39, 1000 + s)}
 
 
+def test_versions_that_are_copied_themselves_are_linked(spark, monkeypatch):
+    one_key(monkeypatch)
+    twin, texts = under_one_key(6)
+    rows = [*enumerate(texts), (10, texts[-1]), (11, twin), (12, twin)]
+    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()}
+    assert got == {(5, 5), (10, 5), (11, 5), (12, 5)}
+
+
 def test_cross_entropy_against_counts(spark):
     rng = random.Random(6)
     vocab = [f"t{i}" for i in range(60)]
