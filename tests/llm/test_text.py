@@ -235,6 +235,16 @@ def test_versions_that_are_copied_themselves_are_linked(spark, monkeypatch):
     assert got == {(5, 5), (10, 5), (11, 5), (12, 5)}
 
 
+def test_long_document_under_one_key(spark, monkeypatch):
+    one_key(monkeypatch)
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"y{rng.randrange(10**6)}" for _ in range(n))
+    twin, texts = under_one_key(1)
+    rows = [(1, f"{own(200)} {texts[0]} {own(200)}"), (2, twin), (3, own(300))]
+    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()}
+    assert got == {(1, 1), (2, 1)}
+
+
 def test_cross_entropy_against_counts(spark):
     rng = random.Random(6)
     vocab = [f"t{i}" for i in range(60)]
