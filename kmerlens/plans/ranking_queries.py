@@ -202,8 +202,8 @@ def cluster_cases(spark, sf):
     by = ["region", "chrom"]
     c = fx.counts(spark, sf).where("region <> 'background'").withColumn("hap", F.col("hap").cast("string"))
     haps = fx.den(spark, sf).where("region <> 'background' and valid_starts > 0").select(*by, F.col("hap").cast("string").alias("hap"), "valid_starts")
-    chosen = cluster.variable_features(c.where("hap <> '0'"), haps.where("hap <> '0'"), by, presence=0.01, most=200).select(*by, "code", "rank")
+    chosen = cluster.variable_features(c.where("hap <> '0'"), haps.where("hap <> '0'"), by, presence=0.01).select(*by, "code", "rank")
     grid = haps.join(chosen, by)
     x = F.log1p(F.coalesce("n", F.lit(0)) / F.col("valid_starts") * 1e6)
     rows = grid.join(c.select(*by, "hap", "code", "n"), [*by, "hap", "code"], "left").groupBy(*by, "hap").agg(F.sort_array(F.collect_list(F.struct("rank", x.alias("x")))).alias("f"))
-    return cluster.cluster_cases(rows.select(*by, "hap", F.col("f.x").alias("features")), by, reference="0", least_haps=50, reps=5)
+    return cluster.cluster_cases(rows.select(*by, "hap", F.col("f.x").alias("features")), by, reference="0", least_haps=50)

@@ -143,3 +143,27 @@ def test_histogram_and_bins(spark):
     hits = spark.createDataFrame([("a", 5, "+"), ("a", 35, "-")], "kmer string, start long, strand string")
     filled = landscape.gap_filled(landscape.bins(hits, 10, ["kmer"]), 10, ["kmer"])
     assert sorted((r["bin_start"], r["n"]) for r in filled.collect()) == [(0, 1), (10, 0), (20, 0), (30, 1)]
+
+
+def test_cluster_query_uses_all_of_its_operator(spark, monkeypatch):
+    import inspect
+
+    from kmerlens.plans import ranking_queries
+
+    seen = {}
+
+    def spy(name):
+        real = getattr(cluster, name)
+
+        def call(*a, **kw):
+            bound = inspect.signature(real).bind(*a, **kw)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            return real(*a, **kw)
+
+        monkeypatch.setattr(cluster, name, call)
+
+    spy("variable_features")
+    spy("cluster_cases")
+    ranking_queries.cluster_cases(spark, "/root/testdata/sf0.001")
+    assert seen["most"] == 3000 and seen["reps"] == 20
