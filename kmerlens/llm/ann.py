@@ -114,7 +114,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int):
-    """Exact top k among the rerank best of approx, for each query; rows come in order of id."""
+    """Exact top k among the rerank best of approx and all rows that equal the last of them, for each
+    query; rows come in order of id and are reranked in pieces."""
     out = []
     vecs = vecs / np.abs(vecs).max(1, keepdims=True)
     lens = np.sqrt((vecs * vecs).sum(1))
@@ -122,14 +123,13 @@ def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int):
         a = approx[i]
         if len(a) > rerank + 1:
             cut = np.partition(a, len(a) - rerank - 1)[len(a) - rerank - 1]
-            above = np.flatnonzero(a > cut)
-            near = np.concatenate([above, np.flatnonzero(a == cut)[: rerank + 1 - len(above)]])
-            near.sort()
+            near = np.flatnonzero(a >= cut)
         else:
             near = np.arange(len(a))
         near = near[ids[near] != qid]
         q = q_vecs[i] / np.abs(q_vecs[i]).max()
-        score = (vecs[near] * q).sum(1) / (lens[near] * np.sqrt((q * q).sum()))
+        pieces = (near[at : at + 1024] for at in range(0, max(1, len(near)), 1024))
+        score = np.concatenate([(vecs[p] * q).sum(1) / (lens[p] * np.sqrt((q * q).sum())) for p in pieces])
         top = np.lexsort((ids[near], -score))[:k]
         out.extend((qid, int(ids[near[t]]), float(score[t])) for t in top)
     return out
