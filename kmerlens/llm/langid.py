@@ -50,9 +50,9 @@ class LanguageModel:
             return np.zeros((0, len(self.langs)), np.float32), to
         return np.add.reduceat(self.logp[gram], first, axis=0), to
 
-    def mixtures(self, ll: np.ndarray, to: np.ndarray, rounds: int = 6, refits: int = 3, most: int = 4) -> np.ndarray:
+    def mixtures(self, ll: np.ndarray, to: np.ndarray, rounds: int = 6, refits: int = 3) -> np.ndarray:
         """Shares of the languages in each row. EM fits all languages; then the sets of the 1, 2, ...
-        (up to ``most``) largest are refitted, and the set of the best likelihood less half a
+        largest, up to all, are refitted, and the set of the best likelihood less half a
         logarithm of the number of words per further language (BIC) is kept. Rows without words
         have shares of 0."""
         n, count = len(self.langs), np.diff(to)
@@ -75,7 +75,7 @@ class LanguageModel:
         full = fit(np.full((len(rows), n), 1.0 / n, np.float32), rounds)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
         best, shares = np.full(len(rows), -np.inf), full
-        for size in range(1, min(most, n) + 1):
+        for size in range(1, n + 1):
             pi = np.where(rank < size, np.maximum(full, 1e-6), 0).astype(np.float32)
             pi /= pi.sum(1, keepdims=True)
             pi = pi if size == 1 else fit(pi, refits)

@@ -140,3 +140,21 @@ def test_search(spark):
     few = ann.search(v.where("id < 4"), v.where("id = 0"), list_rows=1, probe=0.3)
     assert few.count() == 3
     assert ann.search(v.limit(0), v.limit(0)).isEmpty()
+
+
+def test_all_rows_of_one_code_are_reranked():
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(1, 16))
+    far = np.linspace(1.0, 0.01, 3000)[:, None]
+    vecs = q + far * rng.normal(size=(3000, 16))
+    got = ann._nearest([-1], q, np.arange(3000), vecs, np.ones((1, 3000), np.float32), 5, 100)
+    score = (vecs @ q[0]) / np.sqrt((vecs**2).sum(1) * (q**2).sum())
+    assert [g[1] for g in got] == np.lexsort((np.arange(3000), -score))[:5].tolist()
+
+
+def test_mixture_of_more_than_four_languages():
+    model = langid.LanguageModel([f"l{i}" for i in range(7)], np.ones((7, 1 << langid.GRAM_BITS), np.int64))
+    own = np.repeat(np.arange(6), 100)
+    ll = np.where(own[:, None] == np.arange(7), -5.0, -40.0).astype(np.float32)
+    shares = model.mixtures(ll, np.array([0, 600]))[0]
+    assert np.flatnonzero(shares > 0.01).tolist() == list(range(6)) and shares[:6] == pytest.approx(1 / 6, abs=0.01)
