@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import bounded_batches, staged
 
 CODES = 16
 
@@ -148,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100
     candidates are all returned, and a query whose lists hold fewer than k is asked on all lists.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
+    bounded_batches(spark)
     sizes = vectors.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:

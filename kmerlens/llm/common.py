@@ -24,10 +24,13 @@ SEGMENT_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: ``spark.checkpoint.dir``, or where that is unset
-    (tests, local runs) a temporary folder that is set there."""
+    """The folder that every executor shares: ``spark.checkpoint.dir``, or where that is unset and
+    the master is local (tests) a temporary folder that is set there. Executors on other machines
+    would not see such a folder, so elsewhere an unset one is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stages-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,9 +64,12 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows: texts may be long and Python workers have little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Arrow batches of bounded bytes: texts may be long and Python workers have little memory. All
+    operators ask for the same bound, and one that the caller has set stays."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+    if spark.conf.get(name) in (str(default), f"{default}b", "64m", "64MB"):
+        spark.conf.set(name, f"{size}b")
 
 
 def parts(spark: SparkSession) -> int:
@@ -82,11 +88,9 @@ _rng = np.random.Generator(np.random.PCG64(20240601))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_BASE = U64(0x9E3779B97F4A7C15)
 _POS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers = np.cumprod(np.concatenate([[U64(1)], np.full(255, _BASE)]), dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,11 +103,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _BASE)])
-    return _powers
+_places = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
+def _place_keys(n: int) -> np.ndarray:
+    """Keys of the places 0 to n - 1 of a word. Each is a mix of its number, not a power of a base:
+    with powers, words made for it (Thue-Morse words) collide modulo 2^64 whatever the base is."""
+    global _places
+    if len(_places) < n:
+        _places = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+    return _places
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +170,7 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True, prefix: i
         first = np.searchsorted(where, starts)
         lens = np.diff(np.append(first, len(where)))
         place = np.arange(len(where)) - np.repeat(first, lens)
-        values = table[part[where]] * _power(int(lens.max()))[place]
+        values = table[part[where]] * _place_keys(int(lens.max()))[place]
         whole = mix64(np.add.reduceat(values, first) + lens.astype(np.uint64))
         if prefix:
             values[place >= prefix] = 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, shingles, small_batches, string_buffers, word_hashes
+from .common import U64, bounded_batches, mix64, shingles, string_buffers, word_hashes
 
 #: Terms whose samples are drawn in one step; temporaries are 4 bytes a sample and term.
 STEP = 1024
@@ -120,7 +120,7 @@ def _print(sig: np.ndarray, bits: int) -> list[str]:
 def fingerprints(docs: DataFrame, k: int = 5, samples: int = 64, bits: int = 16) -> DataFrame:
     """(doc_id, fingerprint) of every row of docs (doc_id, text), without any shuffle. Null text is
     empty; texts without words share one fingerprint; equal texts have equal ones."""
-    small_batches(docs.sparkSession, 64)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -178,7 +178,7 @@ def against_edits(docs: DataFrame, k: int = 5, samples: int = 64, bits: int = 16
     compared as they stream by in order. A single row follows itself; null text is empty.
     """
     spark = docs.sparkSession
-    small_batches(spark, 64)
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     n = docs.select("doc_id").count()

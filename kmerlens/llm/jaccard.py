@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, components, local_forest, mix64, shingles, small_batches, staged, string_buffers, tasks_for, word_hashes
+from .common import U64, bounded_batches, components, local_forest, mix64, shingles, staged, string_buffers, tasks_for, word_hashes
 
 #: Hashes below this come first in the order of shingles.
 HALF = U64(1 << 63)
@@ -297,7 +297,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     give no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    bounded_batches(spark)
     tasks = tasks_for(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0

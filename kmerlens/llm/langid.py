@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, staged, string_buffers
+from .common import bounded_batches, held_out, staged, string_buffers
 
 GRAM_BITS = 16
 _LETTER = np.zeros(256, np.uint8)
@@ -124,7 +124,7 @@ def detect(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     row where nothing could be learned. Repeated rows give equal results; no rows give no rows.
     Memory follows the longest text (about 200 bytes a word), not the number of rows.
     """
-    small_batches(docs.sparkSession, 128)
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, lang_pred string, score double, mixture map<string,double>"
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 

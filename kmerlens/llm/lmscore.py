@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, small_batches, staged, string_buffers, word_hashes
+from .common import U64, bounded_batches, mix64, staged, string_buffers, word_hashes
 from .jaccard import _joined, _runs
 
 UNKNOWN, BOUND = 0, 1
@@ -179,7 +179,7 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: int = 1 << 16, mass: f
     if not 2 < vocabulary <= 1 << 16:
         raise ValueError("vocabulary must have 3 to 65,536 ids")
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    bounded_batches(spark)
     wanted = target.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct().withColumn("in_target", F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the flag meets doc_ids alone; texts are then read by scans that need no shuffle where it is small

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, held_out, small_batches, staged, string_buffers, word_hashes
+from .common import U64, bounded_batches, held_out, staged, string_buffers, word_hashes
 
 BUCKET_BITS = 20
 PREFIX_BYTES = 6
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, dims: int = 8
     only as the label of the words' language. None if either label is missing.
     """
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    bounded_batches(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     pick = known.withColumn("place", F.xxhash64("doc_id"))
     pick = staged(pick.where("label = 1").orderBy("place", "doc_id").limit(per_class).unionByName(pick.where("label = 0").orderBy("place", "doc_id").limit(per_class)), "chosen")
@@ -269,7 +269,7 @@ def classify(docs: DataFrame, model: Classifier | None, keep: tuple[str, ...] =
     ``keep``. Null text counts as empty and gets the score of a text without words; without a model
     every score is 0. Repeated rows have equal scores. Memory follows the longest text."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    bounded_batches(spark)
     broadcast = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text, sent = rows.columns.index("text"), [c for c in rows.columns if keep or c != "text"]

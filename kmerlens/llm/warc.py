@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, staged
+from .common import bounded_batches, shared_dir, staged
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -155,7 +155,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """All records of the archives under path, one row each (RECORD_SCHEMA). Without ``payloads``
     blocks are dropped after their digests are taken, before anything is shuffled. Blocks are
     cut by Content-Length alone, so payloads may hold blank lines or text like a record's start."""
-    small_batches(spark, 2000)
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
     return lines.mapInArrow(lambda b: _parse(b, payloads), RECORD_SCHEMA)
 

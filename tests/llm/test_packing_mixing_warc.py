@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,10 +18,31 @@ from kmerlens.llm import common, mixing, packing, warc
 HF = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
+def ids_of(texts):
+    raw, offs = common.string_buffers(pa.array(texts, pa.large_string()))
+    enc = packing.encoder("byte_bpe_50k.json")
+    return [enc.encode(t, plain).tolist() for t, plain in zip(texts, packing.without_long_runs(raw, offs), strict=True)]
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=60), st.sampled_from(["<|endoftext|>", " <|endoftext|> ", "<|endof", "  \n\u00a0", "don't  "])), max_size=5).map("".join))
 def test_ids_are_those_of_the_vocabulary(text):
-    assert packing.encoder("byte_bpe_50k.json").encode_ordinary(text) == HF.encode(text, add_special_tokens=False).ids
+    assert ids_of([text]) == [HF.encode(text, add_special_tokens=False).ids]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "a", "a" * 2_000_000, " \u00a0\n\u3000\t" * 250_000 + "b", "x" + " " * 1001 + "y", "\u00e9" * 1200 + " <|endoftext|>" * 3, "\u3042" * 5000])
+def test_ids_of_long_runs(text):
+    texts = ["", text, "plain words", ""]
+    assert ids_of(texts) == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_odd_rows(spark):
+    rows = [(1, " " * 300_000 + "end", 5), (2, "a<|endoftext|>b", 6), (None, "c", 7), (2, "a<|endoftext|>b", 6)]
+    got = packing.tokenize(spark.createDataFrame(rows, "doc_id long, text string, length int"), with_ids=True).collect()
+    assert len({(r["doc_id"], r["piece"]) for r in got if r["doc_id"] == 2}) == 1 and sum(r["doc_id"] == 2 for r in got) == 2
+    assert next(r["ids"] for r in got if r["doc_id"] == 2) == [64, 50256, 65, 2]
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(HF.encode(rows[0][1], add_special_tokens=False).ids) + 1
+    assert [r["ids"] for r in got if r["doc_id"] is None] == [[66, 2]]
 
 
 def test_best_fit_by_hand():

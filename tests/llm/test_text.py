@@ -39,6 +39,14 @@ def test_word_hashes_follow_the_pattern(texts):
     assert len(set(names.values())) == len(names)
 
 
+def test_words_made_to_collide_are_told_apart():
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    h, _ = common.word_hashes(*common.string_buffers(pa.array([a, b])))
+    assert h[0] != h[1]
+
+
 def test_segments_change_nothing(monkeypatch):
     texts = pa.array(["alpha beta  gamma" * 9, "", "x" * 100, None, " y z "])
     raw, offs = common.string_buffers(texts)
