@@ -64,6 +64,18 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """left joined to right, which has one row for each of its keys. A key that more than one in
+    ``most`` rows of left has (so ``most`` keys at most) meets its row by broadcast, where the rows
+    of left lie; only the others are shuffled."""
+    left, right = (x if hasattr(x, "_stage_path") else staged(x, "side") for x in (left, right))
+    n = left.count()
+    heavy = staged(left.groupBy(key).count().where(F.col("count") > n / most).select(key), "heavy", 1)
+    heavy = F.broadcast(heavy)
+    some = left.join(heavy, key).join(F.broadcast(right.join(heavy, key)), key)
+    return left.join(heavy, key, "left_anti").join(right, key).unionByName(some)
+
+
 def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Arrow batches of bounded bytes: texts may be long and Python workers have little memory. All
     operators ask for the same bound, and one that the caller has set stays."""

@@ -143,10 +143,11 @@ def test_passages(spark):
     planted = [(i, f"{a} and so {passage} but not {b}") for i, (a, b) in own.items()]
     others = [(200, None), (201, ""), (202, "short text"), (203, passage + " " + passage), (204, clean[0][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in clean + planted + others], "doc_id long, text string, start string")
-    found = passages.repeated_passages(df, bucket_keys=64)
+    found = passages.repeated_passages(df, bucket_rows=64)
     rows = found.collect()
     assert {r["doc_id"] for r in rows} == {*range(100, 106), 203, 0, 204}
-    assert {r["doc_id"] for r in rows if not r["removed"]} == {100, 0}
+    # of classes of paragraphs that reach over the passage's end, another document may be the keeper
+    assert {r["doc_id"] for r in rows} - {r["doc_id"] for r in rows if r["removed"]} == {100, 0}
     left = {r["doc_id"]: r["text"] for r in passages.without_passages(df, found).collect()}
     assert len(left) == len(clean + planted + others)
     assert all(left[i] == t for i, t in [*clean, *others[:3]]) and left[100] == dict(planted)[100]
@@ -172,17 +173,29 @@ def test_near_passages_are_verified(spark):
     assert (2, True) in got and not any(d == 3 for d, _ in got)
 
 
-@pytest.mark.parametrize("kind", ["lower", "stops", "one word", "few words", "greek"])
-def test_every_run_of_51_words_has_a_paragraph(kind):
+def parts(texts, cut=passages.windows):
+    words_, at = common.word_hashes(*common.string_buffers(pa.array(texts)))
+    return at, cut(words_, at, 32)
+
+
+KINDS = ["lower", "stops", "one word", "few words", "greek"]
+
+
+def word_of(kind, rng):
+    return {"lower": lambda: f"v{rng.randrange(10**6)}", "stops": lambda: f"v{rng.randrange(10**6)}" + "." * (rng.random() < 0.1), "one word": lambda: "same", "few words": lambda: rng.choice("abc"), "greek": lambda: chr(945 + rng.randrange(24)) * rng.randrange(1, 5)}[kind]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_run_of_51_words_has_a_window(kind):
     rng = random.Random(11)
-    word = {"lower": lambda: f"v{rng.randrange(10**6)}", "stops": lambda: f"v{rng.randrange(10**6)}" + "." * (rng.random() < 0.1), "one word": lambda: "same", "few words": lambda: rng.choice("abc"), "greek": lambda: chr(945 + rng.randrange(24)) * rng.randrange(1, 5)}[kind]
+    word = word_of(kind, rng)
     for _ in range(60):
         shared = [word() for _ in range(51)]
         found, texts, places = [], [], []
         for n, m in ((rng.randrange(60), rng.randrange(60)), (rng.randrange(60), rng.randrange(60))):
             places.append(n)
             texts.append(" ".join([*(word() for _ in range(n)), *shared, *(word() for _ in range(m))]))
-        _, at, row, first, end = passages.paragraphs(*common.string_buffers(pa.array(texts)), 32)
+        at, (row, first, end) = parts(texts)
         for i in range(2):
             mine = row == i
             found.append({(a, b) for a, b in zip(first[mine] - at[i] - places[i], end[mine] - at[i] - places[i], strict=True) if a >= 0 and b <= 51})
@@ -190,6 +203,25 @@ def test_every_run_of_51_words_has_a_paragraph(kind):
         assert found[0] & found[1]
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_paragraphs_cover_texts(kind):
+    rng = random.Random(13)
+    word = word_of(kind, rng)
+    sizes = [0, 1, 31, 32, 33, 64, 700, 5000]
+    at, (row, first, end) = parts([" ".join(word() for _ in range(n)) for n in sizes], passages.paragraphs)
+    for i, n in enumerate(sizes):
+        mine = np.flatnonzero(row == i)
+        assert (first[mine] - at[i]).tolist() + [n] == [0, *(end[mine] - at[i]).tolist()] if n >= 32 else not len(mine)
+    assert (end - first >= 32).all() and (end - first < 288).all()
+
+
+def test_bands_are_tuned():
+    for recall, hashes in ((0.96, 20), (0.9, 64), (0.99, 8)):
+        bands, rows = passages.tune(0.75, recall, hashes)
+        assert bands * rows <= hashes and 1 - (1 - 0.75**rows) ** bands >= recall
+        assert 1 - (1 - 0.75 ** (rows + 1)) ** (hashes // (rows + 1)) < recall
+
+
 def test_passages_without_sentences(spark):
     rng = random.Random(12)
     own = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
@@ -202,55 +234,112 @@ def test_passages_without_sentences(spark):
     assert {r["doc_id"]: r["text"] for r in passages.without_passages(df, found).collect()}[7] == ""
 
 
-def under_one_key(n, seed=5, least=32):
-    """(twin, n unlike texts) that all share their frequent shingle, which is the minimum of every band,
-    each with words of its own; the twin resembles the last one."""
+def edited(w, rng, n):
+    w = list(w)
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return w
+
+
+def boilerplate_corpus(seed=21):
+    """150 pairs of near copies; lines of 12 words, in turn own and of one boilerplate for all."""
     rng = random.Random(seed)
-    hot = "alpha beta gamma delta epsilon"
-    texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(20)) + f" {hot} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(25)) for _ in range(n)]
-    w = texts[-1].split()
-    return " ".join([*w[:-1], "altered"]), texts
-
-
-def one_key(monkeypatch):
-    """Lets every paragraph have the same keys, as a frequent shingle does."""
-    real = passages._key_pass
-
-    def keys(batches, k, least, bands, buckets):
-        for batch in real(batches, k, least, bands, 1):
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            flat = [np.frombuffer(x, np.uint32) & np.uint32(3) for x in cols["keys"].to_pylist()]
-            cols["keys"] = pa.array([x.tobytes() for x in flat], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    monkeypatch.setattr(passages, "_key_pass", keys)
-
-
-@pytest.mark.parametrize("kw", [{}, {"tile_rows": 7, "parcel_rows": 20}])
-def test_all_contents_of_a_key_are_compared(spark, monkeypatch, kw):
-    one_key(monkeypatch)
-    twins = [under_one_key(40, seed) for seed in range(4)]
-    rows = [(100 * s + i, t) for s, (_, texts) in enumerate(twins) for i, t in enumerate(texts)] + [(1000 + s, t) for s, (t, _) in enumerate(twins)]
-    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50, **kw).collect()}
-    assert got == {(d, 100 * s + 39) for s in range(4) for d in (100 * s + 39, 1000 + s)}
-
-
-def test_versions_that_are_copied_themselves_are_linked(spark, monkeypatch):
-    one_key(monkeypatch)
-    twin, texts = under_one_key(6)
-    rows = [*enumerate(texts), (10, texts[-1]), (11, twin), (12, twin)]
-    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()}
-    assert got == {(5, 5), (10, 5), (11, 5), (12, 5)}
-
-
-def test_long_document_under_one_key(spark, monkeypatch):
-    one_key(monkeypatch)
-    rng = random.Random(8)
-    own = lambda n: " ".join(f"y{rng.randrange(10**6)}" for _ in range(n))
-    twin, texts = under_one_key(1)
-    rows = [(1, f"{own(200)} {texts[0]} {own(200)}"), (2, twin), (3, own(300))]
-    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), least=50).collect()}
-    assert got == {(1, 1), (2, 1)}
+    lines = [[f"b{i}_{j}" for j in range(14)] for i in range(4)]
+    rows = []
+    for i in range(150):
+        w = [x for line in lines for x in [*line, *(f"o{rng.randrange(10**6)}" for _ in range(8))]]
+        rows += [(2 * i, w), (2 * i + 1, edited(w, rng, rng.randrange(4)))]
+    return [(d, " ".join(w)) for d, w in rows]
+
+
+def brute_force_classes(rows):
+    """(pairs of paragraphs (doc, doc) that are alike or hold an equal window, all of them alike)."""
+    texts = [t for _, t in rows]
+    alike = set()
+    for cut in (passages.windows, passages.paragraphs):
+        at, (row, first, end) = parts(texts, cut)
+        sets = [(int(r), shingle_set(" ".join(texts[r].split()[a - at[r] : b - at[r]]))) for r, a, b in zip(row, first, end, strict=True)]
+        for i, (x, s) in enumerate(sets):
+            for y, z in sets[:i]:
+                if x != y and (s == z if cut is passages.windows else 4 * len(s & z) >= 3 * len(s | z)):
+                    alike.add((rows[x][0], rows[y][0]))
+    return alike
+
+
+@pytest.mark.parametrize("kw", [{}, {"tile_rows": 5, "parcel_rows": 20, "bucket_rows": 64}])
+def test_near_passages_against_all_pairs(spark, kw):
+    rows = boilerplate_corpus()
+    alike = brute_force_classes(rows)
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect():
+        got.setdefault(r["doc_id"], set()).add(r["keeper_id"])
+    hit = sum(bool(got.get(a, set()) & got.get(b, set())) for a, b in alike)
+    assert len(alike) > 100 and hit >= 0.95 * len(alike)
+    assert set(got) <= {d for pair in alike for d in pair}
+
+
+def under_one_key(monkeypatch):
+    """Lets all paragraphs have the same keys, as a frequent line does."""
+    real = passages._key_blobs
+
+    def blobs(bands, buckets, frequent):
+        def run(batches):
+            for batch in batches:
+                key = [pa.array(np.full(batch.num_rows, 7 + i)) for i in range(bands)]
+                yield from real(bands, buckets, frequent)(iter([pa.RecordBatch.from_arrays([batch.column(0), *key], names=batch.schema.names)]))
+
+        return run
+
+    monkeypatch.setattr(passages, "_key_blobs", blobs)
+
+
+@pytest.mark.parametrize("kw", [{}, {"tile_rows": 16, "parcel_rows": 20}])
+def test_all_paragraphs_of_a_key_are_compared(spark, monkeypatch, kw):
+    under_one_key(monkeypatch)
+    rng = random.Random(5)
+    base = [[f"q{rng.randrange(10**6)}" for _ in range(45)] for _ in range(80)]
+    rows = [*enumerate(map(" ".join, base)), *((1000 + i, " ".join([*base[i][:-2], "a", "b"])) for i in range(0, 80, 4))]
+    # copies of an edited version are linked to the first version as well
+    rows += [(2000, rows[-1][1]), (2001, rows[-1][1])]
+    got = {(r["doc_id"], r["keeper_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect() if r["removed"]}
+    want = {(1000 + i, i) for i in range(0, 80, 4)} | {(2000, 76), (2001, 76)}
+    # windows that hold the edit are in the edited version and its copies alone
+    assert want <= got <= want | {(2000, 1076), (2001, 1076)}
+
+
+def test_frequent_passages_take_their_own_way(spark, monkeypatch):
+    real = passages._frequent
+    monkeypatch.setattr(passages, "_frequent", lambda docs, k, least, bands: real(docs, k, least, bands, 1))
+    rng = random.Random(15)
+    own = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    line, base = own(60), own(70)
+    rows = [(i, " ".join([*own(40), *line, *own(40)])) for i in range(30)]
+    rows += [(100 + i, " ".join(edited(base, rng, 1))) for i in range(60)] + [(200, " ".join(own(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.undo()
+    plain = passages.repeated_passages(df)
+    monkeypatch.setattr(passages, "_frequent", lambda docs, k, least, bands: real(docs, k, least, bands, 1))
+    found = passages.repeated_passages(df)
+    key = lambda f: sorted((r["doc_id"], r["start"], r["end"], r["keeper_id"], r["removed"]) for r in f.collect())
+    assert key(found) == key(plain)
+    lost = {(d, k) for d, _, _, k, removed in key(found) if removed}
+    assert {(i, 0) for i in range(1, 30)} | {(100 + i, 100) for i in range(1, 60)} <= lost and not {0, 100, 200} & {d for d, _ in lost}
+
+
+def test_passages_of_odd_rows(spark):
+    rng = random.Random(16)
+    own = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    text = own(60)
+    rows = [(None, text, 1, [3], "k"), (5, text, 2, None, None), (5, text, 2, None, None), (6, None, 3, None, "x"), (7, "", 4, None, "x"), (8, own(20000) + " " + text, 5, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, spans array<int>, row string")
+    found = passages.repeated_passages(df)
+    assert {(r["doc_id"], r["keeper_id"], r["removed"]) for r in found.collect()} == {(None, None, False), (5, None, True), (8, None, True)}
+    left = sorted(map(tuple, passages.without_passages(df, found).collect()), key=str)
+    long = next(r[1] for r in left if r[0] == 8)
+    assert rows[5][1].startswith(long) and 20000 <= len(long.split()) <= 20010
+    want = [(None, text, 1, [3], "k"), (5, "", 2, None, None), (5, "", 2, None, None), rows[3], rows[4], (8, long, 5, None, "x")]
+    assert left == sorted(want, key=str)
+    assert passages.without_passages(df.limit(0), found).isEmpty()
 
 
 def test_cross_entropy_against_counts(spark):
