@@ -342,29 +342,60 @@ def test_passages_of_odd_rows(spark):
     assert passages.without_passages(df.limit(0), found).isEmpty()
 
 
-def test_cross_entropy_against_counts(spark):
-    rng = random.Random(6)
+def lm_corpus(seed=6):
+    rng = random.Random(seed)
     vocab = [f"t{i}" for i in range(60)]
-    docs = [(i, " ".join(rng.choices(vocab, range(60, 0, -1), k=rng.randrange(0, 50)))) for i in range(60)] + [(90, None), (91, "  ")]
-    target, v = set(range(0, 60, 3)), 22
-    df = spark.createDataFrame([(d, t, 0.5) for d, t in docs], "doc_id long, text string, score double")
-    got = {r["doc_id"]: r for r in lmscore.score(df, spark.createDataFrame([(t,) for t in target], "doc_id long"), vocabulary=v, bucket_rows=8).collect()}
-    tokens = {d: words(t) for d, t in docs}
-    count = Counter(w for t in tokens.values() for w in t)
-    h, _ = common.word_hashes(*common.string_buffers(pa.array(list(count))))
-    rank = dict(zip(count, h.view(np.int64).tolist(), strict=True))
-    keep = set(sorted(count, key=lambda w: (-count[w], rank[w]))[: v - 2])
-    line = {d: ["<b>", *(w if w in keep else "<u>" for w in t), "<b>"] for d, t in tokens.items()}
-    for name, ids in (("ce_target", target), ("ce_background", set(tokens))):
-        uni, bi = Counter(), Counter()
-        for d in ids:
-            uni.update(line[d][1:])
-            bi.update(zip(line[d], line[d][1:], strict=False))
-        total = sum(uni.values())
-        for d, s in line.items():
-            want = sum(-math.log((bi[a, b] + 50 * (uni[b] + 1) / (total + v)) / (uni[a] + 50)) for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1)
-            assert got[d][name] == pytest.approx(want, rel=1e-5) and got[d]["n_tokens"] == len(s) - 1
-    empty = lmscore.score(df.limit(0), df.select("doc_id").limit(0))
-    assert empty.isEmpty()
-    lone = lmscore.score(df, df.select("doc_id").limit(0)).where(F.col("doc_id") == 3).first()
-    assert lone["ce_target"] > 0
+    docs = [(i, " ".join(rng.choices(vocab, range(60, 0, -1), k=rng.randrange(0, 50)))) for i in range(60)]
+    return [*docs, (90, None), (91, "  "), (92, "w " * 70000), (None, docs[7][1]), (docs[5][0], docs[5][1])], vocab
+
+
+@pytest.mark.parametrize("kw", [{}, {"bucket_rows": 8}, {"one_in": 1}, {"one_in": 2, "frequent": 20, "bucket_rows": 8}])
+def test_cross_entropy_against_counts(spark, kw):
+    docs, _ = lm_corpus()
+    target, v = set(range(0, 60, 3)), 62.0
+    df = spark.createDataFrame([(d, t, 0.5, "x") for d, t in docs], "doc_id long, text string, score double, n_tokens string")
+    got = lmscore.score(df, spark.createDataFrame([(t,) for t in target], "doc_id long"), types=v, **kw).collect()
+    lines = [(d, ["<b>", *words(t), "<b>"]) for d, t in docs]
+    want = []
+    for i, (d, s) in enumerate(lines):
+        row = [d, len(s) - 1]
+        for own in (lambda x: x in target, lambda x: True):
+            uni, bi = Counter(), Counter()
+            for j, (other, line) in enumerate(lines):
+                if j != i and own(other):
+                    uni.update(line[1:])
+                    bi.update(zip(line, line[1:], strict=False))
+            n = sum(uni.values())
+            p = [(uni[b] + 1) / (n + v) * (bi[a, b] + 50 / v) / (uni[a] + 50) for a, b in zip(s, s[1:], strict=False)]
+            row.append(sum(-math.log(x) for x in p) / 2 / len(p))
+        want.append(row)
+    key = lambda r: (r[0] is None, r[0], r[1], r[2])
+    for g, w in zip(sorted([[r["doc_id"], r["n_tokens"], r["ce_target"], r["ce_background"]] for r in got], key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9)
+    assert all(r["score"] == r["ce_target"] - r["ce_background"] for r in got)
+
+
+def test_scores_without_target_or_rows(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string")
+    assert lmscore.score(df.limit(0), df.select("doc_id").limit(0)).isEmpty()
+    lone = lmscore.score(df, df.where("doc_id = 1").select("doc_id"), types=4.0).where("doc_id = 1").first()
+    assert lone["ce_target"] == pytest.approx(math.log(4))
+
+
+def test_scores_do_not_tell_membership(spark):
+    rng = random.Random(8)
+    good, bad = ([f"{c}{i}" for i in range(300)] for c in "gb")
+    docs = [(i, " ".join(rng.choices(good if i < 200 else bad, k=60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(df, df.where("doc_id < 200 and doc_id % 2 = 0").select("doc_id")).collect()}
+    used, unused = np.mean([got[i] for i in range(0, 200, 2)]), np.mean([got[i] for i in range(1, 200, 2)])
+    assert abs(used - unused) < 0.1 and np.mean([got[i] for i in range(200, 400)]) > max(used, unused) + 1
+
+
+def test_types_are_estimated():
+    for n in (10, 3000, 200_000):
+        h = common.mix64(common.mix64(np.arange(n, dtype=np.uint64)))
+        ranks = np.zeros(lmscore.REGISTERS, np.int64)
+        zeros = 53 - np.frexp((h & np.uint64((1 << 52) - 1)).astype(float))[1]
+        np.maximum.at(ranks, (h >> np.uint64(52)).astype(np.int64), zeros)
+        assert lmscore.types_of(ranks) == pytest.approx(n, rel=0.05, abs=2)
