@@ -10,8 +10,10 @@ have only shingles of their own in that prefix and drop out, and boilerplate com
    prefixes; a set with too few there sends all its hashes.
 2. Shared hashes return to their sets as (set, hash, count); prefixes follow from them and from
    set sizes. Prefix hashes join sets of compatible sizes into candidate groups.
-3. Each candidate group is cut into tiles: size bands of ratio 1/t, and sub-blocks of bounded bytes
-   where a band is large. A tile holds a block or a pair of blocks whose sizes can match.
+3. A candidate group of bounded size is one tile. A larger one is cut into blocks that share a leader,
+   which joins groups of near copies at once. Where that leaves a group in several components, its sets
+   meet again by prefix hash, under those hashes alone whose sets are still apart: size bands of ratio
+   1/t, and sub-blocks where a band is large; a tile holds a block or a pair whose sizes can match.
 4. Inside a tile, parity bitmaps bound overlaps from above by bit counts; the pairs left are
    intersected exactly as sorted arrays, unless already joined. Tiles give spanning links only.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, components, local_forest, mix64, shingles, staged, string_buffers, tasks_for, word_hashes
+from .common import U64, bounded_batches, components, join_hot, local_forest, mix64, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
 
 #: Hashes below this come first in the order of shingles.
 HALF = U64(1 << 63)
@@ -51,15 +53,27 @@ def prefix_length(n, threshold: tuple[int, int]):
     return n - (a * n + b - 1) // b + 1
 
 
-def _runs(keys: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(keys, np.arange(n + 1))
-
-
-def _count_pass(batches, k, threshold, buckets):
+def _count_pass(batches, k, threshold, buckets, hold: int = 1 << 18):
     """Rows (doc_id, key, set_id, n, n_early) and blobs (bucket, hashes, sets, runs): the hashes of
     a bucket below its leading bits, the sets they stand in, and how many hashes each set has."""
     lead = buckets.bit_length() - 1
     names = ["doc_id", "key", "set_id", "n", "n_early", "bucket", "hashes", "sets", "runs"]
+    held: list[tuple] = []
+
+    def out():
+        f, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        b = (f >> U64(64 - lead)).astype(np.int64) if lead else np.zeros(len(f), np.int64)
+        order = np.argsort(b, kind="stable")
+        f, s, b = (f[order] << U64(lead) >> U64(32)).astype(np.uint32), s[order], b[order]
+        at = np.flatnonzero(np.append(True, b[1:] != b[:-1])).tolist()
+        rows = []
+        for x, y in zip(at, [*at[1:], len(b)], strict=True):
+            runs = np.flatnonzero(np.append(True, s[x + 1 : y] != s[x : y - 1]))
+            rows.append((int(b[x]), f[x:y].tobytes(), s[x:y][runs].tobytes(), np.diff(np.append(runs, y - x)).astype(np.uint32).tobytes()))
+        q, *blobs = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), pa.int64()),) * 5, pa.array(q, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
+
     for batch in batches:
         flat, to, sizes, ids = document_sets(batch.column(2), k)
         m = len(sizes)
@@ -70,32 +84,24 @@ def _count_pass(batches, k, threshold, buckets):
         once = np.zeros(m, bool)
         once[np.unique(ids, return_index=True)[1]] = True
         sent = once[owner] & (early | short[owner])
-        f, o = flat[sent], owner[sent]
-        b = (f >> U64(64 - lead)).astype(np.uint16) if lead else np.zeros(len(f), np.uint16)
-        order = np.argsort(b, kind="stable")
-        f, o, b = (f[order] << U64(lead) >> U64(32)).astype(np.uint32), o[order], b[order]
         docs = [batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), pa.array(n_early), *(pa.nulls(m, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
         yield pa.RecordBatch.from_arrays(docs, names=names)
-        cuts, rows = _runs(b, buckets), []
-        for q in range(buckets):
-            x, y = cuts[q], cuts[q + 1]
-            if y > x:
-                at = np.flatnonzero(np.diff(o[x:y], prepend=-1))
-                rows.append((q, f[x:y].tobytes(), ids[o[x:y][at]].tobytes(), np.diff(np.append(at, y - x)).astype(np.uint32).tobytes()))
-        if rows:
-            z = len(rows)
-            q, *blobs = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(z, pa.int64()),) * 5, pa.array(q, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
+        if sent.any():
+            held.append((flat[sent], ids[owner[sent]]))
+        if sum(len(x[0]) for x in held) > hold:
+            yield out()
+    if held:
+        yield out()
 
 
 def _joined(column, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in column]) if len(column) else np.zeros(0, dtype)
 
 
-def _cut(keys: np.ndarray, n: int, extra: int, **arrays) -> pd.DataFrame:
-    """Blobs of the arrays for each of n values of keys, which are sorted."""
-    cuts = _runs(keys, n)
-    rows = [(q, extra, *(v[cuts[q] : cuts[q + 1]].tobytes() for v in arrays.values())) for q in range(n) if cuts[q + 1] > cuts[q]]
+def _cut(keys: np.ndarray, extra: int, **arrays) -> pd.DataFrame:
+    """Blobs of the arrays for each value of keys, which are sorted."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() if len(keys) else []
+    rows = [(int(keys[lo]), extra, *(v[lo:hi].tobytes() for v in arrays.values())) for lo, hi in zip(at, [*at, len(keys)][1:], strict=True)]
     return pd.DataFrame(rows, columns=["part", "bucket", *arrays])
 
 
@@ -122,7 +128,7 @@ def _shared_hashes(groups: int):
         h, s, count = h[keep], s[keep], count[keep].astype(np.uint32)
         g = (s.view(np.uint64) % U64(groups)).astype(np.int64)
         order = np.argsort(g, kind="stable")
-        return _cut(g[order], groups, int(pdf["bucket"].iat[0]), hashes=h[order], sets=s[order], counts=count[order])
+        return _cut(g[order], int(pdf["bucket"].iat[0]), hashes=h[order], sets=s[order], counts=count[order])
 
     return run
 
@@ -149,7 +155,7 @@ def _prefixes(threshold, buckets: int):
         keep = place < prefix_length(n, threshold)[at]
         h, b, at = h[keep], b[keep], at[keep]
         order = np.argsort(b, kind="stable")
-        return _cut(b[order], buckets, 0, hashes=h[order], sets=ids[at[order]], sizes=n[at[order]])
+        return _cut(b[order], 0, hashes=h[order], sets=ids[at[order]], sizes=n[at[order]])
 
     return run
 
@@ -253,16 +259,36 @@ def _verify(k: int, threshold):
     return run
 
 
+def _blocks(tile_bytes: int, tile_rows: int) -> Column:
+    return F.greatest(F.ceil(F.sum("bytes") / tile_bytes), F.ceil(F.count("*") / tile_rows)).cast("long")
+
+
+def _group_tiles(found: DataFrame, parcels: int) -> DataFrame:
+    """(key, set_id, tile, side, parcel) of candidate sets (key, set_id, root, n_blocks, leader): small
+    groups are tiles that share parcels; a larger one is cut into blocks, all with its leader."""
+    whole = found.where("n_blocks = 1").select("key", "set_id", F.col("root").alias("tile"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(parcels)).alias("parcel"))
+    block = F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("long")
+    spots = F.when(F.col("set_id") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(block))
+    cut = found.where("n_blocks > 1").select("key", "set_id", "root", F.explode(spots).alias("spot")).select("key", "set_id", F.xxhash64("root", "spot").alias("tile"), F.lit(0).alias("side"))
+    return whole.unionByName(cut.withColumn("parcel", F.col("tile")))
+
+
+def _hash_rows(batches):
+    """(root, set_id) of the prefixes' blobs (part, hashes, sets): a row for each hash of a set."""
+    for batch in batches:
+        for part, h, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.uint32).astype(np.int64) | part << 32), pa.array(np.frombuffer(s, np.int64))], names=["root", "set_id"])
+
+
 def _tiles(found: DataFrame, threshold: tuple[int, int], tile_bytes: int, tile_rows: int) -> DataFrame:
-    """(key, set_id, tile, side, parcel) of candidate sets (key, set_id, n, bytes, root).
+    """(key, set_id, tile, side, parcel) of sets (key, set_id, n, bytes, root) that meet under hashes.
 
-    A group of bounded size is one tile, and small tiles share parcels. A larger one is cut into
-    blocks: bands of sizes of ratio 1/t and, in a band, sub-blocks by hash. Sizes that match lie in
-    the same or in neighbouring bands, so tiles are pairs of such blocks.
+    The sets of a hash are one tile if their size is bounded, and small tiles share parcels. More sets
+    are cut into blocks: bands of sizes of ratio 1/t and, in a band, sub-blocks by hash. Sizes that
+    match lie in the same or in neighbouring bands, so tiles are pairs of such blocks.
     """
-    blocks = lambda: F.greatest(F.ceil(F.sum("bytes") / tile_bytes), F.ceil(F.count("*") / tile_rows)).cast("long")
-    groups = found.groupBy("root").agg(blocks().alias("n_blocks"))
-    found = found.join(groups, "root")
+    blocks = lambda: _blocks(tile_bytes, tile_rows)
+    found = join_hot(found, found.groupBy("root").agg(blocks().alias("n_blocks")), "root")
     volume = found.agg(F.sum("bytes")).first()[0] or 0
     parcels = max(1, -(-int(volume) // tile_bytes))
     small = found.where("n_blocks = 1").select("key", "set_id", F.col("root").alias("tile"), F.lit(0).alias("side"), F.pmod(F.xxhash64("root"), F.lit(parcels)).alias("parcel"))
@@ -302,7 +328,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1
-    while buckets * bucket_hashes * 12 < size and buckets < 1 << 15:  # English has about one hash of the first half in 12 characters
+    while buckets * bucket_hashes * 12 < size:  # English has about one hash of the first half in 12 characters
         buckets *= 2
     scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets), "doc_id long, key long, set_id long, n long, n_early long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
     nodes = scanned.where("bucket is null").select("doc_id", "key", "set_id", "n", "n_early")
@@ -311,14 +337,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     shared = blobs.groupBy("bucket").applyInPandas(_shared_hashes(buckets), "part long, bucket long, hashes binary, sets binary, counts binary")
     grouped = by_set.select("set_id", "n", "n_early", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
     prefixes = shared.groupBy("part").cogroup(grouped.groupBy("part")).applyInPandas(_prefixes(threshold, buckets), "part long, bucket long, hashes binary, sets binary, sizes binary")
+    prefixes = staged(prefixes, "prefixes", tasks)
     edges = prefixes.groupBy("part").applyInPandas(_candidates(threshold), "a long, b long")
     groups = components(edges, "candidates", tasks)
     found = staged(by_set.join(groups, F.col("set_id") == F.col("node")).select("set_id", "key", "n", (F.col("n") * 8).alias("bytes"), "root"), "candidate-sets", tasks)
-    tiles = _tiles(found, threshold, tile_bytes, tile_rows)
-    if found.count() <= broadcast_rows:
-        tiles = F.broadcast(tiles)
-    rows = docs.select("key", "text").join(tiles, "key").select("parcel", "tile", "side", "set_id", "text")
-    links = components(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), "links", tasks)
+    found = staged(join_hot(found, found.groupBy("root").agg(_blocks(tile_bytes, tile_rows).alias("n_blocks"), F.min("set_id").alias("leader")), "root"), "grouped-sets", tasks)
+    parcels = max(1, -(-int(found.agg(F.sum("bytes")).first()[0] or 0) // tile_bytes))
+
+    def verified(tiles: DataFrame, name: str) -> DataFrame:
+        tiles = staged(tiles, f"{name}-tiles", tasks)
+        near = F.broadcast(tiles) if tiles.count() <= broadcast_rows else tiles  # 40 bytes a row
+        rows = docs.select("key", "text").join(near, "key").select("parcel", "tile", "side", "set_id", "text")
+        return staged(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), name, tasks)
+
+    pairs = verified(_group_tiles(found, parcels), "pairs")
+    large = found.where("n_blocks > 1")
+    if not large.isEmpty():
+        now = components(pairs, "settled", tasks)
+        large = staged(large.join(now.withColumnRenamed("root", "r"), F.col("set_id") == F.col("node"), "left").select("set_id", "key", "n", "bytes", "root", F.coalesce("r", "set_id").alias("now")), "large", tasks)
+        apart = large.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
+        open_sets = staged(join_hot(large, apart, "root").drop("root"), "unsettled", tasks)
+        if not open_sets.isEmpty():
+            rows = prefixes.select("part", "hashes", "sets").mapInArrow(_hash_rows, "root long, set_id long").distinct()
+            rows = staged(rows.join(open_sets, "set_id"), "hash-sets", tasks)
+            apart = rows.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
+            rows = staged(join_hot(rows, apart, "root").drop("now"), "apart", tasks)
+            pairs = pairs.unionByName(verified(_tiles(rows, threshold, tile_bytes, tile_rows), "more-pairs"))
+    links = components(pairs, "links", tasks)
     sets = by_set.select("set_id", "doc_id", "head").join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", "head", F.coalesce("root", "set_id").alias("root"))
     least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("head").alias("first"))
     labels = sets.join(least, "root").select("set_id", "component_id", F.col("first.key").alias("keeper_key"))
@@ -339,13 +384,14 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     gone = found.where("key <> keeper_key").select("key").distinct()
     if gone.count() <= broadcast_rows:  # 8 bytes a row
         gone = F.broadcast(gone)
-    left = docs.withColumn("_key", row_key()).join(gone, F.col("_key") == F.col("key"), "left_anti")
+    rows = docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = rows.join(gone, "key", "left_anti")
     again = found.where("key = keeper_key and n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
     again = staged(again, "repeated", tasks_for(docs))
     if not again.isEmpty():
-        once = left.join(again, F.col("_key") == F.col("key"), "left_semi").dropDuplicates(["_key"])
-        left = left.join(again, F.col("_key") == F.col("key"), "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+        once = left.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        left = left.join(again, "key", "left_anti").select("key", "row").unionByName(once)
+    return left.select("row.*")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

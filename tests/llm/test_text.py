@@ -121,13 +121,33 @@ def test_jaccard_against_all_pairs(spark, kw):
     assert sorted(map(tuple, got)) == brute_components(docs)
 
 
+def test_chain_of_unlike_sets_has_few_tiles(spark, monkeypatch):
+    lines = [" ".join(f"c{i}_{j}" for j in range(20)) for i in range(301)]
+    rows = [(i, f"{lines[i]} {lines[i + 1]}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 50)]
+    tiles, real = [], jaccard.staged
+
+    def staged(df, name, *more):
+        out = real(df, name, *more)
+        if name.endswith("-tiles"):
+            tiles.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, tile_rows=10).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+    assert len(tiles) == 2 and tiles[0] <= 2 * len(rows) and tiles[1] <= 30 * len(rows)
+
+
 def test_one_of_each(spark):
     docs = corpus()
-    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, row int")
+    df = spark.createDataFrame([(d, t, i, "k", None, 2.5, [i]) for i, (d, t) in enumerate(docs)], "doc_id long, text string, row int, key string, _key string, count double, keeper_key array<int>")
     kept = jaccard.one_of_each(df)
-    assert kept.columns == df.columns
+    assert kept.schema == df.schema
     wordless = [d for d, t in docs if not words(t)]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, n, c in brute_components(docs) if n} | set(wordless))
+    assert {tuple(map(str, r)) for r in kept.collect()} <= {tuple(map(str, r)) for r in df.collect()}
     assert jaccard.one_of_each(df.limit(0)).isEmpty()
 
 
