@@ -16,7 +16,7 @@ from kmerlens.llm.common import staged, tasks_for
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier calls toxic; it learns from labels of these docs."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.classify(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns).coalesce(tasks_for(docs))
+    return toxicity.without_toxic(docs, model).coalesce(tasks_for(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

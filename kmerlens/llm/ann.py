@@ -51,34 +51,47 @@ class Quantizer:
         return (v @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)).argmax(1)
 
     def _codes(self, res: np.ndarray, x: np.ndarray, sweeps: int = 3) -> np.ndarray:
-        """Coordinate descent on |e|^2 + (weight - 1) (e . x)^2, where e is the residual's error."""
-        err = res[:, :, None, :] - self.books[None]  # rows, pairs, codes, 2
-        plain, along = (err**2).sum(-1), (err * x[:, :, None, :]).sum(-1)
-        codes = plain.argmin(2)
-        rows = np.arange(len(res))
-        total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
+        """Coordinate descent on |e|^2 + (weight - 1) (e . x)^2, where e is the residual's error, for
+        as many rows at a time as 32 MB of errors hold."""
+        step = max(1, (1 << 21) // (self.pairs * CODES))
+        out = np.empty((len(res), self.pairs), np.int64)
+        for lo in range(0, len(res), step):
+            r, v = res[lo : lo + step], x[lo : lo + step]
+            err = r[:, :, None, :] - self.books[None]  # rows, pairs, codes, 2
+            plain, along = (err**2).sum(-1), (err * v[:, :, None, :]).sum(-1)
+            codes = plain.argmin(2)
+            rows = np.arange(len(r))
+            total = np.take_along_axis(along, codes[:, :, None], 2)[:, :, 0].sum(1)
+            for _ in range(sweeps):
+                for s in range(self.pairs):
+                    rest = total - along[rows, s, codes[:, s]]
+                    best = (plain[:, s] + (self.weight - 1) * (rest[:, None] + along[:, s]) ** 2).argmin(1)
+                    codes[:, s] = best
+                    total = rest + along[rows, s, best]
+            out[lo : lo + step] = codes
+        return out
+
+    def _update(self, res: np.ndarray, x: np.ndarray, codes: np.ndarray, sweeps: int = 3) -> None:
+        """Codewords that lower the loss for these codes: the 16 of each pair of dimensions in turn,
+        by one system of 32 unknowns, with the others as they stand."""
+        n, size = len(res), CODES * 2
+        rows = np.arange(n)
+        along = ((res - self.books[np.arange(self.pairs), codes]) * x).sum(2)
+        total = along.sum(1)
         for _ in range(sweeps):
             for s in range(self.pairs):
-                rest = total - along[rows, s, codes[:, s]]
-                best = (plain[:, s] + (self.weight - 1) * (rest[:, None] + along[:, s]) ** 2).argmin(1)
-                codes[:, s] = best
-                total = rest + along[rows, s, best]
-        return codes
-
-    def _update(self, res: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
-        """Codewords that minimise the loss for these codes: one linear system for all of them."""
-        n, size = len(res), self.pairs * CODES * 2
-        at = (np.arange(self.pairs) * CODES + codes) * 2
-        v = np.zeros((n, size))
-        for j in (0, 1):
-            np.put_along_axis(v, at + j, x[:, :, j], 1)
-        right = np.zeros(size)
-        for j in (0, 1):
-            np.add.at(right, (at + j).ravel(), res[:, :, j].ravel())
-        right += (self.weight - 1) * v.T @ (res * x).sum((1, 2))
-        left = (self.weight - 1) * v.T @ v
-        left[np.diag_indices(size)] += np.repeat(np.bincount((at // 2).ravel(), minlength=size // 2), 2) + 1e-6
-        self.books = np.linalg.solve(left, right + 1e-6 * self.books.ravel()).reshape(self.books.shape)
+                v = np.zeros((n, size))
+                v[rows, 2 * codes[:, s]], v[rows, 2 * codes[:, s] + 1] = x[:, s, 0], x[:, s, 1]
+                rest = total - along[:, s] + (res[:, s] * x[:, s]).sum(1)
+                right = (self.weight - 1) * v.T @ rest
+                np.add.at(right, 2 * codes[:, s], res[:, s, 0])
+                np.add.at(right, 2 * codes[:, s] + 1, res[:, s, 1])
+                left = (self.weight - 1) * v.T @ v
+                left[np.diag_indices(size)] += np.repeat(np.bincount(codes[:, s], minlength=CODES), 2) + 1e-6
+                self.books[s] = np.linalg.solve(left, right + 1e-6 * self.books[s].ravel()).reshape(CODES, 2)
+                new = ((res[:, s] - self.books[s][codes[:, s]]) * x[:, s]).sum(1)
+                total += new - along[:, s]
+                along[:, s] = new
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = self.lists(v)
@@ -135,14 +148,15 @@ def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int):
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100, list_rows: int = 8192, probe: float = 1.0, sample_rows: int = 8192, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100, list_rows: int = 8192, probe: float = 1.0, sample_rows: int = 8192, block_bytes: int = 16 << 20, query_bytes: int = 8 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each query, by cosine.
 
     vectors and queries come from ``usable``. The quantizer is fitted on sample_rows rows at most
     (those with the smallest hashes of their ids); every row is indexed. There is a list for each
     list_rows rows, up to 4096 lists, and a query visits the share ``probe`` of them that is nearest,
-    one at least. Lists are cut into blocks by a hash of ids, and a list's queries into blocks too, so
-    a hot list or vector spreads over tasks. Equal scores come in order of vec_id. The row with the
+    one at least. Lists are cut into blocks of vectors by a hash of ids, and a list's queries into
+    blocks too, both of bounded bytes, so a hot list or vector spreads over tasks: a vector travels once
+    for each block of queries. Equal scores come in order of vec_id. The row with the
     query's own id takes no part. Of rows of unequal lengths, the most frequent length counts (the
     greater of equals). A repeated id is asked once, but each of its rows can be found. Fewer than k
     candidates are all returned, and a query whose lists hold fewer than k is asked on all lists.
@@ -154,6 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 100
     if sizes is None:
         return spark.createDataFrame([], schema)
     d, n = sizes["d"], sizes["count"]
+    block_rows, query_rows = max(1, block_bytes // (8 * d)), max(1, query_bytes // (8 * d))
     vectors, queries = vectors.where(F.size("vec") == d), queries.where(F.size("vec") == d)
     sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").collect()])
     model = Quantizer(_unit(sample), min(4096, -(-n // list_rows)))

@@ -1,8 +1,8 @@
 """Shared pieces: written stage tables, vectorised words and shingles, connected components.
 
 Columns of caller tables never leak into the operators: each operator first projects the
-columns it names in its signature, so extra columns (also ones whose names clash with columns
-made here) are ignored.
+columns it names in its signature, and those that give back whole rows carry them as one column, so
+extra columns (also ones whose names clash with columns made here) change nothing and stay as they are.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -64,16 +64,22 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 10_000) -> DataFrame:
-    """left joined to right, which has one row for each of its keys. A key that more than one in
-    ``most`` rows of left has (so ``most`` keys at most) meets its row by broadcast, where the rows
-    of left lie; only the others are shuffled."""
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """left joined to right (inner or left), which has one row for each of its keys. A key that more
+    than one in ``most`` rows of left has (so ``most`` keys at most) meets its row by broadcast, where
+    the rows of left lie; only the others are shuffled."""
     left, right = (x if hasattr(x, "_stage_path") else staged(x, "side") for x in (left, right))
     n = left.count()
     heavy = staged(left.groupBy(key).count().where(F.col("count") > n / most).select(key), "heavy", 1)
     heavy = F.broadcast(heavy)
-    some = left.join(heavy, key).join(F.broadcast(right.join(heavy, key)), key)
-    return left.join(heavy, key, "left_anti").join(right, key).unionByName(some)
+    some = left.join(heavy, key).join(F.broadcast(right.join(heavy, key)), key, how)
+    return left.join(heavy, key, "left_anti").join(right, key, how).unionByName(some)
+
+
+def rows_of(docs: DataFrame) -> Column:
+    """All columns of docs as one: names made beside it never clash with theirs. ``select("row.*")``
+    gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
 def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
@@ -88,7 +94,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def held_out(doc_id) -> "Column":  # noqa: F821
+def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning: crc32 of doc_id as text leaves 2 when divided by 4. A
     null doc_id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

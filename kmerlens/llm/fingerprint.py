@@ -13,11 +13,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix64, shingles, string_buffers, word_hashes
+from .common import U64, bounded_batches, mix64, shingles, staged, string_buffers, word_hashes
 
+#: Quantiles of doc_id that are asked for at most; finer ranges are equal parts of these.
+COARSE = 2000
 #: Terms whose samples are drawn in one step; temporaries are 4 bytes a sample and term.
 STEP = 1024
 
@@ -175,35 +177,42 @@ def against_edits(docs: DataFrame, k: int = 5, samples: int = 64, bits: int = 16
     The edited text has its last half (rounded down) of code points replaced by as many first ones of
     the next row in order of doc_id (null first), then text; after the last row comes the first. Rows
     go to ranges of ids once, each range with a copy of the first row of the next range, and are
-    compared as they stream by in order. A single row follows itself; null text is empty.
+    compared as they stream by in order. A single row follows itself; null text is empty; rows that
+    share a doc_id are of one range, so are those without one. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    n = docs.select("doc_id").count()
+    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    # ranges of ids: quantiles of a sketch of fixed size, each cut evenly where more ranges are wanted
     wanted = max(1, -(-n // bucket_rows))
-    probs = [i / wanted for i in range(1, wanted)]
-    bounds = sorted(set(docs.stat.approxQuantile("doc_id", probs, 0.1 / wanted))) if probs else []
-    edges = np.array(bounds or [0.0])[: len(bounds)]
+    coarse = min(wanted, COARSE)
+    fine = -(-wanted // coarse)
+    inner = docs.stat.approxQuantile("doc_id", [i / coarse for i in range(1, coarse)], 0.1 / COARSE) if coarse > 1 else []
+    edges = np.unique(np.array([low or 0, *inner, (high or 0) + 1], np.float64))
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("long")
     def bucket_of(ids):
         import pandas as pd
 
-        known = np.where(ids.isna(), -np.inf, ids.fillna(0).astype("float64"))
-        return pd.Series(np.searchsorted(edges, known, "right").astype("int32"))
+        known = np.where(ids.isna(), edges[0], ids.fillna(0).astype("float64"))
+        at = np.clip(np.searchsorted(edges, known, "right") - 1, 0, len(edges) - 2)
+        part = np.clip((known - edges[at]) / (edges[at + 1] - edges[at]) * fine, 0, fine - 1).astype("int64")
+        return pd.Series(at * fine + part)
 
     placed = docs.withColumn("bucket", bucket_of("doc_id"))
-    # one row per bucket reaches the driver: its place and smallest id (null if it has one)
-    heads = placed.groupBy("bucket").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null")).orderBy("bucket").collect()
-    if not heads:
-        return spark.createDataFrame([], schema)
-    before = [heads[i - 1]["bucket"] for i in range(len(heads))]
-    guests = spark.createDataFrame([(b, None if h["null"] else h["id"]) for b, h in zip(before, heads, strict=True)], "to int, head long")
-    visiting = docs.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("to").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
+    # the first row of each range also follows the last row of the range before
+    heads = staged(placed.groupBy("bucket").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("null")), "ranges")
+    after = F.lag("bucket").over(Window.orderBy("bucket"))  # one row of 24 bytes for each range of bucket_rows documents
+    last = heads.agg(F.max("bucket")).first()[0]
+    guests = heads.select(F.coalesce(after, F.lit(last)).alias("to"), F.when(~F.col("null"), F.col("id")).alias("head"))
+    guests = F.broadcast(guests) if heads.count() <= 1_000_000 else guests
+    visiting = docs.join(guests, F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("to").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
     rows = placed.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").unionByName(visiting)
-    return rows.repartition(len(heads), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_compare(k, samples, bits), schema)
+    # ranges are dealt in turn, not by a hash: no task has several while others have none
+    dealt = rows.repartitionById(min(len(edges) * fine, 1 << 20), F.pmod("bucket", F.lit(1 << 20)).cast("int"))
+    return dealt.sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_compare(k, samples, bits), schema)
 
 
 def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

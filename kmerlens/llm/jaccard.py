@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, components, join_hot, local_forest, mix64, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
+from .common import U64, bounded_batches, components, join_hot, local_forest, mix64, rows_of, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
 
 #: Hashes below this come first in the order of shingles.
 HALF = U64(1 << 63)
@@ -384,7 +384,7 @@ def one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     gone = found.where("key <> keeper_key").select("key").distinct()
     if gone.count() <= broadcast_rows:  # 8 bytes a row
         gone = F.broadcast(gone)
-    rows = docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(row_key().alias("key"), rows_of(docs))
     left = rows.join(gone, "key", "left_anti")
     again = found.where("key = keeper_key and n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
     again = staged(again, "repeated", tasks_for(docs))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, tasks_for
+from .common import rows_of, staged, tasks_for
 
 #: Sources of this many rows at most are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -22,20 +22,30 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
     Sources in order of code points, null last, weigh ``weights`` in turn and share ``share`` times
     the sum of all sizes; a target stops at ``most`` times its source's size and the excess goes to
-    the others by weight. Sorted by cap per weight, the capped sources are a prefix, and the level
-    of the rest follows from running sums. The windows hold one row per source, not per document.
+    the others by weight, until none is above. Places in the order come from ranges of sources, each
+    numbered by itself, and the level that the others share from sums, so no task holds all sources.
+    Sizes of no words at all have targets of 0.
     """
+    spark = sized.sparkSession
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(ordered) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = by.withColumn("weight", w).withColumn("cap", most * F.col("source_size"))
-    rank = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(0, Window.unboundedFollowing)
-    everything = rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    rows = rows.withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    rows = rows.withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(everything))
-    return rows.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    ranged = by.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = staged(ranged, "sources")
+    before, start = 0, {}
+    for r in ranged.groupBy("range").count().orderBy("range").collect():  # one row for each task
+        start[r["range"]], before = before, before + r["count"]
+    starts = F.broadcast(spark.createDataFrame(list(start.items()), "range int, start long"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("start")
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    rows = staged(ranged.join(starts, "range").select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "weights")
+    level, full = 0.0, -1
+    while True:
+        # sources whose caps lie under the level are full; what they leave raises the level of the others
+        over = F.col("cap") <= level * F.col("weight")
+        found = rows.agg(F.sum("source_size"), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if found[2] is None or found[3] == full:
+            break
+        full, level = found[3], (share * found[0] - (found[1] or 0.0)) / found[2]
+    return rows.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
 def pivot_round(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
@@ -114,17 +124,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def repeated_by_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs, all columns, each row as often as ``mix`` says. Rows that agree in doc_id, source and
-    size share their copies evenly, the earlier by text first."""
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    plan = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & keyed["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    rows = keyed.join(plan.where("_copies > 0").hint("merge"), same)  # the same way at every size
-    turn = F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.xxhash64("text")))
-    alone = rows.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    shared = rows.where("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + F.when(turn <= F.col("_copies") % F.col("_rows"), 1).otherwise(0))
-    both = alone.unionByName(shared).where("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    """docs, all columns as they are, whatever their names, each row as often as ``mix`` says. Rows that
+    agree in doc_id, source and size share their copies evenly, the earlier by text first. Null texts and
+    texts without words are taken by no mix and go; no rows give no rows."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), word_count(F.col("text")).alias("words"), rows_of(docs))
+    plan = mixed.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_src"), F.col("size").alias("p_words")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_src")) & (F.col("words") == F.col("p_words"))
+    rows = keyed.join(plan.where("copies > 0").hint("merge"), same)  # the same way at every size
+    turn = F.row_number().over(Window.partitionBy("p_id", "p_src", "p_words").orderBy(F.xxhash64("row.text")))
+    alone = rows.where("n = 1").select("row", "copies")
+    shared = rows.where("n > 1").select("row", (F.floor(F.col("copies") / F.col("n")) + F.when(turn <= F.col("copies") % F.col("n"), 1).otherwise(0)).alias("copies"))
+    both = alone.unionByName(shared).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy")).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, held_out, staged, string_buffers, word_hashes
+from .common import U64, bounded_batches, held_out, rows_of, staged, string_buffers, word_hashes
 
 BUCKET_BITS = 20
 PREFIX_BYTES = 6
@@ -264,31 +264,47 @@ def _calibrate(model: Classifier, ids: list[np.ndarray], y: np.ndarray, train: n
             model.slope[k], model.shift[k] = curve(z[s], t[s], weight[s])
 
 
-def classify(docs: DataFrame, model: Classifier | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score, predicted) of every row of docs (doc_id, text), with the columns named in
-    ``keep``. Null text counts as empty and gets the score of a text without words; without a model
-    every score is 0. Repeated rows have equal scores. Memory follows the longest text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    broadcast = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text, sent = rows.columns.index("text"), [c for c in rows.columns if keep or c != "text"]
+def _scores(model: Classifier | None, texts: pa.Array) -> np.ndarray:
+    raw, offs = string_buffers(texts)
+    m = len(offs) - 1
+    score, lo = np.zeros(m), 0
+    while model and lo < m:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + (1 << 19), "right")) - 1)
+        words, at = buckets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        score[lo:hi] = model.scores(words, at)
+        lo = hi
+    return score
+
+
+def classify(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """(doc_id, score, predicted) of every row of docs (doc_id, text). Null text counts as empty and
+    gets the score of a text without words; without a model every score is 0. Repeated rows have equal
+    scores; no rows give no rows. Memory follows the longest text."""
+    bounded_batches(docs.sparkSession)
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = broadcast.value
         for batch in batches:
-            raw, offs = string_buffers(batch.column(text))
-            m = len(offs) - 1
-            score, lo = np.zeros(m), 0
-            while model and lo < m:
-                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + (1 << 19), "right")) - 1)
-                words, at = buckets(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                score[lo:hi] = model.scores(words, at)
-                lo = hi
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in sent), pa.array(score)], names=[*sent, "score"])
-
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in sent)
-    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(broadcast.value, batch.column(1)))], names=["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """The rows of docs that ``classify`` doesn't predict to be toxic, all columns as they are, whatever
+    their names. Null and empty texts are judged as texts without words; without a model all rows
+    stay; no rows give no rows."""
+    bounded_batches(docs.sparkSession)
+    broadcast, place, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            fields = batch.column(0).flatten()
+            kept = pa.array(_scores(broadcast.value, fields[place]) < THRESHOLD)
+            yield pa.RecordBatch.from_arrays([f.filter(kept) for f in fields], names=names)
+
+    return docs.select(rows_of(docs)).mapInArrow(run, docs.schema)
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, staged
+from .common import bounded_batches, join_hot, shared_dir, staged
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,7 +59,7 @@ def archive_records(pages: DataFrame, min_payload_bytes: int = 0, date: str = "2
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     pages = pages.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
     first = pages.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    roles = pages.select("page_id", "digest").distinct().join(first, "digest").select("digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"), "first_id")
+    roles = join_hot(pages.select("page_id", "digest").distinct(), first, "digest").select("digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"), "first_id")
     keyed = pages.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     turn = F.row_number().over(Window.partitionBy("key", "digest").orderBy("url"))
     rows = keyed.join(roles, ["key", "digest"]).withColumn("turn", turn)
@@ -182,7 +182,7 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(rows, "captures")
     origins = rows.where("record_type = 'response'").select(F.col("record_id").alias("origin"), F.col("page_id").alias("refers_to"))
     # responses refer to nothing: they stay out of the join, where null keys would meet in one task
-    revisits = rows.where("record_type = 'revisit'").join(origins, "origin", "left")
+    revisits = join_hot(rows.where("record_type = 'revisit'"), origins, "origin", "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return rows.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits.select(columns))
 

@@ -60,8 +60,12 @@ def test_toxicity(spark):
     assert np.mean([p == y for p, y in test]) > 0.95
     assert got[900]["score"] == got[901]["score"] and got[900]["predicted"] == 0 and got[902]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    kept = toxicity.classify(df.withColumnRenamed("score", "other"), model, keep=("doc_id", "text", "other"))
-    assert kept.columns == ["doc_id", "text", "other", "score", "predicted"] and kept.count() == len(rows)
+    wide = df.selectExpr("*", "5 as predicted", "'x' as row")
+    kept = toxicity.without_toxic(wide, model)
+    assert kept.columns == wide.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in wide.collect()}
+    assert toxicity.without_toxic(wide.limit(0), model).isEmpty() and toxicity.classify(df.limit(0), model).isEmpty()
+    assert toxicity.fit(df.limit(0), lab) is None and toxicity.fit(df, lab.limit(0)) is None
     assert toxicity.fit(df, lab.where("toxic = 0")) is None
     assert {r["score"] for r in toxicity.classify(df, None).collect()} == {0.0}
 
@@ -130,7 +134,7 @@ def test_search(spark):
     bad = [(5000, None, "z"), (5050, [0.0] * 15, "z"), (5100, [1.0] * 14 + [None], "z"), (5150, [float("nan")] + [1.0] * 14, "z"), (5200, [1.0, 2.0], "z"), (None, [1.0] * 15, "z")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, len string")
     v = ann.usable(df, "vec_id", "embedding")
-    got = ann.search(v, v.where("id % 50 = 0"), list_rows=300, block_rows=100, query_rows=5).toPandas()
+    got = ann.search(v, v.where("id % 50 = 0"), list_rows=300, block_bytes=100 * 8 * 15, query_bytes=5 * 8 * 15).toPandas()
     want = brute_nearest(list(range(1200)), x.astype(float), range(0, 1200, 50), 5)
     assert set(got.query_id) == set(want)
     hits = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
@@ -152,6 +156,36 @@ def test_all_rows_of_one_code_are_reranked():
     assert [g[1] for g in got] == np.lexsort((np.arange(3000), -score))[:5].tolist()
 
 
+def test_large_vectors_are_quantised_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = ann._unit(rng.normal(size=(2000, 1024)))
+    tracemalloc.start()
+    model = ann.Quantizer(x, 1, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    own, codes = model.encode(x[:100])
+    near = model.scan(x[:100], codes) + (x[:100] @ model.centroids[0])[:, None]
+    assert peak < 400e6 and codes.shape == (100, 256) and np.mean(near.argmax(1) == np.arange(100)) == 1.0
+
+
+def test_search_among_many_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 16))
+    x[300:600] = x[300] + 1e-4 * rng.normal(size=(300, 16))
+    x[600:610] = x[600]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50, [1e308] * 16), (7, [float("inf")] * 16)], "vec_id long, embedding array<double>")
+    v = ann.usable(df, "vec_id", "embedding")
+    queries = [0, 350, 450, 600]
+    got = ann.search(v, v.where(F.col("id").isin(queries)), list_rows=200, rerank=20).toPandas()
+    y = np.vstack([x, np.ones(16)])
+    ids = [*range(900), 50]
+    want = brute_nearest(ids, y, queries, 5)
+    hits = sum(len(set(g.vec_id) & set(want[q])) for q, g in got.groupby("query_id"))
+    assert hits >= 0.9 * 20
+
+
 def test_mixture_of_more_than_four_languages():
     model = langid.LanguageModel([f"l{i}" for i in range(7)], np.ones((7, 1 << langid.GRAM_BITS), np.int64))
     own = np.repeat(np.arange(6), 100)

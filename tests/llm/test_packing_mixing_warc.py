@@ -76,8 +76,9 @@ def test_packing_is_a_partition(spark, kw):
     assert packing.pack(packing.tokenize(df.limit(0))).isEmpty()
 
 
-def test_targets(spark):
-    sizes = {"b": 10, "a": 1000, None: 50, "z": 400, "é": 7}
+@pytest.mark.parametrize("sizes", [{"b": 10, "a": 1000, None: 50, "z": 400, "é": 7}, None, {"a": 0, "b": 5}])
+def test_targets(spark, sizes):
+    sizes = sizes or {f"s{i}": (i * 37) % 91 for i in range(200)}
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
     order = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None]
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
@@ -108,6 +109,8 @@ def test_mix(spark, kw):
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
     out = mixing.repeated_by_copies(df, mixing.mix(df, **kw))
     assert out.columns == df.columns and out.count() == got.copies.sum()
+    wide = df.selectExpr("*", "3 as _size", "9 as _n", "1 as copies", "'r' as row", "2 as words")
+    assert {tuple(r)[-5:] for r in mixing.repeated_by_copies(wide, mixing.mix(wide, **kw)).collect()} == {(3, 9, 1, "r", 2)}
     assert out.withColumn("n", mixing.word_count(F.col("text"))).agg(F.sum("n")).first()[0] == got.taken.sum()
     assert mixing.mix(df.limit(0)).isEmpty()
 

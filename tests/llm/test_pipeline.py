@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 import corpus_pipeline
+from kmerlens.llm import common
 from kmerlens.llm.entry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +24,42 @@ def test_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 1024
 
 
+ODD = "key string, row int, score double, predicted int, copies long, words int, spans array<int>, _size long, _n int, _copies int, _spans string, _doc int, bucket int, keeper_key string"
+
+
+def odd_documents(spark):
+    rng = random.Random(31)
+    own = lambda n: " ".join(f"y{rng.randrange(10**6)}" for _ in range(n))
+    texts = [own(80) for _ in range(30)] + [None, "", "  ", "few words", own(150_000)]
+    rows = [(i, t, rng.choice(["en", None]), rng.choice(["s", "t", None]), len(t) if t is not None else None) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, own(50), None, "s", 9), (100, rows[5][1], "en", "s", None), (101, f"{own(60)} {rows[6][1]}", "en", "t", 5)]
+    extra = [(None if i % 5 == 0 else f"k{i}", i, i / 2, 7, i, i, [i], i, i, i, "s", i, i, None) for i in range(len(rows))]
+    return spark.createDataFrame([(*r, *e) for r, e in zip(rows, extra, strict=True)], f"doc_id long, text string, lang string, source string, n_chars long, {ODD}")
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    docs = odd_documents(spark)
+    names = [f.name for f in docs.schema if f.name not in ("text", "n_chars")]
+    before, sizes = {str(tuple(r[n] for n in names)) for r in docs.collect()}, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        docs = common.staged(docs, "stage")
+        rows = docs.collect()
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and len(docs.columns) == 5 + ODD.count(",") + 1, name
+        assert {str(tuple(r[n] for n in names)) for r in rows} <= before, name
+        sizes.append(len(rows))
+    # 40 rows; two repeated rows and a copy go, passages are cut, rows without words are not mixed
+    assert sizes[0] == 40 and sizes[1] == 37 and sizes[2] == 37 and sizes[3] > 30
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+    assert packed.length.sum() > 150_000 and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_stages_on_no_rows(spark):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).isEmpty(), name
+
+
 def test_queries_are_listed():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
 
