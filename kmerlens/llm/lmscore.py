@@ -17,7 +17,7 @@ on their number.
 1. A sample tells which keys are frequent (a list of bounded length); a pass over all texts counts these
    exactly, and estimates V. They are priced where the texts lie, so no task gathers them.
 2. Other keys go to hash buckets with the documents' own counts. Texts price them as if no other document
-   had them, and buckets return, summed by document, what those that several documents have change.
+   had them, and buckets return what those that several documents have change, a blob for each that came.
 """
 
 from __future__ import annotations
@@ -133,17 +133,18 @@ class Model:
         self.keys, self.counts, self.tokens, self.types, self.mass = keys, counts, tokens, types, mass
 
 
-_ROWS = "row long, doc_id long, n_tokens long, target double, background double, bucket long, keys binary, counts binary, rows binary, runs binary, in_target binary"
+_ROWS = "row long, doc_id long, n_tokens long, target double, background double, bucket long, origin long, keys binary, counts binary, rows binary, runs binary, in_target binary"
 
 
 def _price(model, buckets: int, hold: int = 1 << 19):
     names = [c.split()[0] for c in _ROWS.split(", ")]
-    types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()] + [pa.binary()] * 5
+    types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.binary()] * 5
     lead = buckets.bit_length() - 1
 
     def run(batches):
         """A row for each document, priced as if no other one had its rare keys, and blobs of these
-        keys by bucket: low bits, counts (of as many bytes as they need), rows, runs and membership."""
+        keys by bucket: low bits, counts (of as many bytes as they need), rows, runs and membership. All
+        blobs of some consecutive documents have the first one's row as their origin."""
         m, at_row = model.value, TaskContext.get().partitionId() << 36
         held: list[tuple] = []
 
@@ -154,13 +155,13 @@ def _price(model, buckets: int, hold: int = 1 << 19):
             key, n, row, target = key[order], n[order], row[order], target[order]
             b = key >> (52 - lead)
             at = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=True):
                 r = row[lo:hi]
                 runs = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                 c = n[lo:hi]
                 c = c.astype(np.uint8 if c.max() < 1 << 8 else np.uint16 if c.max() < 1 << 16 else np.uint32)
-                for col, x in zip(cols, (int(b[lo]), (key[lo:hi] & 0xFFFFFFFF).astype(np.uint32).tobytes(), c.tobytes(), r[runs].tobytes(), np.diff(np.append(runs, hi - lo)).astype(np.uint32).tobytes(), target[lo:hi][runs].tobytes()), strict=True):
+                for col, x in zip(cols, (int(b[lo]), int(row.min()), (key[lo:hi] & 0xFFFFFFFF).astype(np.uint32).tobytes(), c.tobytes(), r[runs].tobytes(), np.diff(np.append(runs, hi - lo)).astype(np.uint32).tobytes(), target[lo:hi][runs].tobytes()), strict=True):
                     col.append(x)
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in types[:5]), *(pa.array(c, t) for c, t in zip(cols, types[5:], strict=True))], names=names)
 
@@ -194,7 +195,7 @@ def _price(model, buckets: int, hold: int = 1 << 19):
 def _changes(model):
     def run(table: pa.Table) -> pa.Table:
         """Of one bucket of keys: by how much the keys that several documents have change the losses of
-        each document in both models."""
+        each document in both models, as one blob for each origin."""
         m = model.value
         blobs = {c: table.column(c).to_pylist() for c in ("keys", "counts", "rows", "runs", "in_target")}
         key = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs["keys"]])
@@ -204,24 +205,33 @@ def _changes(model):
         target = np.repeat(np.concatenate([np.frombuffer(x, np.uint8) for x in blobs["in_target"]]), runs).astype(np.int64)
         order = np.argsort(key, kind="stable")
         many = key[order][1:] == key[order][:-1]
-        order = order[np.append(False, many) | np.append(many, False)]
+        order = order[np.append(False, many) | np.append(many, False)] if len(order) else order
         key, n, row, target = key[order].astype(np.int64), n[order], row[order], target[order]
-        if not len(key):
-            return pa.table({c: pa.array([], t) for c, t in (("row", pa.int64()), ("target", pa.float64()), ("background", pa.float64()))})
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(at, len(key)))
         none = loss(key, n, np.zeros(len(key)), m.mass, m.types)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(key)))
         change = []
         for own in (target, np.ones(len(key), np.int64)):
-            others = np.repeat(np.add.reduceat(n * own, at), size) - n * own
+            others = np.repeat(np.add.reduceat(n * own, at) if len(at) else at, size) - n * own
             change.append((loss(key, n, others.astype(np.float64), m.mass, m.types) - none) / 2)
-        rows, t, b = _sum_by(row, *change)
-        return pa.table({"row": rows, "target": t, "background": b})
+        row, t, b = _sum_by(row, *change)
+        origins = np.unique(table.column("origin").to_numpy())
+        cuts = [*np.searchsorted(row, origins).tolist(), len(row)]
+        some = [i for i in range(len(origins)) if cuts[i + 1] > cuts[i]]
+        parts = [[v[cuts[i] : cuts[i + 1]].tobytes() for i in some] for v in (row, t, b)]
+        return pa.table([pa.array(origins[some], pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], names=["origin", "rows", "target", "background"])
 
     return run
 
 
-def score(docs: DataFrame, target: DataFrame, mass: float = 50.0, types: float | None = None, frequent: int = 1 << 17, one_in: int = 32, bucket_rows: int = 1 << 22) -> DataFrame:
+def _settled(table: pa.Table) -> pa.Table:
+    """Of one origin: the sums of the changes of each document."""
+    row, t, b = (np.concatenate([np.frombuffer(x, d) for x in table.column(c).to_pylist()]) for c, d in (("rows", np.int64), ("target", np.float64), ("background", np.float64)))
+    row, t, b = _sum_by(row, t, b)
+    return pa.table({"r": row, "dt": t, "db": b})
+
+
+def score(docs: DataFrame, target: DataFrame, mass: float = 50.0, types: float | None = None, frequent: int = 1 << 17, one_in: int = 32, bucket_rows: int = 1 << 21) -> DataFrame:
     """(doc_id, n_tokens, ce_target, ce_background, score) of every row of docs (doc_id, text).
 
     target has the doc_ids of the target documents. Words are those of lower-cased A-Z text between
@@ -263,9 +273,9 @@ def score(docs: DataFrame, target: DataFrame, mass: float = 50.0, types: float |
     total = (int(tokens.target.sum()), int(tokens.n.sum()))
     model = spark.sparkContext.broadcast(Model(known.value, counts, total, types or types_of(ranks), mass))
     priced = staged(flagged.mapInArrow(_price(model, buckets), _ROWS), "priced", tasks)
-    blobs = priced.where("bucket is not null").select("bucket", "keys", "counts", "rows", "runs", "in_target")
-    changes = blobs.groupBy("bucket").applyInArrow(_changes(model), "row long, target double, background double")
-    changes = changes.groupBy(F.col("row").alias("r")).agg(F.sum("target").alias("dt"), F.sum("background").alias("db"))
+    blobs = priced.where("bucket is not null").select("bucket", "origin", "keys", "counts", "rows", "runs", "in_target")
+    changes = blobs.groupBy("bucket").applyInArrow(_changes(model), "origin long, rows binary, target binary, background binary")
+    changes = changes.groupBy("origin").applyInArrow(_settled, "r long, dt double, db double")
     rows = priced.where("bucket is null").join(changes, F.col("row") == F.col("r"), "left")
     mean = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0.0))) / F.col("n_tokens")
     out = staged(rows.select("doc_id", "n_tokens", mean("target", "dt").alias("ce_target"), mean("background", "db").alias("ce_background")), "losses", tasks)
