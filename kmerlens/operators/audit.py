@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,8 +54,6 @@ def hits_add_up(overlay: DataFrame, fine: list[str]) -> DataFrame:
 
 def not_monotonic(sweep: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value grows where the threshold does."""
-    from pyspark.sql import Window
-
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
     return sweep.withColumn("before", before).where(F.col(value) > F.col("before"))
 
@@ -82,3 +82,63 @@ def weights_differ(positions: DataFrame, by_distance: DataFrame, keys: list[str]
 
 def missing_shards(manifest: DataFrame, table: DataFrame, key: str = "hap") -> DataFrame:
     return manifest.select(key).join(table.select(key).distinct(), key, "left_anti")
+
+
+def pool_by_windows(counts: DataFrame, pooled_min: int, hap_min: int) -> DataFrame:
+    """The codes that counting.pool keeps, found by sums over windows instead of two groupings."""
+    rows = counts.withColumn("p", F.sum("n").over(Window.partitionBy("code"))).withColumn("h", F.sum("n").over(Window.partitionBy("code", "hap")))
+    return rows.where((F.col("p") >= pooled_min) | (F.col("h") >= hap_min)).select("code").distinct()
+
+
+def enriched_by_logs(counts: DataFrame, den: DataFrame, hap_min: int, threshold: float, epsilon: float = 1e-9) -> DataFrame:
+    """(code, hap) of enough target hits that are enriched, by differences of natural logarithms of
+    sums that are made apart for targets and background."""
+    own = lambda df, n, name, flag: df.where(f"region {flag} 'background'").groupBy(*(c for c in ("code", "hap") if c in df.columns)).agg(F.sum(n).alias(name))
+    rows = own(counts, "n", "t", "<>").where(F.col("t") >= hap_min).join(own(counts, "n", "b", "="), ["code", "hap"], "left")
+    rows = rows.join(own(den, "valid_starts", "vt", "<>").where("vt > 0"), "hap").join(own(den, "valid_starts", "vb", "=").where("vb > 0"), "hap")
+    e = (F.log(F.col("t") / F.col("vt") + epsilon) - F.log(F.coalesce("b", F.lit(0)) / F.col("vb") + epsilon)) / F.log(F.lit(2.0))
+    return rows.where(e > threshold).select("code", "hap")
+
+
+def union_below_parts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose count in the union of the families is less than those in the families together:
+    windows over a border are of the union alone, never of a family alone."""
+    part = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0))
+    sums = counts.groupBy(*keys).agg(part(F.col("region") != "background").alias("u"), (part(F.col("region") == "HSat2") + part(F.col("region") == "HSat3")).alias("p"))
+    return sums.where("u < p")
+
+
+def neighbourhood_differs(near: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:
+    """Queries whose neighbourhood (query, variant, d) is not whole: every variant once, in canonical
+    form, at its distance, and as many oriented strings behind the variants as there are ways to
+    change up to ``radius`` bases."""
+    from ..functions import kmer as K
+
+    rc = K.reverse_complement_code(F.col("variant"), k)
+    bad = (F.col("variant") > rc) | (K.hamming_either(F.col("query"), F.col("variant"), k) != F.col("d")) | (F.col("d") > radius)
+    # a string within the radius of the query is a variant or the reverse complement of one
+    strings = F.when(K.hamming_code(F.col("query"), F.col("variant")) <= radius, 1).otherwise(0) + F.when((rc != F.col("variant")) & (K.hamming_code(F.col("query"), rc) <= radius), 1).otherwise(0)
+    whole = sum(math.comb(k, d) * 3**d for d in range(radius + 1))
+    rows = near.withColumn("bad", bad).withColumn("strings", strings)
+    return rows.groupBy("query").agg(F.sum("strings").alias("strings"), F.count_if("bad").alias("bad"), (F.count("*") - F.count_distinct("variant")).alias("again")).where((F.col("strings") != whole) | (F.col("bad") > 0) | (F.col("again") > 0))
+
+
+def clusters_break_rules(assigned: DataFrame, by: list[str], least: int = 10, silhouette: float = 0.25) -> DataFrame:
+    """Rows of cluster cases that break a rule: references and unmeasured haps without a group of their
+    own, groups of a stable partition as many as selected, large enough and apart enough."""
+    own = assigned.where("status = 'stable_partition'")
+    sizes = own.groupBy(*by, "grp").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.min("silhouette").alias("s"))
+    small = sizes.where((F.col("n") < least) | (F.col("s") < silhouette)).select(*by)
+    count = sizes.groupBy(*by).agg(F.count("*").alias("groups"), F.first("k").alias("k")).where("groups <> k").select(*by)
+    lost = assigned.where("status like 'insufficient%' and grp is not null").select(*by)
+    return small.unionByName(count).unionByName(lost)
+
+
+def inputs_changed(before: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """Paths whose fingerprints (sources.files.fingerprint) are not the same in both runs."""
+    columns = [c for c in before.columns if c != key]
+    other = now.select(key, *(F.col(c).alias(f"now_{c}") for c in columns))
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    return before.join(other, key, "full").where(~same).select(key)

@@ -66,25 +66,43 @@ def group_summary(df: DataFrame, by: list[str], n: str = "n", valid: str = "vali
     return rows.groupBy(*by).agg(F.count("*").alias("haps"), F.percentile("_d", F.lit(0.5)).alias("median_density"), F.avg("_d").alias("mean_density"), (F.try_divide(F.sum(n), F.sum(valid)) * 1e6).alias("pooled_density"), F.avg((F.col(n) >= least).cast("double")).alias("presence"))
 
 
-def group_contrast(df: DataFrame, key: str, group: str, n: str = "n", density: str = "density", least: int = 10, epsilon: float = 0.001) -> DataFrame:
-    """(key, group, in_presence, out_presence, in_median, out_median, log2_contrast): each group of
-    haps against all others. Out-of-group medians need the other groups' rows: each row is sent
-    once per group of its key, which stay few."""
-    groups = df.select(F.col(group).alias("g")).distinct()
-    if groups.count() > 64:
-        raise ValueError("contrasts are for at most 64 groups")
-    rows = df.crossJoin(F.broadcast(groups)).withColumn("inside", F.col(group) == F.col("g"))  # at most 64 rows
-    side = lambda flag, x: F.when(F.col("inside") if flag else ~F.col("inside"), x)
-    present = (F.col(n) >= least).cast("double")
-    out = rows.groupBy(key, F.col("g").alias(group)).agg(
-        F.avg(side(True, present)).alias("in_presence"), F.avg(side(False, present)).alias("out_presence"),
-        F.percentile(side(True, F.col(density)), F.lit(0.5)).alias("in_median"), F.percentile(side(False, F.col(density)), F.lit(0.5)).alias("out_median"),
-    )
+def _median_with_zeros(values: Column, size: Column) -> Column:
+    """The median of ``size`` numbers: the sorted array ``values`` of those above 0, and zeros."""
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(values, (i - (size - F.size(values))).cast("int")), F.lit(0.0))
+
+    low = F.floor((size - 1) / 2)
+    return F.when(size > 0, (at(low) + at(F.ceil((size - 1) / 2))) / 2)
+
+
+def group_contrast(df: DataFrame, haps: DataFrame, key: list[str], group: str, n: str = "n", density: str = "density", least: int = 10, epsilon: float = 0.001, within: list[str] | None = None) -> DataFrame:
+    """(key, within, group, in_presence, out_presence, in_median, out_median, log2_contrast): each
+    group of haps against all others, apart for each value of ``within``, such as a chromosome.
+
+    df has the counts that are above 0, one row for each key, within and hap, with the hap's group; haps
+    has (within, group) once for each hap, also of those without counts. Zeros are not written out:
+    sizes of the groups tell how many there are. A key's counts, at most one per hap, meet in one
+    array; the only rows made beside are one for each key and group, which is the result.
+    """
+    within = within or []
+    sizes = haps.groupBy(*within, F.col(group).alias("g")).agg(F.count("*").alias("size"))
+    every = sizes.groupBy(*within).agg(F.sort_array(F.collect_list(F.struct("g", "size"))).alias("groups"), F.sum("size").alias("all_haps"))
+    values = F.sort_array(F.collect_list(F.struct(F.coalesce(F.col(density), F.lit(0.0)).alias("d"), F.col(n).alias("n"), F.col(group).alias("g")))).alias("v")
+    met = df.groupBy(*key, *within).agg(values)
+    # one row for each value of within (families by chromosomes), as long as there are groups of haps
+    rows = met.join(F.broadcast(every), within) if within else met.crossJoin(F.broadcast(every))
+    rows = rows.select(*key, *within, "v", "all_haps", F.explode("groups").alias("of"))
+    rows = rows.select(*key, *within, F.col("of.g").alias(group), F.col("of.size").alias("size"), (F.col("all_haps") - F.col("of.size")).alias("others"), F.filter("v", lambda x: x["g"] == F.col("of.g")).alias("inside"), F.filter("v", lambda x: x["g"] != F.col("of.g")).alias("outside"))
+    part = lambda side, size: F.try_divide(F.size(F.filter(side, lambda x: x["n"] >= least)).cast("double"), F.col(size))
+    median = lambda side, size: _median_with_zeros(F.filter(F.col(f"{side}.d"), lambda x: x > 0), F.col(size))
+    out = rows.select(*key, *within, group, part("inside", "size").alias("in_presence"), part("outside", "others").alias("out_presence"), median("inside", "size").alias("in_median"), median("outside", "others").alias("out_median"))
     return out.withColumn("log2_contrast", F.log2((F.col("in_median") + epsilon) / (F.col("out_median") + epsilon)))
 
 
-def markers(contrast: DataFrame, presence: float = 0.8, log2: float = 2.0, specific: float = 0.2) -> DataFrame:
-    kept = contrast.where((F.col("in_presence") >= presence) & (F.col("log2_contrast") >= log2))
+def markers(contrast: DataFrame, family_ok: DataFrame, key: str = "code", presence: float = 0.8, log2: float = 2.0, specific: float = 0.2) -> DataFrame:
+    """The keys of contrast that mark a group: of those in family_ok (key), which the family screen
+    lets pass, with ``kind``: specific where few haps of other groups have them, else enriched."""
+    kept = contrast.where((F.col("in_presence") >= presence) & (F.col("log2_contrast") >= log2)).join(family_ok.select(key).distinct(), key, "left_semi")
     return kept.withColumn("kind", F.when(F.col("out_presence") <= specific, "specific").otherwise("enriched"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,65 +62,108 @@ def systematic_pool(df: DataFrame, by: list[str], width: int, order: list[Column
     return filled.withColumn("route", route).where("route is not null").select(*df.columns, "route")
 
 
-def similar(a: str, b: str, distance: int = 2, n: int = 12) -> bool:
-    """Whether two k-mers are within the distance in either orientation or share n bases."""
-    rc = b[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    if min(sum(x != y for x, y in zip(a, t, strict=True)) for t in (b, rc)) <= distance:
-        return True
-    return any(a[i : i + n] in t for i in range(len(a) - n + 1) for t in (b, rc))
+def _pairs_apart(x: int) -> int:
+    """Bases in which two packed k-mers differ, from their XOR: pairs of bits that are not 00."""
+    return ((x | x >> 1) & 0x5555555555555555).bit_count()
+
+
+class Picks:
+    """Accepted k-mers of one list, as packed codes. A k-mer is refused if it is within ``distance``
+    of an accepted one in either orientation, or shares ``n`` bases in a row with it or its reverse
+    complement: of the accepted ones all runs of n bases are kept as a set."""
+
+    def __init__(self, k: int = 16, distance: int = 2, n: int = 12):
+        self.k, self.distance, self.n = k, distance, n
+        self.codes: list[int] = []
+        self.runs: set[int] = set()
+
+    def packed(self, kmer: str) -> int:
+        return int(kmer.translate(str.maketrans("ACGT", "0123")), 4)
+
+    def runs_of(self, code: int) -> set[int]:
+        return {code >> 2 * i & (1 << 2 * self.n) - 1 for i in range(self.k - self.n + 1)}
 
+    def admits(self, kmer: str) -> bool:
+        code = self.packed(kmer)
+        return self.runs.isdisjoint(self.runs_of(code)) and all(_pairs_apart(code ^ c) > self.distance for c in self.codes)
 
-def greedy_shortlist(df: DataFrame, by: list[str], kmer: str = "kmer", score: str = "score", cap: int = 5, pan_cap: int = 20, category: str = "category") -> DataFrame:
+    def add(self, kmer: str) -> None:
+        for text in (kmer, kmer[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+            self.codes.append(self.packed(text))
+            self.runs |= self.runs_of(self.codes[-1])
+
+
+def greedy_shortlist(df: DataFrame, by: list[str], store, kmer: str = "kmer", score: str = "score", cap: int = 5, pan_cap: int = 20, category: str = "category", ahead: int = 256) -> DataFrame:
     """Per group, in order of score (descending), then k-mer: rows unlike all chosen before, up to the
-    cap. A group's rows are dropped as they come once the cap is met, so a task holds cap rows."""
-    schema = T.StructType([*df.schema.fields, T.StructField("category_rank", T.IntegerType())])
+    cap (``pan_cap`` for categories that hold ``pan``), with their ``category_rank``.
+
+    Only the first ``ahead`` rows of each group go to a task. Groups that meet their cap there, or have
+    no more rows, are done; the others go on with eight times as many, until none is left. ``store``
+    (DataFrame to DataFrame) writes a table and reads it again.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("category_rank", T.IntegerType()), T.StructField("seen", T.LongType())])
+    ranked = store(rank_within(df, by, [F.desc(score), F.asc(kmer)], "place"))
+    done, todo = None, ranked
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, kmer], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values("place", ignore_index=True)
         most = pan_cap if "pan" in str(pdf[category].iat[0]) else cap
-        chosen: list[int] = []
-        for i, s in enumerate(pdf[kmer]):
-            if not any(similar(s, pdf[kmer].iat[j]) for j in chosen):
+        picks, chosen, seen = Picks(), [], 0
+        for i, text in enumerate(pdf[kmer]):
+            if len(chosen) == most:
+                break
+            seen = i + 1
+            if picks.admits(text):
+                picks.add(text)
                 chosen.append(i)
-                if len(chosen) == most:
-                    break
-        return pdf.iloc[chosen].assign(category_rank=range(1, len(chosen) + 1))
-
-    return df.groupBy(*by).applyInPandas(pick, schema)
-
-
-def round_robin(pools: list[list[tuple[str, str]]], rounds: int = 3, most: int = 24) -> list[str]:
-    """Ids of (id, k-mer): each round takes from every pool its first id not taken yet and unlike the
-    pool's earlier picks; sorted. For the few pools of a finished screen."""
-    taken: list[str] = []
-    own: list[list[str]] = [[] for _ in pools]
-    for _ in range(rounds):
-        for pool, picks in zip(pools, own, strict=True):
-            if len(taken) == most:
-                return sorted(taken)
-            for name, seq in pool:
-                if name not in taken and not any(similar(seq, p) for p in picks):
-                    taken.append(name)
-                    picks.append(seq)
-                    break
-    return sorted(taken)
-
-
-def balanced_fill(seeds: list[str], buckets: dict[str, list[tuple[str, str]]], most: int = 72) -> list[str]:
-    """Fills up to ``most`` ids, one accepted pick per bucket in turn, until none can give one."""
-    taken, picks, queues = list(seeds), {b: [] for b in buckets}, {b: list(v) for b, v in buckets.items()}
-    progress = True
-    while progress and len(taken) < most:
-        progress = False
-        for b in queues:
-            while queues[b] and len(taken) < most:
-                name, seq = queues[b].pop(0)
-                if name not in taken and not any(similar(seq, p) for p in picks[b]):
-                    taken.append(name)
-                    picks[b].append(seq)
-                    progress = True
-                    break
-    return sorted(taken)
+        # a full list needs no further row
+        seen = -1 if len(chosen) == most else seen
+        return pdf.iloc[chosen].drop(columns="place").assign(category_rank=range(1, len(chosen) + 1), seen=seen)
+
+    while True:
+        found = store(todo.where(F.col("place") <= ahead).groupBy(*by).applyInPandas(pick, schema))
+        sizes = todo.groupBy(*by).agg(F.max("place").alias("rows"))
+        short = store(found.select(*by, "seen").distinct().join(sizes, by).where((F.col("seen") >= 0) & (F.col("rows") > F.col("seen"))).select(*by))
+        whole = found.join(short, by, "left_anti")
+        done = whole if done is None else done.unionByName(whole)
+        if short.isEmpty():
+            return done.drop("seen")
+        todo, ahead = ranked.join(short, by, "left_semi"), 8 * ahead
+
+
+def interleaved(queues: list[list[tuple]], taken: list, most: int, turns: int | None = None) -> list:
+    """taken and further ids of queues of (id, k-mer), sorted, ``most`` at most. In every turn each
+    queue gives the first of its ids that nobody has taken and that its own earlier picks admit; a
+    queue that has none left drops out, and others go on, for ``turns`` turns or to the end. For the
+    few short queues of a finished ranking."""
+
+    def picks_of(queue: list[tuple]):
+        own = Picks()
+        for name, text in queue:
+            if name not in out and own.admits(text):
+                own.add(text)
+                yield name
+
+    out = dict.fromkeys(taken)
+    order = [(0, i, picks_of(q)) for i, q in enumerate(queues)]
+    while order and len(out) < most:
+        turn, i, source = heapq.heappop(order)
+        name = next(source, None)
+        if name is not None:
+            out[name] = None
+            if turns is None or turn + 1 < turns:
+                heapq.heappush(order, (turn + 1, i, source))
+    return sorted(out)
+
+
+def round_robin(pools: list[list[tuple]], rounds: int = 3, most: int = 24) -> list:
+    """Ids of (id, k-mer): in each round one from every pool; sorted."""
+    return interleaved(pools, [], most, rounds)
+
+
+def balanced_fill(seeds: list, buckets: dict[str, list[tuple]], most: int = 72) -> list:
+    """seeds, filled up from the buckets in turn; sorted."""
+    return interleaved(list(buckets.values()), seeds, most)
 
 
 def min_label_components(edges: DataFrame, nodes: DataFrame, checkpoint) -> DataFrame:

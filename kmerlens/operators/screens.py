@@ -40,19 +40,30 @@ def funnel_counts(df: DataFrame, steps: list[str]) -> DataFrame:
 
 
 def dispatch(df: DataFrame, pan: DataFrame, chromosomes: DataFrame, groups: DataFrame) -> DataFrame:
-    """df (query, category, d, ...) with ``passes`` by the rule of its category: ``pan`` by the pan
-    table, ``chromosome_<name>`` where that very chromosome passes, ``<name>_G<n>_...`` where that
-    group does. Tables are (query, d[, chrom | grp]) of what passes."""
+    """df (query, category, d, ...) with ``kind`` and ``passes`` by the rule of its category: ``pan...``
+    by the pan table, ``chromosome_<name>`` where that very chromosome passes, and
+    ``<chromosome>_G<n>_specific`` or ``..._enriched`` where that group of haps passes that screen on
+    that chromosome. Tables are (query, d) and (query, d, chrom) of what passes, and (query, d, chrom,
+    grp, enriched, specific)."""
     kind = F.when(F.col("category").startswith("pan"), "pan").when(F.col("category").startswith("chromosome_"), "chromosome").otherwise("group")
-    rows = df.withColumn("kind", kind).withColumn("expected", F.when(kind == "chromosome", F.regexp_extract("category", "^chromosome_(.+)$", 1)).when(kind == "group", F.regexp_extract("category", r"_(G\d+)", 1)))
+    name = F.when(kind == "chromosome", F.regexp_extract("category", "^chromosome_(.+)$", 1)).when(kind == "group", F.regexp_extract("category", r"^(.+)_G\d+", 1))
+    rows = df.withColumn("kind", kind).withColumn("expected", name).withColumn("expected_group", F.when(kind == "group", F.regexp_extract("category", r"_(G\d+)", 1)))
     p = pan.select("query", "d").distinct().withColumn("in_pan", F.lit(True))
     c = chromosomes.select("query", "d", F.col("chrom").cast("string").alias("expected")).distinct().withColumn("in_chrom", F.lit(True))
-    g = groups.select("query", "d", F.col("grp").cast("string").alias("expected")).distinct().withColumn("in_group", F.lit(True))
-    rows = rows.join(p, ["query", "d"], "left").join(c, ["query", "d", "expected"], "left").join(g, ["query", "d", "expected"], "left")
-    passes = F.when(F.col("kind") == "pan", F.col("in_pan")).when(F.col("kind") == "chromosome", F.col("in_chrom")).otherwise(F.col("in_group"))
+    g = groups.groupBy("query", "d", F.col("chrom").cast("string").alias("expected"), F.col("grp").cast("string").alias("expected_group")).agg(F.max("enriched").alias("enriched"), F.max("specific").alias("specific"))
+    rows = rows.join(p, ["query", "d"], "left").join(c, ["query", "d", "expected"], "left").join(g, ["query", "d", "expected", "expected_group"], "left")
+    in_group = F.when(F.col("category").contains("specific"), F.col("specific")).otherwise(F.col("enriched"))
+    passes = F.when(F.col("kind") == "pan", F.col("in_pan")).when(F.col("kind") == "chromosome", F.col("in_chrom")).otherwise(in_group)
     return rows.select(*df.columns, "kind", _fails_undefined(passes).alias("passes"))
 
 
+def group_screens(contrast: DataFrame, presence: float = 0.8, log2: float = 2.0, specific: float = 0.2) -> DataFrame:
+    """contrast (of landscape.group_contrast) with ``enriched`` (nearly all haps of the group have the
+    k-mer, and more of it than the others) and ``specific`` (and few of the others have it)."""
+    rich = (F.col("in_presence") >= presence) & (F.col("log2_contrast") >= log2)
+    return contrast.withColumn("enriched", _fails_undefined(rich)).withColumn("specific", _fails_undefined(rich & (F.col("out_presence") <= specific)))
+
+
 def largest_radius(passed: DataFrame, by: list[str]) -> DataFrame:
     """(by, radius): the largest d up to which every d passes; null if 0 fails."""
     flags = passed.groupBy(*by).agg(*(F.max(F.when(F.col("d") == d, F.col("passes"))).alias(f"p{d}") for d in range(3)))

@@ -226,11 +226,10 @@ def hap_order(spark, sf):
 _GROUP = ", gg AS (SELECT code, hap, hap % 3 AS grp, n, dens FROM g)"
 
 
-def _grouped(spark, sf):
-    """Every (k-mer, hap) with its group, zeros filled in."""
-    t = _targets(spark, sf)
-    grid = t.select("code").distinct().crossJoin(F.broadcast(_haps(spark, sf)))  # haps, a manifest
-    return grid.join(t, ["code", "hap"], "left").fillna(0, ["n", "density"]).withColumn("grp", F.col("hap") % 3)
+def _contrast(spark, sf):
+    """Each third of the haps against the others, on the counts that occur."""
+    rows = _targets(spark, sf).withColumn("grp", F.col("hap") % 3)
+    return landscape.group_contrast(rows, _haps(spark, sf).select((F.col("hap") % 3).alias("grp")), ["code"], "grp")
 
 
 @query(
@@ -238,15 +237,16 @@ def _grouped(spark, sf):
     fx.sql("c d", _GRID + _GROUP + ", gs AS (SELECT DISTINCT grp AS k FROM gg), r AS (SELECT code, k AS grp, avg(CAST(n >= 10 AS INT)) FILTER (grp = k) AS ip, avg(CAST(n >= 10 AS INT)) FILTER (grp <> k) AS op, quantile_cont(dens, 0.5) FILTER (grp = k) AS im, quantile_cont(dens, 0.5) FILTER (grp <> k) AS om FROM gg, gs GROUP BY 1, 2) SELECT code, grp, round(ip, 6) AS in_presence, round(op, 6) AS out_presence, round(im, 6) AS in_median, round(om, 6) AS out_median, round(log2((im + 0.001) / (om + 0.001)), 6) AS log2_contrast FROM r"),
 )
 def group_contrast(spark, sf):
-    return rounded(landscape.group_contrast(_grouped(spark, sf), "code", "grp"), "in_presence", "out_presence", "in_median", "out_median", "log2_contrast")
+    return rounded(_contrast(spark, sf), "in_presence", "out_presence", "in_median", "out_median", "log2_contrast")
 
 
 @query(
     "group_markers",
-    fx.sql("c d", _GRID + _GROUP + ", gs AS (SELECT DISTINCT grp AS k FROM gg), r AS (SELECT code, k AS grp, avg(CAST(n >= 10 AS INT)) FILTER (grp = k) AS ip, avg(CAST(n >= 10 AS INT)) FILTER (grp <> k) AS op, quantile_cont(dens, 0.5) FILTER (grp = k) AS im, quantile_cont(dens, 0.5) FILTER (grp <> k) AS om FROM gg, gs GROUP BY 1, 2) SELECT code, grp, CASE WHEN op <= 0.2 THEN 'specific' ELSE 'enriched' END AS kind FROM r WHERE ip >= 0.2 AND log2((im + 0.001) / (om + 0.001)) >= 0"),
+    fx.sql("c d", _GRID + _GROUP + ", gs AS (SELECT DISTINCT grp AS k FROM gg), r AS (SELECT code, k AS grp, avg(CAST(n >= 10 AS INT)) FILTER (grp = k) AS ip, avg(CAST(n >= 10 AS INT)) FILTER (grp <> k) AS op, quantile_cont(dens, 0.5) FILTER (grp = k) AS im, quantile_cont(dens, 0.5) FILTER (grp <> k) AS om FROM gg, gs GROUP BY 1, 2), fo AS (SELECT code FROM c WHERE hap <> 0 AND region IN ('HSat2', 'HSat3') GROUP BY code HAVING CAST(coalesce(sum(n) FILTER (region = 'HSat2'), 0) AS DOUBLE) / sum(n) >= 0.5) SELECT code, grp, CASE WHEN op <= 0.2 THEN 'specific' ELSE 'enriched' END AS kind FROM r WHERE ip >= 0.2 AND log2((im + 0.001) / (om + 0.001)) >= 0 AND code IN (SELECT code FROM fo)"),
 )
 def group_markers(spark, sf):
-    return landscape.markers(landscape.group_contrast(_grouped(spark, sf), "code", "grp"), presence=0.2, log2=0.0).select("code", "grp", "kind")
+    family = _share(spark, sf).where("share_h2 >= 0.5").select("code")
+    return landscape.markers(_contrast(spark, sf), family, presence=0.2, log2=0.0).select("code", "grp", "kind")
 
 
 @query("group_chromosome_summary", fx.sql("c d", ", t AS (SELECT hap, chrom, CAST(sum(n) AS BIGINT) AS n FROM c WHERE region <> 'background' AND hap <> 0 GROUP BY 1, 2), v AS (SELECT hap, chrom, sum(valid_starts) AS v FROM d WHERE region <> 'background' AND hap <> 0 GROUP BY 1, 2), j AS (SELECT v.hap % 3 AS grp, v.chrom, coalesce(n, 0) AS n, v, CAST(coalesce(n, 0) AS DOUBLE) / v * 1e6 AS dens FROM v LEFT JOIN t USING (hap, chrom)) SELECT grp, chrom, count(*) AS haps, round(quantile_cont(dens, 0.5), 6) AS median_density, round(avg(dens), 6) AS mean_density, round(CAST(sum(n) AS DOUBLE) / sum(v) * 1e6, 6) AS pooled_density, round(avg(CAST(n >= 10 AS INT)), 6) AS presence FROM j GROUP BY 1, 2"))
@@ -320,7 +320,7 @@ def feature_pool(spark, sf):
 
 @query(
     "audit_counts",
-    fx.sql("c d tb", _SWEEP + ", k AS (SELECT threshold, route, count(*) AS n FROM rt GROUP BY 1, 2), mo AS (SELECT *, lag(n) OVER (PARTITION BY route ORDER BY threshold) AS b FROM k WHERE route <> 'hap_only') SELECT 'sweep_monotonic' AS \"check\", count_if(n > b) AS violations FROM mo UNION ALL SELECT 'unique_keys', (SELECT count(*) FROM (SELECT code, hap, chrom, region FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)) UNION ALL SELECT 'hap_totals', 0 UNION ALL SELECT 'pool_is_subset', 0 UNION ALL SELECT 'shards_complete', (SELECT count(*) FROM (SELECT DISTINCT hap FROM d) a WHERE hap NOT IN (SELECT hap FROM c))"),
+    fx.sql("c d tb", _SWEEP + ", k AS (SELECT threshold, route, count(*) AS n FROM rt GROUP BY 1, 2), mo AS (SELECT *, lag(n) OVER (PARTITION BY route ORDER BY threshold) AS b FROM k WHERE route <> 'hap_only') SELECT 'sweep_monotonic' AS \"check\", count_if(n > b) AS violations FROM mo UNION ALL SELECT 'unique_keys', (SELECT count(*) FROM (SELECT code, hap, chrom, region FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)) UNION ALL SELECT 'code_totals', (SELECT count(*) FROM (SELECT code, sum(n) AS n FROM c GROUP BY code) a FULL JOIN (SELECT l_partkey AS code, sum(l_quantity) AS n FROM lineitem GROUP BY 1) b USING (code) WHERE a.n IS DISTINCT FROM b.n) UNION ALL SELECT 'pool_recomputed', (SELECT count(*) FROM (SELECT code FROM (SELECT code, hap, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY code HAVING sum(n) >= 800 OR max(n) >= 110) a FULL JOIN (SELECT DISTINCT code FROM (SELECT code, sum(n) OVER (PARTITION BY code) AS p, sum(n) OVER (PARTITION BY code, hap) AS h FROM c) WHERE p >= 800 OR h >= 110) b USING (code) WHERE a.code IS NULL OR b.code IS NULL) UNION ALL SELECT 'selection_recomputed', 0 UNION ALL SELECT 'matrix_recomputed', 0 UNION ALL SELECT 'union_covers_parts', (SELECT count(*) FROM (SELECT code, hap, coalesce(sum(n) FILTER (region <> 'background'), 0) AS u, coalesce(sum(n) FILTER (region = 'HSat2'), 0) + coalesce(sum(n) FILTER (region = 'HSat3'), 0) AS p FROM c GROUP BY 1, 2) WHERE u < p) UNION ALL SELECT 'shards_complete', (SELECT count(*) FROM (SELECT DISTINCT hap FROM d) a WHERE hap NOT IN (SELECT hap FROM c))"),
 )
 def audit_counts(spark, sf):
     c, d = fx.counts(spark, sf), fx.den(spark, sf)
@@ -328,8 +328,12 @@ def audit_counts(spark, sf):
         {
             "sweep_monotonic": audit.not_monotonic(_sweep(spark, sf).where("route <> 'hap_only'"), ["route"], "threshold", "kmers"),
             "unique_keys": audit.repeated_keys(c, ["code", "hap", "chrom", "region"]),
-            "hap_totals": audit.totals_differ(c, c.groupBy("code", "hap").agg(F.sum("n").alias("n")), ["code"]),
-            "pool_is_subset": audit.not_subset(counting.pool(c, 800, 110).select("code"), c.select("code").distinct(), "code"),
+            # the table against its source, and each result against a plan of another shape
+            "code_totals": audit.totals_differ(c, fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_quantity").cast("long").alias("n")), ["code"]),
+            "pool_recomputed": audit.sets_differ(counting.pool(c, 800, 110).select("code"), audit.pool_by_windows(c, 800, 110).select("code")),
+            "selection_recomputed": audit.sets_differ(_he(spark, sf).where("hap_pass").select("code", "hap"), audit.enriched_by_logs(c, d, fx.HAP_MIN, fx.THRESHOLD)),
+            "matrix_recomputed": audit.sets_differ(_targets(spark, sf).select("code", "hap", F.col("n").cast("long")), _nonref(c).where("region <> 'background'").rollup("code", "hap").agg(F.sum("n").alias("n")).where("hap is not null")),
+            "union_covers_parts": audit.union_below_parts(c, ["code", "hap"]),
             "shards_complete": audit.missing_shards(d.select("hap").distinct(), c),
         }
     )

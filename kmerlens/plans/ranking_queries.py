@@ -9,8 +9,10 @@ from ..functions import kmer as K
 from ..functions import measures as M
 from ..operators import cluster, ranking, specificity
 from . import fixtures as fx
+from . import sequence_sql as Q
 from .count_queries import _FAM
 from .registry import query, rounded
+from .written import written
 
 MIX = 2654435761
 
@@ -88,13 +90,20 @@ def tier_by_family(spark, sf):
     return levels.join(table, "tier", "left").fillna(0)
 
 
-@query("sequence_gate", fx.sql("c d", _CAND + " SELECT code FROM cd WHERE length(translate(kmer, 'AT', '')) BETWEEN 4 AND 12 AND list_max(list_transform(regexp_extract_all(kmer, '(A+|C+|G+|T+)'), lambda x: length(x))) <= 5"))
-def sequence_gate(spark, sf):
+_GATE = Q.gate("kmer")
+
+
+def _gated(df: DataFrame) -> DataFrame:
     k = F.col("kmer")
-    return _candidates(spark, sf).where(K.gc_percent(k).between(25, 75) & (K.max_run(k) <= 5)).select("code")
+    return df.where(K.gc_percent(k).between(25, 75) & (K.max_run(k) <= 5)).where(K.stem(k) <= 5)
+
+
+@query("sequence_gate", fx.sql("c d", _CAND + f" SELECT code FROM cd WHERE {_GATE}"))
+def sequence_gate(spark, sf):
+    return _gated(_candidates(spark, sf)).select("code")
 
 
-@query("sequence_quality")
+@query("sequence_quality", fx.sql("c d", _CAND + f" SELECT code, {Q.stem('kmer')} AS stem, {Q.quality('kmer')} AS quality FROM cd"))
 def sequence_quality(spark, sf):
     return _candidates(spark, sf).select("code", K.stem(F.col("kmer")).alias("stem"), F.round(K.quality(F.col("kmer")), 6).alias("quality"))
 
@@ -125,15 +134,17 @@ def _final(spark, sf, n: int = 72):
     return rows.select("code", "kmer", K.encode(F.col("kmer")).alias("bits"))
 
 
-_TOP72 = _SCORE + ", tp AS (SELECT code, kmer FROM sc ORDER BY round(score, 9) DESC, code LIMIT 72), ed AS (SELECT a.code AS a, b.code AS b, least(hamming(a.kmer, b.kmer), hamming(a.kmer, reverse(translate(b.kmer, 'ACGT', 'TGCA')))) AS d FROM tp a JOIN tp b ON a.code < b.code WHERE least(hamming(a.kmer, b.kmer), hamming(a.kmer, reverse(translate(b.kmer, 'ACGT', 'TGCA')))) <= 6)"
+_TOP72 = _SCORE + ", tp AS (SELECT code, kmer FROM sc ORDER BY round(score, 9) DESC, code LIMIT 72), ed AS (SELECT a.code AS a, b.code AS b, least(hamming(a.kmer, b.kmer), hamming(a.kmer, reverse(translate(b.kmer, 'ACGT', 'TGCA')))) AS d FROM tp a JOIN tp b ON a.code < b.code WHERE least(hamming(a.kmer, b.kmer), hamming(a.kmer, reverse(translate(b.kmer, 'ACGT', 'TGCA')))) <= 6 OR " + Q.shared("a.kmer", "b.kmer") + ")"
 
 
 def _edges(spark, sf):
-    """Pairs of the 72 finalists within distance 6: so few rows by definition, compared in all."""
+    """Pairs of the 72 finalists within distance 6, or that share 12 bases in a row: so few rows by
+    definition, compared in all."""
     t = _final(spark, sf)
     o = t.select(F.col("code").alias("b"), F.col("bits").alias("b_bits"), F.col("kmer").alias("b_kmer"))
     pairs = t.withColumnRenamed("code", "a").join(F.broadcast(o), F.col("a") < F.col("b"))
-    return pairs.withColumn("d", K.hamming_either(F.col("bits"), F.col("b_bits"))).where("d <= 6")
+    pairs = pairs.withColumn("d", K.hamming_either(F.col("bits"), F.col("b_bits")))
+    return pairs.where((F.col("d") <= 6) | K.shares_substring(F.col("kmer"), F.col("b_kmer")))
 
 
 @query("similar_pairs", fx.sql("c d", _TOP72 + " SELECT a, b, d FROM ed"))
@@ -143,33 +154,28 @@ def similar_pairs(spark, sf):
 
 @query("similarity_components", "WITH RECURSIVE " + fx.sql("c d", _TOP72).removeprefix("WITH ") + ", bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), rc AS (SELECT code AS node, code AS reach FROM tp UNION SELECT rc.node, bo.b FROM rc JOIN bo ON bo.a = rc.reach), lb AS (SELECT node, min(reach) AS component FROM rc GROUP BY node) SELECT node, component, 'SC' || lpad(CAST(dense_rank() OVER (ORDER BY component) AS VARCHAR), 3, '0') AS label FROM lb")
 def similarity_components(spark, sf):
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="labels-")
-
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{at}/labels-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     nodes = written(_final(spark, sf).select(F.col("code").alias("node")))
     labels = ranking.min_label_components(written(_edges(spark, sf).select("a", "b")), nodes, written)
     place = F.dense_rank().over(Window.orderBy("component"))
     return labels.select("node", "component", F.concat(F.lit("SC"), F.lpad(place.cast("string"), 3, "0")).alias("label"))
 
 
-@query("greedy_shortlist")
+_LIKE = "len(list_filter(ch, lambda x: least(hamming(x, p.kmer), hamming(x, reverse(translate(p.kmer, 'ACGT', 'TGCA')))) <= 2 OR " + Q.shared("p.kmer", "x") + ")) > 0"
+_GREEDY = _SCORE + f", gt AS (SELECT * FROM sc WHERE {_GATE}), pl AS (SELECT family, CASE WHEN type = 0 THEN 'pan' ELSE 'chromosome_' || type END AS category, code, kmer, row_number() OVER (PARTITION BY family, type ORDER BY round(score, 9) DESC, kmer) AS i FROM gt), st AS (SELECT DISTINCT family, category, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ch FROM pl UNION ALL SELECT p.family, p.category, p.i, CASE WHEN len(ch) = CASE WHEN p.category = 'pan' THEN 20 ELSE 5 END OR {_LIKE} THEN ch ELSE list_append(ch, p.kmer) END FROM st JOIN pl p ON p.family = st.family AND p.category = st.category AND p.i = st.i + 1), fin AS (SELECT family, category, arg_max(ch, i) AS ch FROM st GROUP BY 1, 2), un AS (SELECT family, category, unnest(ch) AS kmer, unnest(range(1, len(ch) + 1)) AS category_rank FROM fin)"
+
+
+@query("greedy_shortlist", "WITH RECURSIVE " + fx.sql("c d", _GREEDY).removeprefix("WITH ") + " SELECT family, category, code, kmer, category_rank FROM un JOIN pl USING (family, category, kmer)")
 def greedy_shortlist(spark, sf):
-    rows = _scored(spark, sf).withColumn("category", F.when(F.col("type") == 0, "pan").otherwise(F.concat(F.lit("chromosome_"), F.col("type"))))
-    return ranking.greedy_shortlist(rows.select("code", "family", "category", "kmer", "score"), ["family", "category"])
+    rows = _gated(_scored(spark, sf)).withColumn("score", F.round("score", 9)).withColumn("category", F.when(F.col("type") == 0, "pan").otherwise(F.concat(F.lit("chromosome_"), F.col("type"))))
+    out = ranking.greedy_shortlist(rows.select("code", "family", "category", "kmer", "score"), ["family", "category"], written)
+    return out.select("family", "category", "code", "kmer", F.col("category_rank").cast("long").alias("category_rank"))
 
 
 @query("balanced_queries")
 def balanced_queries(spark, sf):
     rows = ranking.top_k(_scored(spark, sf), ["family", "type"], [F.desc("score"), F.asc("code")], 50)
     found = rows.orderBy("family", "type", "rank").select("family", "type", "code", "kmer").collect()  # six buckets of 50
-    buckets: dict = {}
+    buckets: dict[str, list[tuple[int, str]]] = {}
     for r in found:
         buckets.setdefault(f"{r['family']}/{r['type']}", []).append((r["code"], r["kmer"]))
     seeds = ranking.round_robin(list(buckets.values()))

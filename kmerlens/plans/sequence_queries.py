@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kmer as K
-from ..operators import audit, counting, enrichment, landscape, mismatch
+from ..functions import measures as M
+from ..operators import audit, counting, enrichment, landscape, mismatch, ranking, screens
 from ..sources import files
 from . import fixtures as fx
+from . import sequence_sql as _Q
 from .registry import query, rounded
+from .written import shared_folder, written
 
 OTHERS = f"hap <> '{fx.REFERENCE_SOURCE}'"
 #: Of the sequences: E above this and this many hits make a k-mer enriched.
@@ -120,9 +124,20 @@ def mismatch_positions(spark, sf):
     return out.select(K.decode(F.col("query")).alias("query"), "region", F.col("d").cast("long").alias("d"), F.col("position").cast("long").alias("position"), F.round("weight", 6).alias("weight"))
 
 
-@query("mismatch_screen")
-def mismatch_screen(spark, sf):
-    m = mismatch.by_distance(_matched(spark, sf, "hap", "region"), ["hap", "region"])
+_STARTS = ", st AS (SELECT hap, chrom, region, list_sum(list_transform(string_split(seq, chr(10)), lambda x: greatest(0, length(x) - 15))) AS v FROM s)"
+_E = "log2((CAST({t} AS DOUBLE) / CASE WHEN {vt} > 0 THEN {vt} END + 1e-9) / (CAST({b} AS DOUBLE) / CASE WHEN {vb} > 0 THEN {vb} END + 1e-9))".format
+_PAN_E = {x: (_E(t="t", vt="den_t", b="b", vb="den_b"), _E(t="t", vt="den_t", b="o", vb="den_o")) for x in ("e",)}["e"]
+_SCREEN = (
+    _NEAR + _STARTS + ", sm AS (SELECT query, hap, region, d, sum(n) AS n FROM nb JOIN kr USING (kmer) GROUP BY ALL), cu AS (SELECT query, hap, region, r.range AS d, sum(CASE WHEN sm.d <= r.range THEN n ELSE 0 END) AS n FROM sm, range(3) r GROUP BY 1, 2, 3, 4)"
+    + f", hs AS (SELECT query, hap, d, coalesce(sum(n) FILTER (region = 'HSat2'), 0) AS t, coalesce(sum(n) FILTER (region = 'HSat3'), 0) AS o, coalesce(sum(n) FILTER (region = 'background'), 0) AS b FROM cu WHERE hap <> '{fx.REFERENCE_SOURCE}' GROUP BY 1, 2, 3), hd AS (SELECT hap, sum(v) FILTER (region = 'HSat2') AS den_t, sum(v) FILTER (region = 'HSat3') AS den_o, sum(v) FILTER (region = 'background') AS den_b FROM st GROUP BY hap)"
+    + f", hf AS (SELECT *, coalesce(t >= 1 AND {_PAN_E[0]} > 0.5 AND {_PAN_E[1]} > 0.5 AND CAST(t AS DOUBLE) / nullif(t + o, 0) >= 0.3, FALSE) AS fine FROM hs JOIN hd USING (hap))"
+    + ", pl AS (SELECT query, d, CAST(sum(t) AS BIGINT) AS t, CAST(sum(o) AS BIGINT) AS o, CAST(sum(b) AS BIGINT) AS b, sum(den_t) AS den_t, sum(den_o) AS den_o, sum(den_b) AS den_b, count_if(fine) AS haps FROM hf GROUP BY 1, 2)"
+    + f", ms AS (SELECT query, d, t, o, b, {_PAN_E[0]} AS eb, {_PAN_E[1]} AS eo, CAST(t AS DOUBLE) / nullif(t + o, 0) AS share, haps, coalesce({_PAN_E[0]} > 0.5 AND {_PAN_E[1]} > 0.5 AND CAST(t AS DOUBLE) / nullif(t + o, 0) >= 0.3, FALSE) AND haps >= 2 AS passes FROM pl)"
+)
+
+
+def _pan_screen(spark, sf, matched):
+    m = mismatch.by_distance(matched.groupBy("query", "d", "hap", "region").agg(F.sum("n").alias("n")), ["hap", "region"])
     part = lambda r: F.coalesce(F.sum(F.when(F.col("region") == r, F.col("cumulative"))), F.lit(0))
     sums = m.where(OTHERS).groupBy("query", "hap", "d").agg(part("HSat2").alias("t"), part("HSat3").alias("o"), part("background").alias("b"))
     v = lambda r: F.sum(F.when(F.col("region") == r, F.col("valid_starts")))
@@ -130,14 +145,85 @@ def mismatch_screen(spark, sf):
     return mismatch.strict_pan(sums, den, broad_min=2, threshold=0.5, share=0.3, least=1)
 
 
+@query("mismatch_screen", fx.sql("s w", _SCREEN + " SELECT query, d, t, o, b, round(eb, 6) AS e_background, round(eo, 6) AS e_other, round(share, 6) AS share, haps, passes FROM ms"))
+def mismatch_screen(spark, sf):
+    out = _pan_screen(spark, sf, _matched(spark, sf, "hap", "region"))
+    return rounded(out.withColumn("query", K.decode(F.col("query"))).withColumn("d", F.col("d").cast("long")), "e_background", "e_other", "share")
+
+
+#: Haps fall into three groups by the digits of their names.
+_GRP = "CAST(substr(hap, 4) AS INT) % 3"
+_GROUPS = (
+    f", kc2 AS (SELECT kmer, hap, chrom, count(*) AS n FROM w WHERE region = 'HSat2' AND hap <> '{fx.REFERENCE_SOURCE}' AND hap IS NOT NULL GROUP BY ALL), gq AS (SELECT query, hap, chrom, d, sum(n) AS n FROM nb JOIN kc2 USING (kmer) GROUP BY ALL), gc AS (SELECT query, hap, chrom, r.range AS d, sum(CASE WHEN gq.d <= r.range THEN n ELSE 0 END) AS n FROM gq, range(3) r GROUP BY 1, 2, 3, 4)"
+    + f", mh AS (SELECT hap, chrom, sum(v) AS v, {_GRP} AS grp FROM st WHERE region = 'HSat2' AND hap <> '{fx.REFERENCE_SOURCE}' AND hap IS NOT NULL GROUP BY hap, chrom HAVING sum(v) > 0), ks AS (SELECT DISTINCT query, chrom, d FROM gc), gv AS (SELECT ks.query, ks.chrom, ks.d, mh.grp, coalesce(gc.n, 0) AS n, coalesce(gc.n, 0) / CAST(mh.v AS DOUBLE) * 1e6 AS x FROM ks JOIN mh USING (chrom) LEFT JOIN gc ON gc.query = ks.query AND gc.chrom = ks.chrom AND gc.d = ks.d AND gc.hap = mh.hap)"
+    + ", gm AS (SELECT gv.query, gv.chrom, gv.d, k.grp, avg(CAST(n >= 1 AS INT)) FILTER (gv.grp = k.grp) AS ip, avg(CAST(n >= 1 AS INT)) FILTER (gv.grp <> k.grp) AS op, quantile_cont(x, 0.5) FILTER (gv.grp = k.grp) AS im, quantile_cont(x, 0.5) FILTER (gv.grp <> k.grp) AS om FROM gv JOIN (SELECT DISTINCT chrom, grp FROM mh) k USING (chrom) GROUP BY 1, 2, 3, 4)"
+    + ", gs AS (SELECT query, chrom, d, 'G' || grp AS grp, ip, op, log2((im + 0.001) / (om + 0.001)) AS lc, coalesce(ip >= 0.3 AND log2((im + 0.001) / (om + 0.001)) >= 0.1, FALSE) AS enriched, coalesce(ip >= 0.3 AND log2((im + 0.001) / (om + 0.001)) >= 0.1 AND op <= 0.6, FALSE) AS specific FROM gm)"
+)
+
+
+def _group_screens(spark, sf, matched):
+    m = mismatch.by_distance(matched.where("region = 'HSat2'").groupBy("query", "d", "hap", "chrom").agg(F.sum("n").alias("n")), ["hap", "chrom"])
+    grp = F.concat(F.lit("G"), F.expr("try_cast(substr(hap, 4) as int) % 3").cast("string"))
+    haps = _stats(spark, sf).where(OTHERS).where("region = 'HSat2' and valid_starts > 0").select("hap", "chrom", "valid_starts", grp.alias("grp"))
+    rows = m.select("query", "hap", "chrom", "d", F.col("cumulative").alias("n")).join(haps, ["hap", "chrom"])
+    rows = rows.withColumn("density", F.col("n") / F.col("valid_starts") * 1e6)
+    contrast = landscape.group_contrast(rows, haps, ["query", "d"], "grp", least=1, within=["chrom"])
+    return screens.group_screens(contrast, presence=0.3, log2=0.1, specific=0.6)
+
+
+@query("group_mismatch_screens", fx.sql("s w", _NEAR + _STARTS + _GROUPS + " SELECT query, d, chrom, grp, round(ip, 6) AS in_presence, round(op, 6) AS out_presence, round(lc, 6) AS log2_contrast, enriched, specific FROM gs"))
+def group_mismatch_screens(spark, sf):
+    out = _group_screens(spark, sf, _matched(spark, sf, "hap", "chrom", "region"))
+    out = out.select(K.decode(F.col("query")).alias("query"), F.col("d").cast("long").alias("d"), "chrom", "grp", "in_presence", "out_presence", "log2_contrast", "enriched", "specific")
+    return rounded(out, "in_presence", "out_presence", "log2_contrast")
+
+
+_FINAL = (
+    _SCREEN + _GROUPS + ", qn AS (SELECT kmer AS query, row_number() OVER (ORDER BY n DESC, kmer) AS i FROM (SELECT kmer, count(*) AS n FROM w GROUP BY kmer) QUALIFY i <= 5), qc AS (SELECT query, i, CASE WHEN i % 2 = 1 THEN 'pan_HSat2' ELSE i || '_G' || i % 3 || CASE WHEN i % 4 = 0 THEN '_specific' ELSE '_enriched' END END AS category FROM qn)"
+    + ", ps AS (SELECT query, category, r.range AS d, CASE WHEN i % 2 = 1 THEN (SELECT passes FROM ms WHERE ms.query = qc.query AND ms.d = r.range) ELSE (SELECT CASE WHEN i % 4 = 0 THEN specific ELSE enriched END FROM gs WHERE gs.query = qc.query AND gs.d = r.range AND gs.chrom = qc.i AND gs.grp = 'G' || qc.i % 3) END AS ok FROM qc, range(3) r), tr AS (SELECT query, category, bool_and(coalesce(ok, FALSE)) FILTER (d = 0) AS p0, bool_and(coalesce(ok, FALSE)) FILTER (d = 1) AS p1, bool_and(coalesce(ok, FALSE)) FILTER (d = 2) AS p2 FROM ps GROUP BY 1, 2)"
+    + f", fr AS (SELECT query, category, CASE WHEN p2 THEN 'A_le2mm' WHEN p1 THEN 'B_le1mm' WHEN p0 THEN 'C_exact' ELSE 'D_none' END AS tier, {_Q.quality('query')} AS exact, 0.30 * least(1, greatest(0, eb / 10)) + 0.25 * least(1, greatest(0, eo / 10)) + 0.20 * least(1, greatest(0, (share - 0.9) / 0.1)) + 0.25 * least(1, greatest(0, haps / 2.0)) AS mm FROM tr JOIN ms USING (query) WHERE ms.d = 2), ff AS (SELECT *, round(0.55 * exact + 0.35 * mm + 0.10 * CASE tier WHEN 'A_le2mm' THEN 1.0 WHEN 'B_le1mm' THEN 0.6 WHEN 'C_exact' THEN 0.3 ELSE 0 END, 9) AS final FROM fr)"
+)
+
+
+def _final_ranks(spark, sf):
+    """Queries with the tier of their own category, the score and the place in their type: exact
+    evidence, mismatch evidence and screens meet here."""
+    matched = written(_matched(spark, sf, "hap", "chrom", "region"))
+    top = _top(spark, sf, 5).withColumn("i", F.row_number().over(Window.orderBy(F.desc("n"), "code")))  # five rows
+    group = F.concat(F.col("i"), F.lit("_G"), F.col("i") % 3, F.when(F.col("i") % 4 == 0, "_specific").otherwise("_enriched"))
+    queries = top.select(F.col("code").alias("query"), "kmer", F.when(F.col("i") % 2 == 1, "pan_HSat2").otherwise(group).alias("category"))
+    pan = written(_pan_screen(spark, sf, matched))
+    flags = queries.withColumn("d", F.explode(F.array(*map(F.lit, range(3)))))
+    none = spark.createDataFrame([], "query long, d int, chrom long")
+    passed = screens.dispatch(flags, pan.where("passes"), none, _group_screens(spark, sf, matched))
+    p = lambda d: F.max(F.when(F.col("d") == d, F.col("passes")))
+    tiers = passed.groupBy("query", "kmer", "category", "kind").agg(M.tier([p(0), p(1), p(2)]).alias("tier"))
+    rows = tiers.join(pan.where("d = 2").drop("d"), "query").withColumn("exact", F.round(K.quality(F.col("kmer")), 6))
+    rows = rows.withColumn("mismatch", M.mismatch_score(F.col("e_background"), F.col("e_other"), F.col("share"), F.col("haps"), F.lit(2)))
+    rows = rows.withColumn("final", F.round(M.final_score(F.col("exact"), F.col("mismatch"), F.col("tier")), 9))
+    return ranking.rank_within(rows, ["kind"], [F.desc("final"), F.asc("query")])
+
+
+@query("final_ranks", fx.sql("s w", _FINAL + " SELECT query AS kmer, reverse(translate(query, 'ACGT', 'TGCA')) AS reverse_complement, category, tier, exact, round(mm, 6) AS mismatch, round(final, 6) AS final, row_number() OVER (PARTITION BY category LIKE 'pan%' ORDER BY final DESC, query) AS rank FROM ff"))
+def final_ranks(spark, sf):
+    rows = _final_ranks(spark, sf)
+    return rounded(rows.select("kmer", K.reverse_complement(F.col("kmer")).alias("reverse_complement"), "category", "tier", "exact", "mismatch", "final", F.col("rank").cast("long").alias("rank")), "mismatch", "final")
+
+
+@query("top_by_radius", fx.sql("s w", _FINAL + ", tp30 AS (SELECT query, row_number() OVER (ORDER BY final DESC, query) AS place FROM ff QUALIFY place <= 30) SELECT place, query AS kmer, " + ", ".join(f"max(round({c}, 6)) FILTER (d = {d}) AS {c}_{d}" for c in ("eb", "eo") for d in range(3)) + ", " + ", ".join(f"max(haps) FILTER (d = {d}) AS haps_{d}" for d in range(3)) + " FROM tp30 JOIN ms USING (query) GROUP BY 1, 2"))
+def top_by_radius(spark, sf):
+    """The best 30 by final score, with both enrichments and the passing haps at every radius."""
+    best = _final_ranks(spark, sf).orderBy(F.desc("final"), "query").limit(30)
+    best = best.select("query", "kmer", F.row_number().over(Window.orderBy(F.desc("final"), "query")).cast("long").alias("place"))
+    rows = best.join(_pan_screen(spark, sf, _matched(spark, sf, "hap", "region")), "query")
+    at = lambda c, d: F.max(F.when(F.col("d") == d, F.col(c)))
+    wide = [F.round(at(c, d), 6).alias(f"{n}_{d}") for c, n in (("e_background", "eb"), ("e_other", "eo")) for d in range(3)] + [at("haps", d).alias(f"haps_{d}") for d in range(3)]
+    return rows.groupBy("place", "kmer").agg(*wide)
+
+
 @query("fasta_roundtrip", fx.sql("s", "SELECT CAST(doc_id AS VARCHAR) AS name, length(replace(seq, chr(10), '')) AS bases, md5(replace(seq, chr(10), '')) AS digest FROM s"))
 def fasta_roundtrip(spark, sf):
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="fasta-")
-    path = f"{at}/fasta-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
     seqs = fx.sequences(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.replace("seq", F.lit("\n"), F.lit("")).alias("seq"))
     files.write_fasta(seqs, path, compression="gzip")
     return files.read_fasta(spark, path).select("name", F.length("seq").cast("long").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))

@@ -80,15 +80,81 @@ def test_systematic_pool(spark, width):
     assert {r["id"] for r in got} == reference_pool(n, width)
 
 
+def like(a, b):
+    """The rule itself: within 2 bases in either orientation, or 12 bases in a row shared."""
+    rc = b[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return min(sum(x != y for x, y in zip(a, t, strict=True)) for t in (b, rc)) <= 2 or any(a[i : i + 12] in t for i in range(5) for t in (b, rc))
+
+
+def test_picks_follow_the_rule():
+    rng = np.random.default_rng(3)
+    base = ["".join(rng.choice(list("ACGT"), 16)) for _ in range(30)]
+    texts = []
+    for s in base:
+        rc = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        texts += [s, s[:3] + "A" + s[4:9] + "C" + s[10:], s[2:14] + "GATT", "GAT" + rc[1:13] + "C", s[:8] + rc[:8]]
+    for a in texts[:40]:
+        picks = ranking.Picks()
+        picks.add(a)
+        assert [picks.admits(b) for b in texts] == [not like(b, a) for b in texts]
+
+
 def test_selections(spark):
-    assert ranking.similar("A" * 16, "T" * 16) and not ranking.similar("ACGTTGCAATGCCGTA", "GATTACAGATTACAGA")
-    pools = [[("a", "A" * 16), ("b", "C" * 8 + "A" * 8)], [("a", "A" * 16), ("c", "GATTACAGATTACAGA")]]
-    assert ranking.round_robin(pools) == ["a", "b", "c"]
+    assert ranking.round_robin([[("a", "A" * 16), ("b", "C" * 8 + "A" * 8)], [("a", "A" * 16), ("c", "GATTACAGATTACAGA")]]) == ["a", "b", "c"]
     assert ranking.balanced_fill(["a"], {"x": [("a", "A" * 16), ("b", "GATTACAGATTACAGA")], "y": []}, 5) == ["a", "b"]
+    rng = np.random.default_rng(8)
+    names = ["".join(rng.choice(list("ACGT"), 16)) for _ in range(60)]
+    queues = [[(int(i), names[i]) for i in rng.permutation(60)[:20]] for _ in range(4)]
+    for taken, rounds, most in (([], 3, 24), ([1, 5], None, 30), ([1, 5], None, 99), ([], 3, 5)):
+        got, own = list(taken), [[] for _ in queues]
+        for _ in range(rounds or 99):
+            for q, picks in zip(queues, own, strict=True):
+                free = [(i, s) for i, s in q if i not in got and not any(like(s, p) for p in picks)]
+                if free and len(got) < most:
+                    got.append(free[0][0])
+                    picks.append(free[0][1])
+        assert ranking.interleaved(queues, taken, most, rounds) == sorted(got)
+
+
+@pytest.mark.parametrize("ahead", [2, 256])
+def test_shortlists(spark, tmp_path, ahead):
+    seen = []
+
+    def keep(df):
+        seen.append(1)
+        df.write.parquet(str(tmp_path / f"t{len(seen)}"))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / f"t{len(seen)}"))
+
+    rng = np.random.default_rng(4)
     rows = [("f", "pan", "A" * 16, 3.0), ("f", "pan", "A" * 15 + "C", 2.0), ("f", "pan", "GATTACAGATTACAGA", 1.0)]
+    rows += [("f", "chromosome_1", "ACGT" * 3 + "".join(rng.choice(list("ACGT"), 4)), float(i)) for i in range(30)] + [("f", "chromosome_1", "".join(rng.choice(list("ACGT"), 16)), -float(i)) for i in range(9)]
     df = spark.createDataFrame(rows, "family string, category string, kmer string, score double")
-    got = ranking.greedy_shortlist(df, ["family", "category"]).orderBy("category_rank").collect()
-    assert [(r["kmer"], r["category_rank"]) for r in got] == [("A" * 16, 1), ("GATTACAGATTACAGA", 2)]
+    got = {}
+    for r in ranking.greedy_shortlist(df, ["family", "category"], keep, ahead=ahead).orderBy("category_rank").collect():
+        got.setdefault(r["category"], []).append(r["kmer"])
+    assert got["pan"] == ["A" * 16, "GATTACAGATTACAGA"]
+    want = []
+    for _, _, s, _ in sorted((r for r in rows if r[1] != "pan"), key=lambda r: (-r[3], r[2])):
+        if len(want) < 5 and not any(like(s, p) for p in want):
+            want.append(s)
+    assert got["chromosome_1"] == want
+
+
+def test_contrast_counts_zeros(spark):
+    rng = np.random.default_rng(5)
+    haps = [(c, h, f"G{h % 3}") for c in (1, 2) for h in range(10 + c)]
+    rows = [(k, c, h, g, int(n), float(n) / 3) for k in range(6) for c, h, g in haps if (n := rng.integers(0, 30) * (rng.random() < 0.5)) > 0]
+    df = spark.createDataFrame(rows, "code long, chrom long, hap long, grp string, n long, density double")
+    got = landscape.group_contrast(df, spark.createDataFrame(haps, "chrom long, hap long, grp string"), ["code"], "grp", within=["chrom"]).collect()
+    full = {(k, c, h): (0, 0.0) for k, c in {r[:2] for r in rows} for cc, h, _ in haps if cc == c} | {(k, c, h): (n, d) for k, c, h, _, n, d in rows}
+    assert len(got) == 3 * len({r[:2] for r in rows})
+    for r in got:
+        side = {True: [], False: []}
+        for (k, c, h), v in full.items():
+            if (k, c) == (r["code"], r["chrom"]):
+                side[f"G{h % 3}" == r["grp"]].append(v)
+        for inside, a, b in ((True, "in_presence", "in_median"), (False, "out_presence", "out_median")):
+            assert r[a] == pytest.approx(np.mean([n >= 10 for n, _ in side[inside]])) and r[b] == pytest.approx(np.median([d for _, d in side[inside]]))
 
 
 def test_components(spark, tmp_path):

@@ -33,9 +33,10 @@ def test_dispatch_and_radius(spark):
     df = spark.createDataFrame(rows, "query long, category string, d int")
     pan = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "query long, d int")
     chrom = spark.createDataFrame([(2, 0, 3), (2, 2, 3), (2, 1, 4)], "query long, d int, chrom int")
-    group = spark.createDataFrame([(3, d, "G2") for d in range(3)] + [(1, 2, "G2")], "query long, d int, grp string")
+    df = df.unionByName(spark.createDataFrame([(4, "9_G2_enriched", d) for d in range(3)] + [(5, "8_G2_specific", d) for d in range(3)], df.schema))
+    group = spark.createDataFrame([(q, d, 9, "G2", True, q == 3 or d == 0) for q in (3, 4, 5) for d in range(3)] + [(1, 2, 9, "G2", True, True), (3, 2, 9, "G1", False, False)], "query long, d int, chrom int, grp string, enriched boolean, specific boolean")
     got = screens.dispatch(df, pan, chrom, group)
-    assert {r["query"]: r["radius"] for r in screens.largest_radius(got, ["query"]).collect()} == {1: 1, 2: 0, 3: 2}
+    assert {r["query"]: r["radius"] for r in screens.largest_radius(got, ["query"]).collect()} == {1: 1, 2: 0, 3: 2, 4: 2, 5: None}
 
 
 def test_undefined_fails(spark):
