@@ -11,9 +11,10 @@ have only shingles of their own in that prefix and drop out, and boilerplate com
 2. Shared hashes return to their sets as (set, hash, count); prefixes follow from them and from
    set sizes. Prefix hashes join sets of compatible sizes into candidate groups.
 3. A candidate group of bounded size is one tile. A larger one is cut into blocks that share a leader,
-   which joins groups of near copies at once. Where that leaves a group in several components, its sets
-   meet again by prefix hash, under those hashes alone whose sets are still apart: size bands of ratio
-   1/t, and sub-blocks where a band is large; a tile holds a block or a pair whose sizes can match.
+   which joins groups of near copies at once. Where that leaves a group in several components, few sets
+   outside the largest one meet each of its blocks; more sets meet as pairs of blocks, and those of a
+   group of many blocks by prefix hash, under the hashes alone whose sets are still apart. Blocks are
+   size bands of ratio 1/t, and sub-blocks where a band is large; pairs are those whose sizes match.
 4. Inside a tile, parity bitmaps bound overlaps from above by bit counts; the pairs left are
    intersected exactly as sorted arrays, unless already joined. Tiles give spanning links only.
 """
@@ -273,6 +274,18 @@ def _group_tiles(found: DataFrame, parcels: int) -> DataFrame:
     return whole.unionByName(cut.withColumn("parcel", F.col("tile")))
 
 
+def _few_tiles(found: DataFrame) -> DataFrame:
+    """(key, set_id, tile, side, parcel) of groups that one component fills but for few sets: these meet
+    each other, and each block of the component."""
+    rest = found.where("now <> major")
+    own = rest.select("key", "set_id", F.xxhash64("root", F.lit(-1)).alias("tile"), F.lit(0).alias("side"))
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("long")
+    full = found.where("now = major").select("key", "set_id", F.xxhash64("root", block).alias("tile"), F.lit(1).alias("side"))
+    spots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    again = rest.select("key", "set_id", "root", spots.alias("spot")).select("key", "set_id", F.xxhash64("root", "spot").alias("tile"), F.lit(0).alias("side"))
+    return own.unionByName(full).unionByName(again).withColumn("parcel", F.col("tile"))
+
+
 def _hash_rows(batches):
     """(root, set_id) of the prefixes' blobs (part, hashes, sets): a row for each hash of a set."""
     for batch in batches:
@@ -310,7 +323,7 @@ def _tiles(found: DataFrame, threshold: tuple[int, int], tile_bytes: int, tile_r
     return small.unionByName(large.withColumn("parcel", F.col("tile")))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, bucket_hashes: int = 1 << 21, broadcast_rows: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, pair_blocks: int = 64, bucket_hashes: int = 1 << 21, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, keeper_key) of every row of docs (doc_id, text). key
     is row_key(), keeper_key that of the row of the component that a deduplication keeps.
 
@@ -354,15 +367,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     large = found.where("n_blocks > 1")
     if not large.isEmpty():
         now = components(pairs, "settled", tasks)
-        large = staged(large.join(now.withColumnRenamed("root", "r"), F.col("set_id") == F.col("node"), "left").select("set_id", "key", "n", "bytes", "root", F.coalesce("r", "set_id").alias("now")), "large", tasks)
-        apart = large.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
-        open_sets = staged(join_hot(large, apart, "root").drop("root"), "unsettled", tasks)
-        if not open_sets.isEmpty():
+        large = staged(large.join(now.withColumnRenamed("root", "r"), F.col("set_id") == F.col("node"), "left").select("set_id", "key", "n", "bytes", "root", "n_blocks", F.coalesce("r", "set_id").alias("now")), "large", tasks)
+        classes = large.groupBy("root", "now").agg(F.count("*").alias("c"), F.first("n_blocks").alias("n_blocks"))
+        apart = classes.groupBy("root").agg(F.max(F.struct("c", "now")).alias("most"), (F.sum("c") - F.max("c")).alias("others"), F.count("*").alias("classes"), F.first("n_blocks").alias("blocks")).where("classes > 1")
+        few = F.col("others") <= tile_rows
+        way = F.when(few, "few").when(F.col("blocks") <= pair_blocks, "blocks").otherwise("hashes")
+        rest = staged(join_hot(large, apart.select("root", F.col("most.now").alias("major"), "blocks", way.alias("way")), "root"), "unsettled", tasks)
+        ways = {r[0] for r in rest.select("way").distinct().collect()}
+        if "few" in ways:
+            pairs = pairs.unionByName(verified(_few_tiles(rest.where("way = 'few'")), "few-pairs"))
+        if "blocks" in ways:
+            pairs = pairs.unionByName(verified(_tiles(rest.where("way = 'blocks'").select("key", "set_id", "n", "bytes", "root"), threshold, tile_bytes, tile_rows), "block-pairs"))
+        if "hashes" in ways:
             rows = prefixes.select("part", "hashes", "sets").mapInArrow(_hash_rows, "root long, set_id long").distinct()
-            rows = staged(rows.join(open_sets, "set_id"), "hash-sets", tasks)
-            apart = rows.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
-            rows = staged(join_hot(rows, apart, "root").drop("now"), "apart", tasks)
-            pairs = pairs.unionByName(verified(_tiles(rows, threshold, tile_bytes, tile_rows), "more-pairs"))
+            rows = staged(rows.join(rest.where("way = 'hashes'").select("set_id", "key", "n", "bytes", "now"), "set_id"), "hash-sets", tasks)
+            mixed = rows.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
+            rows = staged(join_hot(rows, mixed, "root").drop("now"), "apart", tasks)
+            pairs = pairs.unionByName(verified(_tiles(rows, threshold, tile_bytes, tile_rows), "hash-pairs"))
     links = components(pairs, "links", tasks)
     sets = by_set.select("set_id", "doc_id", "head").join(links, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", "head", F.coalesce("root", "set_id").alias("root"))
     least = sets.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("head").alias("first"))

@@ -36,6 +36,14 @@ def test_ids_of_long_runs(text):
     assert ids_of(texts) == [HF.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_runs_are_seen_wherever_they_start():
+    for at in (0, 1, 499, 500, 777):
+        for run in (" " * 1000, "x" * 1000, "\u3000" * 334):
+            raw, offs = common.string_buffers(pa.array(["ab " * 50, "", "cd " * (at // 3) + "c" * (at % 3) + " " * (run[0] == "x") + run, "ef " * 400]))
+            plain = packing.without_long_runs(raw, offs)
+            assert not plain[2] and plain[3] and len(plain) == 4
+
+
 def test_tokens_of_odd_rows(spark):
     rows = [(1, " " * 300_000 + "end", 5), (2, "a<|endoftext|>b", 6), (None, "c", 7), (2, "a<|endoftext|>b", 6)]
     got = packing.tokenize(spark.createDataFrame(rows, "doc_id long, text string, length int"), with_ids=True).collect()

@@ -113,7 +113,7 @@ def brute_components(docs):
     return sorted((d, len(sets[i]), min(groups[find(i)])) for i, (d, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("kw", [{}, {"bucket_hashes": 64, "tile_bytes": 3000, "tile_rows": 5}])
+@pytest.mark.parametrize("kw", [{}, {"bucket_hashes": 64, "tile_bytes": 3000, "tile_rows": 5}, {"tile_rows": 5, "pair_blocks": 1}, {"tile_rows": 20}])
 def test_jaccard_against_all_pairs(spark, kw):
     docs = corpus()
     df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id long, text string, key string, n int")
@@ -121,6 +121,17 @@ def test_jaccard_against_all_pairs(spark, kw):
     assert sorted(map(tuple, got)) == brute_components(docs)
 
 
+def test_few_sets_outside_a_large_component(spark):
+    rng = random.Random(19)
+    base = [f"n{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(base, rng, 1))) for i in range(60)]
+    # two that resemble one copy alone, each by other parts of it
+    rows += [(100, " ".join([*rows[7][1].split()[:105], *(f"p{i}" for i in range(9))])), (101, " ".join([*(f"r{i}" for i in range(9)), *rows[9][1].split()[15:]])), (102, " ".join(base[:60] + [f"s{i}" for i in range(60)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, tile_rows=8).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+
+
 def test_chain_of_unlike_sets_has_few_tiles(spark, monkeypatch):
     lines = [" ".join(f"c{i}_{j}" for j in range(20)) for i in range(301)]
     rows = [(i, f"{lines[i]} {lines[i + 1]}") for i in range(300)]
@@ -135,7 +146,7 @@ def test_chain_of_unlike_sets_has_few_tiles(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "staged", staged)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard.jaccard_components(df, tile_rows=10).select("doc_id", "n_shingles", "component_id").collect()
+    got = jaccard.jaccard_components(df, tile_rows=10, pair_blocks=4).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute_components(rows)
     assert len(tiles) == 2 and tiles[0] <= 2 * len(rows) and tiles[1] <= 30 * len(rows)
 
