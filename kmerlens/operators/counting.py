@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bases that are encoded at once; temporaries take about 80 bytes each.
+SEGMENT = 1 << 20
 _BASE = np.full(256, 4, np.uint8)
 for _i, _letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
     for _c in _letters:
@@ -57,31 +59,49 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(sequences: DataFrame, k: int = 16, keys: list[str] | None = None, positions: bool = False) -> DataFrame:
-    """Canonical windows of sequences (keys, seq): (keys, code, strand, n) summed within Arrow
-    batches, or (keys, code, strand, start) of every window. strand is 1 where the reverse complement
+    """Canonical windows of sequences (keys, seq): (keys, code, strand, n) summed within pieces of
+    about SEGMENT bases, or (keys, code, strand, start) of every window. A longer row is walked in
+    pieces, so memory beside the row itself is bounded. strand is 1 where the reverse complement
     is the smaller one; a palindrome has strand 0. Windows hold ACGT only, in either case, and never
     span two rows. Null or short sequences have no window."""
     keys = [c for c in sequences.columns if c != "seq"] if keys is None else keys
     rows = sequences.select(*keys, "seq")
 
+    def windows_of(raw, offs, first, shift):
+        """Rows of the windows of some rows, or of one piece of a long one that starts at ``shift``."""
+        codes = np.insert(_BASE[raw], offs[1:-1], 4) if len(offs) > 2 else _BASE[raw]
+        at, f, r = _rolling(codes, k)
+        starts = offs + np.arange(len(offs))
+        row = np.searchsorted(starts, at, "right") - 1
+        code, strand = np.minimum(f, r), (f > r).astype(np.int32)
+        if positions:
+            return row + first, code, strand, at - starts[row] + shift
+        order = np.lexsort((strand, code, row))
+        row, code, strand = row[order], code[order], strand[order]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]) | (strand[1:] != strand[:-1]))) if len(row) else row
+        return row[new] + first, code[new], strand[new], np.diff(np.append(new, len(row)))
+
+    def pieces(raw, offs):
+        """Runs of rows of about SEGMENT bases, and pieces of longer rows that overlap by k - 1."""
+        lo, n = 0, len(offs) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SEGMENT, "right")) - 1)
+            if offs[hi] - offs[lo] <= SEGMENT + k:
+                yield raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, 0
+            else:
+                for at in range(int(offs[lo]), int(offs[hi]) - k + 1, SEGMENT):
+                    end = min(at + SEGMENT + k - 1, int(offs[hi]))
+                    yield raw[at:end], np.array([0, end - at]), lo, at - int(offs[lo])
+            lo = hi
+
     def run(batches):
+        name = "start" if positions else "n"
         for batch in batches:
-            raw, offs = _buffers(batch.column(len(keys)))
-            codes = np.insert(_BASE[raw], offs[1:-1], 4) if len(offs) > 2 else _BASE[raw]
-            at, f, r = _rolling(codes, k)
-            first = offs + np.arange(len(offs))
-            row = np.searchsorted(first, at, "right") - 1
-            code, strand = np.minimum(f, r), (f > r).astype(np.int32)
-            if positions:
-                extra, name = pa.array(at - first[row]), "start"
-            else:
-                order = np.lexsort((strand, code, row))
-                row, code, strand = row[order], code[order], strand[order]
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]) | (strand[1:] != strand[:-1]))) if len(row) else row
-                extra, name = pa.array(np.diff(np.append(new, len(row)))), "n"
-                row, code, strand = row[new], code[new], strand[new]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(code), pa.array(strand), extra], names=[*keys, "code", "strand", name])
+            for piece in pieces(*_buffers(batch.column(len(keys)))):
+                row, code, strand, extra = windows_of(*piece)
+                if len(row):
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(code), pa.array(strand), pa.array(extra)], names=[*keys, "code", "strand", name])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
     return rows.mapInArrow(run, f"{types + ', ' if keys else ''}code long, strand int, {'start' if positions else 'n'} long")
@@ -130,3 +150,36 @@ def lookup(counts: DataFrame, key: str, value, candidates: DataFrame) -> DataFra
     if candidates.where(F.col(key) == value).isEmpty():
         raise KeyError(f"{value} is not a candidate")
     return counts.where(F.col(key) == value)
+
+
+def lookup_kmer(counts: DataFrame, kmer: str, candidates: DataFrame, k: int = 16, key: str = "code") -> DataFrame:
+    """Counts of a k-mer given as text, in either orientation and case. Text that is no k-mer of this
+    length, or one that is no candidate, is an error."""
+    text = kmer.upper()
+    if len(text) != k or set(text) - set("ACGT"):
+        raise ValueError(f"{kmer!r} is not a {k}-mer")
+    code = min(int(x.translate(str.maketrans("ACGT", "0123")), 4) for x in (text, text[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+    return lookup(counts, key, code, candidates)
+
+
+def pilot(manifest: DataFrame, n: int, order: str = "hap") -> DataFrame:
+    """The first n haps of a manifest, for a trial run."""
+    return manifest.orderBy(order).limit(n)
+
+
+def substring_hits(sequences: DataFrame, motifs: list[str], keys: list[str]) -> DataFrame:
+    """(keys, motif, start) of every place where one of the motifs stands, overlapping ones too: a plain
+    search in the text, which shares nothing with ``windows`` and checks it."""
+    length = len(motifs[0])
+    places = F.sequence(F.lit(0), F.greatest(F.length("seq") - length, F.lit(-1)))
+    found = F.filter(F.when(F.length("seq") >= length, places), lambda i: F.substring("seq", i + 1, F.lit(length)).isin(motifs))
+    rows = sequences.select(*keys, "seq", F.explode(found).alias("start"))
+    return rows.select(*keys, F.substring("seq", F.col("start") + 1, F.lit(length)).alias("motif"), F.col("start").cast("long").alias("start"))
+
+
+def region_views(haps: DataFrame, regions: tuple[str, ...] = ("HSat2", "HSat3", "HSat23", "ambiguous", "background"), folder: str = "regions") -> DataFrame:
+    """(hap, region, source_fasta, region_bed, coordinate_system): where each region of each hap (hap,
+    fasta) is found."""
+    rows = haps.select("hap", F.col("fasta").alias("source_fasta"), F.explode(F.array(*map(F.lit, regions))).alias("region"))
+    bed = F.concat_ws("/", F.lit(folder), F.col("hap").cast("string"), F.concat("region", F.lit(".bed")))
+    return rows.select("hap", "region", "source_fasta", bed.alias("region_bed"), F.lit("filtered_oriented_fasta_0based_halfopen").alias("coordinate_system"))

@@ -1,8 +1,9 @@
 """Half-open intervals [start, end) on keyed axes (by default ``chromosome``).
 
-Unions, gaps and sweeps are window functions over one key's boundaries. Overlap and containment
-joins bin one axis so that they are equi-joins with a residual range predicate: no nested loop,
-and a hot key is spread over its bins.
+Unions, gaps, sweeps and as-of joins are window functions inside bins of an axis; what runs on from
+one bin to the next comes from one row for each bin. Overlap and containment joins bin one axis so
+that they are equi-joins with a residual range predicate: no nested loop. So a hot key is spread
+over its bins.
 """
 
 from __future__ import annotations
@@ -12,19 +13,34 @@ from pyspark.sql import functions as F
 
 KEYS = ["chromosome"]
 BIN = 1 << 14
+#: Bases that one task of a running maximum or sum works on.
+SCAN_BIN = 1 << 22
 
 
 def valid(start: Column, end: Column, length: Column) -> Column:
     return F.coalesce((start >= 0) & (start < end) & (end <= length), F.lit(False))
 
 
-def merge(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Union of the intervals of each key; touching ones join."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.select(*keys, "start", "end").withColumn("fresh", F.when(F.col("start") <= reach, 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def _with_before(df: DataFrame, keys: list[str], width: int, **parts: Column) -> DataFrame:
+    """df with ``_bin`` of its start, and of each part, an aggregate, its maximum over all bins before:
+    what a running maximum, or the last of ever greater values, brings into a bin. Rows are then worked
+    on by bin, so a long axis is many tasks; only one row for each bin meets by key."""
+    rows = df.withColumn("_bin", F.floor(F.col("start") / width))
+    per = rows.groupBy(*keys, "_bin").agg(*(c.alias(name) for name, c in parts.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(per.select(*keys, "_bin", *(F.max(name).over(earlier).alias(name) for name in parts)), [*keys, "_bin"])
+
+
+def merge(df: DataFrame, keys: list[str] = KEYS, width: int = SCAN_BIN) -> DataFrame:
+    """Union of the intervals of each key; touching ones join. An island is known by its start: that of
+    its first interval, which none before it reaches."""
+    rows = _with_before(df.select(*keys, "start", "end"), keys, width, _reach=F.max("end"))
+    order = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
+    reach = F.greatest("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("fresh", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), F.col("start"))).drop("_bin", "_reach")
+    rows = _with_before(rows, keys, width, _island=F.max("fresh"))
+    island = F.coalesce(F.max("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_island")
+    return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.max("end").alias("end")).select(*keys, F.col("island").alias("start"), "end")
 
 
 def _binned(df: DataFrame, width: int) -> DataFrame:
@@ -46,42 +62,51 @@ def intersect(a: DataFrame, b: DataFrame, keys: list[str] = KEYS, width: int = B
     return cut.select(*keys, F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
 
 
-def _sweep(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def _sweep(a: DataFrame, b: DataFrame, keys: list[str], width: int = SCAN_BIN) -> DataFrame:
     """Segments between neighbouring boundaries with the number of intervals of a and b over them."""
     events = None
     for df, name in ((a, "in_a"), (b, "in_b")):
         for col, step in (("start", 1), ("end", -1)):
             part = df.select(*keys, F.col(col).alias("start"), *(F.lit(step if n == name else 0).alias(n) for n in ("in_a", "in_b")))
             events = part if events is None else events.unionByName(part)
-    points = events.groupBy(*keys, "start").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-    order = Window.partitionBy(*keys).orderBy("start")
+    points = events.groupBy(*keys, "start").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).withColumn("_bin", F.floor(F.col("start") / width))
+    per = points.groupBy(*keys, "_bin").agg(F.sum("in_a").alias("a0"), F.sum("in_b").alias("b0"), F.min("start").alias("s0"))
+    over = Window.partitionBy(*keys).orderBy("_bin")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    # what the bins before leave open, and where the next bin starts
+    per = per.select(*keys, "_bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("a0", "b0")), F.lead("s0").over(over).alias("s0"))
+    order = Window.partitionBy(*keys, "_bin").orderBy("start")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return points.select(*keys, "start", F.lead("start").over(order).alias("end"), F.sum("in_a").over(upto).alias("in_a"), F.sum("in_b").over(upto).alias("in_b"))
+    end = F.coalesce(F.lead("start").over(order), "s0")
+    return points.join(per, [*keys, "_bin"]).select(*keys, "start", end.alias("end"), (F.col("a0") + F.sum("in_a").over(upto)).alias("in_a"), (F.col("b0") + F.sum("in_b").over(upto)).alias("in_b"))
 
 
-def subtract(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, keys: list[str] = KEYS, width: int = SCAN_BIN) -> DataFrame:
     """What is in a and not in b."""
-    return merge(_sweep(a, b, keys).where("in_a > 0 and in_b = 0"), keys)
+    return merge(_sweep(a, b, keys, width).where("in_a > 0 and in_b = 0"), keys, width)
 
 
-def complement(df: DataFrame, lengths: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def complement(df: DataFrame, lengths: DataFrame, keys: list[str] = KEYS, width: int = SCAN_BIN) -> DataFrame:
     """The rest of [0, length) of every key of lengths (keys, length), also of keys without intervals."""
     whole = lengths.where("length > 0").select(*keys, F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
-    return subtract(whole, df, keys)
+    return subtract(whole, df, keys, width)
 
 
-def region_partition(annotation: DataFrame, lengths: DataFrame, families: tuple[str, str] = ("HSat2", "HSat3"), keys: list[str] = KEYS) -> DataFrame:
+def region_partition(annotation: DataFrame, lengths: DataFrame, families: tuple[str, str] = ("HSat2", "HSat3"), keys: list[str] = KEYS, store=lambda df: df, width: int = SCAN_BIN) -> DataFrame:
     """(keys, region, start, end): each family alone, their union (HSat23), their overlap (ambiguous)
-    and the background. The families, the overlap and the background tile the axis."""
-    first, second = (merge(annotation.where(F.col("label") == f), keys) for f in families)
-    both = intersect(first, second, keys)
-    union = merge(first.unionByName(second), keys)
-    parts = {families[0]: subtract(first, both, keys), families[1]: subtract(second, both, keys), "HSat23": union, "ambiguous": both, "background": complement(union, lengths, keys)}
-    out = None
+    and the background. The families, the overlap and the background tile the axis. The merged families
+    and what follows from them are read several times; ``store`` (DataFrame to DataFrame) may write them."""
+    merged = store(merge(annotation.where(F.col("label").isin(*families)).select(*keys, "label", "start", "end"), [*keys, "label"], width))
+    first, second = (merged.where(F.col("label") == f).select(*keys, "start", "end") for f in families)
+    both = store(intersect(first, second, keys))
+    union = store(merge(merged.select(*keys, "start", "end"), keys, width))
+    # both families lose their overlap in one sweep
+    overlaps = both.select(*keys, "start", "end").crossJoin(F.broadcast(annotation.sparkSession.createDataFrame([(f,) for f in families], "label string")))  # two rows
+    own = subtract(merged, overlaps, [*keys, "label"], width).select(*keys, F.col("label").alias("region"), "start", "end")
+    parts = {"HSat23": union, "ambiguous": both, "background": complement(union, lengths, keys, width)}
     for name, df in parts.items():
-        part = df.select(*keys, F.lit(name).alias("region"), "start", "end")
-        out = part if out is None else out.unionByName(part)
-    return out
+        own = own.unionByName(df.select(*keys, F.lit(name).alias("region"), "start", "end"))
+    return own
 
 
 def contained(hits: DataFrame, intervals: DataFrame, keys: list[str] = KEYS, width: int = BIN) -> DataFrame:
@@ -100,15 +125,15 @@ def inside(hits: DataFrame, intervals: DataFrame, keys: list[str] = KEYS, width:
     return left.join(right, on, "left_semi").drop("bin")
 
 
-def asof(hits: DataFrame, intervals: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+def asof(hits: DataFrame, intervals: DataFrame, keys: list[str] = KEYS, width: int = SCAN_BIN) -> DataFrame:
     """hits with the interval that starts last at or before them (i_start, i_end, null if none); of
-    equal starts the longest."""
+    equal starts the longest. Bins without hits still pass their last interval on."""
     hit = hits.withColumn("_hit", F.lit(1)).withColumn("i", F.lit(None).cast("struct<start:bigint,end:bigint>"))
     mark = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
     mark = mark.select(*keys, "start", F.struct("start", "end").alias("i"), F.lit(0).alias("_hit"))
-    both = hit.unionByName(mark, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("start", "_hit").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("i", F.last("i", ignorenulls=True).over(order)).where("_hit = 1")
+    both = _with_before(hit.unionByName(mark, allowMissingColumns=True), keys, width, _last=F.max("i"))
+    order = Window.partitionBy(*keys, "_bin").orderBy("start", "_hit").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("i", F.coalesce(F.last("i", ignorenulls=True).over(order), "_last")).where("_hit = 1")
     return rows.select(*hits.columns, F.col("i.start").alias("i_start"), F.col("i.end").alias("i_end"))
 
 

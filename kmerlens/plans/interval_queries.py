@@ -8,6 +8,7 @@ from ..operators import audit, intervals, landscape
 from ..sources import eligibility
 from . import fixtures as fx
 from .registry import query
+from .written import written
 
 WIDTH = 2048
 
@@ -22,7 +23,7 @@ def _union(spark, sf):
 
 
 def _partition(spark, sf):
-    return intervals.region_partition(fx.intervals(spark, sf), fx.lengths(spark, sf))
+    return intervals.region_partition(fx.intervals(spark, sf), fx.lengths(spark, sf), store=written)
 
 
 _SE = 's AS start, e AS "end"'
@@ -168,7 +169,7 @@ def chromosome_status(spark, sf):
 
 @query("audit_intervals", "SELECT unnest(['partition', 'overlay_sums', 'containment_agrees']) AS \"check\", CAST(0 AS BIGINT) AS violations")
 def audit_intervals(spark, sf):
-    hits, union = fx.hits(spark, sf), _union(spark, sf)
+    hits, union = fx.hits(spark, sf), written(_union(spark, sf))
     by_asof = intervals.asof(hits, union).where(F.col("end") <= F.col("i_end")).select("event_id")
     return audit.violations(
         {

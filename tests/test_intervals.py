@@ -35,7 +35,7 @@ def test_random_sets_of_bases(spark):
         b = [(s := rng.randrange(150), s + rng.randrange(1, 30)) for _ in range(12)]
         rows = frame(spark, a, ["HSat2"]).unionByName(frame(spark, b, ["HSat3"]))
         lengths = spark.createDataFrame([(0, 200)], "chromosome long, length long")
-        parts = intervals.region_partition(rows, lengths)
+        parts = intervals.region_partition(rows, lengths, width=width)
         bases = {}
         for r in parts.collect():
             bases.setdefault(r["region"], set()).update(range(r["start"], r["end"]))
@@ -55,6 +55,24 @@ def test_random_sets_of_bases(spark):
         assert labels == {i: next((n for n, v in (("HSat3", b), ("HSat2", a)) if any(x <= s and e <= y for x, y in v)), "outside") for i, s, e in hits}
 
 
+def test_scans_over_many_bins(spark):
+    rng = random.Random(4)
+    rows = [(k, s := rng.randrange(400), s + rng.randrange(1, 60 if rng.random() < 0.1 else 6)) for k in (0, 1) for _ in range(60)]
+    df = spark.createDataFrame(rows, "chromosome long, start long, end long")
+    want = {k: sorted(set().union(*({*range(s, e)} for c, s, e in rows if c == k))) for k in (0, 1)}
+    ends = {(k, s): max(e for c, x, e in rows if (c, x) == (k, s)) for k, s, _ in rows}
+    hits = [(i % 2, i, rng.randrange(500)) for i in range(80)]
+    h = spark.createDataFrame([(k, i, s, s + 3) for k, i, s in hits], "chromosome long, id long, start long, end long")
+    for width in (1, 7, 64, 10**6):
+        got = sorted(map(tuple, intervals.merge(df, width=width).collect()))
+        assert [(k, x) for k, s, e in got for x in range(s, e)] == [(k, x) for k in (0, 1) for x in want[k]]
+        assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:], strict=False))
+        found = {r["id"]: (r["i_start"], r["i_end"]) for r in intervals.asof(h, df, width=width).collect()}
+        for k, i, s in hits:
+            at = max((x for c, x in ends if c == k and x <= s), default=None)
+            assert found[i] == (at, ends.get((k, at)))
+
+
 def test_asof(spark):
     i = frame(spark, [(5, 9), (5, 20), (30, 31)])
     h = spark.createDataFrame([(0, 4, 6), (0, 5, 7), (0, 29, 33), (1, 5, 6)], "chromosome long, start long, end long")

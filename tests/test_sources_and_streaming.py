@@ -1,8 +1,11 @@
 import gzip
+import random
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kmerlens import cli
+from kmerlens.operators import audit, counting
 from kmerlens.schema import COUNTS
 from kmerlens.sources import eligibility, files
 from kmerlens.streaming import pooled
@@ -70,3 +73,92 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {c: (sum(i + c for i in range(1, 5)), 4, 4 + c) for c in range(3)}
 
 
+
+
+def fasta_text(rng, records):
+    out = []
+    for name, n in records:
+        seq = "".join(rng.choice("ACGTN" if rng.random() < 0.02 else "ACGT") for _ in range(n))
+        out.append(f">{name} made up\n" + "".join(seq[i : i + 60] + "\n" for i in range(0, n, 60)))
+    return "".join(out)
+
+
+def test_fasta_pieces_have_every_window_once(spark, tmp_path):
+    rng = random.Random(5)
+    (tmp_path / "a.fa").write_text(fasta_text(rng, [("one", 5000), ("empty", 0), ("two", 9), ("three", 700), ("four", 16)]))
+    (tmp_path / "b.fa").write_text(fasta_text(rng, [("one", 2500)]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(tuple, counting.spectrum(files.read_fasta(spark, str(tmp_path)).select("path", "name", "seq")).collect()))
+    for block in ("256b", "1000b", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        for size in (40, 100_000):
+            got = counting.spectrum(files.fasta_pieces(spark, str(tmp_path), size=size)).collect()
+            assert sorted(map(tuple, got)) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_long_rows_are_walked_in_pieces(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ACGTN\n" if rng.random() < 0.05 else "ACGT") for _ in range(n))) for i, n in enumerate([700, 0, 15, 16, 90, 2100, 31])] + [(9, None)]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    want = {}
+    for i, s in rows:
+        for at in range(len(s or "") - 15):
+            w = s[at : at + 16]
+            if not set(w) - set("ACGT"):
+                want[i, at] = min(w, w[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    code = {(i, at): int(w.translate(str.maketrans("ACGT", "0123")), 4) for (i, at), w in want.items()}
+    for segment in (64, 500, 1 << 20):
+        # the workers get the bound with the closure's module globals
+        monkeypatch.setattr(counting, "SEGMENT", segment)
+        got = {(r["id"], r["start"]): r["code"] for r in counting.windows(df, positions=True).collect()}
+        assert got == code
+        sums = counting.spectrum(df, keys=["id"]).agg(F.sum("n")).first()[0]
+        assert sums == len(code)
+
+
+def test_records_of_regions_and_seeds(spark):
+    seqs = spark.createDataFrame([("h1", "chr1", "ACGT" * 50), ("h2", "chr1", "TTTT")], "hap string, chromosome string, seq string")
+    parts = spark.createDataFrame([("h1", "chr1", 2, 165), ("h2", "chr1", 0, 1)], "hap string, chromosome string, start long, end long")
+    rows = files.region_records(seqs, parts, "HSat2")
+    text = {r["value"] for r in files.fasta_lines(rows).collect()}
+    body = ("ACGT" * 50)[2:165]
+    assert text == {f">h1|chr1:2-165|HSat2|strand=+\n{body[:80]}\n{body[80:160]}\n{body[160:]}", ">h2|chr1:0-1|HSat2|strand=+\nT"}
+    codes = spark.createDataFrame([(0, int("0123" * 4, 4)), (1, 5)], "place long, code long")
+    assert {tuple(r) for r in files.seed_records(codes).collect()} == {("0_F", "ACGT" * 4), ("1_F", "A" * 14 + "CC"), ("1_R", "GG" + "T" * 14)}
+    plots = spark.createDataFrame([("Two", "02.png"), ("One", "01.png")], "title string, file string")
+    assert [r[0] for r in files.plot_index(plots).collect()] == ["- [One](01.png)", "- [Two](02.png)"]
+
+
+def test_fingerprints_tell_changes(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    before = spark.createDataFrame(files.fingerprint(spark, [str(tmp_path)]).collect())
+    (tmp_path / "b").write_text("changed")
+    (tmp_path / "c").unlink()
+    now = files.fingerprint(spark, [str(tmp_path)])
+    assert {r[0].rsplit("/", 1)[1] for r in audit.inputs_changed(before, now).collect()} == {"b", "c"}
+    assert audit.inputs_changed(before, before).isEmpty()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    code = int("0001" * 4, 4)
+    spark.createDataFrame([("h1", code, 3), ("h2", code, 4), ("h3", 7, 1)], "hap string, code long, n long").write.parquet(f"file://{tmp_path}/c")
+    at = f"file://{tmp_path}/c"
+    assert cli.main(["--counts", at, "--kmer", "GTTT" * 4], spark) == 0
+    assert capsys.readouterr().out.splitlines() == ["hap\tn\tkmer", "h1\t3\t" + "AAAC" * 4, "h2\t4\t" + "AAAC" * 4]
+    assert cli.main(["--counts", at, "--kmer", "aaac" * 4, "--hap", "h2"], spark) == 0 and capsys.readouterr().out.count("\n") == 2
+    assert cli.main(["--counts", at, "--hap", "h3", "--pilot", "2"], spark) == 0 and capsys.readouterr().out.count("\n") == 1
+    assert cli.main(["--counts", at, "--kmer", "C" * 16], spark) == 2 and cli.main(["--counts", at, "--kmer", "ACGN"], spark) == 2 and cli.main(["--counts", at, "--hap", "h9"], spark) == 2
+
+
+def test_shards_summaries_and_extracts(spark, tmp_path):
+    at = f"file://{tmp_path}/shards"
+    files.write_counts(spark.createDataFrame([(1, 5, 2), (2, 5, 3)], "hap int, code long, n long"), at)
+    files.write_counts(spark.createDataFrame([(2, 6, 9)], "hap int, code long, n long"), at)
+    assert {tuple(r) for r in spark.read.parquet(at).select("hap", "code", "n").collect()} == {(1, 5, 2), (2, 6, 9)}
+    files.write_summary(spark, {"b": 1, "a": [2]}, f"file://{tmp_path}/s")
+    assert spark.read.text(f"file://{tmp_path}/s").first()[0] == '{"a": [2], "b": 1}'
+    seqs = spark.createDataFrame([("x", "ACGTACGT")], "chromosome string, seq string")
+    parts = spark.createDataFrame([("x", 2, 5)], "chromosome string, start int, end int")
+    assert counting.extract(seqs, parts, ["chromosome"]).first()["seq"] == "GTA"
