@@ -35,6 +35,17 @@ def gap_filled(binned: DataFrame, width: int, by: list[str]) -> DataFrame:
     return grid.join(binned.select(*by, "bin_start", "n"), [*by, "bin_start"], "left").fillna(0, ["n"])
 
 
+def dominant_series(binned: DataFrame, width: int, name: str, chromosome: str, margin: int = 0) -> DataFrame:
+    """(name, chromosome, bin_start, n) along the chromosome that has most hits of each name (the first
+    of equals): every bin from the first to the last and ``margin`` bins on both sides, not below 0."""
+    sums = binned.groupBy(name, chromosome).agg(F.sum("n").alias("hits"), F.min("bin_start").alias("lo"), F.max("bin_start").alias("hi"))
+    first = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("hits"), chromosome))
+    most = sums.withColumn("r", first).where("r = 1")
+    ends = F.sequence(F.greatest(F.lit(0).cast("long"), F.col("lo") - margin * width), F.col("hi") + margin * width, F.lit(width).cast("long"))
+    grid = most.select(name, chromosome, F.explode(ends).alias("bin_start"))
+    return grid.join(binned.select(name, chromosome, "bin_start", "n"), [name, chromosome, "bin_start"], "left").fillna(0, ["n"])
+
+
 def overlay_counts(hits: DataFrame, by: list[str], broad: Column, fine: Column, labels: tuple[str, ...]) -> DataFrame:
     """(by, total, inside, outside, fine_<label>...): broad tells inside, fine names the label."""
     sums = [F.count_if(fine == x).alias(f"fine_{x.lower()}") for x in labels]

@@ -64,3 +64,13 @@ def strict_pan(sums: DataFrame, den: DataFrame, broad_min: int, threshold: float
     p_b, p_o, p_part = screen("t", "o", "b", "den_t", "den_o", "den_b")
     ok = F.coalesce((p_b > threshold) & (p_o > threshold) & (p_part >= share), F.lit(False))
     return pooled.select("query", "d", "t", "o", "b", p_b.alias("e_background"), p_o.alias("e_other"), p_part.alias("share"), "haps", (ok & (F.col("haps") >= broad_min)).alias("passes"))
+
+
+def merge_origins(queries: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows of several screens (key, ...), one table for each origin, of the queries (key, origin): a
+    query's rows are those of the screen that asked it, even where others have its key."""
+    both = None
+    for origin, df in tables.items():
+        one = df.withColumn("origin", F.lit(origin))
+        both = one if both is None else both.unionByName(one)
+    return both.join(queries.select(key, "origin"), [key, "origin"])

@@ -33,6 +33,22 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return rank_within(df, by, order, "rank").where(F.col("rank") <= k)
 
 
+def exactly(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows in the order; fewer are an error."""
+    rows = df.orderBy(*order).limit(n)
+    found = rows.count()
+    if found < n:
+        raise ValueError(f"{n} rows are asked for, {found} are there")
+    return rows
+
+
+def by_outside(df: DataFrame, name: str, total: str = "total", outside: str = "outside") -> DataFrame:
+    """df with ``place``: most hits outside first, then the greatest share of hits outside, which is 0
+    where there is no hit at all, then by name."""
+    share = F.coalesce(F.try_divide(F.col(outside), F.col(total)), F.lit(0.0))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(outside), share.desc(), name)))
+
+
 def collect_categories(df: DataFrame, key: str, category: str) -> DataFrame:
     """(key, categories): sorted distinct categories of each key, joined by ``;``."""
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(category)), ";").alias("categories"))

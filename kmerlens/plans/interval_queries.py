@@ -79,6 +79,13 @@ def hits_containment(spark, sf):
     return intervals.inside(fx.hits(spark, sf), _union(spark, sf), width=WIDTH)
 
 
+def _hit_regions(spark, sf):
+    """Hits with ``inside``: whether the union of the intervals contains them whole."""
+    hits = fx.hits(spark, sf)
+    inner = intervals.inside(hits, _union(spark, sf), width=WIDTH).select("event_id", F.lit(True).alias("inside"))
+    return hits.join(inner, "event_id", "left").fillna(False, ["inside"])
+
+
 @query("hits_asof", fx.sql("iv h", ", i AS (SELECT chromosome, s, max(e) AS e FROM iv GROUP BY 1, 2) SELECT event_id, h.chromosome, i.s AS i_start, i.e AS i_end, coalesce(h.e <= i.e, FALSE) AS inside FROM h ASOF LEFT JOIN i ON h.chromosome = i.chromosome AND h.s >= i.s"))
 def hits_asof(spark, sf):
     rows = intervals.asof(fx.hits(spark, sf), fx.intervals(spark, sf))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerlens.functions import kmer as K
-from kmerlens.operators import cluster, counting, landscape, mismatch, ranking
+from kmerlens.operators import audit, cluster, counting, landscape, mismatch, ranking
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -196,6 +196,75 @@ def test_cluster_cases(spark):
     assert [r["status"] for r in got if r["family"] == "HSat3"] == ["insufficient_measurable_haps"]
 
 
+def test_case_details(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12, 6))
+    x[:, 3] = 2 * x[:, 0] + 0.01 * rng.normal(size=12)
+    x[:, 5] = 1.0
+    rows = [("HSat2", f"h{i:02d}", v.tolist()) for i, v in enumerate(x)] + [("HSat2", "ref", [0.0] * 6), ("HSat3", "h00", [1.0] * 6)]
+    df = spark.createDataFrame(rows, "family string, hap string, features array<double>")
+    got = cluster.case_details(df, ["family"], "ref", least_haps=5).collect()
+    assert {r["family"] for r in got} == {"HSat2"} and not any(r["hap"] == "ref" for r in got)
+    by = {d: [r for r in got if r["detail"] == d] for d in ("axis", "variance", "partition", "feature")}
+    assert {r["number"]: r["text"] for r in by["feature"]} == {0: "3", 1: "1", 2: "2", 3: "3", 4: "4"}
+    assert all(r["value"] == pytest.approx(np.corrcoef(x[:, r["number"]], x[:, int(r["text"])])[0, 1]) for r in by["feature"])
+    kept = x[:, [3, 1, 2, 4]]
+    values = np.linalg.svd(kept - kept.mean(0), compute_uv=False) ** 2
+    assert [r["value"] for r in sorted(by["variance"], key=lambda r: r["number"])] == pytest.approx(list(values / values.sum()))
+    for a in range(1, 5):
+        assert sum(r["value"] ** 2 for r in by["axis"] if r["number"] == a) == pytest.approx(values[a - 1])
+    assert all(len({r["text"] for r in by["partition"] if r["number"] == k}) == k for k in range(2, 9))
+
+
+def test_cover_and_silhouette_by_hand():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 30))
+    x[:, 10:20] = x[:, :10] * rng.choice([-3, 2], 10) + 0.05 * rng.normal(size=(40, 10))
+    chosen, group = cluster.cover(x)
+    c, free, want = np.abs(np.corrcoef(x.T)), set(range(30)), []
+    for i in range(30):
+        if i in free:
+            want.append(i)
+            free -= {j for j in free if c[i, j] >= 0.95} | {i}
+    assert chosen.tolist() == want and all(c[i, g] >= 0.95 for i, g in enumerate(group))
+    label = rng.integers(0, 3, 40)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    values = []
+    for i in range(40):
+        mean = [d[i, (label == g) & (np.arange(40) != i)].mean() for g in range(3)]
+        a, b = mean[label[i]], min(m for g, m in enumerate(mean) if g != label[i])
+        values.append((b - a) / max(a, b))
+    assert cluster.silhouette(x, label) == pytest.approx(np.mean(values))
+
+
+def test_centroids_in_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).tolist(), int(i % 7)) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label long")
+    whole, parts = ({tuple(r) for r in cluster.nearest_centroid(df, df, "id", "v", "label", n).collect()} for n in (1000, 2))
+    assert whole == parts and len(whole) == 70
+
+
+def test_audits_find_what_is_wrong(spark):
+    near = mismatch.neighbours(spark.createDataFrame([(0x1B1B1B1B,), (0x00FF00FF,), (5,)], "code long"))
+    assert audit.neighbourhood_differs(near).isEmpty()
+    assert audit.neighbourhood_differs(near.where("not (query = 5 and variant = 4)")).first()["query"] == 5
+    assert audit.neighbourhood_differs(near.withColumn("d", F.when(F.col("query") == 5, F.lit(2)).otherwise(F.col("d")))).count() == 1
+    counts = spark.createDataFrame([(1, 1, "HSat2", 5), (1, 1, "HSat23", -1)], "code long, hap long, region string, n long")
+    assert audit.union_below_parts(counts, ["code"]).count() == 1
+    cases = spark.createDataFrame([("a", f"h{i}", "G1" if i < 12 else "G2", 2, 0.5, "stable_partition") for i in range(30)] + [("b", "x", "G1", None, None, "insufficient_measurable_haps")], "family string, hap string, grp string, k int, silhouette double, status string")
+    assert audit.clusters_break_rules(cases.where("family = 'a'"), ["family"]).isEmpty()
+    assert {r[0] for r in audit.clusters_break_rules(cases, ["family"]).collect()} == {"b"}
+    assert {r[0] for r in audit.clusters_break_rules(cases.where("hap not in ('h0', 'h1', 'h2')"), ["family"]).collect()} == {"a", "b"}
+
+
+def test_selections_that_must_be_there(spark):
+    df = spark.createDataFrame([(i,) for i in range(3)], "x long")
+    assert [r[0] for r in ranking.exactly(df, 2, [F.desc("x")]).collect()] == [2, 1]
+    with pytest.raises(ValueError, match="4 rows are asked for"):
+        ranking.exactly(df, 4, [F.desc("x")])
+
+
 def test_ward_heights():
     tree = cluster.ward(np.array([[0.0], [1.0], [10.0], [12.0]]))
     assert tree[:, 2] == pytest.approx([1.0, 2.0, 14.849242404917497])
