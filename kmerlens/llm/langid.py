@@ -50,36 +50,47 @@ class LanguageModel:
             return np.zeros((0, len(self.langs)), np.float32), to
         return np.add.reduceat(self.logp[gram], first, axis=0), to
 
-    def mixtures(self, ll: np.ndarray, to: np.ndarray, rounds: int = 6, refits: int = 3) -> np.ndarray:
+    def mixtures(self, ll: np.ndarray, to: np.ndarray, tolerance: float = 1e-3, rounds: int = 200) -> np.ndarray:
         """Shares of the languages in each row. EM fits all languages; then the sets of the 1, 2, ...
         largest, up to all, are refitted, and the set of the best likelihood less half a
-        logarithm of the number of words per further language (BIC) is kept. Rows without words
-        have shares of 0."""
+        logarithm of the number of words per further language (BIC) is kept. EM goes on until no
+        share of a row moves by more than ``tolerance``, for ``rounds`` rounds at most. Rows without
+        words have shares of 0."""
         n, count = len(self.langs), np.diff(to)
         rows = np.flatnonzero(count)
         out = np.zeros((len(count), n))
         if not len(rows):
             return out
         at, of = to[:-1][rows], np.repeat(np.arange(len(rows)), count[rows])
-        words = count[rows][:, None]
+        words = count[rows]
         top = ll.max(1, keepdims=True)
         lik = np.exp(np.maximum(ll - top, -60.0))
 
-        def fit(pi: np.ndarray, rounds: int) -> np.ndarray:
+        def fit(pi: np.ndarray) -> np.ndarray:
+            pi, live = pi.copy(), np.arange(len(pi))
+            some, first, row, size = lik, at, of, words[:, None]
             for _ in range(rounds):
-                r = lik * pi[of]
+                r = some * pi[live][row]
                 r /= r.sum(1, keepdims=True)
-                pi = np.add.reduceat(r, at, axis=0) / words
+                now = np.add.reduceat(r, first, axis=0) / size
+                moving = np.abs(now - pi[live]).max(1) > tolerance
+                pi[live] = now
+                if not moving.any():
+                    break
+                if moving.mean() < 0.7:  # rows at rest drop out
+                    some, live, size = some[moving[row]], live[moving], size[moving]
+                    first = np.cumsum(size[:, 0]) - size[:, 0]
+                    row = np.repeat(np.arange(len(live)), size[:, 0])
             return pi
 
-        full = fit(np.full((len(rows), n), 1.0 / n, np.float32), rounds)
+        full = fit(np.full((len(rows), n), 1.0 / n, np.float32))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
         best, shares = np.full(len(rows), -np.inf), full
         for size in range(1, n + 1):
             pi = np.where(rank < size, np.maximum(full, 1e-6), 0).astype(np.float32)
             pi /= pi.sum(1, keepdims=True)
-            pi = pi if size == 1 else fit(pi, refits)
-            value = np.add.reduceat(np.log(np.maximum((lik * pi[of]).sum(1), 1e-30)), at) - 0.5 * (size - 1) * np.log(words[:, 0])
+            pi = pi if size == 1 else fit(pi)
+            value = np.add.reduceat(np.log(np.maximum((lik * pi[of]).sum(1), 1e-30)), at) - 0.5 * (size - 1) * np.log(words)
             better = value > best
             best, shares = np.where(better, value, best), np.where(better[:, None], pi, shares)
         out[rows] = shares

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,74 @@ def test_mixture_of_more_than_four_languages():
     ll = np.where(own[:, None] == np.arange(7), -5.0, -40.0).astype(np.float32)
     shares = model.mixtures(ll, np.array([0, 600]))[0]
     assert np.flatnonzero(shares > 0.01).tolist() == list(range(6)) and shares[:6] == pytest.approx(1 / 6, abs=0.01)
+
+
+def plain_mixture(ll):
+    """EM to rest over one row's words, all subsets by rank, BIC; no shortcuts."""
+
+    def em(sets, rounds=3000):
+        pi = [1 / len(sets) if j in sets else 0.0 for j in range(ll.shape[1])]
+        for _ in range(rounds):
+            total = [0.0] * len(pi)
+            for w in ll:
+                r = [p * np.exp(x - max(w)) for p, x in zip(pi, w, strict=True)]
+                total = [t + x / sum(r) for t, x in zip(total, r, strict=True)]
+            pi = [t / len(ll) for t in total]
+        return np.array(pi)
+
+    def value(pi):
+        return sum(np.log((pi * np.exp(w)).sum()) for w in ll) - 0.5 * (np.count_nonzero(pi) - 1) * np.log(len(ll))
+
+    full = em(range(ll.shape[1]), 300)
+    order = np.argsort(-full, kind="stable")
+    return max((em(set(order[:size].tolist()), 300) for size in range(1, ll.shape[1] + 1)), key=value)
+
+
+def test_mixtures_against_plain_em():
+    rng = np.random.default_rng(12)
+    model = langid.LanguageModel(["a", "b", "c"], np.ones((3, 1 << langid.GRAM_BITS), np.int64))
+    rows = []
+    for _ in range(25):
+        own = rng.choice(3, int(rng.integers(1, 40)), p=rng.dirichlet([0.4] * 3))
+        ll = rng.normal(-12, 1, (len(own), 3))
+        ll[np.arange(len(own)), own] += rng.choice([0.5, 2.0, 6.0])
+        rows.append(ll.astype(np.float32))
+    to = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = model.mixtures(np.concatenate(rows), to)
+    want = np.stack([plain_mixture(r.astype(float)) for r in rows])
+    same = np.abs(got - want).max(1)
+    assert (same < 0.05).mean() >= 0.9 and np.median(same) < 0.01
+    assert model.mixtures(np.zeros((0, 3), np.float32), np.array([0, 0])).tolist() == [[0, 0, 0]]
+
+
+def test_learned_shares_come_to_rest():
+    model = langid.LanguageModel(["a", "b"], np.ones((2, 1 << langid.GRAM_BITS), np.int64))
+    ll = np.log(np.array([[0.5, 0.4]] * 30 + [[0.3, 0.5]] * 20)).astype(np.float32)
+    rough, fine = model.mixtures(ll, np.array([0, 50]), 1e-3)[0], model.mixtures(ll, np.array([0, 50]), 1e-6, 5000)[0]
+    assert np.abs(rough - fine).max() < 0.06
+
+
+def test_network_against_loops():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 30, 2 << toxicity.BUCKET_BITS).astype(np.int32)
+    model = toxicity.Classifier(rows, rng.normal(size=(30, 5)).astype(np.float32), {w: rng.normal(size=(5 * w, 4)).astype(np.float32) for w in (1, 2, 3)}, {w: rng.normal(size=4).astype(np.float32) for w in (1, 2, 3)}, rng.normal(size=24).astype(np.float32), 0.3, rng.normal(size=(30, 2)).astype(np.float32), np.array([0.7, 1.3]), np.array([-0.2, 0.4]))
+    model.embedding[0] = 0
+    texts = ["one", "", "two words", "A, longer text; with some more words in it", None, "three more words"]
+    words, at = toxicity.buckets(*common.string_buffers(pa.array(texts)))
+    got = model.scores(words, at)
+    for i in range(len(texts)):
+        ids = model.rows[words[at[i] : at[i + 1]]]
+        x = [model.embedding[a] + model.embedding[b] for a, b in ids] + [np.zeros(5)] * 2
+        feats = []
+        for w in (1, 2, 3):
+            large, small = [], []
+            for f in range(4):
+                r = [max(0.0, float(np.concatenate(x[j : j + w]) @ model.filters[w][:, f] + model.bias[w][f])) for j in range(len(ids))]
+                mid = (len(ids) + 1) // 2
+                halves = [max(r[:mid], default=0.0), max(r[mid:], default=0.0)]
+                large.append(max(halves))
+                small.append(min(halves))
+            feats += large + small
+        lang = int(sum((model.languages[a] + model.languages[b] for a, b in ids), np.zeros(2)).argmax())
+        z = model.slope[lang] * (np.dot(feats, model.out) + model.out_bias) + model.shift[lang]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
