@@ -167,6 +167,14 @@ def pilot(manifest: DataFrame, n: int, order: str = "hap") -> DataFrame:
     return manifest.orderBy(order).limit(n)
 
 
+def prefix_bitmap(candidates: DataFrame, drop_bits: int = 8) -> DataFrame:
+    """(bucket, bitmap, prefixes): which prefixes of candidate codes occur, one bit for each, 32,768 in
+    a row. Joins need none of it, since Spark filters them at run time; it is for other programs."""
+    prefix = F.shiftright("code", drop_bits)
+    rows = candidates.select(F.bitmap_bucket_number(prefix).alias("bucket"), F.bitmap_bit_position(prefix).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).withColumn("prefixes", F.bitmap_count("bitmap"))
+
+
 def substring_hits(sequences: DataFrame, motifs: list[str], keys: list[str]) -> DataFrame:
     """(keys, motif, start) of every place where one of the motifs stands, overlapping ones too: a plain
     search in the text, which shares nothing with ``windows`` and checks it."""

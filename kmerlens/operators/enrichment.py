@@ -38,14 +38,6 @@ def hap_enrichment(counts: DataFrame, den: DataFrame, hap_min: int, threshold: f
     return rows.withColumn("e", e).withColumn("hap_pass", F.coalesce((F.col("t") >= hap_min) & (F.col("e") > threshold), F.lit(False)))
 
 
-def zero_filled(by_hap: DataFrame, den: DataFrame) -> DataFrame:
-    """Every k-mer in every hap that has denominators: where it does not occur its counts are 0."""
-    haps = denominators(den)
-    grid = by_hap.select("code").distinct().crossJoin(F.broadcast(haps))  # haps, a manifest
-    have = by_hap.select("code", "hap", "t", "b")
-    return grid.join(have, ["code", "hap"], "left").fillna(0, ["t", "b"])
-
-
 def selection(pooled: DataFrame, by_hap: DataFrame, den: DataFrame, reference: Column) -> DataFrame:
     """pooled with qualifying_haps, prevalence, mean / min / max of E over haps, selected and
     selection_reason. E of a hap without the k-mer is that of two zero counts, 0, and enters the
@@ -98,4 +90,4 @@ def local_counts(by_hap: DataFrame, thresholds: list[float], hap_min: int) -> Da
     return by_hap.where(F.col("t") >= hap_min).select("code", "hap", "e", levels).where("e > threshold").groupBy("code", "threshold").agg(F.count("*").alias("haps"))
 
 
-__all__ = ["broad", "denominators", "density", "hap_enrichment", "local_counts", "pooled_enrichment", "selection", "sweep", "target_background", "zero_filled"]
+__all__ = ["broad", "denominators", "density", "hap_enrichment", "local_counts", "pooled_enrichment", "selection", "sweep", "target_background"]

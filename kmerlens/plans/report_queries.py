@@ -111,6 +111,11 @@ def merged_origins(spark, sf):
     return both.groupBy("origin", "code").agg(F.sum("n").alias("n"), F.count_distinct("hap").alias("haps"))
 
 
+@query("prefix_bitmap", fx.sql("s w", ", p AS (SELECT DISTINCT list_sum(list_transform(range(0, 12), lambda i: CAST(strpos('ACGT', substr(kmer, i + 1, 1)) - 1 AS BIGINT) << (2 * (11 - i)))) AS p FROM (SELECT DISTINCT kmer FROM w)) SELECT CAST(CASE WHEN p > 0 THEN 1 + (p - 1) // 32768 ELSE 0 END AS BIGINT) AS bucket, count(*) AS prefixes FROM p GROUP BY 1"))
+def prefix_bitmap(spark, sf):
+    return counting.prefix_bitmap(_windows(spark, sf).select("code")).select("bucket", "prefixes")
+
+
 @query("kmer_lookup", fx.sql("s w", _TOP.format(n=1) + " SELECT hap, region, count(*) AS n FROM w WHERE kmer IN (SELECT kmer FROM tp) GROUP BY 1, 2"))
 def kmer_lookup(spark, sf):
     """The most frequent k-mer, asked for by its reverse complement in small letters."""

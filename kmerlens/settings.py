@@ -41,3 +41,19 @@ class Settings:
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**values)
+
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """Settings from a file of ``name: value`` lines, as YAML writes a flat mapping; ``#`` starts a
+        comment, and values are numbers."""
+        values: dict[str, int | float] = {}
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                text = line.split("#", 1)[0].strip()
+                if text:
+                    name, colon, value = text.partition(":")
+                    if not colon or name.strip() in values:
+                        raise ValueError(f"not a setting, or set twice: {text}")
+                    number = value.strip()
+                    values[name.strip()] = float(number) if set(number) & set(".eE") else int(number)
+        return cls.of(**values)

@@ -178,6 +178,15 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, na: str = "NA
     return spark.read.option("header", True).option("sep", "\t").option("nullValue", na).schema(schema).csv(path)
 
 
+def read_marker_tables(spark: SparkSession, pattern: str, schema: T.StructType, family: str | None = None, column: str = "family") -> DataFrame:
+    """All tables of a path pattern as one, with ``source``, the name of each file without its endings;
+    of one family only, if named. Identifiers that hold other characters than letters, digits, ``_``,
+    ``.`` and ``-`` are refused by ``measures.valid_identifier`` where the caller asks for it."""
+    rows = spark.read.option("header", True).option("sep", "\t").option("nullValue", "NA").schema(schema).csv(pattern)
+    rows = rows.withColumn("source", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    return rows if family is None else rows.where(F.col(column) == family)
+
+
 def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, compression: str = "none", na: str = "NA") -> None:
     """The named columns, others ignored, with a header; null is written as ``na``."""
     df.select(*(columns or df.columns)).write.option("header", True).option("sep", "\t").option("nullValue", na).option("compression", compression).csv(path)

@@ -1,12 +1,17 @@
 import gzip
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kmerlens import cli
-from kmerlens.operators import audit, counting
+from kmerlens.functions import kmer as K
+from kmerlens.functions import measures as M
+from kmerlens.functions import tables
+from kmerlens.operators import audit, counting, mismatch
 from kmerlens.schema import COUNTS
+from kmerlens.settings import Settings
 from kmerlens.sources import eligibility, files
 from kmerlens.streaming import pooled
 
@@ -162,3 +167,33 @@ def test_shards_summaries_and_extracts(spark, tmp_path):
     seqs = spark.createDataFrame([("x", "ACGTACGT")], "chromosome string, seq string")
     parts = spark.createDataFrame([("x", 2, 5)], "chromosome string, start int, end int")
     assert counting.extract(seqs, parts, ["chromosome"]).first()["seq"] == "GTA"
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    got = [tuple(r) for r in spark.sql("SELECT * FROM kmers('acgtnTTTT', 4)").collect()]
+    assert got == [(0, "ACGT", "+"), (5, "AAAA", "-")]
+    near = {r["kmer"]: r["d"] for r in spark.sql("SELECT * FROM neighbors('ACGTTGCAATGCCGTA', 2)").collect()}
+    code = int("ACGTTGCAATGCCGTA".translate(str.maketrans("ACGT", "0123")), 4)
+    want = mismatch.neighbours(spark.createDataFrame([(code,)], "code long")).select(K.decode(F.col("variant")).alias("kmer"), "d").collect()
+    assert near == {r["kmer"]: r["d"] for r in want}
+
+
+def test_settings_file_and_markers(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("# run\nk: 15\nenrichment: 2.5  # low\n\n")
+    assert Settings.read(str(tmp_path / "s.yaml")) == Settings(k=15, enrichment=2.5)
+    for text in ("k 15\n", "k: 1\nk: 2\n", "other: 1\n"):
+        (tmp_path / "s.yaml").write_text(text)
+        with pytest.raises(ValueError):
+            Settings.read(str(tmp_path / "s.yaml"))
+    for name, rows in (("pan_HSat2.tsv", "HSat2\t1\nHSat3\tNA\n"), ("chr1.tsv", "HSat2\t3\n")):
+        (tmp_path / name).write_text("family\tx\n" + rows)
+    schema = T.StructType([T.StructField("family", T.StringType()), T.StructField("x", T.LongType())])
+    got = files.read_marker_tables(spark, f"{tmp_path}/*.tsv", schema, "HSat2").collect()
+    assert {(r["source"], r["x"]) for r in got} == {("pan_HSat2", 1), ("chr1", 3)} and files.read_marker_tables(spark, f"{tmp_path}/*.tsv", schema).count() == 3
+
+
+def test_lenient_numbers_and_identifiers(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), (None,), ("a-b_c.1",), ("-a",), ("a b",)], "t string")
+    assert [r[0] for r in df.select(M.lenient_double(F.col("t"))).collect()] == [1.5, None, None, None, None, None]
+    assert [r[0] for r in df.select(M.valid_identifier(F.col("t"))).collect()] == [True, True, None, True, False, False]
