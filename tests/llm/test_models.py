@@ -100,6 +100,11 @@ def test_fingerprints(spark, bucket_rows):
     plain = {(r["doc_id"], r["fingerprint"]) for r in fingerprint.fingerprints(df, samples=256).collect()}
     assert plain == {(r["doc_id"], r["fingerprint"]) for r in got}
     assert by[200][0]["fingerprint"] == by[201][0]["fingerprint"] and by[1][0]["fingerprint"] == by[2][0]["fingerprint"]
+    odd = [(None, "null id text " * 4), (None, "z " * 3), (7, "w " * 150_000), (9, None)]
+    few = fingerprint.against_edits(spark.createDataFrame(odd, "doc_id long, text string"), bucket_rows=2).collect()
+    texts = ["null id text " * 4, "z " * 3, "w " * 150_000, ""]
+    want = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip(texts, texts[1:] + texts[:1], strict=True)}
+    assert {r["edited_sha256"] for r in few} == want and len(few) == 4
     assert fingerprint.against_edits(df.limit(0)).isEmpty()
     lone = fingerprint.against_edits(df.where("doc_id = 200")).first()
     assert lone["near_next"] == 1.0
