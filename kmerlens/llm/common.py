@@ -43,6 +43,23 @@ def tasks_for(df: DataFrame, bytes_each: int = 4 << 20) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // bytes_each), 1 << 30))
 
 
+_written: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Deletes all stage tables that this program has written and not yet deleted, and gives their
+    number. Results of operators are lazy and read such tables: write a result first, then call this."""
+    n = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends here, so a
     lost executor costs no recomputation of earlier stages and later readers see one result. With
@@ -52,16 +69,16 @@ def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     (df.coalesce(tasks) if tasks else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    _written.append(path)
     return out
 
 
 def unstage(df: DataFrame) -> None:
     """Deletes a stage table that nothing reads any more."""
     path = getattr(df, "_stage_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 10_000) -> DataFrame:

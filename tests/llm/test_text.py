@@ -81,6 +81,27 @@ def test_components(spark):
     assert common.components(df.limit(0)).isEmpty()
 
 
+def test_stage_tables_can_be_dropped(spark):
+    common.drop_stages(spark)
+    a, b = common.staged(spark.range(5), "one"), common.staged(spark.range(3), "two")
+    common.unstage(a)
+    common.unstage(a)
+    assert b.count() == 3 and common.drop_stages(spark) == 1 and common.drop_stages(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(b._stage_path).count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_with_heavy_keys(spark, how):
+    rng = random.Random(3)
+    rows = [(i, 7 if rng.random() < 0.4 else rng.randrange(60)) for i in range(500)] + [(900, 99)] * 3
+    left, right = spark.createDataFrame(rows, "i long, k long"), spark.range(70).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for most in (1, 4, 1000):
+        got = common.join_hot(left, right, "k", how, most).select("i", "k", "v").collect()
+        want = [(i, k, 2 * k if k < 70 else None) for i, k in rows if how == "left" or k < 70]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def corpus(seed=1):
     rng = random.Random(seed)
     vocab = [f"w{i}" for i in range(400)]
