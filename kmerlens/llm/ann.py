@@ -148,7 +148,7 @@ def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int):
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250, list_rows: int = 8192, probe: float = 1.0, sample_rows: int = 8192, block_bytes: int = 16 << 20, query_bytes: int = 8 << 20) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250, list_rows: int = 8192, probe: float = 1.0, sample_rows: int = 8192, block_bytes: int = 4 << 20, query_bytes: int = 8 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each query, by cosine.
 
     vectors and queries come from ``usable``. The quantizer is fitted on sample_rows rows at most
