@@ -116,10 +116,18 @@ def matrix_b_pivot(spark, sf):
     return rounded(specificity.matrix_b(fx.counts(spark, sf), fx.den(spark, sf)), "HSat2_density", "HSat3_density")
 
 
-@query("wide_export", fx.sql("c", "SELECT code, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (region = '{r}' AND chrom % 2 = {s}), 0) AS BIGINT) AS {r.lower()}_{s}" for r in ("HSat2", "HSat3", "background") for s in (0, 1)) + " FROM c WHERE hap = 1 GROUP BY code"))
+_CELLS = [(r, s) for r in ("HSat2", "HSat3", "background") for s in (0, 1)]
+
+
+@query("wide_export", fx.sql("c d", ", wv AS (SELECT region, sum(valid_starts) AS v FROM d WHERE hap = 1 GROUP BY region) SELECT code, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (region = '{r}' AND chrom % 2 = {s}), 0) AS BIGINT) AS {r.lower()}_{s}" for r, s in _CELLS) + ", " + ", ".join(f"round(coalesce(sum(n) FILTER (region = '{r}'), 0) / CAST((SELECT v FROM wv WHERE region = '{r}') AS DOUBLE) * 1e6, 6) AS {r.lower()}_density" for r in ("HSat2", "HSat3", "background")) + " FROM c WHERE hap = 1 GROUP BY code"))
 def wide_export(spark, sf):
+    """One hap's counts by region and strand, and densities by region, as one wide row for each k-mer."""
     rows = fx.counts(spark, sf).where("hap = 1").withColumn("cell", F.concat(F.lower("region"), F.lit("_"), F.col("chrom") % 2))
-    return rows.groupBy("code").pivot("cell", [f"{r}_{s}" for r in ("hsat2", "hsat3", "background") for s in (0, 1)]).sum("n").fillna(0)
+    wide = rows.groupBy("code").pivot("cell", [f"{r.lower()}_{s}" for r, s in _CELLS]).sum("n").fillna(0)
+    starts = fx.den(spark, sf).where("hap = 1").groupBy().pivot("region", ["HSat2", "HSat3", "background"]).sum("valid_starts")
+    starts = starts.select(*(F.col(r).alias(f"v_{r.lower()}") for r in ("HSat2", "HSat3", "background")))
+    per = [F.round(M.per_million(F.col(f"{r}_0") + F.col(f"{r}_1"), F.col(f"v_{r}")), 6).alias(f"{r}_density") for r in ("hsat2", "hsat3", "background")]
+    return wide.crossJoin(F.broadcast(starts)).select(*wide.columns, *per)  # one row
 
 
 _FAM = """, lv AS (SELECT hap, sum(valid_starts) FILTER (region = 'HSat2') AS v0, sum(valid_starts) FILTER (region = 'HSat3') AS v1 FROM d WHERE hap <> 0 GROUP BY hap),

@@ -202,9 +202,8 @@ def centroid_assign(spark, sf):
     return rounded(cluster.nearest_centroid(p, p, "hap", "embedding", "label"), "distance")
 
 
-@query("cluster_cases")
-def cluster_cases(spark, sf):
-    """Haps by family and chromosome, clustered on the densities of the most variable k-mers."""
+def _profiles(spark, sf) -> DataFrame:
+    """(region, chrom, hap, features): densities of the most variable k-mers of each case."""
     by = ["region", "chrom"]
     c = fx.counts(spark, sf).where("region <> 'background'").withColumn("hap", F.col("hap").cast("string"))
     haps = fx.den(spark, sf).where("region <> 'background' and valid_starts > 0").select(*by, F.col("hap").cast("string").alias("hap"), "valid_starts")
@@ -212,4 +211,16 @@ def cluster_cases(spark, sf):
     grid = haps.join(chosen, by)
     x = F.log1p(F.coalesce("n", F.lit(0)) / F.col("valid_starts") * 1e6)
     rows = grid.join(c.select(*by, "hap", "code", "n"), [*by, "hap", "code"], "left").groupBy(*by, "hap").agg(F.sort_array(F.collect_list(F.struct("rank", x.alias("x")))).alias("f"))
-    return cluster.cluster_cases(rows.select(*by, "hap", F.col("f.x").alias("features")), by, reference="0", least_haps=50)
+    return rows.select(*by, "hap", F.col("f.x").alias("features"))
+
+
+@query("cluster_cases")
+def cluster_cases(spark, sf):
+    """Haps by family and chromosome, clustered on the densities of the most variable k-mers."""
+    return cluster.cluster_cases(_profiles(spark, sf), ["region", "chrom"], reference="0", least_haps=50)
+
+
+@query("cluster_details")
+def cluster_details(spark, sf):
+    """Axes, shares of variance, partitions and feature groups of the same cases."""
+    return cluster.case_details(_profiles(spark, sf), ["region", "chrom"], reference="0", least_haps=50)
