@@ -7,7 +7,9 @@ have only shingles of their own in that prefix and drop out, and boilerplate com
 
 1. Texts are read once; shingle hashes go as packed blobs to hash buckets, which count in how many
    sets each stands. Half of the hash space comes first in the order, and suffices for most
-   prefixes; a set with too few there sends all its hashes.
+   prefixes; a set with too few there sends all its hashes. Hashes that a sample shows to be frequent
+   (a list of bounded length) come last, in the order of the list, and are not counted: no group holds
+   all sets that have one, only sets that have little else are joined through them.
 2. Shared hashes return to their sets as (set, hash, count); prefixes follow from them and from
    set sizes. Prefix hashes join sets of compatible sizes into candidate groups.
 3. A candidate group of bounded size is one tile. A larger one is cut into blocks that share a leader,
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, bounded_batches, components, join_hot, local_forest, mix64, rows_of, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
 
+#: Hashes that are handled as frequent, at most: 8 bytes each in every Python worker.
+FREQUENT = 50_000
 #: Hashes below this come first in the order of shingles.
 HALF = U64(1 << 63)
 
@@ -54,13 +58,38 @@ def prefix_length(n, threshold: tuple[int, int]):
     return n - (a * n + b - 1) // b + 1
 
 
-def _count_pass(batches, k, threshold, buckets, hold: int = 1 << 18):
-    """Rows (doc_id, key, set_id, n, n_early) and blobs (bucket, hashes, sets, runs): the hashes of
-    a bucket below its leading bits, the sets they stand in, and how many hashes each set has."""
+def _sampled_sets(k: int):
+    def run(batches):
+        """(hash, set) of the distinct sets of each batch."""
+        for batch in batches:
+            flat, _, sizes, ids = document_sets(batch.column(0), k)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, sizes))], names=["h", "s"])
+
+    return run
+
+
+def _frequent(docs: DataFrame, k: int, one_in: int, least: int = 8) -> np.ndarray:
+    """Hashes that ``least`` sets of a sample have, rarest first, FREQUENT at most."""
+    sample = docs.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(one_in)) == 0).select("text").mapInArrow(_sampled_sets(k), "h long, s long")
+    counts = sample.distinct().groupBy("h").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).select("h").toPandas()["h"]
+    return found.to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def _count_pass(batches, k, threshold, buckets, frequent, hold: int = 1 << 18):
+    """Rows (doc_id, key, set_id, n, n_early, n_rare); blobs (bucket, hashes, sets, runs): the hashes
+    of a bucket below its leading bits, the sets they stand in, and how many hashes each set has; and
+    rows (set_id, h) of frequent hashes in prefixes."""
     lead = buckets.bit_length() - 1
-    names = ["doc_id", "key", "set_id", "n", "n_early", "bucket", "hashes", "sets", "runs"]
+    names = ["doc_id", "key", "set_id", "n", "n_early", "n_rare", "h", "bucket", "hashes", "sets", "runs"]
+    types = [pa.int64()] * 8 + [pa.binary()] * 3
+    order = np.argsort(frequent.value)
+    known, rank = frequent.value[order], order
     held: list[tuple] = []
 
+    def batch_of(size: int, /, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names=names)
+
     def out():
         f, s = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
@@ -72,21 +101,31 @@ def _count_pass(batches, k, threshold, buckets, hold: int = 1 << 18):
         for x, y in zip(at, [*at[1:], len(b)], strict=True):
             runs = np.flatnonzero(np.append(True, s[x + 1 : y] != s[x : y - 1]))
             rows.append((int(b[x]), f[x:y].tobytes(), s[x:y][runs].tobytes(), np.diff(np.append(runs, y - x)).astype(np.uint32).tobytes()))
-        q, *blobs = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), pa.int64()),) * 5, pa.array(q, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
+        bucket, hashes, sets, runs = zip(*rows, strict=True)
+        return batch_of(len(rows), bucket=bucket, hashes=hashes, sets=sets, runs=runs)
 
     for batch in batches:
         flat, to, sizes, ids = document_sets(batch.column(2), k)
         m = len(sizes)
         owner = np.repeat(np.arange(m), sizes)
-        early = flat < HALF
-        n_early = np.bincount(owner[early], minlength=m)
-        short = n_early < prefix_length(sizes, threshold)
+        place = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+        often = known[place] == flat if len(known) else np.zeros(len(flat), bool)
+        early = (flat < HALF) & ~often
+        n_early, n_often = np.bincount(owner[early], minlength=m), np.bincount(owner[often], minlength=m)
+        wanted = prefix_length(sizes, threshold)
+        short = n_early < wanted
         once = np.zeros(m, bool)
         once[np.unique(ids, return_index=True)[1]] = True
-        sent = once[owner] & (early | short[owner])
-        docs = [batch.column(0), batch.column(1), pa.array(ids), pa.array(sizes), pa.array(n_early), *(pa.nulls(m, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
-        yield pa.RecordBatch.from_arrays(docs, names=names)
+        sent = once[owner] & ~often & (early | short[owner])
+        yield batch_of(m, doc_id=batch.column(0), key=batch.column(1), set_id=ids, n=sizes, n_early=n_early, n_rare=sizes - n_often)
+        # sets with too few other hashes: the first frequent ones belong to the prefix
+        some = np.flatnonzero(often & (once & (sizes - n_often < wanted))[owner])
+        if len(some):
+            some = some[np.lexsort((rank[place[some]], owner[some]))]
+            of = owner[some]
+            turn = np.arange(len(some)) - np.searchsorted(of, of)
+            some = some[turn < (wanted - (sizes - n_often))[of]]
+            yield batch_of(len(some), set_id=ids[owner[some]], h=flat[some].view(np.int64))
         if sent.any():
             held.append((flat[sent], ids[owner[sent]]))
         if sum(len(x[0]) for x in held) > hold:
@@ -143,7 +182,7 @@ def _prefixes(threshold, buckets: int):
         b = np.repeat(blobs["bucket"].to_numpy(np.int64), [len(x) // 4 for x in blobs["hashes"]])
         ids = sets["set_id"].to_numpy(np.int64)
         order = np.argsort(ids)
-        ids, n, n_early = ids[order], sets["n"].to_numpy(np.int64)[order], sets["n_early"].to_numpy(np.int64)[order]
+        ids, n, n_early, n_rare = ids[order], *(sets[c].to_numpy(np.int64)[order] for c in ("n", "n_early", "n_rare"))
         at = np.searchsorted(ids, s)
         late = (b >= buckets // 2) if lead else (h >= 1 << 31)
         order = np.lexsort((h, b, c, late, at))
@@ -151,7 +190,7 @@ def _prefixes(threshold, buckets: int):
         # hashes that no other set holds come before the shared ones of the same half
         shared, shared_late = np.bincount(at, minlength=len(ids)), np.bincount(at[late], minlength=len(ids))
         own_early = n_early - (shared - shared_late)
-        own_late = np.where(n_early < prefix_length(n, threshold), n - n_early, 0) - shared_late
+        own_late = np.where(n_early < prefix_length(n, threshold), n_rare - n_early, 0) - shared_late
         place = np.arange(len(h)) - (np.cumsum(shared) - shared)[at] + own_early[at] + np.where(late, own_late[at], 0)
         keep = place < prefix_length(n, threshold)[at]
         h, b, at = h[keep], b[keep], at[keep]
@@ -323,7 +362,7 @@ def _tiles(found: DataFrame, threshold: tuple[int, int], tile_bytes: int, tile_r
     return small.unionByName(large.withColumn("parcel", F.col("tile")))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, pair_blocks: int = 64, bucket_hashes: int = 1 << 21, broadcast_rows: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, pair_blocks: int = 64, bucket_hashes: int = 1 << 21, one_in: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, keeper_key) of every row of docs (doc_id, text). key
     is row_key(), keeper_key that of the row of the component that a deduplication keeps.
 
@@ -343,16 +382,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     buckets = 1
     while buckets * bucket_hashes * 12 < size:  # English has about one hash of the first half in 12 characters
         buckets *= 2
-    scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets), "doc_id long, key long, set_id long, n long, n_early long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
-    nodes = scanned.where("bucket is null").select("doc_id", "key", "set_id", "n", "n_early")
-    by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, k, one_in))
+    scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets, frequent), "doc_id long, key long, set_id long, n long, n_early long, n_rare long, h long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
+    nodes = scanned.where("bucket is null and h is null").select("doc_id", "key", "set_id", "n", "n_early", "n_rare")
+    # frequent hashes in prefixes: a node of its own for each, which the sets are joined to
+    often = scanned.where("h is not null").select("set_id", F.xxhash64("h", F.lit(17)).alias("root")).distinct()
+    by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.first("n_rare").alias("n_rare"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
     blobs = scanned.where("bucket is not null").select("bucket", "hashes", "sets", "runs")
     shared = blobs.groupBy("bucket").applyInPandas(_shared_hashes(buckets), "part long, bucket long, hashes binary, sets binary, counts binary")
-    grouped = by_set.select("set_id", "n", "n_early", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
+    grouped = by_set.select("set_id", "n", "n_early", "n_rare", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
     prefixes = shared.groupBy("part").cogroup(grouped.groupBy("part")).applyInPandas(_prefixes(threshold, buckets), "part long, bucket long, hashes binary, sets binary, sizes binary")
     prefixes = staged(prefixes, "prefixes", tasks)
     edges = prefixes.groupBy("part").applyInPandas(_candidates(threshold), "a long, b long")
-    groups = components(edges, "candidates", tasks)
+    groups = components(edges.unionByName(often.select(F.col("set_id").alias("a"), F.col("root").alias("b"))), "candidates", tasks)
     found = staged(by_set.join(groups, F.col("set_id") == F.col("node")).select("set_id", "key", "n", (F.col("n") * 8).alias("bytes"), "root"), "candidate-sets", tasks)
     found = staged(join_hot(found, found.groupBy("root").agg(_blocks(tile_bytes, tile_rows).alias("n_blocks"), F.min("set_id").alias("leader")), "root"), "grouped-sets", tasks)
     parcels = max(1, -(-int(found.agg(F.sum("bytes")).first()[0] or 0) // tile_bytes))
@@ -379,7 +421,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         if "blocks" in ways:
             pairs = pairs.unionByName(verified(_tiles(rest.where("way = 'blocks'").select("key", "set_id", "n", "bytes", "root"), threshold, tile_bytes, tile_rows), "block-pairs"))
         if "hashes" in ways:
-            rows = prefixes.select("part", "hashes", "sets").mapInArrow(_hash_rows, "root long, set_id long").distinct()
+            rows = prefixes.select("part", "hashes", "sets").mapInArrow(_hash_rows, "root long, set_id long").distinct().unionByName(often.select("root", "set_id"))
             rows = staged(rows.join(rest.where("way = 'hashes'").select("set_id", "key", "n", "bytes", "now"), "set_id"), "hash-sets", tasks)
             mixed = rows.groupBy("root").agg(F.min("now").alias("lo"), F.max("now").alias("hi")).where("lo <> hi").select("root")
             rows = staged(join_hot(rows, mixed, "root").drop("now"), "apart", tasks)

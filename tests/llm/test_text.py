@@ -134,7 +134,7 @@ def brute_components(docs):
     return sorted((d, len(sets[i]), min(groups[find(i)])) for i, (d, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("kw", [{}, {"bucket_hashes": 64, "tile_bytes": 3000, "tile_rows": 5}, {"tile_rows": 5, "pair_blocks": 1}, {"tile_rows": 20}])
+@pytest.mark.parametrize("kw", [{}, {"bucket_hashes": 64, "tile_bytes": 3000, "tile_rows": 5}, {"tile_rows": 5, "pair_blocks": 1}, {"tile_rows": 20}, {"one_in": 1}, {"one_in": 2, "tile_rows": 5, "pair_blocks": 1, "bucket_hashes": 64}])
 def test_jaccard_against_all_pairs(spark, kw):
     docs = corpus()
     df = spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id long, text string, key string, n int")
@@ -142,6 +142,18 @@ def test_jaccard_against_all_pairs(spark, kw):
     assert sorted(map(tuple, got)) == brute_components(docs)
 
 
+def test_texts_of_frequent_lines_alone(spark):
+    rng = random.Random(23)
+    lines = [" ".join(f"f{i}_{j}" for j in range(12)) for i in range(9)]
+    rows = [(i, " ".join(rng.sample(lines, rng.randrange(1, 7)))) for i in range(150)]
+    rows += [(200 + i, f"{' '.join(lines[:5])} " + " ".join(f"g{rng.randrange(10**6)}" for _ in range(rng.randrange(30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for kw in ({"one_in": 1}, {"one_in": 1, "tile_rows": 7, "pair_blocks": 1}, {"one_in": 3}):
+        got = jaccard.jaccard_components(df, **kw).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_few_sets_outside_a_large_component(spark):
     rng = random.Random(19)
     base = [f"n{i}" for i in range(120)]
