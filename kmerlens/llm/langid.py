@@ -101,8 +101,10 @@ def fit_languages(docs: DataFrame, per_language: int = 400) -> LanguageModel | N
     """Learns from the rows (doc_id, text, lang) that are not held out and have a language: of each
     language per_language rows at most, those with the smallest hashes of doc_id, in whole."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = staged(ids.withColumn("turn", turn).where(F.col("turn") <= per_language).select("doc_id", "lang").distinct(), "chosen")
+    # a language of a third of all rows is ranked in 256 shares first, of per_language rows at most each
+    turn = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = ids.withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(256))).withColumn("turn", turn("share")).where(F.col("turn") <= per_language)
+    chosen = staged(some.withColumn("turn", turn()).where(F.col("turn") <= per_language).select("doc_id", "lang").distinct(), "chosen")
     langs = [r[0] for r in chosen.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
