@@ -7,6 +7,7 @@ extra columns (also ones whose names clash with columns made here) change nothin
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,7 @@ def staged(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(tasks) if tasks else df).write.option("compression", "zstd").parquet(path)
+    gc.collect()  # plans that Python no longer holds leave the driver's JVM with their proxies
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     _written.append(path)
@@ -81,11 +83,15 @@ def unstage(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 10_000) -> DataFrame:
-    """left joined to right (inner or left), which has one row for each of its keys. A key that more
-    than one in ``most`` rows of left has (so ``most`` keys at most) meets its row by broadcast, where
-    the rows of left lie; only the others are shuffled."""
-    left, right = (x if hasattr(x, "_stage_path") else staged(x, "side") for x in (left, right))
+def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 10_000, few: int = 100_000) -> DataFrame:
+    """left joined to right (inner or left), which has one row for each of its keys. A right side of
+    ``few`` rows at most is broadcast. Otherwise a key that more than one in ``most`` rows of left has
+    (so ``most`` keys at most) meets its row by broadcast, where the rows of left lie, and only the
+    others are shuffled. Either way no task gathers the rows of a key."""
+    right = right if hasattr(right, "_stage_path") else staged(right, "right")
+    if right.count() <= few:
+        return left.join(F.broadcast(right), key, how)
+    left = left if hasattr(left, "_stage_path") else staged(left, "left")
     n = left.count()
     heavy = staged(left.groupBy(key).count().where(F.col("count") > n / most).select(key), "heavy", 1)
     heavy = F.broadcast(heavy)
@@ -260,12 +266,32 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
+def _forests(batches, most: int = 1 << 20):
+    """Star edges (a, b) that join the same nodes as the edges of a partition, by ``most`` at a time."""
+    held: list[tuple] = []
+
+    def out():
+        node, root = local_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+        if sum(len(x[0]) for x in held) > most:
+            yield out()
+    if held:
+        yield out()
+
+
 def components(edges: DataFrame, name: str = "components", tasks: int | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a long, b long): root is the smallest node that it
-    is joined to. Alternating large and small stars: every round halves path lengths, groups by
-    node with map-side minima, and ends in a written table, so no component is gathered in a task."""
+    is joined to. Partitions first become forests of stars by themselves, which leaves few rounds to do.
+    Then alternating large and small stars: every round halves path lengths, groups by node with
+    map-side minima, and ends in a written table, so no component is gathered in a task."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = staged(edges.distinct(), name, tasks)
+    edges = edges.coalesce(tasks) if tasks else edges
+    now = staged(edges.mapInArrow(_forests, "a long, b long").distinct(), name, tasks)
     while True:
         # in a forest of stars no node has two edges up, or edges both up and down
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

@@ -76,7 +76,8 @@ def test_components(spark):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["root"] for r in common.components(df).collect()}
+    got = {r["node"]: r["root"] for r in common.components(df.repartition(7)).collect()}
+    assert got == {r["node"]: r["root"] for r in common.components(df, tasks=1).collect()}
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
     assert common.components(df.limit(0)).isEmpty()
 
@@ -96,8 +97,8 @@ def test_join_with_heavy_keys(spark, how):
     rng = random.Random(3)
     rows = [(i, 7 if rng.random() < 0.4 else rng.randrange(60)) for i in range(500)] + [(900, 99)] * 3
     left, right = spark.createDataFrame(rows, "i long, k long"), spark.range(70).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for most in (1, 4, 1000):
-        got = common.join_hot(left, right, "k", how, most).select("i", "k", "v").collect()
+    for most, few in ((1, 10), (4, 10), (1000, 10), (4, 100)):
+        got = common.join_hot(left, right, "k", how, most, few).select("i", "k", "v").collect()
         want = [(i, k, 2 * k if k < 70 else None) for i, k in rows if how == "left" or k < 70]
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
