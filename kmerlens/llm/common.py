@@ -7,6 +7,7 @@ extra columns (also ones whose names clash with columns made here) change nothin
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -113,6 +114,39 @@ def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
         spark.conf.set(name, f"{size}b")
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on, and what their allocators keep adds up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # an allocator that has no such call
+        pass
+
+
+def lean(f):
+    """f, a function of Arrow batches, that gives its memory back at the end of a partition."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_group(f):
+    """f, a function of one group, that gives its memory back at the end of each."""
+
+    def run(group):
+        try:
+            return f(group)
+        finally:
+            _give_back()
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -266,32 +300,12 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _forests(batches, most: int = 1 << 20):
-    """Star edges (a, b) that join the same nodes as the edges of a partition, by ``most`` at a time."""
-    held: list[tuple] = []
-
-    def out():
-        node, root = local_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(tuple(c.to_numpy() for c in batch.columns))
-        if sum(len(x[0]) for x in held) > most:
-            yield out()
-    if held:
-        yield out()
-
-
 def components(edges: DataFrame, name: str = "components", tasks: int | None = None) -> DataFrame:
     """(node, root) of every node of the edges (a long, b long): root is the smallest node that it
-    is joined to. Partitions first become forests of stars by themselves, which leaves few rounds to do.
-    Then alternating large and small stars: every round halves path lengths, groups by node with
-    map-side minima, and ends in a written table, so no component is gathered in a task."""
+    is joined to. Alternating large and small stars: every round halves path lengths, groups by
+    node with map-side minima, and ends in a written table, so no component is gathered in a task."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = edges.coalesce(tasks) if tasks else edges
-    now = staged(edges.mapInArrow(_forests, "a long, b long").distinct(), name, tasks)
+    now = staged(edges.distinct(), name, tasks)
     while True:
         # in a forest of stars no node has two edges up, or edges both up and down
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

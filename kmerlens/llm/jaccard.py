@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, components, join_hot, local_forest, mix64, rows_of, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
+from .common import U64, bounded_batches, components, join_hot, lean, lean_group, local_forest, mix64, rows_of, shingles, staged, string_buffers, tasks_for, unstage, word_hashes
 
 #: Hashes that are handled as frequent, at most: 8 bytes each in every Python worker.
 FREQUENT = 50_000
@@ -362,7 +362,7 @@ def _tiles(found: DataFrame, threshold: tuple[int, int], tile_bytes: int, tile_r
     return small.unionByName(large.withColumn("parcel", F.col("tile")))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, pair_blocks: int = 64, bucket_hashes: int = 1 << 21, one_in: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100), tile_bytes: int = 4 << 20, tile_rows: int = 1024, pair_blocks: int = 64, bucket_hashes: int = 1 << 20, one_in: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, keeper_key) of every row of docs (doc_id, text). key
     is row_key(), keeper_key that of the row of the component that a deduplication keeps.
 
@@ -383,17 +383,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     while buckets * bucket_hashes * 12 < size:  # English has about one hash of the first half in 12 characters
         buckets *= 2
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, one_in))
-    scanned = staged(docs.mapInArrow(lambda b: _count_pass(b, k, threshold, buckets, frequent), "doc_id long, key long, set_id long, n long, n_early long, n_rare long, h long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
+    scanned = staged(docs.mapInArrow(lean(lambda b: _count_pass(b, k, threshold, buckets, frequent)), "doc_id long, key long, set_id long, n long, n_early long, n_rare long, h long, bucket long, hashes binary, sets binary, runs binary"), "shingles", tasks)
     nodes = scanned.where("bucket is null and h is null").select("doc_id", "key", "set_id", "n", "n_early", "n_rare")
     # frequent hashes in prefixes: a node of its own for each, which the sets are joined to
     often = scanned.where("h is not null").select("set_id", F.xxhash64("h", F.lit(17)).alias("root")).distinct()
     by_set = nodes.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("n_early").alias("n_early"), F.first("n_rare").alias("n_rare"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("head"))
     blobs = scanned.where("bucket is not null").select("bucket", "hashes", "sets", "runs")
-    shared = blobs.groupBy("bucket").applyInPandas(_shared_hashes(buckets), "part long, bucket long, hashes binary, sets binary, counts binary")
+    shared = blobs.groupBy("bucket").applyInPandas(lean_group(_shared_hashes(buckets)), "part long, bucket long, hashes binary, sets binary, counts binary")
     grouped = by_set.select("set_id", "n", "n_early", "n_rare", F.when(F.col("set_id") >= 0, F.pmod("set_id", F.lit(buckets))).otherwise(F.pmod(F.pmod("set_id", F.lit(buckets)) + (2**64 % buckets), F.lit(buckets))).alias("part"))
     prefixes = shared.groupBy("part").cogroup(grouped.groupBy("part")).applyInPandas(_prefixes(threshold, buckets), "part long, bucket long, hashes binary, sets binary, sizes binary")
     prefixes = staged(prefixes, "prefixes", tasks)
-    edges = prefixes.groupBy("part").applyInPandas(_candidates(threshold), "a long, b long")
+    edges = prefixes.groupBy("part").applyInPandas(lean_group(_candidates(threshold)), "a long, b long")
     groups = components(edges.unionByName(often.select(F.col("set_id").alias("a"), F.col("root").alias("b"))), "candidates", tasks)
     found = staged(by_set.join(groups, F.col("set_id") == F.col("node")).select("set_id", "key", "n", (F.col("n") * 8).alias("bytes"), "root"), "candidate-sets", tasks)
     found = staged(join_hot(found, found.groupBy("root").agg(_blocks(tile_bytes, tile_rows).alias("n_blocks"), F.min("set_id").alias("leader")), "root"), "grouped-sets", tasks)
@@ -403,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         tiles = staged(tiles, f"{name}-tiles", tasks)
         near = F.broadcast(tiles) if tiles.count() <= broadcast_rows else tiles  # 40 bytes a row
         rows = docs.select("key", "text").join(near, "key").select("parcel", "tile", "side", "set_id", "text")
-        return staged(rows.groupBy("parcel").applyInArrow(_verify(k, threshold), "a long, b long"), name, tasks)
+        return staged(rows.groupBy("parcel").applyInArrow(lean_group(_verify(k, threshold)), "a long, b long"), name, tasks)
 
     pairs = verified(_group_tiles(found, parcels), "pairs")
     large = found.where("n_blocks > 1")

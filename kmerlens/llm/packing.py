@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, string_buffers, tasks_for
+from .common import bounded_batches, lean, staged, string_buffers, tasks_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _encoders: dict = {}
@@ -102,7 +102,7 @@ def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: i
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[int], list[int], list[int]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, held_out, rows_of, staged, string_buffers, word_hashes
+from .common import U64, bounded_batches, held_out, lean, rows_of, staged, string_buffers, word_hashes
 
 BUCKET_BITS = 20
 PREFIX_BYTES = 6
@@ -304,7 +304,7 @@ def without_toxic(docs: DataFrame, model: Classifier | None) -> DataFrame:
             kept = pa.array(_scores(broadcast.value, fields[place]) < THRESHOLD)
             yield pa.RecordBatch.from_arrays([f.filter(kept) for f in fields], names=names)
 
-    return docs.select(rows_of(docs)).mapInArrow(run, docs.schema)
+    return docs.select(rows_of(docs)).mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
