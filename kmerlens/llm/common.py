@@ -300,12 +300,35 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def components(edges: DataFrame, name: str = "components", tasks: int | None = None) -> DataFrame:
+def _forests(batches, most: int = 1 << 20):
+    """Star edges (a, b) that join the same nodes as the edges of a partition, by ``most`` at a time."""
+    held: list[tuple] = []
+
+    def out():
+        node, root = local_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+        if sum(len(x[0]) for x in held) > most:
+            yield out()
+    if held:
+        yield out()
+
+
+def components(edges: DataFrame, name: str = "components", tasks: int | None = None, part_edges: int = 1 << 19) -> DataFrame:
     """(node, root) of every node of the edges (a long, b long): root is the smallest node that it
-    is joined to. Alternating large and small stars: every round halves path lengths, groups by
-    node with map-side minima, and ends in a written table, so no component is gathered in a task."""
+    is joined to. Parts of about part_edges edges first become forests of stars by themselves, which
+    leaves fewer edges and rounds. Then alternating large and small stars: every round halves path
+    lengths, groups by node with map-side minima, and ends in a written table, so no component is
+    gathered in a task."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    now = staged(edges.distinct(), name, tasks)
+    first = staged(edges, f"{name}-edges", tasks)
+    parts = max(1, -(-first.count() // part_edges))
+    now = staged(first.coalesce(parts).mapInArrow(lean(_forests), "a long, b long").distinct(), name, parts)
+    unstage(first)
     while True:
         # in a forest of stars no node has two edges up, or edges both up and down
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

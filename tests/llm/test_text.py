@@ -77,7 +77,8 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r["node"]: r["root"] for r in common.components(df.repartition(7)).collect()}
-    assert got == {r["node"]: r["root"] for r in common.components(df, tasks=1).collect()}
+    for part in (1, 40, 10**6):
+        assert got == {r["node"]: r["root"] for r in common.components(df.repartition(7), part_edges=part).collect()}
     assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
     assert common.components(df.limit(0)).isEmpty()
 
