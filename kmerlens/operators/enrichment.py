@@ -11,39 +11,41 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import density, enrichment
 
+TARGETS = ("HSat2", "HSat3")
 
-def target_background(counts: DataFrame, targets: tuple[str, ...] = ("HSat2", "HSat3"), by: tuple[str, ...] = ("code", "hap"), n: str = "n") -> DataFrame:
+
+def target_background(counts: DataFrame, targets: tuple[str, ...] = TARGETS, by: tuple[str, ...] = ("code", "hap"), n: str = "n") -> DataFrame:
     """(by, t, b): sums over target regions and over the background."""
     is_target = F.col("region").isin(*targets)
     return counts.groupBy(*by).agg(F.coalesce(F.sum(F.when(is_target, F.col(n))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("region") == "background", F.col(n))), F.lit(0)).alias("b"))
 
 
-def denominators(den: DataFrame, targets: tuple[str, ...] = ("HSat2", "HSat3"), by: tuple[str, ...] = ("hap",)) -> DataFrame:
+def denominators(den: DataFrame, targets: tuple[str, ...] = TARGETS, by: tuple[str, ...] = ("hap",)) -> DataFrame:
     out = target_background(den, targets, by or (F.lit(0).alias("all"),), "valid_starts")
     return out.withColumnsRenamed({"t": "den_t", "b": "den_b"})
 
 
-def pooled_enrichment(counts: DataFrame, den: DataFrame, reference: Column, pooled_min: int, threshold: float) -> DataFrame:
+def pooled_enrichment(counts: DataFrame, den: DataFrame, reference: Column, pooled_min: int, threshold: float, targets: tuple[str, ...] = TARGETS) -> DataFrame:
     """(code, t, b, den_t, den_b, e, pooled_pass) over all haps but the reference."""
-    d = denominators(den.where(~reference), by=()).drop("all")
-    rows = target_background(counts.where(~reference), by=("code",)).crossJoin(F.broadcast(d))  # d is one row
+    d = denominators(den.where(~reference), targets, by=()).drop("all")
+    rows = target_background(counts.where(~reference), targets, by=("code",)).crossJoin(F.broadcast(d))  # d is one row
     e = enrichment(F.col("t"), F.col("den_t"), F.col("b"), F.col("den_b"))
     return rows.withColumn("e", e).withColumn("pooled_pass", F.coalesce((F.col("t") >= pooled_min) & (F.col("e") > threshold), F.lit(False)))
 
 
-def hap_enrichment(counts: DataFrame, den: DataFrame, hap_min: int, threshold: float) -> DataFrame:
+def hap_enrichment(counts: DataFrame, den: DataFrame, hap_min: int, threshold: float, targets: tuple[str, ...] = TARGETS) -> DataFrame:
     """(code, hap, t, b, den_t, den_b, e, hap_pass) of the pairs that occur."""
-    rows = target_background(counts).join(denominators(den), "hap")
+    rows = target_background(counts, targets).join(denominators(den, targets), "hap")
     e = enrichment(F.col("t"), F.col("den_t"), F.col("b"), F.col("den_b"))
     return rows.withColumn("e", e).withColumn("hap_pass", F.coalesce((F.col("t") >= hap_min) & (F.col("e") > threshold), F.lit(False)))
 
 
-def selection(pooled: DataFrame, by_hap: DataFrame, den: DataFrame, reference: Column) -> DataFrame:
+def selection(pooled: DataFrame, by_hap: DataFrame, den: DataFrame, reference: Column, targets: tuple[str, ...] = TARGETS) -> DataFrame:
     """pooled with qualifying_haps, prevalence, mean / min / max of E over haps, selected and
     selection_reason. E of a hap without the k-mer is that of two zero counts, 0, and enters the
     mean; so sums over the pairs that occur and the number of measurable haps give all of them."""
     own = by_hap.where(~reference)
-    measurable = denominators(den.where(~reference)).where("den_t > 0 and den_b > 0").agg(F.count("*").alias("measurable_haps"))
+    measurable = denominators(den.where(~reference), targets).where("den_t > 0 and den_b > 0").agg(F.count("*").alias("measurable_haps"))
     stats = own.groupBy("code").agg(
         F.count_if(F.col("t") > 0).alias("prevalence"), F.count_if("hap_pass").alias("qualifying_haps"), F.sum("e").alias("e_sum"), F.min("e").alias("e_min"), F.max("e").alias("e_max"), F.count("e").alias("e_n")
     )

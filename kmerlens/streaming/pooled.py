@@ -34,3 +34,18 @@ def maintain(spark: SparkSession, shards: str, path: str, checkpoint: str, refer
 
     stream = spark.readStream.schema(COUNTS).parquet(shards)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def by_hap(counts: DataFrame, reference: str) -> DataFrame:
+    """(code, region, hap, n) of any part of a hap's counts, the reference left out: deltas of these may
+    come from several files or batches of one hap."""
+    return counts.where(F.col("hap") != reference).groupBy("code", "region", "hap").agg(F.sum("n").alias("n"))
+
+
+def pool_by_region(deltas: DataFrame, pooled_min: int, hap_min: int) -> DataFrame:
+    """(code, region, pooled, haps, largest) of deltas by hap: k-mers whose sum over haps or largest count
+    in one hap is enough. A hap counts once, however many deltas it has. Both sums need one shuffle, by
+    (region, code)."""
+    rows = deltas.repartition("region", "code").groupBy("region", "code", "hap").agg(F.sum("n").alias("n"))
+    pool = rows.groupBy("region", "code").agg(F.sum("n").alias("pooled"), F.count("*").alias("haps"), F.max("n").alias("largest"))
+    return pool.where((F.col("pooled") >= pooled_min) | (F.col("largest") >= hap_min)).select("code", "region", "pooled", "haps", "largest")

@@ -5,7 +5,10 @@ import math
 import duckdb
 import pytest
 
-from kmerlens.plans.catalog import ORACLE_SQL, QUERIES
+from jobs import queries as jobs
+from kmerlens.plans import catalog
+
+QUERIES, ORACLE_SQL = catalog.QUERIES | jobs.QUERIES, catalog.ORACLE_SQL | jobs.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
