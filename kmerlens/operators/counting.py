@@ -8,13 +8,18 @@ cost a few nanoseconds each and leave Python already grouped. Everything after t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bases that are encoded at once; temporaries take about 80 bytes each.
 SEGMENT = 1 << 20
+#: Candidates that a prefilter knows by their codes, 8 bytes each, and the bits of its map at most.
+EXACT_CODES, MAP_BITS = 1 << 22, 27
 _BASE = np.full(256, 4, np.uint8)
 for _i, _letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
     for _c in _letters:
@@ -58,12 +63,63 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def windows(sequences: DataFrame, k: int = 16, keys: list[str] | None = None, positions: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Prefilter:
+    """Which codes are candidates: a map of 2^bits bits, by a code's low bits mixed with the next ones,
+    and, of not too many candidates, their codes in order. Without codes it lets some others pass."""
+
+    bits: int
+    marks: np.ndarray
+    codes: np.ndarray | None
+
+    @staticmethod
+    def place(codes: np.ndarray, bits: int) -> np.ndarray:
+        return (codes ^ codes >> bits) & ((1 << bits) - 1)
+
+    @property
+    def exact(self) -> bool:
+        return self.codes is not None
+
+    def which(self, codes: np.ndarray) -> np.ndarray:
+        """Places in ``codes`` of those that pass."""
+        at = self.place(codes, self.bits)
+        hit = np.flatnonzero(self.marks[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        if self.codes is None or not len(hit):
+            return hit
+        found = np.minimum(np.searchsorted(self.codes, codes[hit]), len(self.codes) - 1)
+        return hit[self.codes[found] == codes[hit]]
+
+
+def prefilter(candidates: DataFrame, exact: int = EXACT_CODES, bits: int = MAP_BITS) -> Broadcast | None:
+    """A broadcast Prefilter of candidates (code): windows that are none of them never leave Python. Up to
+    ``exact`` candidates are held by their codes; of more, up to a quarter of the map's bits, only the
+    map goes to the tasks (16 MB by default), built by Spark in rows of 4 KB, and what passes it still
+    has to meet its candidate. Beyond that None: the map would pass most windows, and joining them by
+    code, which deals both sides to shards, is the better way."""
+    spark = candidates.sparkSession
+    codes = candidates.select("code").where("code is not null").distinct()
+    some = codes.limit(exact + 1).toArrow().column(0).to_numpy()
+    if len(some) <= exact:
+        bits = max(15, min(bits, len(some).bit_length() + 5))
+        marks = np.zeros(1 << (bits - 3), np.uint8)
+        at = Prefilter.place(some, bits)
+        np.bitwise_or.at(marks, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return spark.sparkContext.broadcast(Prefilter(bits, marks, np.sort(some)))
+    if codes.count() > 1 << (bits - 2):
+        return None
+    marks = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for row in _bitmap(codes, F.col("code").bitwiseXOR(F.shiftright("code", bits)).bitwiseAND((1 << bits) - 1)).toLocalIterator():
+        marks[row["bucket"] - 1] = np.frombuffer(row["bitmap"], np.uint8)
+    return spark.sparkContext.broadcast(Prefilter(bits, marks.reshape(-1), None))
+
+
+def windows(sequences: DataFrame, k: int = 16, keys: list[str] | None = None, positions: bool = False, only: Broadcast | None = None) -> DataFrame:
     """Canonical windows of sequences (keys, seq): (keys, code, strand, n) summed within pieces of
     about SEGMENT bases, or (keys, code, strand, start) of every window. A longer row is walked in
     pieces, so memory beside the row itself is bounded. strand is 1 where the reverse complement
     is the smaller one; a palindrome has strand 0. Windows hold ACGT only, in either case, and never
-    span two rows. Null or short sequences have no window."""
+    span two rows. Null or short sequences have no window. With ``only``, a prefilter, other windows than
+    those that it lets pass are left out before anything is sorted, counted or given to Spark."""
     keys = [c for c in sequences.columns if c != "seq"] if keys is None else keys
     rows = sequences.select(*keys, "seq")
 
@@ -72,8 +128,11 @@ def windows(sequences: DataFrame, k: int = 16, keys: list[str] | None = None, po
         codes = np.insert(_BASE[raw], offs[1:-1], 4) if len(offs) > 2 else _BASE[raw]
         at, f, r = _rolling(codes, k)
         starts = offs + np.arange(len(offs))
-        row = np.searchsorted(starts, at, "right") - 1
         code, strand = np.minimum(f, r), (f > r).astype(np.int32)
+        if only is not None:
+            hit = only.value.which(code)
+            at, code, strand = at[hit], code[hit], strand[hit]
+        row = np.searchsorted(starts, at, "right") - 1
         if positions:
             return row + first, code, strand, at - starts[row] + shift
         order = np.lexsort((strand, code, row))
@@ -119,6 +178,16 @@ def spectrum(sequences: DataFrame, k: int = 16, keys: list[str] | None = None, s
     return counted.groupBy(*by).agg(F.sum("n").alias("n"))
 
 
+def seeded(sequences: DataFrame, candidates: DataFrame, k: int = 16, keys: list[str] | None = None, strands: bool = False, **limits: int) -> DataFrame:
+    """(keys, code, [strand,] n) of the candidates (code) only: the spectrum without the rest, which takes
+    no part in any shuffle while the candidates fit a prefilter (``limits`` are its parameters)."""
+    only = prefilter(candidates, **limits)
+    counted = windows(sequences, k, keys, only=only)
+    by = [c for c in counted.columns if c not in ("n", "strand")] + ["strand"] * strands
+    counts = counted.groupBy(*by).agg(F.sum("n").alias("n"))
+    return counts if only is not None and only.value.exact else restrict(counts, candidates)
+
+
 def region_stats(sequences: DataFrame, k: int = 16) -> DataFrame:
     """(keys, bp, acgt_bp, non_acgt_bp, valid_starts) of every row: an ACGT run of length r has
     max(0, r - k + 1) valid starts."""
@@ -167,12 +236,16 @@ def pilot(manifest: DataFrame, n: int, order: str = "hap") -> DataFrame:
     return manifest.orderBy(order).limit(n)
 
 
+def _bitmap(candidates: DataFrame, place: Column) -> DataFrame:
+    """(bucket, bitmap) of the places of candidates, one bit for each, 32,768 in a row."""
+    rows = candidates.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
 def prefix_bitmap(candidates: DataFrame, drop_bits: int = 8) -> DataFrame:
-    """(bucket, bitmap, prefixes): which prefixes of candidate codes occur, one bit for each, 32,768 in
-    a row. Joins need none of it, since Spark filters them at run time; it is for other programs."""
-    prefix = F.shiftright("code", drop_bits)
-    rows = candidates.select(F.bitmap_bucket_number(prefix).alias("bucket"), F.bitmap_bit_position(prefix).alias("bit"))
-    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).withColumn("prefixes", F.bitmap_count("bitmap"))
+    """(bucket, bitmap, prefixes): which prefixes of candidate codes occur, for other programs. Scans and
+    counts of candidates here use ``prefilter``."""
+    return _bitmap(candidates, F.shiftright("code", drop_bits)).withColumn("prefixes", F.bitmap_count("bitmap"))
 
 
 def substring_hits(sequences: DataFrame, motifs: list[str], keys: list[str]) -> DataFrame:

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counting import windows
-
-BROADCAST_PATTERNS = 1_000_000
+from .counting import prefilter, restrict, windows
 
 
 def scan(sequences: DataFrame, patterns: DataFrame, k: int = 16, keys: list[str] | None = None) -> DataFrame:
     """(keys, code, start, end, strand) of every window of sequences that is one of patterns (code,
-    canonical), in either orientation. One pass for all patterns; their hash table is broadcast up
-    to a checked size and shuffled beyond it."""
-    seen = windows(sequences, k, keys, positions=True)
-    few = patterns.select("code").distinct()
-    if few.count() <= BROADCAST_PATTERNS:
-        few = F.broadcast(few)
-    hits = seen.join(few, "code")
+    canonical), in either orientation. One pass for all patterns; windows that are none of them stay
+    in Python as far as the patterns fit a prefilter."""
+    only = prefilter(patterns)
+    hits = windows(sequences, k, keys, positions=True, only=only)
+    if only is None or not only.value.exact:
+        hits = restrict(hits, patterns)
     return hits.withColumn("end", F.col("start") + k).withColumn("strand", F.when(F.col("strand") == 0, "+").otherwise("-"))
 
 

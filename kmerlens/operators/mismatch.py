@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmer as K
 from ..functions.measures import log2_ratio, ratio
+from .counting import seeded
 
 
 def neighbours(queries: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:
@@ -29,6 +30,15 @@ def radius_join(queries: DataFrame, counts: DataFrame, k: int = 16, radius: int
     return counts.join(neighbours(queries, k, radius).withColumnRenamed("variant", "code"), "code")
 
 
+def radius_counts(queries: DataFrame, sequences: DataFrame, keys: list[str], k: int = 16, radius: int = 2) -> DataFrame:
+    """(query, d, code, keys, n) of every variant of the queries (code) in sequences (keys, seq): only
+    variants are counted. Queries are few (each has about a thousand variants at radius 2) and read
+    twice."""
+    variants = neighbours(queries, k, radius)
+    counts = seeded(sequences, variants.select(F.col("variant").alias("code")), k, keys)
+    return counts.join(variants.withColumnRenamed("variant", "code"), "code")
+
+
 def by_distance(matched: DataFrame, by: list[str], radius: int = 2) -> DataFrame:
     """(query, by, d, n, cumulative) for every d of the radius: sums at a distance, and up to it."""
     sums = matched.groupBy("query", *by).agg(*(F.coalesce(F.sum(F.when(F.col("d") == d, F.col("n"))), F.lit(0)).alias(f"n{d}") for d in range(radius + 1)))

@@ -102,10 +102,17 @@ _NEAR = _TOP.format(n=5) + ", kr AS (SELECT kmer, hap, region, count(*) AS n FRO
 
 
 def _matched(spark, sf, *by: str):
-    """Counts of the variants of the five most frequent k-mers: both come from one written spectrum."""
-    w = written(_windows(spark, sf, *by).groupBy(*by, "code").agg(F.sum("n").alias("n")), "spectrum")
-    top = w.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(5)
-    return mismatch.radius_join(top, w)
+    """Counts of the variants of the five most frequent k-mers: one pass finds these, and another one
+    counts their variants alone."""
+    return mismatch.radius_counts(written(_top(spark, sf, 5).select("code"), "queries"), fx.sequences(spark, sf), list(by))
+
+
+@query("seeded_counts", fx.sql("s w", ", p AS (SELECT kmer FROM (SELECT kmer, hap, count(*) AS n FROM w GROUP BY 1, 2) GROUP BY kmer HAVING sum(n) >= 20 OR max(n) >= 10) SELECT kmer, hap, region, strand, count(*) AS n FROM w WHERE kmer IN (SELECT kmer FROM p) GROUP BY 1, 2, 3, 4"))
+def seeded_counts(spark, sf):
+    """Counts of the pooled k-mers alone, by hap, region and strand."""
+    pool = written(counting.pool(_windows(spark, sf, "hap"), 20, 10).select("code"), "candidates")
+    counts = counting.seeded(fx.sequences(spark, sf), pool, keys=["hap", "region"], strands=True)
+    return counts.select(K.decode(F.col("code")).alias("kmer"), "hap", "region", "strand", "n")
 
 
 @query("mismatch_neighbours", fx.sql("s w", _TOP.format(n=5) + ", ps AS (SELECT a.range AS i, b.range AS j FROM range(1, 17) a, range(1, 17) b WHERE a.range < b.range), bs AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), vs AS (SELECT kmer AS query, substr(kmer, 1, i - 1) || p.x || substr(kmer, i + 1, j - i - 1) || q.x || substr(kmer, j + 1) AS v FROM tp, ps, bs p, bs q), cv AS (SELECT DISTINCT query, least(v, reverse(translate(v, 'ACGT', 'TGCA'))) AS v FROM vs) SELECT query, least(hamming(query, v), hamming(query, reverse(translate(v, 'ACGT', 'TGCA')))) AS d, count(*) AS variants FROM cv GROUP BY 1, 2"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerlens.functions import kmer as K
-from kmerlens.operators import counting, enrichment
+from kmerlens.operators import counting, enrichment, mismatch
 from kmerlens.sources import files
 
 COMP = str.maketrans("ACGT", "TGCA")
@@ -78,3 +78,43 @@ def test_missing_denominator_is_undefined(spark):
     den = spark.createDataFrame([("h", "HSat2", 1000)], "hap string, region string, valid_starts long")
     row = enrichment.hap_enrichment(counts, den, 1, 0.0).first()
     assert row["e"] is None and row["hap_pass"] is False
+
+
+def _texts(spark, n=60, size=3000, seed=5):
+    rng = random.Random(seed)
+    rows = [(i, "".join(rng.choices("ACGTN\n", [40, 20, 20, 40, 1, 1], k=size))) for i in range(n)] + [(None, None), (n, "acgt"), (n, "A" * 5000)]
+    return spark.createDataFrame(rows, "doc long, seq string")
+
+
+@pytest.mark.parametrize("limits", [{}, {"exact": 10}, {"exact": 10, "bits": 18}, {"exact": 10, "bits": 15}])
+def test_seeded_counts_equal_the_restricted_spectrum(spark, limits):
+    seqs = _texts(spark)
+    full = counting.spectrum(seqs, keys=["doc"], strands=True)
+    seeds = full.select("code").distinct().where("code % 23 = 1 or code = 0").unionByName(spark.createDataFrame([(None,), (5,), (5,), ((1 << 32) - 1,)], "code long"))
+    rows = lambda df: sorted((tuple(r) for r in df.select("doc", "code", "strand", "n").collect()), key=str)
+    want = rows(full.join(seeds.where("code is not null").distinct(), "code"))
+    assert len(want) > 1000 and rows(counting.seeded(seqs, seeds, keys=["doc"], strands=True, **limits)) == want
+
+
+def test_only_candidates_leave_the_scan(spark):
+    seqs = _texts(spark)
+    every = counting.windows(seqs, keys=["doc"], positions=True)
+    seeds = every.select("code").distinct().where("code % 50 = 3")
+    true = every.join(seeds, "code", "left_semi").count()
+    exact = counting.windows(seqs, keys=["doc"], positions=True, only=counting.prefilter(seeds)).count()
+    rough = counting.windows(seqs, keys=["doc"], positions=True, only=counting.prefilter(seeds, exact=100)).count()
+    assert exact == true > 0
+    # 3,000 marks of 134 million: one window in 40,000 passes by chance
+    assert true <= rough <= true + 0.01 * every.count()
+    assert counting.prefilter(seeds, exact=100, bits=15) is not None or seeds.count() > 1 << 13
+    assert counting.prefilter(every, exact=100, bits=15) is None
+    nothing = counting.prefilter(seeds.limit(0))
+    assert counting.windows(seqs, keys=["doc"], only=nothing).isEmpty() and counting.seeded(seqs, seeds.limit(0), keys=["doc"]).isEmpty()
+
+
+def test_counts_in_a_radius_equal_the_join(spark):
+    seqs = _texts(spark, 30)
+    queries = counting.spectrum(seqs, keys=[]).orderBy(F.desc("n"), "code").limit(4).select("code")
+    by_join = mismatch.radius_join(queries, counting.spectrum(seqs, keys=["doc"]))
+    rows = lambda df: sorted((tuple(r) for r in df.select("query", "d", "code", "doc", "n").collect()), key=str)
+    assert rows(mismatch.radius_counts(queries, seqs, ["doc"])) == rows(by_join) != []
