@@ -108,7 +108,8 @@ def prefilter(candidates: DataFrame, exact: int = EXACT_CODES, bits: int = MAP_B
     if codes.count() > 1 << (bits - 2):
         return None
     marks = np.zeros((1 << (bits - 15), 4096), np.uint8)
-    for row in _bitmap(codes, F.col("code").bitwiseXOR(F.shiftright("code", bits)).bitwiseAND((1 << bits) - 1)).toLocalIterator():
+    place = F.col("code").bitwiseXOR(F.shiftright("code", bits)).bitwiseAND((1 << bits) - 1)
+    for row in _bitmap(codes, place + 1).toLocalIterator():  # bucket 1 starts at 1
         marks[row["bucket"] - 1] = np.frombuffer(row["bitmap"], np.uint8)
     return spark.sparkContext.broadcast(Prefilter(bits, marks.reshape(-1), None))
 
