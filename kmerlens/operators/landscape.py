@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counting import prefilter, restrict, windows
+from .ranking import numbered
 
 
 def scan(sequences: DataFrame, patterns: DataFrame, k: int = 16, keys: list[str] | None = None) -> DataFrame:
@@ -121,7 +122,6 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def even_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows evenly spaced in the order, first and last included."""
-    w = Window.orderBy(order)
-    ranked = df.withColumn("r", F.row_number().over(w) - 1).withColumn("rows", F.count("*").over(Window.partitionBy()))
+    ranked = numbered(df, [], [F.col(order)], "r", "rows").withColumn("r", F.col("r") - 1)
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("rows") - 1) / F.lit(max(1, n - 1))))
     return ranked.where(F.array_contains(places, F.col("r").cast("long"))).drop("r", "rows")

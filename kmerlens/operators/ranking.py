@@ -9,28 +9,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.written import written
+
 WEIGHTS = (0.20, 0.20, 0.20, 0.15, 0.10, 0.15)
 
 
+#: Groups by ranges that are broadcast: a few numbers each.
+BROADCAST_PARTS = 100_000
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "place", rows: str | None = None, ranges: int | None = None) -> DataFrame:
+    """df with the place of each row (from 1) in the order within its group, and with ``rows`` the size
+    of the group. The order has to tell all rows of a group apart.
+
+    No task holds a group: rows are sorted into ranges of about equal size by group and order, and get a
+    running number there. A row for each range of each group tells how many of the group lie in the
+    ranges before. Rows are written once, sorted, so that both are taken from the same ranges."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = [*map(F.col, by), *order]
+    # ids of this kind are the number of the partition in the high bits, and a running number
+    placed = df.repartitionByRange(n, *ends).sortWithinPartitions(*ends).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ranges")
+    low = F.col("_at").bitwiseAND((1 << 33) - 1)
+    parts = placed.groupBy(F.shiftright("_at", 33).alias("_part"), *(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.min(low).alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*(f"_by_{c}" for c in by))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = written(parts.select("*", (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(group).alias("_rows")), "parts")
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
+    same = [F.shiftright("_at", 33) == F.col("_part"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)]
+    out = placed.join(parts, same).withColumn(name, low + F.col("_shift"))
+    return out.select(*df.columns, name, *([F.col("_rows").alias(rows)] if rows else []))
+
+
 def percentile(value: Column, by: list[str], ties: Column) -> Column:
-    """Place in ascending order over the number of rows less one; equal values in order of ``ties``."""
+    """Place in ascending order over the number of rows less one; equal values in order of ``ties``. A
+    group is one task: ``composite`` is for large ones."""
     w = Window.partitionBy(*by)
     return (F.row_number().over(w.orderBy(value.asc_nulls_first(), ties)) - 1) / F.greatest(F.lit(1), F.count("*").over(w) - 1)
 
 
 def composite(df: DataFrame, columns: list[str], by: list[str], ties: Column, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """df with pct_<column> of each column and their weighted sum, ``score``."""
-    for c in columns:
-        df = df.withColumn(f"pct_{c}", percentile(F.col(c), by, ties))
-    return df.withColumn("score", sum((F.col(f"pct_{c}") * w for c, w in zip(columns, weights, strict=True)), F.lit(0.0)))
+    """df with pct_<column> of each column (numbers) and their weighted sum, ``score``. All columns are
+    numbered at once, as rows of their own."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    values = F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_column", "_value")
+    long = rows.select("_row", *by, ties.alias("_tie"), values)
+    long = numbered(long, ["_column", *by], [F.col("_value").asc_nulls_first(), F.col("_tie")], "_place", "_rows")
+    share = (F.col("_place") - 1) / F.greatest(F.lit(1), F.col("_rows") - 1)
+    wide = long.groupBy("_row").agg(*(F.max(F.when(F.col("_column") == i, share)).alias(f"pct_{c}") for i, c in enumerate(columns)))
+    out = rows.join(wide, "_row").drop("_row")
+    return out.withColumn("score", sum((F.col(f"pct_{c}") * w for c, w in zip(columns, weights, strict=True)), F.lit(0.0)))
 
 
 def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return numbered(df, by, order, name)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    return rank_within(df, by, order, "rank").where(F.col("rank") <= k)
+    """Spark cuts groups to k rows before it shuffles them, so a group in one task does no harm."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def exactly(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -46,7 +85,7 @@ def by_outside(df: DataFrame, name: str, total: str = "total", outside: str = "o
     """df with ``place``: most hits outside first, then the greatest share of hits outside, which is 0
     where there is no hit at all, then by name."""
     share = F.coalesce(F.try_divide(F.col(outside), F.col(total)), F.lit(0.0))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(outside), share.desc(), name)))
+    return numbered(df, [], [F.desc(outside), share.desc(), F.col(name)])
 
 
 def collect_categories(df: DataFrame, key: str, category: str) -> DataFrame:

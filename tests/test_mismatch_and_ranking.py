@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kmerlens.functions import kmer as K
@@ -302,3 +303,37 @@ def test_cluster_query_uses_all_of_its_operator(spark, monkeypatch):
     spy("cluster_cases")
     ranking_queries.cluster_cases(spark, "/root/testdata/sf0.001")
     assert seen["most"] == 3000 and seen["reps"] == 20
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 17])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_numbers_by_ranges_equal_a_window(spark, ranges, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(ranking, "BROADCAST_PARTS", -1)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 > 0, (F.col("id") % 11).cast("string")).alias("g"), (F.col("id") % 2).alias("h"), F.when(F.col("id") % 5 > 0, F.col("id") * 37 % 101).alias("v"))
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    for by in ([], ["g"], ["g", "h"]):
+        w = Window.partitionBy(*by)
+        want = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+        got = ranking.numbered(rows, by, order, "place", "n", ranges)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert ranking.numbered(rows.limit(0), ["g"], order).count() == 0
+
+
+def test_a_hot_group_is_many_ranges(spark, tmp_path, monkeypatch):
+    seen = []
+    real = ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rows = spark.range(20_000).select(F.lit("one").alias("g"), (F.col("id") * 7919 % 20_000).alias("v"))
+    out = ranking.numbered(rows, ["g"], [F.col("v")], ranges=16)
+    assert out.where("place <> v + 1").isEmpty()
+    sizes = [r["count"] for r in dict(seen)["ranges"].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sorted(sizes)[8]
+
+
+def test_composite_equals_percentiles(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3 > 0).alias("g"), F.when(F.col("id") % 9 > 0, F.col("id") % 13).alias("a"), (F.col("id") % 4 / 3).alias("b"))
+    got = ranking.composite(rows, ["a", "b"], ["g"], F.col("id"), (0.3, 0.7))
+    want = rows.withColumn("pct_a", ranking.percentile(F.col("a"), ["g"], F.col("id"))).withColumn("pct_b", ranking.percentile(F.col("b"), ["g"], F.col("id")))
+    want = want.withColumn("score", F.lit(0.0) + F.col("pct_a") * 0.3 + F.col("pct_b") * 0.7)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
