@@ -21,26 +21,38 @@ def valid(start: Column, end: Column, length: Column) -> Column:
     return F.coalesce((start >= 0) & (start < end) & (end <= length), F.lit(False))
 
 
-def _with_before(df: DataFrame, keys: list[str], width: int, **parts: Column) -> DataFrame:
-    """df with ``_bin`` of its start, and of each part, an aggregate, its maximum over all bins before:
-    what a running maximum, or the last of ever greater values, brings into a bin. Rows are then worked
-    on by bin, so a long axis is many tasks; only one row for each bin meets by key."""
-    rows = df.withColumn("_bin", F.floor(F.col("start") / width))
-    per = rows.groupBy(*keys, "_bin").agg(*(c.alias(name) for name, c in parts.items()))
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(per.select(*keys, "_bin", *(F.max(name).over(earlier).alias(name) for name in parts)), [*keys, "_bin"])
+def _by_bin(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """df dealt once by keys and ``_bin`` of its start: all scans inside bins, and the summaries of bins,
+    work on these parts where they lie."""
+    return df.withColumn("_bin", F.floor(F.col("start") / width)).repartition(*keys, "_bin")
+
+
+def _over_bins(keys: list[str]):
+    """(window of all bins of a key before each, window of all in order): over one row for each bin."""
+    order = Window.partitionBy(*keys).orderBy("_bin")
+    return order.rowsBetween(Window.unboundedPreceding, -1), order
 
 
 def merge(df: DataFrame, keys: list[str] = KEYS, width: int = SCAN_BIN) -> DataFrame:
-    """Union of the intervals of each key; touching ones join. An island is known by its start: that of
-    its first interval, which none before it reaches."""
-    rows = _with_before(df.select(*keys, "start", "end"), keys, width, _reach=F.max("end"))
+    """Union of the intervals of each key; touching ones join.
+
+    One scan inside bins leaves islands, known by their starts. Of each bin only its furthest end and its
+    last island go on: what all bins before reach, and the last island that none of them reaches. Islands
+    that start within that reach belong to that island. So intervals are shuffled once, a long axis is
+    many tasks, and islands meet by key and start."""
+    rows = _by_bin(df.select(*keys, "start", "end"), keys, width)
     order = Window.partitionBy(*keys, "_bin").orderBy("start", "end")
-    reach = F.greatest("_reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("fresh", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), F.col("start"))).drop("_bin", "_reach")
-    rows = _with_before(rows, keys, width, _island=F.max("fresh"))
-    island = F.coalesce(F.max("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_island")
-    return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.max("end").alias("end")).select(*keys, F.col("island").alias("start"), "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_fresh", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), F.col("start")))
+    rows = rows.withColumn("_island", F.max("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = rows.groupBy(*keys, "_bin", "_island").agg(F.max("end").alias("end"))
+    before, _ = _over_bins(keys)
+    bins = islands.groupBy(*keys, "_bin").agg(F.max("end").alias("_end"), F.max("_island").alias("_last"))
+    bins = bins.withColumn("_reach", F.max("_end").over(before))
+    bins = bins.withColumn("_own", F.when(F.coalesce(F.col("_last") > F.col("_reach"), F.lit(True)), F.col("_last")))
+    bins = bins.select(*keys, "_bin", "_reach", F.max("_own").over(before).alias("_open"))
+    start = F.when(F.col("_island") <= F.col("_reach"), F.col("_open")).otherwise(F.col("_island"))
+    return islands.join(bins, [*keys, "_bin"]).groupBy(*keys, start.alias("start")).agg(F.max("end").alias("end")).select(*keys, "start", "end")
 
 
 def _binned(df: DataFrame, width: int) -> DataFrame:
@@ -69,10 +81,9 @@ def _sweep(a: DataFrame, b: DataFrame, keys: list[str], width: int = SCAN_BIN) -
         for col, step in (("start", 1), ("end", -1)):
             part = df.select(*keys, F.col(col).alias("start"), *(F.lit(step if n == name else 0).alias(n) for n in ("in_a", "in_b")))
             events = part if events is None else events.unionByName(part)
-    points = events.groupBy(*keys, "start").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).withColumn("_bin", F.floor(F.col("start") / width))
+    points = _by_bin(events, keys, width).groupBy(*keys, "_bin", "start").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
     per = points.groupBy(*keys, "_bin").agg(F.sum("in_a").alias("a0"), F.sum("in_b").alias("b0"), F.min("start").alias("s0"))
-    over = Window.partitionBy(*keys).orderBy("_bin")
-    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    earlier, over = _over_bins(keys)
     # what the bins before leave open, and where the next bin starts
     per = per.select(*keys, "_bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("a0", "b0")), F.lead("s0").over(over).alias("s0"))
     order = Window.partitionBy(*keys, "_bin").orderBy("start")
@@ -131,7 +142,10 @@ def asof(hits: DataFrame, intervals: DataFrame, keys: list[str] = KEYS, width: i
     hit = hits.withColumn("_hit", F.lit(1)).withColumn("i", F.lit(None).cast("struct<start:bigint,end:bigint>"))
     mark = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
     mark = mark.select(*keys, "start", F.struct("start", "end").alias("i"), F.lit(0).alias("_hit"))
-    both = _with_before(hit.unionByName(mark, allowMissingColumns=True), keys, width, _last=F.max("i"))
+    both = _by_bin(hit.unionByName(mark, allowMissingColumns=True), keys, width)
+    earlier, _ = _over_bins(keys)
+    bins = both.groupBy(*keys, "_bin").agg(F.max("i").alias("_i"))
+    both = both.join(bins.select(*keys, "_bin", F.max("_i").over(earlier).alias("_last")), [*keys, "_bin"])
     order = Window.partitionBy(*keys, "_bin").orderBy("start", "_hit").rowsBetween(Window.unboundedPreceding, 0)
     rows = both.withColumn("i", F.coalesce(F.last("i", ignorenulls=True).over(order), "_last")).where("_hit = 1")
     return rows.select(*hits.columns, F.col("i.start").alias("i_start"), F.col("i.end").alias("i_end"))
