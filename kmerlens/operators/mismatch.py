@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kmer as K
 from ..functions.measures import log2_ratio, ratio
+from ..plans.written import written
 from .counting import seeded
 
+#: Pairs under one key of an index that one task tries, and keys with more of them that are broadcast.
+PAIRS, HOT_KEYS = 1 << 22, 1_000_000
+
 
 def neighbours(queries: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:
     """(query, variant, d): canonical codes within the radius of queries (code), each once with its
@@ -39,6 +45,51 @@ def radius_counts(queries: DataFrame, sequences: DataFrame, keys: list[str], k:
     return counts.join(variants.withColumnRenamed("variant", "code"), "code")
 
 
+def _masks(k: int, radius: int, blocks: int) -> list[int]:
+    """Bits of every choice of ``blocks - radius`` of the blocks of a code: wherever ``radius`` bases
+    differ, the bits of one choice are equal."""
+    ends = [k * i // blocks for i in range(blocks + 1)]
+    block = [sum(3 << 2 * (k - 1 - i) for i in range(a, b)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [sum(c) for c in combinations(block, blocks - radius)]
+
+
+def index_pairs(queries: DataFrame, targets: DataFrame, k: int = 16, radius: int = 2, blocks: int | None = None, pairs: int = PAIRS) -> DataFrame:
+    """(query, code, d) of all targets (code) within the radius of queries (code), canonical codes both, each
+    pair once with the lesser distance of the two orientations.
+
+    A pigeonhole index, for many queries: codes are cut into blocks (radius + 3), and pairs meet where
+    all but ``radius`` of them are equal. Queries come in both orientations, targets in one. A pair is
+    kept under the first choice of blocks that it shares, and in the nearer orientation (the given one
+    of equals), so nothing is made distinct afterwards. The targets of a key with more than ``pairs`` pairs are dealt
+    to several tasks, which all get the key's queries."""
+    masks = _masks(k, radius, blocks or radius + 3)
+    keys = lambda c: F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m)) for m in masks))).alias("choice", "bits")
+    other = K.reverse_complement_code(F.col("code"), k)
+    asked = queries.select("code").where("code is not null").distinct().select(F.col("code").alias("query"), F.explode(F.array_distinct(F.array(F.col("code"), other))).alias("v"))
+    asked = written(asked.select("query", "v", keys("v")), "asked")
+    there = written(targets.select("code").where("code is not null").distinct().select("code", keys("code")), "targets")
+    on = ["choice", "bits"]
+    sizes = asked.groupBy(on).agg(F.count("*").alias("q")).join(there.groupBy(on).agg(F.count("*").alias("t")), on)
+    hot = written(sizes.where(F.col("q") * F.col("t") > pairs).select(*on, F.ceil(F.col("q") * F.col("t") / pairs).cast("long").alias("shares")), "hot")
+    few = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    left = asked.join(few, on, "left").select("query", "v", *on, F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    right = there.join(few, on, "left").select("code", *on, F.pmod(F.xxhash64("code"), shares).alias("share"))
+    met = left.join(right, [*on, "share"])
+    apart = F.col("v").bitwiseXOR(F.col("code"))
+    first = F.lit(len(masks))
+    for i in reversed(range(len(masks))):
+        first = F.when(apart.bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(first)
+    met = met.where(K.hamming_code(F.col("v"), F.col("code")) <= radius).where(first == F.col("choice"))
+    met = met.select("query", "code", "v", K.hamming_code(F.col("v"), F.col("code")).alias("d"), K.hamming_code(K.reverse_complement_code(F.col("v"), k), F.col("code")).alias("e"))
+    return met.where((F.col("d") < F.col("e")) | ((F.col("d") == F.col("e")) & (F.col("v") == F.col("query")))).select("query", "code", "d")
+
+
+def index_join(queries: DataFrame, counts: DataFrame, k: int = 16, radius: int = 2, **index: int) -> DataFrame:
+    """As ``radius_join``, for many queries: by ``index_pairs`` instead of every neighbour of every query."""
+    return counts.join(index_pairs(queries, counts, k, radius, **index), "code")
+
+
 def by_distance(matched: DataFrame, by: list[str], radius: int = 2) -> DataFrame:
     """(query, by, d, n, cumulative) for every d of the radius: sums at a distance, and up to it."""
     sums = matched.groupBy("query", *by).agg(*(F.coalesce(F.sum(F.when(F.col("d") == d, F.col("n"))), F.lit(0)).alias(f"n{d}") for d in range(radius + 1)))

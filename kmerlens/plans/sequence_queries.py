@@ -121,6 +121,15 @@ def mismatch_neighbours(spark, sf):
     return n.select(K.decode(F.col("query")).alias("query"), F.col("d").cast("long").alias("d"), "variants")
 
 
+@query("radius_index", fx.sql("s w", _TOP.format(n=60) + ", kr AS (SELECT kmer, count(*) AS n FROM w GROUP BY 1), uk AS (SELECT kmer, n, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM kr), nb AS (SELECT tp.kmer AS query, n, least(hamming(tp.kmer, uk.kmer), hamming(tp.kmer, rc)) AS d FROM tp, uk) SELECT query, CAST(d AS BIGINT) AS d, count(*) AS kmers, CAST(sum(n) AS BIGINT) AS n FROM nb WHERE d <= 2 GROUP BY 1, 2"))
+def radius_index(spark, sf):
+    """k-mers around the 60 most frequent ones, found through the index."""
+    t = written(_total(spark, sf), "spectrum")
+    top = t.orderBy(F.desc("n"), "code").limit(60).select("code")
+    out = mismatch.index_join(top, t).groupBy("query", "d").agg(F.count("*").alias("kmers"), F.sum("n").alias("n"))
+    return out.select(K.decode(F.col("query")).alias("query"), F.col("d").cast("long").alias("d"), "kmers", "n")
+
+
 @query("mismatch_counts", fx.sql("s w", _NEAR + ", rg AS (SELECT query, region, d, sum(n) AS n FROM nb JOIN kr USING (kmer) GROUP BY 1, 2, 3), gr AS (SELECT query, region, r.range AS d FROM (SELECT DISTINCT query, region FROM rg), range(3) r) SELECT query, region, d, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY query, region ORDER BY d) AS BIGINT) AS cumulative FROM gr LEFT JOIN rg USING (query, region, d)"))
 def mismatch_counts(spark, sf):
     out = mismatch.by_distance(_matched(spark, sf, "region"), ["region"])

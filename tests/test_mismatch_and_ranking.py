@@ -337,3 +337,25 @@ def test_composite_equals_percentiles(spark):
     want = rows.withColumn("pct_a", ranking.percentile(F.col("a"), ["g"], F.col("id"))).withColumn("pct_b", ranking.percentile(F.col("b"), ["g"], F.col("id")))
     want = want.withColumn("score", F.lit(0.0) + F.col("pct_a") * 0.3 + F.col("pct_b") * 0.7)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize(("k", "radius", "blocks", "pairs"), [(16, 2, None, 1 << 22), (16, 2, 3, 50), (16, 1, None, 1 << 22), (11, 3, 4, 200), (7, 2, None, 1 << 22)])
+def test_index_finds_all_neighbours(spark, k, radius, blocks, pairs):
+    rng = random.Random(k * 10 + radius)
+    canonical = lambda c: min(c, int("".join("3210"[int(x)] for x in reversed(np.base_repr(c, 4).zfill(k))), 4))
+    queries = [canonical(rng.randrange(4**k)) for _ in range(25)] + [0, canonical(int("01" * k, 4) % 4**k)]
+    near = []
+    for q in queries:
+        for _ in range(30):  # up to radius + 1 changes
+            c = q
+            for i in rng.sample(range(k), rng.randrange(radius + 2)):
+                c ^= rng.randrange(4) << 2 * i
+            near.append(canonical(c))
+    codes = near + [canonical(rng.randrange(4**k)) for _ in range(500)]
+    q = spark.createDataFrame([(c,) for c in [*queries, queries[0], None]], "code long")
+    counts = spark.createDataFrame([(c, h, 1 + h) for c in set(codes) for h in (1, 2)] + [(None, 1, 1)], "code long, hap int, n int")
+    rows = lambda df: sorted((r["query"], r["code"], r["d"], r["hap"], r["n"]) for r in df.collect())
+    want = rows(mismatch.radius_join(q.where("code is not null").distinct(), counts, k, radius))
+    got = rows(mismatch.index_join(q, counts, k, radius, blocks=blocks, pairs=pairs))
+    assert len(want) > 300 and got == want
+    assert mismatch.index_pairs(q.limit(0), counts, k, radius).isEmpty() and mismatch.index_pairs(q, counts.limit(0), k, radius).isEmpty()
