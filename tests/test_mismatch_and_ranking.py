@@ -205,7 +205,7 @@ def test_case_details(spark):
     rows = [("HSat2", f"h{i:02d}", v.tolist()) for i, v in enumerate(x)] + [("HSat2", "ref", [0.0] * 6), ("HSat3", "h00", [1.0] * 6)]
     df = spark.createDataFrame(rows, "family string, hap string, features array<double>")
     got = cluster.case_details(df, ["family"], "ref", least_haps=5).collect()
-    assert {r["family"] for r in got} == {"HSat2"} and not any(r["hap"] == "ref" for r in got)
+    assert {r["family"] for r in got} == {"HSat2"} and {r["detail"] for r in got if r["hap"] == "ref"} == {"reference_axis", "reference_group"}
     by = {d: [r for r in got if r["detail"] == d] for d in ("axis", "variance", "partition", "feature")}
     assert {r["number"]: r["text"] for r in by["feature"]} == {0: "3", 1: "1", 2: "2", 3: "3", 4: "4"}
     assert all(r["value"] == pytest.approx(np.corrcoef(x[:, r["number"]], x[:, int(r["text"])])[0, 1]) for r in by["feature"])
@@ -215,6 +215,21 @@ def test_case_details(spark):
     for a in range(1, 5):
         assert sum(r["value"] ** 2 for r in by["axis"] if r["number"] == a) == pytest.approx(values[a - 1])
     assert all(len({r["text"] for r in by["partition"] if r["number"] == k}) == k for k in range(2, 9))
+    # the reference on the same axes: all of them together keep its distance to the mean
+    on_axes = [r["value"] for r in got if r["detail"] == "reference_axis"]
+    assert len(on_axes) == 4 and sum(v * v for v in on_axes) == pytest.approx((kept.mean(0) ** 2).sum())
+    value = {(r["hap"], r["number"]): r["value"] for r in by["axis"]}
+    axis = np.linalg.lstsq(np.array([[value[f"h{i:02d}", a] for a in range(1, 5)] for i in range(12)]), kept - kept.mean(0), rcond=None)[0]
+    assert on_axes == pytest.approx(list(axis @ -kept.mean(0)))
+    for r in (r for r in got if r["detail"] == "reference_group"):
+        groups = {}
+        for p in by["partition"]:
+            if p["number"] == r["number"]:
+                groups.setdefault(p["text"], []).append(kept[int(p["hap"][1:])])
+        centres = {g: np.linalg.norm(np.mean(v, 0)) for g, v in groups.items()}
+        nearest = min(centres, key=centres.get)
+        far = r["value"] > np.quantile(np.linalg.norm(np.array(groups[nearest]) - np.mean(groups[nearest], 0), axis=1), 0.95)
+        assert r["value"] == pytest.approx(centres[nearest]) and r["text"] == nearest + "?" * bool(far)
 
 
 def test_cover_and_silhouette_by_hand():
