@@ -1,6 +1,7 @@
 """N-gram Jaccard join: every pair of documents whose shingle sets reach a Jaccard threshold.
 
-The join is exact. Documents with equal sets are one node from the start (its id is a hash of the
+The join is exact but for equal hashes: candidates are found by 32 bits and the number of their
+bucket, pairs are verified by 64 bits. Documents with equal sets are one node from the start (its id is a hash of the
 set). A pair that reaches threshold t shares a shingle among the first n - ceil(t n) + 1 of each
 side in any common order of shingles; the order used here is rare first, so ordinary documents
 have only shingles of their own in that prefix and drop out, and boilerplate comes last.

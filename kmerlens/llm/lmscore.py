@@ -11,8 +11,9 @@ own counts are taken off those of the background, and off those of the target if
 Otherwise a score would tell membership in the target, not likeness to it.
 
 The logarithms of a loss each depend on one count alone, so words and bigrams are keys that are counted
-and priced alike. Keys and counts grow with the corpus: a key is 52 bits of a hash, and there is no bound
-on their number.
+and priced alike. Keys and counts grow with the corpus, and there is no bound on their number. A key is 52
+bits of a hash, of which a bucket keeps 32 beside its own number: about 0.05 % of the keys of a bucket of
+two million share a count with another one.
 
 1. A sample tells which keys are frequent (a list of bounded length); a pass over all texts counts these
    exactly, and estimates V. They are priced where the texts lie, so no task gathers them.
