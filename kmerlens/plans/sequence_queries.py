@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kmer as K
 from ..functions import measures as M
 from ..operators import audit, counting, enrichment, landscape, mismatch, ranking, screens
-from ..sources import files
+from ..sources import files, indexed
 from . import fixtures as fx
 from . import sequence_sql as _Q
 from .registry import query, rounded
@@ -247,6 +247,17 @@ def fasta_roundtrip(spark, sf):
     return files.read_fasta(spark, path).select("name", F.length("seq").cast("long").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
+@query("indexed_reads", fx.sql("s", ", q AS (SELECT CAST(doc_id AS VARCHAR) AS name, replace(seq, chr(10), '') AS seq FROM s), p AS (SELECT name, length(seq) // 4 AS start, 3 * length(seq) // 4 AS \"end\", seq FROM q) SELECT name, start, \"end\", md5(substr(seq, start + 1, \"end\" - start)) AS digest FROM p WHERE start < \"end\""))
+def indexed_reads(spark, sf):
+    """The middle half of each sequence, read from FASTA files by an index of them."""
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    seqs = fx.sequences(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.replace("seq", F.lit("\n"), F.lit("")).alias("seq"))
+    files.write_fasta(seqs, path, compression="none")
+    index = written(indexed.index_fasta(spark, path), "index")
+    ends = index.select("name", F.floor(F.col("length") / 4).alias("start"), F.floor(3 * F.col("length") / 4).alias("end"))
+    return indexed.fetch(ends, index).select("name", "start", "end", F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
 @query("audit_sequences", "SELECT unnest(['stats_bounds', 'counts_match_starts', 'distance_zero', 'position_weights', 'scan_matches_counts']) AS \"check\", CAST(0 AS BIGINT) AS violations")
 def audit_sequences(spark, sf):
     stats, w = _stats(spark, sf), _windows(spark, sf, "hap", "chrom", "region")
