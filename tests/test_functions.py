@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from kmerlens.functions import kmer as K
 from kmerlens.functions import measures as M
+from kmerlens.functions import sql as functions
 from kmerlens.schema import SchemaError, chrom_ord, require_columns
 from kmerlens.settings import Settings
 
@@ -79,3 +80,21 @@ def test_schema_and_settings(spark):
     with pytest.raises(ValueError):
         Settings.of(kk=3)
     assert Settings.of(pooled_min=3).pooled_min == 3
+
+
+def test_sql_functions_equal_the_columns(spark):
+    functions.register(spark)
+    functions.register(spark)  # again does no harm
+    rows = spark.createDataFrame([("ACGTACGTACGTTTTT", "AAAAACGTACGTACGA", 5, 10, 2, 40), ("GATTACAGATTACAGA", "CATTACAGATTACAGA", 0, 10, 0, 0), (None, "A", None, None, None, None), ("acgN", "acgt", 1, 0, 1, 1)], "a string, b string, t long, dt long, g long, dg long")
+    sql = "SELECT kmer_rc(a) rc, kmer_canonical(a) can, kmer_encode(a) code, kmer_decode(kmer_encode(a), 16) back, kmer_gc(a) gc, kmer_distance_either(a, b) d, density(t, dt) x, log_enrichment(t, dt, g, dg) e FROM {r}"
+    got = spark.sql(sql, r=rows)
+    want = rows.select(
+        K.reverse_complement(F.col("a")).alias("rc"), K.canonical(F.col("a")).alias("can"), K.encode(F.col("a")).alias("code"), K.decode(K.encode(F.col("a"))).alias("back"), K.gc_percent(F.col("a")).alias("gc"),
+        F.least(F.size(K.mismatch_positions(F.col("a"), F.col("b"), 16)), F.size(K.mismatch_positions(F.col("a"), K.reverse_complement(F.col("b")), 16))).alias("d"),
+        M.density(F.col("t"), F.when(F.col("dt") > 0, F.col("dt"))).alias("x"), M.enrichment(F.col("t"), F.col("dt"), F.col("g"), F.col("dg")).alias("e"),
+    )
+    first = lambda df: [tuple(r) for r in df.collect()]
+    assert first(got)[:2] == first(want)[:2]
+    assert all(v is None for v in first(got)[2]) and first(got)[3][2] is None and first(got)[3][6] is None
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
