@@ -100,12 +100,11 @@ def enriched_by_logs(counts: DataFrame, den: DataFrame, hap_min: int, threshold:
     return rows.where(e > threshold).select("code", "hap")
 
 
-def union_below_parts(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose count in the union of the families is less than those in the families together:
-    windows over a border are of the union alone, never of a family alone."""
-    part = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0))
-    sums = counts.groupBy(*keys).agg(part(F.col("region") != "background").alias("u"), (part(F.col("region") == "HSat2") + part(F.col("region") == "HSat3")).alias("p"))
-    return sums.where("u < p")
+def union_below_parts(union: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose count in the union of the families (keys, n), counted on its own, is less than those of
+    the families together: windows over a border are of the union alone, never of a family alone."""
+    parts = counts.where(F.col("region").isin("HSat2", "HSat3")).groupBy(*keys).agg(F.sum("n").alias("p"))
+    return parts.join(union.groupBy(*keys).agg(F.sum("n").alias("u")), keys, "left").where(F.coalesce("u", F.lit(0)) < F.col("p"))
 
 
 def neighbourhood_differs(near: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:

@@ -341,7 +341,7 @@ def audit_counts(spark, sf):
             "pool_recomputed": audit.sets_differ(counting.pool(c, 800, 110).select("code"), audit.pool_by_windows(c, 800, 110).select("code")),
             "selection_recomputed": audit.sets_differ(_he(spark, sf).where("hap_pass").select("code", "hap"), audit.enriched_by_logs(c, d, fx.HAP_MIN, fx.THRESHOLD)),
             "matrix_recomputed": audit.sets_differ(_targets(spark, sf).select("code", "hap", F.col("n").cast("long")), _nonref(c).where("region <> 'background'").rollup("code", "hap").agg(F.sum("n").alias("n")).where("hap is not null")),
-            "union_covers_parts": audit.union_below_parts(c, ["code", "hap"]),
+            "union_covers_parts": audit.union_below_parts(specificity.with_union(c).where("region = 'HSat23'"), c, ["code", "hap"]),
             "shards_complete": audit.missing_shards(d.select("hap").distinct(), c),
         }
     )

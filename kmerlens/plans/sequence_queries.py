@@ -258,7 +258,7 @@ def indexed_reads(spark, sf):
     return indexed.fetch(ends, index).select("name", "start", "end", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-@query("audit_sequences", "SELECT unnest(['stats_bounds', 'counts_match_starts', 'distance_zero', 'position_weights', 'scan_matches_counts']) AS \"check\", CAST(0 AS BIGINT) AS violations")
+@query("audit_sequences", "SELECT unnest(['stats_bounds', 'counts_match_starts', 'distance_zero', 'position_weights', 'scan_matches_counts', 'union_covers_parts']) AS \"check\", CAST(0 AS BIGINT) AS violations")
 def audit_sequences(spark, sf):
     stats, w = _stats(spark, sf), _windows(spark, sf, "hap", "chrom", "region")
     m = _matched(spark, sf, "region")
@@ -273,5 +273,7 @@ def audit_sequences(spark, sf):
             "distance_zero": audit.distance_zero_differs(d, exact, ["query", "region"]),
             "position_weights": audit.weights_differ(mismatch.position_weights(m, ["region"]), d, ["query", "region"]),
             "scan_matches_counts": audit.totals_differ(scanned, exact, ["query"]),
+            # the union is counted from the texts by itself
+            "union_covers_parts": audit.union_below_parts(counting.spectrum(fx.sequences(spark, sf).where("region <> 'background'"), keys=["hap"]), w, ["code", "hap"]),
         }
     )

@@ -266,8 +266,9 @@ def test_audits_find_what_is_wrong(spark):
     assert audit.neighbourhood_differs(near).isEmpty()
     assert audit.neighbourhood_differs(near.where("not (query = 5 and variant = 4)")).first()["query"] == 5
     assert audit.neighbourhood_differs(near.withColumn("d", F.when(F.col("query") == 5, F.lit(2)).otherwise(F.col("d")))).count() == 1
-    counts = spark.createDataFrame([(1, 1, "HSat2", 5), (1, 1, "HSat23", -1)], "code long, hap long, region string, n long")
-    assert audit.union_below_parts(counts, ["code"]).count() == 1
+    counts = spark.createDataFrame([(1, "HSat2", 5), (1, "HSat3", 2), (1, "background", 9), (2, "HSat3", 4), (3, "HSat2", 1)], "code long, region string, n long")
+    union = spark.createDataFrame([(1, 6), (2, 4), (2, 1)], "code long, n long")
+    assert sorted(r["code"] for r in audit.union_below_parts(union, counts, ["code"]).collect()) == [1, 3]
     cases = spark.createDataFrame([("a", f"h{i}", "G1" if i < 12 else "G2", 2, 0.5, "stable_partition") for i in range(30)] + [("b", "x", "G1", None, None, "insufficient_measurable_haps")], "family string, hap string, grp string, k int, silhouette double, status string")
     assert audit.clusters_break_rules(cases.where("family = 'a'"), ["family"]).isEmpty()
     assert {r[0] for r in audit.clusters_break_rules(cases, ["family"]).collect()} == {"b"}
