@@ -131,7 +131,7 @@ def test_stages_on_no_rows(spark):
 
 
 def test_queries_are_listed():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 13)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -139,7 +139,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF).toPandas()
     want = con.sql(ORACLE_SQL[name]).df()[list(got.columns)]
