@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kmer as K
 from ..functions import measures as M
 from ..operators import audit, cluster, counting, landscape, mismatch, ranking
+from ..operators.quantiles import quantiles
 from ..sources import files
 from . import fixtures as fx
 from .count_queries import _FAM, _haps, _nonref, _share
@@ -38,9 +39,9 @@ _FIVE = ("least", "lower", "median", "upper", "greatest")
 @query("score_quartiles", fx.sql("c d", _SCORE + " SELECT family, type, count(*) AS kmers, " + ", ".join(f"round(quantile_cont(round(score, 9), {i / 4}), 6) AS {n}" for i, n in enumerate(_FIVE)) + " FROM sc GROUP BY 1, 2"))
 def score_quartiles(spark, sf):
     """What a box plot of the scores of each family and type draws."""
-    s = F.round("score", 9)
-    five = [F.round(F.percentile(s, F.lit(i / 4)), 6).alias(n) for i, n in enumerate(_FIVE)]
-    return _scored(spark, sf).groupBy("family", "type").agg(F.count("*").alias("kmers"), *five)
+    rows = written(_scored(spark, sf).select("family", "type", F.round("score", 9).alias("score")), "scores")
+    five = quantiles(rows, ["family", "type"], "score", {n: i / 4 for i, n in enumerate(_FIVE)})
+    return rounded(rows.groupBy("family", "type").agg(F.count("*").alias("kmers")).join(five, ["family", "type"]), *_FIVE)
 
 
 _ASSIGNED = ", cg AS (SELECT hap, chrom, region, sum(valid_starts) AS v FROM d WHERE region <> 'background' AND hap <> 0 GROUP BY 1, 2, 3), ga AS (SELECT gh.hap, gc.chrom, gr.region, v, CASE WHEN v >= 40000 THEN 'G' || gh.hap % 3 END AS grp FROM (SELECT DISTINCT hap FROM d WHERE hap <> 0) gh CROSS JOIN (SELECT DISTINCT chrom FROM d) gc CROSS JOIN (SELECT DISTINCT region FROM d WHERE region <> 'background') gr LEFT JOIN cg ON cg.hap = gh.hap AND cg.chrom = gc.chrom AND cg.region = gr.region)"

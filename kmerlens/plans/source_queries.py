@@ -12,10 +12,10 @@ from ..functions import measures as M
 from ..operators import counting
 from ..schema import COUNTS, chrom_ord, require_columns
 from ..sources import files
-from ..streaming import pooled
+from ..streaming import pooled, shards
 from . import fixtures as fx
 from .registry import query
-from .written import shared_folder
+from .written import shared_folder, written
 
 
 def _path(spark, name: str) -> str:
@@ -161,3 +161,22 @@ def streamed_pool(spark, sf):
         require_columns(rows, [f.name for f in COUNTS]).where(some).repartition(5, "hap").write.mode("append").parquet(shards)
         pooled.maintain(spark, shards, out, mark, "0").awaitTermination()
     return pooled.pooled(spark, out)
+
+
+_SHARDS = ", p AS (SELECT code, region, hap % 7 AS hap, chrom % 3 AS shard, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL), q AS (SELECT code, region, hap, CASE WHEN shard = 0 AND hap = 2 THEN 2 * n ELSE n END AS n FROM p WHERE NOT (shard = 0 AND hap = 2 AND code % 3 = 0) AND NOT (shard = 2 AND hap = 4)), b AS (SELECT code, region, hap, CAST(sum(n) AS BIGINT) AS n FROM q WHERE hap <> 0 GROUP BY 1, 2, 3)"
+
+
+@query("streamed_shards", fx.sql("c", _SHARDS + " SELECT code, region, CAST(sum(n) AS BIGINT) AS pooled, count_if(n > 0) AS haps, max(n) AS largest FROM b GROUP BY 1, 2"))
+def streamed_shards(spark, sf):
+    """Pooled counts after a stream, in three runs, has taken seven haps in three shards each: one shard
+    again, one replaced by fewer k-mers with twice the counts, one replaced by an empty one."""
+    path, out, mark = (_path(spark, x) for x in ("shards-in", "shards-out", "shards-mark"))
+    rows = fx.counts(spark, sf).groupBy("code", "region", (F.col("hap") % 7).alias("hap"), (F.col("chrom") % 3).alias("shard")).agg(F.sum("n").alias("n"))
+    rows = written(rows.select(F.col("hap").cast("string").alias("hap"), F.lit("1").alias("chromosome"), "region", F.lit(0).alias("strand"), "code", "n", F.col("shard").cast("string").alias("shard"), F.lit(1).cast("long").alias("version")), "shards")
+    newer = F.lit(2).cast("long")
+    replaced = rows.where("hap = '2' and shard = '0' and code % 3 <> 0").withColumn("n", 2 * F.col("n")).withColumn("version", newer)
+    emptied = rows.where("hap = '4' and shard = '2'").limit(1).withColumn("code", F.lit(None).cast("long")).withColumn("n", F.lit(0).cast("long")).withColumn("version", newer)
+    for some in (rows.where("shard <> '1'"), rows.where("shard = '1' or hap = '1'").unionByName(replaced), rows.where("hap = '2'").unionByName(emptied)):
+        some.repartition(4, "code").write.mode("append").parquet(path)
+        shards.maintain(spark, path, out, mark, "0", compact_every=2).awaitTermination()
+    return shards.pooled(spark, out)
