@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import measures as M
 from ..operators import counting
 from ..schema import COUNTS, chrom_ord, require_columns
-from ..sources import files
+from ..sources import files, store
 from ..streaming import pooled, shards
 from . import fixtures as fx
 from .registry import query
@@ -122,6 +122,19 @@ def count_shards(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("hap").cast("long").alias("hap")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
 
 
+_MOST = ", tp AS (SELECT code FROM c GROUP BY code ORDER BY sum(n) DESC, code LIMIT 40)"
+
+
+@query("store_lookup", fx.sql("c", _MOST + " SELECT code, hap, chrom, region, n FROM c WHERE code IN (SELECT code FROM tp)"))
+def store_lookup(spark, sf):
+    """Counts of the 40 most frequent k-mers, and of one that is not there, from a store by ranges of codes."""
+    path = _path(spark, "store")
+    store.write_store(fx.counts(spark, sf), path)
+    kept = store.read_store(spark, path)
+    most = kept.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(40).select("code")
+    return store.lookup(kept, most.unionByName(spark.range(1).select((-F.col("id") - 1).alias("code"))))
+
+
 @query("summary_file", fx.sql("c", "SELECT '{\"kmers\": ' || count(DISTINCT code) || ', \"total\": ' || CAST(sum(n) AS BIGINT) || '}' AS value, sha256('{\"kmers\": ' || count(DISTINCT code) || ', \"total\": ' || CAST(sum(n) AS BIGINT) || '}' || chr(10)) AS sha256 FROM c"))
 def summary_file(spark, sf):
     """A summary as one line of JSON, and the fingerprint of its file."""
