@@ -14,6 +14,7 @@ from ..schema import COUNTS, chrom_ord, require_columns
 from ..sources import files, store
 from ..streaming import pooled, shards
 from . import fixtures as fx
+from . import stages
 from .registry import query
 from .written import shared_folder, written
 
@@ -122,6 +123,21 @@ def count_shards(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("hap").cast("long").alias("hap")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
 
 
+@query("published_versions", fx.sql("c", ", v AS (SELECT 1 AS version, * FROM c WHERE hap % 2 = 0 UNION ALL SELECT 2, * FROM c) SELECT version, hap, count(*) AS rows, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY 1, 2"))
+def published_versions(spark, sf):
+    """Counts of a growing folder, published after each growth; the first version stays as it was."""
+    shards, root = _path(spark, "grown"), _path(spark, "stages")
+    rows = fx.counts(spark, sf)
+    versions = []
+    for some in ("hap % 2 = 0", "hap % 2 = 1"):
+        rows.where(some).write.mode("append").parquet(shards)
+        run = stages.Pipeline(spark, root, {})
+        run.run("counts", lambda s, _: s.read.parquet(shards), reads=(shards,))
+        versions.append(run.publish("counts"))
+    both = [stages.published(spark, root, "counts", v).withColumn("version", F.lit(v)) for v in versions]
+    return both[0].unionByName(both[1]).groupBy("version", "hap").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+
+
 _MOST = ", tp AS (SELECT code FROM c GROUP BY code ORDER BY sum(n) DESC, code LIMIT 40)"
 
 
