@@ -73,8 +73,8 @@ def pivot_round(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tupl
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, leaf_rows: int = 8192, fan_in: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row of docs (doc_id, text,
-    source).
+    """(doc_id, source, size, mark, source_size, target, copies, taken) of every row of docs (doc_id,
+    text, source); mark is a hash of the text, by which rows without an id spread over leaves.
 
     A source's rows all start from target / source_size copies. The whole part is sure; the rest
     is rounded by pivot_round inside leaves dealt by a hash of the rows, largest first, and the one
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     depends on rows and seed alone. Null text has no words and takes none; a null source is a
     source; repeated rows are rounded each by itself; no rows give no rows.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
     tasks = tasks_for(docs)
     sized = staged(sized, "sized", tasks)
     targets = staged(source_targets(sized, weights, share, most), "targets", tasks)
@@ -94,13 +94,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("sure", F.floor(ratio).cast("long")).withColumn("part", F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0))
     nodes = max(1, -(-sized.count() // leaf_rows))
-    rows = rows.withColumn("node", F.pmod(F.xxhash64("doc_id", "size"), F.lit(nodes)).cast("long")).withColumn("left", F.lit(True))
+    rows = rows.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(nodes)).cast("long")).withColumn("left", F.lit(True))
     done, level = None, 0
     while True:
         last = nodes == 1
 
         def round_node(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["source", "size", "doc_id"], ascending=[True, False, True], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["source", "size", "doc_id", "mark"], ascending=[True, False, True, True], kind="stable", ignore_index=True)
             draws = np.random.Generator(np.random.PCG64([seed, level, int(pdf["node"].iat[0])])).random(len(pdf))
             part, left = pdf["part"].to_numpy(float).copy(), np.zeros(len(pdf), bool)
             for at in pdf.groupby("source", dropna=False, sort=False).indices.values():
@@ -120,18 +120,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         nodes, level = -(-nodes // fan_in), level + 1
         rows = step.where("left").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
     copies = (F.col("sure") + F.col("part").cast("long")).alias("copies")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return done.select("doc_id", "source", "size", "mark", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def repeated_by_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs, all columns as they are, whatever their names, each row as often as ``mix`` says. Rows that
-    agree in doc_id, source and size share their copies evenly, the earlier by text first. Null texts and
+    agree in doc_id, source and text share their copies evenly. Null texts and
     texts without words are taken by no mix and go; no rows give no rows."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), word_count(F.col("text")).alias("words"), rows_of(docs))
-    plan = mixed.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_src"), F.col("size").alias("p_words")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_src")) & (F.col("words") == F.col("p_words"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"), word_count(F.col("text")).alias("words"), F.xxhash64(F.col("text").cast("string")).alias("hash"), rows_of(docs))
+    plan = mixed.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_src"), F.col("size").alias("p_words"), F.col("mark").alias("p_hash")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("src").eqNullSafe(F.col("p_src")) & (F.col("words") == F.col("p_words")) & (F.col("hash") == F.col("p_hash"))
     rows = keyed.join(plan.where("copies > 0").hint("merge"), same)  # the same way at every size
-    turn = F.row_number().over(Window.partitionBy("p_id", "p_src", "p_words").orderBy(F.xxhash64("row.text")))
+    turn = F.row_number().over(Window.partitionBy("p_id", "p_src", "p_words", "p_hash").orderBy("hash"))
     alone = rows.where("n = 1").select("row", "copies")
     shared = rows.where("n > 1").select("row", (F.floor(F.col("copies") / F.col("n")) + F.when(turn <= F.col("copies") % F.col("n"), 1).otherwise(0)).alias("copies"))
     both = alone.unionByName(shared).where("copies > 0")

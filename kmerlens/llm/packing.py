@@ -145,8 +145,8 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
 def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, leaf_rows: int = 16384, fan_in: int = 64) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Pieces are dealt by hash into leaves of about leaf_rows, so every leaf sees the same mix of
-    lengths and the result depends on the rows alone, not on partitions or retries. Bins that a
+    Pieces are dealt by a hash of id and contents into leaves of about leaf_rows (rows without an id
+    spread as well; rows that agree in all of it meet), so every leaf sees the same mix of lengths and the result depends on the rows alone, not on partitions or retries. Bins that a
     leaf leaves open (open_bins at most) are items of the next level, where fan_in leaves meet;
     one tree node at the end closes the last bins. No task holds more than a leaf or
     fan_in * open_bins bins.
@@ -162,7 +162,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, leaf_row
         return pdf.assign(bin=bins, place=offs, open=np.isin(bins, still))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    node = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(leaves)).cast("long")
+    node = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(leaves)).cast("long")
     level0 = staged(pieces.withColumn("node", node).groupBy("node").applyInPandas(leaf, f"{schema}, node long, bin long, place long, open boolean"), "packed", tasks)
     base = F.lit(1 << 30)
     placed = level0.select(*own, (F.col("node") * base + F.col("bin")).alias("bin"), "place", "open")

@@ -158,3 +158,28 @@ def test_warc_round_trip(spark):
     small = warc.archive_records(df, min_payload_bytes=5).where("record like '%WARC-Type: revisit%'").count()
     assert small == sum(1 for n in Counter(h for _, _, h, _ in rows if len((h or "").encode()) >= 5).values() for _ in range(n - 1))
     assert warc.archive_records(df.limit(0)).isEmpty()
+
+
+def test_pieces_without_ids_spread_over_leaves(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1024L as length", "id * 7919 as ids_crc32")
+    packed = packing.pack(rows, leaf_rows=300).selectExpr("shiftright(sequence_id, 30) as leaf", "offset").toPandas()
+    sizes = packed["leaf"].value_counts()
+    assert len(packed) == 3000 and len(sizes) == 10 and sizes.max() < 450 and (packed["offset"] == 0).all()
+
+
+def test_mix_of_rows_without_ids(spark):
+    rows = [(None, "s", f"a b c {i // 2}") for i in range(60)] + [(i, "t", "x y z w") for i in range(20)] + [(None, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(df, leaf_rows=8, fan_in=3)
+    got = mixed.toPandas()
+    assert len(got) == 81 and got.loc[got["source"] == "s", "mark"].nunique() == 30
+    assert sorted(map(tuple, mixed.collect()), key=str) == sorted(map(tuple, mixing.mix(df.repartition(5), leaf_rows=8, fan_in=3).collect()), key=str)
+    for _, one in got.groupby("source"):
+        assert abs(one["taken"].sum() - one["target"].iat[0]) <= 2 and (one["taken"] <= 2 * one["size"]).all()
+    out = mixing.repeated_by_copies(df, mixed)
+    assert out.columns == df.columns
+    by_text = out.groupBy("text").count().toPandas().set_index("text")["count"].to_dict()
+    want = df.toPandas().assign(mark=df.selectExpr("xxhash64(text) as m").toPandas()["m"])
+    text_of = dict(zip(want["mark"], want["text"], strict=True))
+    copies = got.groupby("mark")["copies"].sum()
+    assert by_text == {text_of[m]: n for m, n in copies.items() if n}
