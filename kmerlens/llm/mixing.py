@@ -72,6 +72,26 @@ def pivot_round(sizes: np.ndarray, parts: np.ndarray, draws: np.ndarray) -> tupl
     return np.asarray(out), a
 
 
+def trade_rests(rows: DataFrame, few: bool, trades: int = 2) -> DataFrame:
+    """rows (row_id, doc_id, source, size, mark, source_size, target, sure, part, all parts 0 or 1),
+    where one more row of each source changes its part in each of ``trades`` turns: that which brings
+    the words taken nearest to the target, if any brings them nearer. Sources whose rows were never
+    fractional stay as they are. Turns are aggregates by source; with ``few`` sources what they find is
+    broadcast. Of equally good rows that of the smaller size goes, then of the smaller doc_id and mark."""
+    sides = F.broadcast if few else lambda d: d
+    split = (F.col("size") > 0) & (F.col("target") / F.col("source_size") > F.col("sure"))
+    for turn in range(trades):
+        off = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * (F.col("sure") + F.col("part")))).alias("off"))
+        off = staged(off.withColumnRenamed("source", "s"), f"rests{turn}", rows.sparkSession.sparkContext.defaultParallelism)
+        to = F.when((F.col("off") > 0) & (F.col("part") == 0), 1.0).when((F.col("off") < 0) & (F.col("part") == 1), 0.0)
+        miss = F.abs(F.abs("off") - F.col("size"))
+        open_rows = rows.where(split).join(sides(off), F.col("source").eqNullSafe(F.col("s"))).where(to.isNotNull() & (miss < F.abs("off")))
+        best = open_rows.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "size", "doc_id", "mark", "row_id", to.alias("to"))).alias("best"))
+        best = staged(best.select(F.col("best.row_id").alias("picked"), "best.to"), f"trades{turn}", rows.sparkSession.sparkContext.defaultParallelism)
+        rows = rows.join(sides(best), F.col("row_id") == F.col("picked"), "left").withColumn("part", F.coalesce("to", "part")).drop("picked", "to")
+    return rows
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, leaf_rows: int = 8192, fan_in: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, mark, source_size, target, copies, taken) of every row of docs (doc_id,
     text, source); mark is a hash of the text, by which rows without an id spread over leaves.
@@ -79,16 +99,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     A source's rows all start from target / source_size copies. The whole part is sure; the rest
     is rounded by pivot_round inside leaves dealt by a hash of the rows, largest first, and the one
     row per source that a leaf leaves fractional meets those of fan_in - 1 other leaves on the next
-    level, up to one root, which rounds its last row to the nearer end. So a source misses its
-    target by half of one document at most, a hot source fills no single task, and the result
-    depends on rows and seed alone. Null text has no words and takes none; a null source is a
+    level, up to one root, which rounds its last row to the nearer end. What that row leaves, half of
+    its words at most, goes to other rows of the source by ``trade_rests``, mostly down to a few words;
+    this moves one or two rows of a source against their chances. A hot source fills no single task,
+    and the result depends on rows and seed alone. Null text has no words and takes none; a null source is a
     source; repeated rows are rounded each by itself; no rows give no rows.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.monotonically_increasing_id().alias("row_id"))
     tasks = tasks_for(docs)
     sized = staged(sized, "sized", tasks)
     targets = staged(source_targets(sized, weights, share, most), "targets", tasks)
-    if targets.count() <= BROADCAST_SOURCES:
+    few = targets.count() <= BROADCAST_SOURCES
+    if few:
         targets = F.broadcast(targets)
     rows = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -119,6 +141,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             break
         nodes, level = -(-nodes // fan_in), level + 1
         rows = step.where("left").withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
+    done = trade_rests(done, few)
     copies = (F.col("sure") + F.col("part").cast("long")).alias("copies")
     return done.select("doc_id", "source", "size", "mark", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
 

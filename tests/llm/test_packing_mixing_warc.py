@@ -111,7 +111,7 @@ def test_mix(spark, kw):
     got = mixing.mix(df, **kw).toPandas()
     assert len(got) == len(rows) and (got["taken"] == got["size"] * got["copies"]).all() and got["copies"].between(0, 2).all()
     for _, g in got.groupby("source", dropna=False):
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1e-6
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= (2 if len(g) > 20 else g["size"].max() / 2) + 1e-6
     again = mixing.mix(df.repartition(7), **kw).toPandas()
     key = ["doc_id", "size", "taken"]
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
@@ -123,6 +123,24 @@ def test_mix(spark, kw):
     assert mixing.mix(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_rests_go_to_the_rows_that_fit(spark, few):
+    rows = [(0, 7, "a", 100, 1.0), (1, 8, "a", 30, 0.0), (2, 8, "a", 30, 0.0), (3, 9, "a", 9, 0.0), (4, 5, "b", 50, 0.0), (5, 5, None, 40, 1.0), (6, 6, None, 11, 1.0), (7, 1, "c", 10, 0.0), (8, 1, "z", 0, 0.0)]
+    target = {"a": (169, 139.0), "b": (50, 20.0), None: (51, 41.0), "c": (10, 10.0), "z": (0, 0.0)}
+    df = spark.createDataFrame([(*r[:4], 1, *target[r[2]], 1 if r[2] == "c" else 0, r[4]) for r in rows], "row_id long, doc_id long, source string, size long, mark long, source_size long, target double, sure long, part double")
+    out = mixing.trade_rests(df, few)
+    # a lacks 39: 30 of one of two equal rows, then 9; b would miss by as much; None has 10 too many
+    assert {r["row_id"]: r["part"] for r in out.collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 1.0, 6: 0.0, 7: 0.0, 8: 0.0}
+    assert out.columns == df.columns and mixing.trade_rests(df.limit(0), few).isEmpty()
+
+
+def test_mix_of_odd_texts(spark):
+    rows = [(None, "word " * 160_000, "s"), (None, "word " * 160_000, "s"), (2, "", "s"), (None, None, "s"), *((i, "a b", "s") for i in range(3, 40))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows) and sorted(got["size"])[-2:] == [160_000] * 2 and (got["taken"] <= 2 * got["size"]).all()
+    assert got["target"].iat[0] == 1.5 * got["size"].sum() and got["taken"].sum() in range(400_000, 560_001)
+
+
 def test_pivot_keeps_mass_and_means():
     sizes, part = np.array([5, 3, 8, 1, 4]), np.full(5, 0.4)
     mean = np.zeros(5)
