@@ -3,7 +3,9 @@
 Unit vectors are cut into pairs of dimensions with 16 codewords each. Codes and codewords lower a
 loss in which the part of the residual that is parallel to the vector weighs more than the rest,
 since that part moves large inner products. A search scans four-bit codes through one table per
-query and block, and reranks the best rows of every block exactly on the original vectors.
+query and block, and reranks the best rows of every block exactly on the original vectors. A row's code
+is kept with the length of what it misses, so a scan also bounds every other row from above: those that
+may still reach the best are checked too, and no row of a visited list is lost, however vectors lie.
 """
 
 from __future__ import annotations
@@ -100,6 +102,12 @@ class Quantizer:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return own, codes[:, ::2] | codes[:, 1::2] << 4
 
+    def missed(self, v: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what list and code of each row leave out of it."""
+        each = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)[:, : self.pairs]
+        error = self._cut(v - self.centroids[own]) - self.books[np.arange(self.pairs), each]
+        return np.sqrt((error**2).sum((1, 2)))
+
     def scan(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products with the residuals: a table of 256 sums per byte of codes."""
         q = self._cut(queries)
@@ -126,23 +134,40 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
-def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int):
-    """Exact top k among the rerank best of approx and all rows that equal the last of them, for each
-    query; rows come in order of id and are reranked in pieces."""
+def _nearest(q_ids, q_vecs, ids, vecs, approx, k: int, rerank: int, miss=np.inf):
+    """Exact top k of each query. The rerank best of approx, and all rows that equal the last of them, give
+    the score to beat; every other row is held against it by its bound (approx and what its code misses),
+    and those that may reach it are checked exactly too. Rows come in order of id."""
     out = []
     vecs = vecs / np.abs(vecs).max(1, keepdims=True)
     lens = np.sqrt((vecs * vecs).sum(1))
+    queries = q_vecs / np.abs(q_vecs).max(1, keepdims=True)
+    q_lens = np.sqrt((queries * queries).sum(1))
+
+    def scored(i: int, near: np.ndarray) -> np.ndarray:
+        pieces = (near[at : at + 1024] for at in range(0, max(1, len(near)), 1024))
+        return np.concatenate([(vecs[p] * queries[i]).sum(1) / (lens[p] * q_lens[i]) for p in pieces])
+
+    beat = np.full(len(q_ids), -np.inf)
     for i, qid in enumerate(q_ids):
         a = approx[i]
         if len(a) > rerank + 1:
             cut = np.partition(a, len(a) - rerank - 1)[len(a) - rerank - 1]
             near = np.flatnonzero(a >= cut)
-        else:
-            near = np.arange(len(a))
+            score = scored(i, near[ids[near] != qid])
+            if len(score) >= k:
+                beat[i] = np.partition(score, len(score) - k)[len(score) - k]
+    miss, keep = np.broadcast_to(miss, len(ids)), np.zeros((len(q_ids), len(ids)), bool)
+    for at in range(0, len(ids), 4096):
+        # sums of the scan are of 32 bits, those of the products of 64
+        may = approx[:, at : at + 4096] + miss[at : at + 4096] >= (beat - 1e-4)[:, None]
+        rows = np.flatnonzero(may.any(0))
+        product = (queries @ vecs[at + rows].T) / (q_lens[:, None] * lens[at + rows])
+        keep[:, at + rows] = may[:, rows] & (product >= (beat - 1e-9)[:, None])
+    for i, qid in enumerate(q_ids):
+        near = np.flatnonzero(keep[i])
         near = near[ids[near] != qid]
-        q = q_vecs[i] / np.abs(q_vecs[i]).max()
-        pieces = (near[at : at + 1024] for at in range(0, max(1, len(near)), 1024))
-        score = np.concatenate([(vecs[p] * q).sum(1) / (lens[p] * np.sqrt((q * q).sum())) for p in pieces])
+        score = scored(i, near)
         top = np.lexsort((ids[near], -score))[:k]
         out.extend((qid, int(ids[near[t]]), float(score[t])) for t in top)
     return out
@@ -179,8 +204,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250
         for batch in batches:
             if batch.num_rows:
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-                own, codes = model.encode(_unit(v))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "vec", "list", "code"])
+                u = _unit(v)
+                own, codes = model.encode(u)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.missed(u, own, codes))], names=["id", "vec", "list", "code", "miss"])
 
     def visits(batches, probes: int = probes):
         for batch in batches:
@@ -189,7 +215,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250
                 near = np.argsort(-(_unit(v) @ model.centroids.T), axis=1, kind="stable")[:, :probes]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "lists"])
 
-    indexed = staged(vectors.select("id", "vec").mapInArrow(index, "id long, vec array<double>, list int, code binary"), "vector-index")
+    indexed = staged(vectors.select("id", "vec").mapInArrow(index, "id long, vec array<double>, list int, code binary, miss double"), "vector-index")
     queries = queries.groupBy("id").agg(F.min("vec").alias("vec"))
     asked = staged(queries.mapInArrow(visits, "id long, vec array<double>, lists array<int>"), "queries")
     blocks = indexed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
@@ -205,8 +231,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250
             part = ask.iloc[at : at + 64]
             q = np.stack(part["vec"])
             u = _unit(q)
-            approx = model.scan(u, codes)  # a block is of one list: its centroid adds the same to all rows
-            out += _nearest(part["id"].tolist(), q, ids, vecs, approx, k, rerank)
+            approx = model.scan(u, codes) + (u @ model.centroids[rows["list"].iat[0]])[:, None]  # a block is of one list
+            out += _nearest(part["id"].tolist(), q, ids, vecs, approx, k, rerank, rows["miss"].to_numpy())
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     def run(asked: DataFrame) -> DataFrame:
@@ -214,7 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 250
         shares = visit.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("shares"))
         plan = F.broadcast(blocks.join(shares, "list"))  # 4096 lists at most
         spots = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "vec", "code", "list", "block", spots("shares").alias("share"))
+        left = indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "vec", "code", "miss", "list", "block", spots("shares").alias("share"))
         right = visit.join(plan, "list").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).select("id", "vec", "list", spots("blocks").alias("block"), "share")
         keys = ["list", "block", "share"]
         return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(lambda a, b: scan(a, b), "query_id long, vec_id long, score double")

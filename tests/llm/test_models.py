@@ -192,6 +192,16 @@ def test_search_among_many_near_copies(spark):
     assert hits >= 0.9 * 20
 
 
+def test_search_finds_all_in_dense_groups(spark):
+    rng = np.random.default_rng(10)
+    x = np.vstack([c + 0.02 * rng.normal(size=(2000, 16)) for c in rng.normal(size=(3, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = ann.usable(df, "vec_id", "embedding")
+    got = ann.search(v, v.where("id % 100 = 0"), rerank=50).toPandas()
+    want = brute_nearest(list(range(6000)), x, range(0, 6000, 100), 5)
+    assert {q: g.sort_values("rank").vec_id.tolist() for q, g in got.groupby("query_id")} == want
+
+
 def test_mixture_of_more_than_four_languages():
     model = langid.LanguageModel([f"l{i}" for i in range(7)], np.ones((7, 1 << langid.GRAM_BITS), np.int64))
     own = np.repeat(np.arange(6), 100)
