@@ -100,7 +100,8 @@ def _gated(df: DataFrame) -> DataFrame:
 
 @query("sequence_gate", fx.sql("c d", _CAND + f" SELECT code FROM cd WHERE {_GATE}"))
 def sequence_gate(spark, sf):
-    return _gated(_candidates(spark, sf)).select("code")
+    # written first: a filter on keys would go below the groups and gate each of their rows
+    return _gated(written(_candidates(spark, sf).select("code", "kmer"), "candidates")).select("code")
 
 
 @query("sequence_quality", fx.sql("c d", _CAND + f" SELECT code, {Q.stem('kmer')} AS stem, {Q.quality('kmer')} AS quality FROM cd"))

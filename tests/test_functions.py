@@ -30,6 +30,10 @@ def test_reverse_complements_agree(spark):
         assert rc == by_code == want and pal == (s == want) and can == min(s, want)
 
 
+def K_RC(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def brute_stem(s):
     best = 0
     pair = dict(zip("ACGT", "TGCA", strict=True))
@@ -51,6 +55,19 @@ def test_features(spark):
     assert got[3][4] == "k16_00000000"
 
 
+def test_stems_are_fast(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    seqs = ["".join(rng.choices("ACGT", k=16)) for _ in range(300)] + [a + "ACGT" + K_RC(a) for a in ("AACCGG", "GATTAC", "AAAAAA")]
+    assert [r[0] for r in rows(spark, seqs, stem=K.stem(F.col("k")))] == [brute_stem(s) for s in seqs]
+    many = spark.range(20_000, numPartitions=1).select(K.decode((F.col("id") * 2654435761) % (1 << 32)).alias("k"))
+    began = time.time()
+    assert many.where(K.stem(F.col("k")) > 8).isEmpty()
+    assert time.time() - began < 8  # by start pairs and steps it took more than twice as long
+
+
 def test_hamming(spark):
     df = spark.createDataFrame([("ACGTTGCAATGCCGTA", "ACGTTGCAATGCCGTT"), ("AAAAAAAAAAAAAAAA", "TTTTTTTTTTTTTTTA")], "a string, b string")
     a, b = K.encode(F.col("a")), K.encode(F.col("b"))
