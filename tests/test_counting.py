@@ -118,3 +118,29 @@ def test_counts_in_a_radius_equal_the_join(spark):
     by_join = mismatch.radius_join(queries, counting.spectrum(seqs, keys=["doc"]))
     rows = lambda df: sorted((tuple(r) for r in df.select("query", "d", "code", "doc", "n").collect()), key=str)
     assert rows(mismatch.radius_counts(queries, seqs, ["doc"])) == rows(by_join) != []
+
+
+def test_plain_search_in_a_long_text(spark):
+    import time
+
+    motif = "ACGTACGTACGTACGA"
+    text = ("ACGT" * 8 + "A" * 5) * 8000  # 296,000 bases, 8,000 of them starts of hits
+    text = text.replace("ACGTAAAAA", motif + "AAAA")
+    df = spark.createDataFrame([(1, text), (2, None), (3, "ACG"), (4, "A" * 18)], "id long, seq string")
+    began = time.time()
+    got = sorted(map(tuple, counting.substring_hits(df, [motif, "A" * 16], ["id"]).collect()))
+    assert time.time() - began < 20  # a search that walks to each place from the start takes minutes
+    want = [(1, motif, i) for i in range(len(text)) if text.startswith(motif, i)] + [(4, "A" * 16, i) for i in range(3)]
+    assert got == sorted(want) and len(want) > 8000
+
+
+def test_most_frequent_is_exact(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGT", k=3000)) for _ in range(6)] + ["ACGTTGCAAC" * 30, "GATTACAT" * 20, "ACGTNACGT", None]
+    df = spark.createDataFrame([(t,) for t in texts], "seq string")
+    whole = counting.spectrum(df, keys=[]).orderBy(F.desc("n"), "code")
+    for most in (1, 5, 60):
+        assert counting.most_frequent(df, most, bits=15).collect() == whole.limit(most).select("code", "n").collect()
+    assert counting.most_frequent(df.where("length(seq) < 20"), 3, bits=15).isEmpty()
+    few = df.where("length(seq) = 160")
+    assert counting.most_frequent(few, 1000, bits=15).count() == counting.spectrum(few, keys=[]).count()
