@@ -103,8 +103,9 @@ def enriched_by_logs(counts: DataFrame, den: DataFrame, hap_min: int, threshold:
 def union_below_parts(union: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose count in the union of the families (keys, n), counted on its own, is less than those of
     the families together: windows over a border are of the union alone, never of a family alone."""
-    parts = counts.where(F.col("region").isin("HSat2", "HSat3")).groupBy(*keys).agg(F.sum("n").alias("p"))
-    return parts.join(union.groupBy(*keys).agg(F.sum("n").alias("u")), keys, "left").where(F.coalesce("u", F.lit(0)) < F.col("p"))
+    parts = counts.where(F.col("region").isin("HSat2", "HSat3")).select(*keys, F.col("n").alias("p"), F.lit(0).alias("u"))
+    both = parts.unionByName(union.select(*keys, F.lit(0).alias("p"), F.col("n").alias("u")))
+    return both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("u < p")
 
 
 def neighbourhood_differs(near: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:

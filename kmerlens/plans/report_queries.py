@@ -15,7 +15,7 @@ from .count_queries import _FAM, _haps, _nonref, _share
 from .interval_queries import _hit_regions
 from .ranking_queries import _SCORE, _scored
 from .registry import query, rounded
-from .sequence_queries import _TOP, _matched, _top, _windows
+from .sequence_queries import _TOP, _top, _windows
 from .written import written
 
 
@@ -120,17 +120,22 @@ def prefix_bitmap(spark, sf):
 @query("kmer_lookup", fx.sql("s w", _TOP.format(n=1) + " SELECT hap, region, count(*) AS n FROM w WHERE kmer IN (SELECT kmer FROM tp) GROUP BY 1, 2"))
 def kmer_lookup(spark, sf):
     """The most frequent k-mer, asked for by its reverse complement in small letters."""
-    counts = _windows(spark, sf, "hap", "region").groupBy("hap", "region", "code").agg(F.sum("n").alias("n"))
-    asked = _top(spark, sf, 1).select(F.lower(K.reverse_complement(F.col("kmer")))).first()[0]
+    top = _top(spark, sf, 1)
+    counts = counting.seeded(fx.sequences(spark, sf), top, keys=["hap", "region"])
+    asked = top.select(F.lower(K.reverse_complement(F.col("kmer")))).first()[0]
     return counting.lookup_kmer(counts, asked, counts).select("hap", "region", "n")
 
 
 @query("substring_scan", fx.sql("s w", _TOP.format(n=5) + " SELECT doc_id, kmer, start FROM w WHERE kmer IN (SELECT kmer FROM tp)"))
 def substring_scan(spark, sf):
     """Hits of the five most frequent k-mers by a plain search for both orientations."""
-    top = [r["kmer"] for r in _top(spark, sf, 5).select("kmer").collect()]  # five
+    return _plain_scan(fx.sequences(spark, sf), _top(spark, sf, 5))
+
+
+def _plain_scan(sequences, queries):
+    top = [r["kmer"] for r in queries.select("kmer").collect()]  # five
     both = sorted({x for k in top for x in (k, k[::-1].translate(str.maketrans("ACGT", "TGCA")))})
-    return counting.substring_hits(fx.sequences(spark, sf), both, ["doc_id"]).select("doc_id", K.canonical(F.col("motif")).alias("kmer"), "start")
+    return counting.substring_hits(sequences, both, ["doc_id"]).select("doc_id", K.canonical(F.col("motif")).alias("kmer"), "start")
 
 
 @query("region_fasta", fx.sql("s", ", r AS (SELECT doc_id, hap, chrom, doc_id % 50 AS s, doc_id % 50 + 100 AS e, replace(seq, chr(10), '') AS q FROM s WHERE hap IS NOT NULL) SELECT '>' || hap || '|' || doc_id || ':' || s || '-' || e || '|HSat2|strand=+' || chr(10) || CASE WHEN length(substr(q, s + 1, 100)) > 80 THEN substr(q, s + 1, 80) || chr(10) || substr(q, s + 81, 20) ELSE substr(q, s + 1, 100) END AS value FROM r WHERE length(q) >= e"))
@@ -169,21 +174,21 @@ def audit_screens(spark, sf):
     spectra; a plain search finds the hits of the scan; cluster cases keep their rules."""
     from .ranking_queries import cluster_cases
 
-    top = written(_top(spark, sf, 5))
+    top, seqs = _top(spark, sf, 5), fx.sequences(spark, sf)
     near = mismatch.neighbours(top)
-    sums = written(mismatch.by_distance(_matched(spark, sf, "hap", "region"), ["hap", "region"]))
+    sums = written(mismatch.by_distance(mismatch.radius_counts(top.select("code"), seqs, ["hap", "region"]), ["hap", "region"]))
     some = landscape.even_spaced(sums.where("hap is not null").select("hap").distinct(), "hap", 12)
     # the other way round: every k-mer of a hap against the queries, by distance and not by a list of variants
     spectra = _windows(spark, sf, "hap", "region").join(some, "hap").groupBy("hap", "region", "code").agg(F.sum("n").alias("n"))
     again = spectra.join(F.broadcast(top.select(F.col("code").alias("query"))), K.hamming_either(F.col("query"), F.col("code")) <= 2)  # five rows
     again = again.withColumn("d", K.hamming_either(F.col("query"), F.col("code"))).groupBy("query", "hap", "region", "d").agg(F.sum("n").alias("n"))
     saved = sums.join(some, "hap").where("n > 0").select("query", "hap", "region", F.col("d").cast("long"), "n")
-    scanned = landscape.scan(fx.sequences(spark, sf), top, keys=["doc_id"]).select("doc_id", K.decode(F.col("code")).alias("kmer"), "start")
+    scanned = landscape.scan(seqs, top, keys=["doc_id"]).select("doc_id", K.decode(F.col("code")).alias("kmer"), "start")
     return audit.violations(
         {
             "neighbourhoods": audit.neighbourhood_differs(near),
             "variant_sums": audit.sets_differ(saved, again.select("query", "hap", "region", F.col("d").cast("long"), "n")),
-            "plain_scan_agrees": audit.sets_differ(scanned, substring_scan(spark, sf)),
+            "plain_scan_agrees": audit.sets_differ(scanned, _plain_scan(seqs, top)),
             "clusters": audit.clusters_break_rules(cluster_cases(spark, sf), ["region", "chrom"]),
         }
     )
