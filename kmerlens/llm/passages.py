@@ -14,8 +14,9 @@ are the smallest of their surroundings; what stands outside a passage does not m
 3. Different paragraphs are keyed by bands of MinHash rows. ``tune`` picks the bands: rows as many as
    keep unlike texts apart, bands as many as the recall asks for. All paragraphs that share a key are
    compared by exact Jaccard on shingles, in tiles of bounded size. A key of more than one tile is
-   cut into blocks that share a leader; where this leaves its paragraphs in several components, further
-   bands cut it finer, and every pair of blocks of what is still large is one tile.
+   cut into blocks that share a leader; where this leaves its paragraphs in several components, those
+   that share a rare shingle (of each as many as alike ones need to share one) are compared too, so the
+   same classes come out whatever the sizes of tiles, parcels and buckets.
 4. Components of the links decide: the document with the smallest doc_id keeps the passage, all
    others lose it.
 """
@@ -282,13 +283,15 @@ def _runs(classes):
     class and keeper of those that their document keeps, and of those that it loses."""
 
     def run(batches):
-        names, class_of, keeper_of = classes.value
+        names, class_of, keeper_of, own_keeper = classes.value
         for batch in batches:
             for blob in range(batch.num_rows):
                 name, doc, runs, start, length = (np.frombuffer(batch.column(i)[blob].as_py(), t) for i, t in enumerate((np.int64, np.int64, np.uint32, np.uint32, np.uint16)))
                 turn = np.repeat(np.arange(len(doc)), runs)
                 at = np.searchsorted(names, name)
-                kind, keeper, start = class_of[at], keeper_of[at], start.astype(np.int64)
+                # a window of a paragraph's name stays in the class of the name, as among the other names
+                part = (length & np.uint16(_PARAGRAPH)) > 0
+                kind, keeper, start = np.where(part, class_of[at], name), np.where(part, keeper_of[at], own_keeper[at]), start.astype(np.int64)
                 end = start + (length & ~np.uint16(_PARAGRAPH)).astype(np.int64)
                 group = turn * 2 + (doc[turn] != keeper)
                 order = np.lexsort((end, start, group))
@@ -302,7 +305,7 @@ def _runs(classes):
 
 
 def _key_blobs(bands: int, buckets: int, frequent):
-    lead = buckets.bit_length() - 1
+    lead = buckets.bit_length() - 1  # buckets only spread the rows: keys stay whole, so they meet alike whatever the size
     names = ["bucket", "keys", "names", "a", "g"]
     types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
@@ -318,7 +321,7 @@ def _key_blobs(bands: int, buckets: int, frequent):
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in types[:3]), pa.array(name[often]), pa.array(key[often])], names=names)
             key, name = key[~often].view(np.uint64), name[~often]
             bucket = (key >> U64(64 - lead)).astype(np.int64) if lead else np.zeros(len(key), np.int64)
-            rows = _blobs(bucket, {"keys": (key << U64(lead) >> U64(32)).astype(np.uint32), "names": name})
+            rows = _blobs(bucket, {"keys": key, "names": name})
             m = len(rows["bucket"])
             yield pa.RecordBatch.from_arrays([*(pa.array(rows[c], t) for c, t in zip(names[:3], types, strict=False)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
 
@@ -327,7 +330,7 @@ def _key_blobs(bands: int, buckets: int, frequent):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket of keys: (name, key, names under the key, least name under it) where there are two."""
-    key, name = _flat(table.column("keys"), np.uint32), _flat(table.column("names"), np.int64)
+    key, name = _flat(table.column("keys"), np.int64), _flat(table.column("names"), np.int64)
     order = np.lexsort((name, key))
     key, name = key[order], name[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
@@ -335,8 +338,7 @@ def _meet(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     n = np.diff(np.append(at, len(key)))
     keep = np.repeat(n > 1, n)
-    g = table.column("bucket")[0].as_py() << 32 | key[keep].astype(np.int64)
-    return pa.table({"a": name[keep], "g": g, "n": np.repeat(n, n)[keep], "lead": np.repeat(name[at], n)[keep]})
+    return pa.table({"a": name[keep], "g": key[keep], "n": np.repeat(n, n)[keep], "lead": np.repeat(name[at], n)[keep]})
 
 
 def _words_of(k: int, least: int):
@@ -391,8 +393,8 @@ def _tile_links(k: int, threshold: tuple[int, int]):
 
     def run(table: pa.Table) -> pa.Table:
         """Of one parcel of tiles: spanning links of the pairs of different documents that reach the
-        threshold, with the part of each side from the first to the last common shingle. All pairs of
-        a tile are tried; parity bitmaps bound overlaps, and pairs already joined are passed over."""
+        threshold. All pairs of a tile are tried; parity bitmaps bound overlaps, and pairs already joined
+        are passed over, so which links are found depends on the parcel, but not what they join."""
         tile, side, content, doc, shared = (table.column(c).to_numpy() for c in ("tile", "side", "a", "doc", "shared"))
         order = np.lexsort((content, side, tile))
         tile, side, content = tile[order], side[order], content[order]
@@ -400,7 +402,7 @@ def _tile_links(k: int, threshold: tuple[int, int]):
         order, tile, side, content = order[once], tile[once], side[once], content[once]
         doc, shared = doc[order], shared[order] > 0
         m = len(order)
-        sh, row, place = _row_shingles(table.column("words").take(pa.array(order)).to_pylist(), k)
+        sh, row, _ = _row_shingles(table.column("words").take(pa.array(order)).to_pylist(), k)
         kinds, rank = np.unique(sh, return_inverse=True)
         base = len(kinds) + 1
         code = row * base + rank
@@ -408,7 +410,6 @@ def _tile_links(k: int, threshold: tuple[int, int]):
         n = np.bincount(sets // base, minlength=m)
         to = np.concatenate([[0], np.cumsum(n)])
         maps = bitmaps(kinds[sets % base], to, 256)
-        row_at = np.searchsorted(row, np.arange(m + 1))
         # the partners of a row: all behind it in its tile, or the other side of a tile of two blocks
         t_at = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         t_n = np.diff(np.append(t_at, m))
@@ -418,18 +419,13 @@ def _tile_links(k: int, threshold: tuple[int, int]):
         label = np.unique(content, return_inverse=True)[1]
         left, right = [], []
 
-        def common(x, y, of, at):
-            """(pair, place in ``of``, whether the other side has it) of all entries of x."""
-            size = at[x + 1] - at[x]
+        def verify(x, y):
+            size = to[x + 1] - to[x]
             p = np.repeat(np.arange(len(x)), size)
-            e = np.repeat(at[x] - np.cumsum(size) + size, size) + np.arange(len(p))
-            want = y[p] * base + of[e] % base
+            e = np.repeat(to[x] - np.cumsum(size) + size, size) + np.arange(len(p))
+            want = y[p] * base + sets[e] % base
             found = np.minimum(np.searchsorted(sets, want), len(sets) - 1)
-            return p, e, sets[found] == want
-
-        def verify(x, y):
-            p, _, hit = common(x, y, sets, to)
-            both = np.bincount(p[hit], minlength=len(x))
+            both = np.bincount(p[sets[found] == want], minlength=len(x))
             return (both > 0) & (b * both >= a * (n[x] + n[y] - both))
 
         for x, y in _pairs(lo, hi):
@@ -457,38 +453,53 @@ def _tile_links(k: int, threshold: tuple[int, int]):
                 x, y, turns = x[~now], y[~now], turns * 2
         x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
 
-        def part(x, y):
-            p, e, hit = common(x, y, code, row_at)
-            p, e = p[hit], e[hit]
-            ends = np.arange(len(x))
-            return place[e[np.searchsorted(p, ends, "left")]], place[e[np.searchsorted(p, ends, "right") - 1]] + k
-
-        spans = [*part(x, y), *part(y, x)] if len(x) else [x] * 4
-        return pa.table([pa.array(v, pa.int64()) for v in (content[x], content[y], *spans)], names=["a", "b", "a_from", "a_to", "b_from", "b_to"])
+        return pa.table([pa.array(v, pa.int64()) for v in (content[x], content[y])], names=["a", "b"])
 
     return run
 
 
-def _finer(k: int, bands: tuple[int, int]):
+def _shingles_of(k: int):
     def run(batches):
-        """(name, keys of further bands) of paragraphs (name, words)."""
+        """(name, shingle, first place, last place, different shingles of the name) of paragraphs (name,
+        words), each shingle of a paragraph once."""
         for batch in batches:
-            if batch.num_rows:
-                sh, row, _ = _row_shingles(batch.column(1).to_pylist(), k)
-                at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                keys = band_keys(sh, at[:-1], at[1:], *bands, salt=0x632BE59BD9B4E019)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["a", "finer"])
+            for lo in range(0, batch.num_rows, 1 << 13):
+                some = batch.slice(lo, 1 << 13)
+                sh, row, place = _row_shingles(some.column(1).to_pylist(), k)
+                if not len(sh):
+                    continue
+                order = np.lexsort((place, sh, row))
+                sh, row, place = sh[order], row[order], place[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (sh[1:] != sh[:-1]))
+                first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True))
+                size = np.bincount(row[first], minlength=some.num_rows)[row[first]]
+                columns = (sh[first].view(np.int64), place[first], place[last], size)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row[first])), *(pa.array(c) for c in columns)], names=["a", "sh", "first", "last", "size"])
 
     return run
 
 
+_SHINGLES = "a long, sh long, first long, last long, size long"
+
+
+def _spans(classes: DataFrame, texts: DataFrame, k: int, tasks: int) -> DataFrame:
+    """(a, from, to) of paragraphs that belong to a class (a, root): from the first to the last shingle that
+    another paragraph of the class has too. This needs no pairs, so it doesn't depend on which were tried."""
+    rows = texts.select("a", "words").mapInArrow(lean(_shingles_of(k)), _SHINGLES).join(classes.select("a", "root"), "a")
+    rows = staged(rows.select("a", F.xxhash64("root", "sh").alias("g"), "first", "last"), "class-shingles", tasks)
+    common = rows.groupBy("g").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("g")
+    spans = staged(join_hot(rows, common, "g").groupBy("a").agg(F.min("first").alias("from"), (F.max("last") + k).alias("to")), "spans", tasks)
+    unstage(rows)
+    return spans
+
+
 def _links_of(tiles: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], parcel_rows: int, name: str, tasks: int) -> DataFrame:
     """Links of tiles (a, tile, side, one: whether the tile is small and shares a parcel)."""
     tiles = staged(tiles, f"{name}-tiles", tasks)
     parcels = max(1, -(-tiles.where("one").count() // parcel_rows))
     rows = tiles.select("a", "tile", "side", F.when(F.col("one"), F.pmod(F.xxhash64("tile"), F.lit(parcels))).otherwise(F.col("tile")).alias("parcel")).join(texts, "a")
     rows = rows.select("parcel", "tile", "side", "a", "doc", "shared", "words")
-    links = staged(rows.groupBy("parcel").applyInArrow(lean_group(_tile_links(k, threshold)), "a long, b long, a_from long, a_to long, b_from long, b_to long"), name, tasks)
+    links = staged(rows.groupBy("parcel").applyInArrow(lean_group(_tile_links(k, threshold)), "a long, b long"), name, tasks)
     unstage(tiles)
     return links
 
@@ -523,8 +534,9 @@ def repeated_passages(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     Passages are unions of overlapping windows of at least ``least`` words that repeat exactly and of
     paragraphs that reach the Jaccard threshold a / b on k-word shingles, each pair with a chance of
-    ``recall`` or more; of those that only resemble another one, the part from the first to the last
-    common shingle counts. ``removed`` is false in the document with the smallest doc_id of a class and
+    ``recall`` or more; of those that only resemble others, the part from the first to the last shingle
+    that another paragraph of their class has too counts. ``bucket_rows``, ``tile_rows``, ``parcel_rows``
+    and ``broadcast_rows`` change how the work is cut, not the rows. ``removed`` is false in the document with the smallest doc_id of a class and
     true in the others. Texts with fewer words than ``least``, empty and null texts have no passage.
     Repeats inside one document are left alone, and rows that share a doc_id are one document; rows
     without a doc_id are the document of a null id, the smallest. Other columns are ignored. No rows
@@ -575,12 +587,11 @@ def repeated_passages(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     links = _links_of(tiles, texts, k, threshold, parcel_rows, "alike", tasks)
     large = met.where(subs > 1).select("a", "g")
     if not large.isEmpty():
-        links = links.unionByName(_across(large, links, texts, k, threshold, bands, tile_rows, parcel_rows, tasks))
+        links = links.unionByName(_across(large, links, texts, k, threshold, tile_rows, parcel_rows, tasks))
     roots = staged(components(links.select("a", "b"), "passage-links", tasks).withColumnRenamed("node", "a").join(asked.select("a", "low", (F.col("low") != F.col("high")).alias("shared")), "a"), "roots", tasks)
     linked = staged(join_hot(roots, roots.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("a", "root", "keeper", "shared"), "linked", tasks)
 
-    spans = links.select("a", F.col("a_from").alias("from"), F.col("a_to").alias("to")).unionByName(links.select(F.col("b").alias("a"), F.col("b_from").alias("from"), F.col("b_to").alias("to")))
-    spans = spans.groupBy("a").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(linked.where("not shared").select("a", "root", "keeper"), "a")
+    spans = _spans(linked, texts, k, tasks).join(linked.where("not shared").select("a", "root", "keeper"), "a")
     # paragraphs that one document holds: none of them is frequent
     alike = places.where("bucket is null").select("a", "doc", "start").join(spans, "a").select(F.col("root").alias("class_id"), "keeper", "doc", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
     known = linked.where("shared").select(F.col("a").alias("b"), "root", "keeper")
@@ -590,8 +601,8 @@ def repeated_passages(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     both = both.select(F.coalesce("root", "a").alias("class_id"), F.coalesce("keeper", "low").alias("keeper"), "doc", "start", (F.col("start") + F.col("len")).alias("end"))
     # the classes of frequent names: FREQUENT rows at most
     hot_known = hot_low.join(known.join(F.broadcast(hot_low.select(F.col("a").alias("b"))), "b"), F.col("a") == F.col("b"), "left")
-    classes = hot_known.select("a", F.coalesce("root", "a"), F.coalesce("keeper", "low")).collect()
-    classes = np.array(sorted(tuple(r) for r in classes), np.int64).reshape(-1, 3)
+    classes = hot_known.select("a", F.coalesce("root", "a"), F.coalesce("keeper", "low"), "low").collect()
+    classes = np.array(sorted(tuple(r) for r in classes), np.int64).reshape(-1, 4)
     classes = spark.sparkContext.broadcast(tuple(classes.T.copy()))
     runs = hot.select("names", "docs", "runs", "starts", "lengths").mapInArrow(lean(_runs(classes)), "class_id long, keeper long, doc long, start long, end long")
     members = staged(both.unionByName(alike).unionByName(runs), "members", tasks)
@@ -607,18 +618,24 @@ def repeated_passages(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     return merged.select(real("doc").alias("doc_id"), "start", "end", "class_id", real("keeper").alias("keeper_id"), "removed")
 
 
-def _across(large: DataFrame, links: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], bands: tuple[int, int], tile_rows: int, parcel_rows: int, tasks: int) -> DataFrame:
+def _across(large: DataFrame, links: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], tile_rows: int, parcel_rows: int, tasks: int) -> DataFrame:
     """Links across the blocks of large keys (a, g): where the links found so far leave the paragraphs
-    of a key in several components, they meet again under further bands, and under those keys that
-    are still large every pair of blocks is a tile."""
+    of a key in several components, those that share one of their rarest shingles meet again, and under
+    shingles that many have every pair of blocks is a tile. Of two sets that reach the threshold a / b
+    each has at most 1 - a / b of its shingles alone, so in one order of all shingles, the rarest under
+    the key first, the first 1 - a / b of each, and one more, share one: no pair is lost."""
     roots = components(links.select("a", "b"), "near-links", tasks)
     rows = staged(large.join(roots, F.col("a") == F.col("node"), "left").select("a", "g", F.coalesce("root", "a").alias("root")), "large", tasks)
     apart = lambda key: F.expr("lo <> hi")
     mixed = staged(rows.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(apart("g")).select("g"), "mixed", tasks)
     rows = staged(join_hot(rows, mixed, "g"), "unsettled", tasks)
-    finer = texts.join(rows.select("a").distinct(), "a").select("a", "words").mapInArrow(lean(_finer(k, bands)), "a long, finer array<long>")
-    keys = rows.join(finer, "a").select("a", "root", F.posexplode("finer").alias("band", "key"), "g").select("a", "root", F.xxhash64("g", "band", "key").alias("g"))
-    keys = staged(keys.distinct(), "finer", tasks)
+    shingles = texts.join(rows.select("a").distinct(), "a").select("a", "words").mapInArrow(lean(_shingles_of(k)), _SHINGLES)
+    held = staged(rows.join(shingles, "a").select("a", "root", "g", "size", F.xxhash64("g", "sh").alias("s")), "held", tasks)
+    held = join_hot(held, held.groupBy("s").agg(F.count("*").alias("often")), "s")
+    of = Window.partitionBy("g", "a").orderBy("often", "s")  # the shingles of one paragraph
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold[0] / threshold[1]) + 1
+    keys = held.withColumn("place", F.row_number().over(of)).where(F.col("place") <= prefix)
+    keys = staged(keys.select("a", "root", F.col("s").alias("g")), "finer", tasks)
     sizes = keys.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where(apart("g"))
     met = join_hot(keys, sizes.select("g", F.ceil(F.col("n") / tile_rows).cast("long").alias("subs")), "g").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("subs")).cast("long"))
     tiles = met.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))

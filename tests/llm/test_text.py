@@ -373,6 +373,22 @@ def test_all_paragraphs_of_a_key_are_compared(spark, monkeypatch, kw):
     assert want <= got <= want | {(2000, 1076), (2001, 1076)}
 
 
+def test_sizes_of_tiles_parcels_and_buckets_change_no_row(spark, monkeypatch):
+    under_one_key(monkeypatch)
+    rng = random.Random(8)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = [own(45) for _ in range(90)]
+    # pairs just above the threshold, and chains of versions that differ at both ends
+    pairs = [(i, w) for i, w in enumerate(base)] + [(1000 + i, w[:-5] + own(5)) for i, w in enumerate(base)]
+    chain = own(56)
+    chains = [(2000 + i, own(i % 4) + chain[i % 4 : 56 - i // 4] + own(i // 4)) for i in range(16)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in pairs + chains], "doc_id long, text string")
+    key = lambda **kw: sorted(map(tuple, passages.repeated_passages(df, **kw).collect()))
+    whole = key()
+    assert {r[0] for r in whole if r[5]} >= {1000 + i for i in range(90)} | {2000 + i for i in range(1, 16)}
+    assert key(tile_rows=16, parcel_rows=20, bucket_rows=64, broadcast_rows=0) == whole
+
+
 def test_frequent_passages_take_their_own_way(spark, monkeypatch):
     real = passages._frequent
     monkeypatch.setattr(passages, "_frequent", lambda docs, k, least, bands: real(docs, k, least, bands, 1))
