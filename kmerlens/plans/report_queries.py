@@ -29,7 +29,7 @@ def prevalence_histogram(spark, sf):
 @query("strand_fraction_histogram", fx.sql("s w", ", fr AS (SELECT kmer, count_if(strand = 0) / CAST(count(*) AS DOUBLE) AS v FROM w GROUP BY kmer HAVING count(*) >= 5), b AS (SELECT CAST(least(floor(v / 0.05)::INT + 1, 20) AS INT) AS bin, count(*) AS n FROM fr GROUP BY 1) SELECT CAST(r.range AS INT) AS bin, round((r.range - 0.5) * 0.05, 6) AS midpoint, coalesce(n, 0) AS n FROM range(1, 21) r LEFT JOIN b ON b.bin = r.range"))
 def strand_fraction_histogram(spark, sf):
     """How much of each frequent k-mer's hits lies on the strand of its canonical form."""
-    sums = _windows(spark, sf).groupBy("code").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("strand") == 0, F.col("n")).otherwise(0)).alias("f")).where("n >= 5")
+    sums = counting.strand_totals(fx.sequences(spark, sf), 5, bases=fx.bases(spark, sf))
     return rounded(landscape.histogram(sums.withColumn("v", M.ratio(F.col("f"), F.col("n"))), "v", 0.0, 1.0, 20), "midpoint")
 
 

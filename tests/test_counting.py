@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,27 @@ def test_most_frequent_is_exact(spark):
     assert counting.most_frequent(df.where("length(seq) < 20"), 3, bits=15).isEmpty()
     few = df.where("length(seq) = 160")
     assert counting.most_frequent(few, 1000, bits=15).count() == counting.spectrum(few, keys=[]).count()
+
+
+def test_tallies_are_those_of_single_windows(spark, monkeypatch):
+    """Windows that are dealt as sorted runs of codes come out as if each were a row, whatever the buckets and
+    the runs; null and many keys, long rows and other lengths of k-mers too."""
+    rng = random.Random(4)
+    unit = "".join(rng.choice("ACGT") for _ in range(37))
+    texts = [unit * 9, unit[5:] * 4, None, "", "ACGTN" * 30, "".join(rng.choice("ACGTacgtN") for _ in range(3000)), "A" * 500]
+    rows = [(None if i % 5 == 0 else f"h{i % 3}", None if i % 7 == 6 else i % 2, texts[i % len(texts)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "hap string, region int, seq string").repartition(3)
+    monkeypatch.setattr(counting, "HOLD", 700)
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    for k in (1, 5, 16, 21, 31):
+        single = counting.windows(df, k).groupBy("hap", "region", "code", "strand").agg(F.sum("n").alias("n"))
+        want = key(single)
+        for bases in (0, 1 << 26):
+            assert key(counting.spectrum(df, k, strands=True, bases=bases)) == want
+    pool = counting.pool(single, 60, 30)
+    assert 0 < pool.count() < single.select("code").distinct().count()
+    assert key(counting.sequence_pool(df, 60, 30, k=31)) == key(pool)
+    assert key(counting.pooled_counts(df, 60, 30, ["hap", "region"], k=31, bases=1 << 26)) == key(counting.restrict(single, pool).select("hap", "region", "code", "strand", "n"))
+    # counts that are rows already
+    again = counting.tallied(single.drop("strand"), lambda t: t.rows(at := t.firsts(t.kind), code=t.code[at], n=np.add.reduceat(t.n, at)), "hap string, region int, code long, n long", 31)
+    assert key(again) == key(counting.spectrum(df, 31))
