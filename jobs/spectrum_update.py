@@ -23,6 +23,7 @@ OUT and checkpoint; the job refuses to mix them.
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import logging
 import os
@@ -74,15 +75,32 @@ def _pattern(path: str) -> str:
     return path if set(path) & set("*?[]{}") else f"{path[:-1]}[{path[-1]}]"
 
 
+@contextlib.contextmanager
+def _writers(spark: SparkSession, most: int = 16):
+    """A task keeps the files of up to ``most`` regions open, so rows need no sort by region before they are
+    written; beyond that Spark sorts."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def take_new(spark: SparkSession, documents: str, out: str, checkpoint: str, settings: dict) -> int:
     """Counts the new files into deltas, and gives the number of batches (of the last 100 that Spark reports)."""
     of = settings["sequences"]
 
     def write(batch: DataFrame, number: int) -> None:
         sequences = counting.spread(batch).select(*(F.expr(of[c]).alias(c) for c in ("hap", "region", "seq")))
-        counts = pooled.by_hap(counting.windows(sequences, settings["k"]), settings["reference"])
+        others = sequences.where(F.col("hap") != settings["reference"])
+        # the stream counts what is read of a batch, so its size is told by the files that are there
+        size = batch.sparkSession.read.format("binaryFile").load(_pattern(documents)).agg(F.sum("length")).first()[0] or 0
+        counts = pooled.by_hap(counting.spectrum(others, settings["k"], ["region", "hap"], bases=4 * size), settings["reference"])
         path = f"{out}/deltas/batch={number}"
-        counts.write.mode("overwrite").partitionBy("region").parquet(path)
+        with _writers(batch.sparkSession):
+            counts.write.mode("overwrite").partitionBy("region").parquet(path)
         log.info("batch %d: wrote %d counts to %s", number, batch.sparkSession.read.schema(counts.schema).parquet(path).count(), path)
 
     stream = spark.readStream.schema(settings["schema"]).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(_pattern(documents))
@@ -103,10 +121,11 @@ def refresh(spark: SparkSession, out: str, settings: dict) -> list[str]:
     stale = [(r["newest"], r["region"]) for r in there.join(done, "region", "left").where("through is null or through < newest").collect()]
     if stale:
         mine = deltas.where(F.col("region").isin([region for _, region in stale]))
-        pool = pooled.pool_by_region(mine, settings["pooled_min"], settings["hap_min"])
+        pool = pooled.pool_by_region(mine, settings["pooled_min"], settings["hap_min"], settings["k"])
         rows = pool.select("code", K.decode(F.col("code"), settings["k"]).alias("kmer"), "pooled", "haps", "largest", "region")
         for df, name in ((rows, "candidates"), (spark.createDataFrame(stale, MARKS), "marks")):
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").parquet(f"{out}/{name}")
+            with _writers(spark):
+                df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region").parquet(f"{out}/{name}")
     return sorted(region for _, region in stale)
 
 

@@ -7,10 +7,13 @@ k-mer and appended as a delta; readers sum the deltas. Replays of a batch overwr
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import counting
 from ..schema import COUNTS
 
 
@@ -38,14 +41,26 @@ def maintain(spark: SparkSession, shards: str, path: str, checkpoint: str, refer
 
 def by_hap(counts: DataFrame, reference: str) -> DataFrame:
     """(code, region, hap, n) of any part of a hap's counts, the reference left out: deltas of these may
-    come from several files or batches of one hap."""
-    return counts.where(F.col("hap") != reference).groupBy("code", "region", "hap").agg(F.sum("n").alias("n"))
+    come from several files or batches of one hap, and ``pool_by_region`` sums what comes in several rows."""
+    return counts.where(F.col("hap") != reference).select("code", "region", "hap", "n")
 
 
-def pool_by_region(deltas: DataFrame, pooled_min: int, hap_min: int) -> DataFrame:
+def pool_by_region(deltas: DataFrame, pooled_min: int, hap_min: int, k: int = 16) -> DataFrame:
     """(code, region, pooled, haps, largest) of deltas by hap: k-mers whose sum over haps or largest count
-    in one hap is enough. A hap counts once, however many deltas it has. Both sums need one shuffle, by
-    (region, code)."""
-    rows = deltas.repartition("region", "code").groupBy("region", "code", "hap").agg(F.sum("n").alias("n"))
-    pool = rows.groupBy("region", "code").agg(F.sum("n").alias("pooled"), F.count("*").alias("haps"), F.max("n").alias("largest"))
-    return pool.where((F.col("pooled") >= pooled_min) | (F.col("largest") >= hap_min)).select("code", "region", "pooled", "haps", "largest")
+    in one hap is enough. A hap counts once, however many deltas it has. All counts of a k-mer meet in one
+    bucket, and only those that are enough leave it."""
+
+    def reduce(t: counting.Tally) -> pa.Table:
+        regions = t.kinds.column("region").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        own = t.firsts(t.kind)
+        region = regions[t.kind[own]]
+        n = np.add.reduceat(t.n, own)
+        at = np.flatnonzero(np.append(True, (t.code[own][1:] != t.code[own][:-1]) | (region[1:] != region[:-1])))
+        pooled, largest = np.add.reduceat(n, at), np.maximum.reduceat(n, at)
+        keep = (pooled >= pooled_min) | (largest >= hap_min)
+        haps = np.diff(np.append(at, len(own)))
+        first = own[at[keep]]
+        return pa.table({"code": t.code[first], "region": t.rows(first).column("region"), "pooled": pooled[keep], "haps": haps[keep], "largest": largest[keep]})
+
+    rows = deltas.select("region", "hap", "code", "n")
+    return counting.tallied(rows, reduce, "code long, region string, pooled long, haps long, largest long", k)

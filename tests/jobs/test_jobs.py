@@ -108,6 +108,20 @@ def test_runs_that_end_early_are_made_good(spark, growing, tmp_path, monkeypatch
         spectrum_update.run(spark, growing.folder, out, mark, SMALL | {"hap_min": 5})
 
 
+def test_deltas_are_counted_once_and_without_a_sort(spark, growing, tmp_path, monkeypatch):
+    """A delta has one row for each k-mer, region and hap, and regions are pooled without a shuffle of such rows."""
+    plans, real = [], spectrum_update.pooled.pool_by_region
+    monkeypatch.setattr(spectrum_update.pooled, "pool_by_region", lambda *a: (plans.append(real(*a)), plans[-1])[1])
+    growing(0, 40)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spectrum_update.run(spark, growing.folder, f"{tmp_path}/out", f"{tmp_path}/checkpoint", SMALL)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    deltas = spark.read.parquet(f"{tmp_path}/out/deltas")
+    assert deltas.groupBy("code", "region", "hap").count().where("count > 1").isEmpty()
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "HashAggregate" not in text and "bucket" in text
+
+
 def test_odd_documents(spark, tmp_path):
     path, args = f"{tmp_path}/documents", (f"{tmp_path}/out", f"{tmp_path}/checkpoint", SMALL)
     text = "a" * 40
