@@ -74,17 +74,22 @@ def broad(selected: DataFrame, haps: int, fraction: float) -> DataFrame:
     return selected.withColumn("broad", F.col("pooled_pass") & (F.col("qualifying_haps") >= F.ceil(F.lit(fraction * haps))))
 
 
-def sweep(pooled: DataFrame, by_hap: DataFrame, thresholds: list[float], pooled_min: int, hap_min: int, broad_haps: int) -> DataFrame:
-    """For each threshold and route (pooled, hap_only, union): k-mers, those without background,
-    broad ones, and the median target count and E. Thresholds are a literal array, exploded. Medians
-    are exact and no task holds a route."""
+def sweep_routes(pooled: DataFrame, by_hap: DataFrame, thresholds: list[float], pooled_min: int, hap_min: int) -> DataFrame:
+    """(threshold, route, b, haps, t, e) of each k-mer under each threshold (a literal array, exploded) and
+    route (pooled, hap_only, union) that selects it."""
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     local = by_hap.where((F.col("t") >= hap_min) & F.col("e").isNotNull()).select("code", "hap", "e", levels).where("e > threshold").groupBy("code", "threshold").agg(F.count("*").alias("haps"))
     rows = pooled.select("code", "t", "b", "e", levels).join(local, ["code", "threshold"], "left").fillna(0, ["haps"])
     rows = rows.withColumn("p", F.coalesce((F.col("t") >= pooled_min) & (F.col("e") > F.col("threshold")), F.lit(False))).withColumn("h", F.col("haps") > 0)
     routes = F.array(F.when(F.col("p"), "pooled"), F.when(F.col("h") & ~F.col("p"), "hap_only"), F.when(F.col("p") | F.col("h"), "union"))
     rows = rows.withColumn("route", F.explode(F.filter(routes, lambda r: r.isNotNull())))
-    rows = written(rows.select("threshold", "route", "b", "haps", "t", "e"), "routes")
+    return rows.select("threshold", "route", "b", "haps", "t", "e")
+
+
+def sweep(pooled: DataFrame, by_hap: DataFrame, thresholds: list[float], pooled_min: int, hap_min: int, broad_haps: int) -> DataFrame:
+    """For each threshold and route: k-mers, those without background, broad ones, and the median target
+    count and E. Medians are exact and no task holds a route."""
+    rows = written(sweep_routes(pooled, by_hap, thresholds, pooled_min, hap_min), "routes")
     counts = rows.groupBy("threshold", "route").agg(F.count("*").alias("kmers"), F.count_if(F.col("b") == 0).alias("zero_background"), F.count_if(F.col("haps") >= broad_haps).alias("broad"))
     both = rows.select("threshold", "route", F.posexplode(F.array(F.col("t").cast("double"), "e")).alias("which", "value"))
     middle = quantiles(both, ["threshold", "route", "which"], "value", {"median": 0.5}).groupBy("threshold", "route").agg(*(F.max(F.when(F.col("which") == i, F.col("median"))).alias(n) for i, n in enumerate(("median_target", "median_e"))))

@@ -9,6 +9,7 @@ from ..functions import measures as M
 from ..operators import audit, cluster, counting, enrichment, landscape, ranking, specificity
 from . import fixtures as fx
 from .registry import query, rounded
+from .written import written
 
 LEVELS = [0.0, 0.5, 1.0, 1.5, 2.0]
 
@@ -331,16 +332,21 @@ def feature_pool(spark, sf):
     fx.sql("c d tb", _SWEEP + ", k AS (SELECT threshold, route, count(*) AS n FROM rt GROUP BY 1, 2), mo AS (SELECT *, lag(n) OVER (PARTITION BY route ORDER BY threshold) AS b FROM k WHERE route <> 'hap_only') SELECT 'sweep_monotonic' AS \"check\", count_if(n > b) AS violations FROM mo UNION ALL SELECT 'unique_keys', (SELECT count(*) FROM (SELECT code, hap, chrom, region FROM c GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)) UNION ALL SELECT 'code_totals', (SELECT count(*) FROM (SELECT code, sum(n) AS n FROM c GROUP BY code) a FULL JOIN (SELECT l_partkey AS code, sum(l_quantity) AS n FROM lineitem GROUP BY 1) b USING (code) WHERE a.n IS DISTINCT FROM b.n) UNION ALL SELECT 'pool_recomputed', (SELECT count(*) FROM (SELECT code FROM (SELECT code, hap, sum(n) AS n FROM c GROUP BY 1, 2) GROUP BY code HAVING sum(n) >= 800 OR max(n) >= 110) a FULL JOIN (SELECT DISTINCT code FROM (SELECT code, sum(n) OVER (PARTITION BY code) AS p, sum(n) OVER (PARTITION BY code, hap) AS h FROM c) WHERE p >= 800 OR h >= 110) b USING (code) WHERE a.code IS NULL OR b.code IS NULL) UNION ALL SELECT 'selection_recomputed', 0 UNION ALL SELECT 'matrix_recomputed', 0 UNION ALL SELECT 'union_covers_parts', (SELECT count(*) FROM (SELECT code, hap, coalesce(sum(n) FILTER (region <> 'background'), 0) AS u, coalesce(sum(n) FILTER (region = 'HSat2'), 0) + coalesce(sum(n) FILTER (region = 'HSat3'), 0) AS p FROM c GROUP BY 1, 2) WHERE u < p) UNION ALL SELECT 'shards_complete', (SELECT count(*) FROM (SELECT DISTINCT hap FROM d) a WHERE hap NOT IN (SELECT hap FROM c))"),
 )
 def audit_counts(spark, sf):
-    c, d = fx.counts(spark, sf), fx.den(spark, sf)
+    # read by all checks; what the sweep tells beside the number of k-mers, none of them asks for
+    c, d = written(fx.counts(spark, sf), "counts"), written(fx.den(spark, sf), "den")
+    pooled = enrichment.pooled_enrichment(c, d, F.col("hap") == fx.REFERENCE_HAP, fx.POOLED_MIN, fx.THRESHOLD)
+    by_hap = written(enrichment.hap_enrichment(c, d, fx.HAP_MIN, fx.THRESHOLD), "by-hap")
+    routes = enrichment.sweep_routes(pooled, _nonref(by_hap), LEVELS, fx.POOLED_MIN, fx.HAP_MIN)
+    kmers = routes.groupBy("threshold", "route").agg(F.count("*").alias("kmers"))
     return audit.violations(
         {
-            "sweep_monotonic": audit.not_monotonic(_sweep(spark, sf).where("route <> 'hap_only'"), ["route"], "threshold", "kmers"),
+            "sweep_monotonic": audit.not_monotonic(kmers.where("route <> 'hap_only'"), ["route"], "threshold", "kmers"),
             "unique_keys": audit.repeated_keys(c, ["code", "hap", "chrom", "region"]),
             # the table against its source, and each result against a plan of another shape
             "code_totals": audit.totals_differ(c, fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_quantity").cast("long").alias("n")), ["code"]),
             "pool_recomputed": audit.sets_differ(counting.pool(c, 800, 110).select("code"), audit.pool_by_windows(c, 800, 110).select("code")),
-            "selection_recomputed": audit.sets_differ(_he(spark, sf).where("hap_pass").select("code", "hap"), audit.enriched_by_logs(c, d, fx.HAP_MIN, fx.THRESHOLD)),
-            "matrix_recomputed": audit.sets_differ(_targets(spark, sf).select("code", "hap", F.col("n").cast("long")), _nonref(c).where("region <> 'background'").rollup("code", "hap").agg(F.sum("n").alias("n")).where("hap is not null")),
+            "selection_recomputed": audit.sets_differ(by_hap.where("hap_pass").select("code", "hap"), audit.enriched_by_logs(c, d, fx.HAP_MIN, fx.THRESHOLD)),
+            "matrix_recomputed": audit.sets_differ(specificity.matrix_a(_nonref(c), _nonref(d)).select("code", "hap", F.col("n").cast("long")), _nonref(c).where("region <> 'background'").rollup("code", "hap").agg(F.sum("n").alias("n")).where("hap is not null")),
             "union_covers_parts": audit.union_below_parts(specificity.with_union(c).where("region = 'HSat23'"), c, ["code", "hap"]),
             "shards_complete": audit.missing_shards(d.select("hap").distinct(), c),
         }

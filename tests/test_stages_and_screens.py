@@ -113,3 +113,12 @@ def test_undefined_fails(spark):
     assert [r[0] for r in df.select(rule).collect()] == [True, False, False, False]
     flags = screens.funnel(df, {"x": F.col("s") > 0, "y": F.col("h") == 5})
     assert {r["step"]: r["kmers"] for r in screens.funnel_counts(flags, ["x", "y"]).collect()} == {"x": 3, "y": 2}
+
+
+def test_audit_reads_its_counts_once(spark):
+    """All checks of the counts read one table of them; only the totals by code go back to the source."""
+    from kmerlens.plans import count_queries
+
+    files = count_queries.audit_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().collectLeaves()
+    files = [str(files.apply(i).relation().location().rootPaths().mkString()) for i in range(files.size())]
+    assert sum("lineitem" in f for f in files) == 1
