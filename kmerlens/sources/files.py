@@ -158,12 +158,28 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def completed_logs(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
-    """(path, complete): logs that hold all needed texts and no word ERROR."""
-    rows = spark.read.text(path, wholetext=True)
+    """(path, complete): logs that hold all needed texts and no word ERROR. One file each, which costs a
+    call for each log: for many thousands of logs take ``gather_logs``."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _completed(rows, needed)
+
+
+def gather_logs(logs: DataFrame, path: str) -> None:
+    """Logs (path, value) as JSON lines, one for each log with its whole text: as few files as tasks."""
+    logs.select("path", "value").write.json(path)
+
+
+def completed_gathered_logs(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
+    """What ``completed_logs`` gives, of logs that ``gather_logs`` wrote."""
+    rows = spark.read.schema("path string, value string").option("maxStringLen", 2**31 - 1).json(path)
+    return _completed(rows, needed)
+
+
+def _completed(logs: DataFrame, needed: tuple[str, ...]) -> DataFrame:
     fine = F.lit(True)
     for text in needed:
         fine = fine & F.col("value").contains(text)
-    return rows.select(F.col("_metadata.file_path").alias("path"), (fine & ~F.col("value").rlike(r"\bERROR\b")).alias("complete"))
+    return logs.select("path", (fine & ~F.col("value").rlike(r"\bERROR\b")).alias("complete"))
 
 
 def named(df: DataFrame, pattern: str, *names: str) -> DataFrame:

@@ -10,6 +10,7 @@ from kmerlens.functions import kmer as K
 from kmerlens.functions import measures as M
 from kmerlens.functions import tables
 from kmerlens.operators import audit, counting, mismatch
+from kmerlens.plans import source_queries
 from kmerlens.schema import COUNTS
 from kmerlens.settings import Settings
 from kmerlens.sources import eligibility, files
@@ -43,6 +44,25 @@ def test_bed_fai_list_logs(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: r["complete"] for r in got.collect()} == {"ok.log": True, "bad.log": False, "cut.log": False}
 
 
+def test_gathered_logs_are_as_logs_of_own_files(spark, tmp_path):
+    texts = {"ok": "printed output\r\n\n\trunning time 3 \"x\" \u2028 \\n", "bad": "printed output running time\nERROR x", "cut": "printed output", "long": "printed output\n" + "x" * 25_000_000 + " ERRORS\nrunning time"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.log").write_bytes(text.encode())
+    own = files.completed_logs(spark, str(tmp_path / "*.log"), ("printed output", "running time"))
+    files.gather_logs(spark.createDataFrame([(f"{k}.log", v) for k, v in texts.items()], "path string, value string").coalesce(1), str(tmp_path / "gathered"))
+    got = files.completed_gathered_logs(spark, str(tmp_path / "gathered"), ("printed output", "running time"))
+    want = {"ok.log": True, "bad.log": False, "cut.log": False, "long.log": True}
+    assert {r["path"]: r["complete"] for r in got.collect()} == want == {r["path"].rsplit("/", 1)[1]: r["complete"] for r in own.collect()}
+
+
+def test_logs_of_many_haps_are_few_files(spark, tmp_path, monkeypatch):
+    spark.range(500).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(source_queries, "_path", lambda _, name: str(tmp_path / name))
+    got = {r["hap"]: r["complete"] for r in source_queries.log_completion(spark, str(tmp_path)).collect()}
+    assert got == {h: h % 4 != 1 and h % 6 != 0 for h in range(500)}
+    assert 1 <= len(list((tmp_path / "logs").rglob("part-*"))) <= 8
+
+
 def test_tsv(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "x"), (2, 0.5, "y")], "id long, v double, extra string")
     path = str(tmp_path / "t")
