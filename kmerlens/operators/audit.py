@@ -59,8 +59,10 @@ def not_monotonic(sweep: DataFrame, by: list[str], order: str, value: str) -> Da
 
 
 def sets_differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one table that the other lacks, counted with repeats."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    """Rows of one table that the other lacks, counted with repeats. Each table is read once."""
+    both = a.withColumn("_n", F.lit(1)).union(b.withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*a.columns).agg(F.abs(F.sum("_n")).alias("_n")).where("_n > 0")
+    return more.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*a.columns)
 
 
 def not_subset(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:

@@ -96,10 +96,13 @@ _INS = "EXISTS (SELECT 1 FROM {t} k WHERE k.chromosome = h.chromosome AND k.s <=
 _LABEL = "CASE WHEN " + _INS.format(t="f", w=" AND k.label = 'HSat3'") + " THEN 'HSat3' WHEN " + _INS.format(t="f", w=" AND k.label = 'HSat2'") + " THEN 'HSat2' ELSE 'outside' END"
 
 
-def _labelled(spark, sf):
-    fam = _families(spark, sf)
-    both = fam["HSat2"].withColumn("label", F.lit("HSat2")).unionByName(fam["HSat3"].withColumn("label", F.lit("HSat3")))
-    return intervals.priority_label(fx.hits(spark, sf), both, ("HSat3", "HSat2"), "event_id", width=WIDTH)
+def _merged(spark, sf, store=lambda df: df):
+    """(chromosome, label, start, end): both families, each merged."""
+    return intervals.merge(fx.intervals(spark, sf), ["chromosome", "label"], store=store)
+
+
+def _labelled(spark, sf, merged=None):
+    return intervals.priority_label(fx.hits(spark, sf), merged or _merged(spark, sf), ("HSat3", "HSat2"), "event_id", width=WIDTH)
 
 
 @query("hits_priority_label", fx.sql("iv f h", f"SELECT event_id, {_LABEL} AS label FROM h"))
@@ -114,8 +117,8 @@ def hits_region_case(spark, sf):
     return out.select("event_id", F.when(F.col("label") == "outside", "background_or_boundary").otherwise(F.col("label")).alias("region"))
 
 
-def _overlay(spark, sf):
-    return landscape.overlay_counts(_labelled(spark, sf), ["kmer", "chromosome"], F.col("label") != "outside", F.col("label"), ("HSat3", "HSat2", "outside"))
+def _overlay(spark, sf, merged=None):
+    return landscape.overlay_counts(_labelled(spark, sf, merged), ["kmer", "chromosome"], F.col("label") != "outside", F.col("label"), ("HSat3", "HSat2", "outside"))
 
 
 _OV = f", l AS (SELECT kmer, chromosome, {_LABEL} AS label FROM h), ov AS (SELECT kmer, chromosome, count(*) AS total, count_if(label <> 'outside') AS inside, count_if(label = 'outside') AS outside, count_if(label = 'HSat3') AS fine_hsat3, count_if(label = 'HSat2') AS fine_hsat2, count_if(label = 'outside') AS fine_outside FROM l GROUP BY 1, 2)"
@@ -176,12 +179,15 @@ def chromosome_status(spark, sf):
 
 @query("audit_intervals", "SELECT unnest(['partition', 'overlay_sums', 'containment_agrees']) AS \"check\", CAST(0 AS BIGINT) AS violations")
 def audit_intervals(spark, sf):
-    hits, union = fx.hits(spark, sf), written(_union(spark, sf))
+    """Merged families and their union are written once, for all checks."""
+    hits, lengths = fx.hits(spark, sf), fx.lengths(spark, sf)
+    merged = written(_merged(spark, sf, written))
+    union = written(intervals.merge(merged.select("chromosome", "start", "end"), store=written))
     by_asof = intervals.asof(hits, union).where(F.col("end") <= F.col("i_end")).select("event_id")
     return audit.violations(
         {
-            "partition": audit.partition_identity(_partition(spark, sf), fx.lengths(spark, sf), ["chromosome"]),
-            "overlay_sums": audit.hits_add_up(_overlay(spark, sf), ["fine_hsat3", "fine_hsat2", "fine_outside"]),
+            "partition": audit.partition_identity(intervals.partition_merged(merged, union, lengths, store=written), lengths, ["chromosome"]),
+            "overlay_sums": audit.hits_add_up(_overlay(spark, sf, merged), ["fine_hsat3", "fine_hsat2", "fine_outside"]),
             "containment_agrees": audit.sets_differ(by_asof, intervals.inside(hits, union, width=WIDTH).select("event_id")),
         }
     )

@@ -1,6 +1,7 @@
 import random
 
 from kmerlens.operators import audit, intervals
+from kmerlens.plans import interval_queries
 
 
 def frame(spark, rows, label=None):
@@ -78,3 +79,44 @@ def test_asof(spark):
     h = spark.createDataFrame([(0, 4, 6), (0, 5, 7), (0, 29, 33), (1, 5, 6)], "chromosome long, start long, end long")
     got = {(r["chromosome"], r["start"]): (r["i_start"], r["i_end"]) for r in intervals.asof(h, i).collect()}
     assert got == {(0, 4): (None, None), (0, 5): (5, 20), (0, 29): (5, 20), (1, 5): (None, None)}
+
+
+def test_partition_of_overhanging_and_touching_intervals(spark):
+    """Families on axes without a length, beyond its ends or side by side stay whole; the background does not."""
+    rows = spark.createDataFrame([(0, -5, 3, "HSat2"), (0, 3, 6, "HSat3"), (0, 6, 9, "HSat3"), (0, 30, 50, "HSat3"), (2, 1, 4, "HSat2")], "chromosome long, start long, end long, label string")
+    lengths = spark.createDataFrame([(0, 40), (1, 7), (3, 0), (4, None)], "chromosome long, length long")
+    want = [(0, "HSat2", -5, 3), (0, "HSat23", -5, 9), (0, "HSat23", 30, 50), (0, "HSat3", 3, 9), (0, "HSat3", 30, 50), (0, "background", 9, 30), (1, "background", 0, 7), (2, "HSat2", 1, 4), (2, "HSat23", 1, 4)]
+    for width in (1, 4, 1000):
+        assert sorted(map(tuple, intervals.region_partition(rows, lengths, width=width).collect())) == want
+
+
+def test_sets_differ_counts_repeats(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "z")], "i long, s string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (4, "z")], "i long, s string")
+    assert sorted(map(tuple, audit.sets_differ(a, b).collect()), key=str) == [(1, "x"), (1, "x"), (2, None), (3, "z"), (4, "z")]
+    assert audit.sets_differ(a, a).isEmpty()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_differ_reads_each_table_once(spark):
+    a = spark.range(3).withColumnRenamed("id", "i")
+    assert _plan(audit.sets_differ(a, spark.range(5).withColumnRenamed("id", "i"))).count("Range (0, 3") == 1
+
+
+def test_interval_audit_reads_annotation_once(spark, monkeypatch):
+    calls, read = [], interval_queries.fx.intervals
+    monkeypatch.setattr(interval_queries.fx, "intervals", lambda *a: calls.append(1) or read(*a))
+    got = interval_queries.audit_intervals(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and "lineitem" not in str(got.inputFiles())
+    assert {r["check"]: r["violations"] for r in got.collect()} == {"partition": 0, "overlay_sums": 0, "containment_agrees": 0}
+
+
+def test_interval_audit_tells_broken_partitions(spark, monkeypatch):
+    """A partition that loses its background is told, so the shared tables hide nothing."""
+    whole = intervals.partition_merged
+    monkeypatch.setattr(intervals, "partition_merged", lambda *a, **k: whole(*a, **k).where("region <> 'background'"))
+    got = {r["check"]: r["violations"] for r in interval_queries.audit_intervals(spark, "/root/testdata/sf0.001").collect()}
+    assert got["partition"] > 0 and got["overlay_sums"] == got["containment_agrees"] == 0
