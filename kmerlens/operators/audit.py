@@ -110,6 +110,11 @@ def union_below_parts(union: DataFrame, counts: DataFrame, keys: list[str]) -> D
     return both.groupBy(*keys).agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where("u < p")
 
 
+def below_zero(net: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose sum of ``net`` (counting.counted_twice) is negative: counted less often in the union than in its parts."""
+    return net.groupBy(*keys).agg(F.sum("net").alias("net")).where("net < 0")
+
+
 def neighbourhood_differs(near: DataFrame, k: int = 16, radius: int = 2) -> DataFrame:
     """Queries whose neighbourhood (query, variant, d) is not whole: every variant once, in canonical
     form, at its distance, and as many oriented strings behind the variants as there are ways to
