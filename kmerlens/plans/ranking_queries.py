@@ -206,12 +206,14 @@ def centroid_assign(spark, sf):
 def _profiles(spark, sf) -> DataFrame:
     """(region, chrom, hap, features): densities of the most variable k-mers of each case."""
     by = ["region", "chrom"]
-    c = fx.counts(spark, sf).where("region <> 'background'").withColumn("hap", F.col("hap").cast("string"))
-    haps = fx.den(spark, sf).where("region <> 'background' and valid_starts > 0").select(*by, F.col("hap").cast("string").alias("hap"), "valid_starts")
-    chosen = cluster.variable_features(c.where("hap <> '0'"), haps.where("hap <> '0'"), by, presence=0.01).select(*by, "code", "rank")
+    # read twice each; those of the chosen k-mers alone meet the grid
+    c = written(fx.counts(spark, sf).where("region <> 'background'").select(*by, F.col("hap").cast("string").alias("hap"), "code", "n"), "counts", "zstd")
+    haps = written(fx.den(spark, sf).where("region <> 'background' and valid_starts > 0").select(*by, F.col("hap").cast("string").alias("hap"), "valid_starts"), "haps")
+    chosen = written(cluster.variable_features(c.where("hap <> '0'"), haps.where("hap <> '0'"), by, presence=0.01).select(*by, "code", "rank"), "features")
     grid = haps.join(chosen, by)
+    own = c.join(chosen.drop("rank"), [*by, "code"])
     x = F.log1p(F.coalesce("n", F.lit(0)) / F.col("valid_starts") * 1e6)
-    rows = grid.join(c.select(*by, "hap", "code", "n"), [*by, "hap", "code"], "left").groupBy(*by, "hap").agg(F.sort_array(F.collect_list(F.struct("rank", x.alias("x")))).alias("f"))
+    rows = grid.join(own, [*by, "hap", "code"], "left").groupBy(*by, "hap").agg(F.sort_array(F.collect_list(F.struct("rank", x.alias("x")))).alias("f"))
     return rows.select(*by, "hap", F.col("f.x").alias("features"))
 
 

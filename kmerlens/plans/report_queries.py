@@ -15,7 +15,7 @@ from .count_queries import _FAM, _haps, _nonref, _share
 from .interval_queries import _hit_regions
 from .ranking_queries import _SCORE, _scored
 from .registry import query, rounded
-from .sequence_queries import _TOP, _top, _windows
+from .sequence_queries import _TOP, _most, _top, _windows
 from .written import written
 
 
@@ -174,14 +174,15 @@ def audit_screens(spark, sf):
     spectra; a plain search finds the hits of the scan; cluster cases keep their rules."""
     from .ranking_queries import cluster_cases
 
-    top, seqs = _top(spark, sf, 5), fx.sequences(spark, sf)
+    # made once, for all passes over them
+    seqs = written(fx.sequences(spark, sf).select("doc_id", "hap", "region", "seq"), "sequences", "zstd")
+    top = _most(seqs, 5)
     near = mismatch.neighbours(top)
     sums = written(mismatch.by_distance(mismatch.radius_counts(top.select("code"), seqs, ["hap", "region"]), ["hap", "region"]))
-    some = landscape.even_spaced(sums.where("hap is not null").select("hap").distinct(), "hap", 12)
-    # the other way round: every k-mer of a hap against the queries, by distance and not by a list of variants
-    spectra = _windows(spark, sf, "hap", "region").join(some, "hap").groupBy("hap", "region", "code").agg(F.sum("n").alias("n"))
-    again = spectra.join(F.broadcast(top.select(F.col("code").alias("query"))), K.hamming_either(F.col("query"), F.col("code")) <= 2)  # five rows
-    again = again.withColumn("d", K.hamming_either(F.col("query"), F.col("code"))).groupBy("query", "hap", "region", "d").agg(F.sum("n").alias("n"))
+    some = written(landscape.even_spaced(sums.where("hap is not null").select("hap").distinct(), "hap", 12), "haps")
+    # the other way round: every window of a hap against the queries, by distance and not by a list of variants
+    queries = [r["code"] for r in top.select("code").collect()]  # five
+    again = counting.near(seqs.join(F.broadcast(some), "hap", "left_semi"), queries, keys=["hap", "region"])  # twelve rows
     saved = sums.join(some, "hap").where("n > 0").select("query", "hap", "region", F.col("d").cast("long"), "n")
     scanned = landscape.scan(seqs, top, keys=["doc_id"]).select("doc_id", K.decode(F.col("code")).alias("kmer"), "start")
     return audit.violations(

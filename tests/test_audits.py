@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kmerlens.functions import kmer as K
 from kmerlens.operators import audit, counting
-from kmerlens.plans import sequence_queries
+from kmerlens.plans import ranking_queries, report_queries, sequence_queries
 
 SF = "/root/testdata/sf0.001"
 COMP = str.maketrans("ACGT", "TGCA")
@@ -71,3 +71,51 @@ def test_sequence_audit_tells_lost_windows(spark, monkeypatch):
     monkeypatch.setattr(counting, "counted_twice", lambda df, by, union, part: whole(df.where("chrom <> 2"), by, union & (F.col("hap") != "src1"), part))
     got = {r["check"]: r["violations"] for r in sequence_queries.audit_sequences(spark, SF).collect()}
     assert got["counts_match_starts"] > 0 and got["union_covers_parts"] > 0 and got["distance_zero"] == got["stats_bounds"] == 0
+
+
+@pytest.mark.parametrize(("k", "segment"), [(6, 1 << 20), (6, 40), (16, 1 << 20), (19, 50)])
+def test_near_against_loops(spark, monkeypatch, k, segment):
+    monkeypatch.setattr(counting, "SEGMENT", segment)
+    rng = random.Random(6)
+    asked = ["".join(rng.choice("ACGT") for _ in range(k)) for _ in range(3)]
+
+    def text():
+        parts = [list(rng.choice(asked + [a[::-1].translate(COMP) for a in asked])) for _ in range(rng.randrange(6))]
+        for p in parts:
+            for _ in range(rng.randrange(4)):
+                p[rng.randrange(k)] = rng.choice("ACGTN")
+        return "".join("".join(p) + rng.choice(["", "A", "CG\n"]) for p in parts)
+
+    rows = [(rng.choice(["x", None]), text()) for _ in range(30)] + [("x", None), ("x", "")]
+    df = spark.createDataFrame(rows, "hap string, seq string")
+    codes = {int(a.translate(str.maketrans("ACGT", "0123")), 4): a for a in asked}
+    want = Counter()
+    for hap, seq in rows:
+        for w, n in canonical_windows(seq, k).items():
+            for code, a in codes.items():
+                d = min(sum(x != y for x, y in zip(a, v, strict=True)) for v in (w, w[::-1].translate(COMP)))
+                if d <= 2:
+                    want[code, hap, d] += n
+    assert {(r["query"], r["hap"], r["d"]): r["n"] for r in counting.near(df, list(codes), k, ["hap"]).collect()} == want
+
+
+def test_screen_audit_shuffles_no_windows(spark, monkeypatch):
+    """The spectra of the haps are not made: their windows are held against the queries where they are encoded."""
+    calls, read = [], report_queries.fx.sequences
+    monkeypatch.setattr(report_queries.fx, "sequences", lambda *a: calls.append(1) or read(*a))
+    monkeypatch.setattr(ranking_queries, "cluster_cases", lambda spark, sf: spark.createDataFrame([], "region string, chrom long, hap string, grp string, k int, silhouette double, status string"))
+    got = report_queries.audit_screens(spark, SF)
+    assert len(calls) == 1 and "documents" not in str(got.inputFiles())
+    assert "code" not in str([line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "hap" in line])
+    assert {r["check"]: r["violations"] for r in got.collect()} == dict.fromkeys(("neighbourhoods", "variant_sums", "plain_scan_agrees", "clusters"), 0)
+    whole = counting.near
+    monkeypatch.setattr(counting, "near", lambda *a, **k: whole(*a, **k).where("d <> 1 or region <> 'background'"))
+    lost = {r["check"]: r["violations"] for r in report_queries.audit_screens(spark, SF).collect()}
+    assert lost.pop("variant_sums") > 0 and not any(lost.values())
+
+
+def test_profiles_count_lineitem_once(spark, monkeypatch):
+    calls, read = [], ranking_queries.fx.counts
+    monkeypatch.setattr(ranking_queries.fx, "counts", lambda *a: calls.append(1) or read(*a))
+    rows = ranking_queries._profiles(spark, SF)
+    assert len(calls) == 1 and "lineitem" not in str(rows.inputFiles())
