@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,57 @@ def test_profiles_count_lineitem_once(spark, monkeypatch):
     monkeypatch.setattr(ranking_queries.fx, "counts", lambda *a: calls.append(1) or read(*a))
     rows = ranking_queries._profiles(spark, SF)
     assert len(calls) == 1 and "lineitem" not in str(rows.inputFiles())
+
+
+class Asked(dict):
+    """Counts how often a key is looked up."""
+
+    asked = 0
+
+    def setdefault(self, *a):
+        self.asked += 1
+        return super().setdefault(*a)
+
+
+@pytest.mark.parametrize("most", [4, 10**6])
+def test_rows_are_numbered_by_their_keys(most):
+    """Keys are looked up once for each that occurs in a batch, not for each row."""
+    rng = random.Random(7)
+    known, want = Asked(), {}
+    for size in (5000, 1, 3000, 0):
+        rows = [(rng.choice(["x", "y", None, ""]), rng.randrange(most) if rng.random() < 0.9 else None, rng.random() < 0.5) for _ in range(size)]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))]
+        before = known.asked
+        got = counting._numbered(columns, size, known).tolist()
+        assert known.asked - before == len(set(rows))
+        assert all(want.setdefault(r, i) == i for r, i in zip(rows, got, strict=True))
+    assert len(set(want.values())) == len(want) == len(known)
+    assert counting._numbered([], 3, {}).tolist() == [0, 0, 0]
+
+
+@pytest.mark.parametrize("most", [1, 500, 1 << 40])
+def test_counts_stay_beside_their_keys(most):
+    rng = np.random.default_rng(8)
+    key = rng.integers(0, 50, 2000).astype(np.uint64) << np.uint64(30) | rng.integers(0, 9, 2000).astype(np.uint64)
+    n = rng.integers(0, most + 1, 2000)
+    a, b = counting._in_order(key, n, 40)
+    assert a.tolist() == sorted(key.tolist()) and sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(key.tolist(), n.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("k", "most"), [(6, 3), (16, 3), (16, 1 << 40), (31, 3)])
+def test_tallies_of_counts_add_up(spark, monkeypatch, k, most):
+    monkeypatch.setattr(counting, "HOLD", 50)
+    rng = random.Random(k)
+    codes = [rng.randrange(4**k) for _ in range(40)]
+    rows = [(rng.choice(["a", None]), rng.choice(["x", "y", "z"]), rng.choice(codes), rng.randrange(1, most + 1)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "region string, hap string, code long, n long")
+
+    def reduce(t):
+        at = t.firsts(t.kind)
+        return t.rows(at, code=t.code[at], n=np.add.reduceat(t.n, at))
+
+    want = Counter()
+    for region, hap, code, n in rows:
+        want[region, hap, code] += n
+    got = counting.tallied(df, reduce, "region string, hap string, code long, n long", k).collect()
+    assert {(r["region"], r["hap"], r["code"]): r["n"] for r in got} == want and len(got) == len(want)
